@@ -1,0 +1,95 @@
+import datetime as dt
+
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tidemart.functions import columns as C
+from tidemart.functions.parse import good, parse_feed, quarantined, stamp, with_log_time
+from tidemart.operators import orders
+
+
+def raw(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "value string").withColumn(
+        "timestamp", F.lit("2024-01-01 10:00:00").cast("timestamp"))
+
+
+def test_mask_keeps_four_characters(spark):
+    df = spark.createDataFrame([("13812345678",), ("138",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(C.mask_phone(F.col("t"))).collect()] == [
+        "1381*******", "138*******", "*******", None]
+
+
+def test_age_truncates_toward_zero_and_survives_bad_dates(spark):
+    df = spark.createDataFrame(
+        [("2000-01-01",), ("2024-05-31",), ("2025-05-01",), ("2026-01-01",), (None,), ("x",)],
+        "b string")
+    got = [r[0] for r in df.select(C.age_in_years(F.col("b"), "2024-06-01")).collect()]
+    days = (dt.date(2024, 6, 1) - dt.date(2000, 1, 1)).days
+    assert got == [days // 365, 0, 0, -1, None, None]
+
+
+def test_both_hour_readings_agree(spark):
+    df = spark.createDataFrame([("2020-08-18 04:24:05",)], "t string")
+    out = df.select(C.day_of_text(F.col("t")), C.hour_of_text(F.col("t")),
+                    C.hour_before_colon(F.col("t"))).first()
+    assert tuple(out) == ("2020-08-18", "04", "04")
+
+
+def test_previous_day_crosses_months():
+    assert C.previous_day("2024-03-01") == "2024-02-29"
+    assert C.previous_day("2024-01-01") == "2023-12-31"
+
+
+def test_parse_start_log_splits_good_and_bad(spark):
+    parsed = parse_feed(raw(
+        spark,
+        '{"mid":"m1","uid":5,"type":"startup","ts":1704067199000,"extra":[1]}',
+        '{"mid":"m1","ts":"1704067201000"}',
+        '{"mid":null,"ts":1}', '{"mid":"m2","ts":"soon"}', '{"mid":"m2"}',
+        '{"mid":"m3","ts":17', '[]', '', '7'), "start").cache()
+    timed = with_log_time(good(parsed))
+    assert rows(timed.select("mid", "log_date", "log_hour")) == [
+        ("m1", "2023-12-31", "23"), ("m1", "2024-01-01", "00")]
+    assert [r.uid for r in timed.orderBy("ts").collect()] == ["5", None]
+    reasons = {r.value: r.error for r in quarantined(parsed).collect()}
+    assert reasons['{"mid":null,"ts":1}'] == "missing mid"
+    assert reasons['{"mid":"m2","ts":"soon"}'] == "bad ts"
+    assert reasons['{"mid":"m2"}'] == "missing ts"
+    assert reasons['{"mid":"m3","ts":17'] == "malformed"
+    assert set(reasons) >= {"[]", "", "7"}
+    assert parsed.count() == 9
+
+
+def test_quoted_amounts_become_numbers_and_bad_ones_are_set_aside(spark):
+    parsed = parse_feed(raw(
+        spark,
+        '{"id":"1","total_amount":"120.50","create_time":"2020-08-18 04:24:04",'
+        '"consignee_tel":"13812345678"}',
+        '{"id":"2","total_amount":"many","create_time":"2020-08-18 04:24:04"}',
+        '{"id":"3","total_amount":"1","create_time":"yesterday"}',
+        '{"id":"4","create_time":"2020-08-18 05:00:00"}'), "order")
+    fine = orders.clean_orders(good(parsed))
+    assert rows(fine.select("id", "total_amount", "consignee_tel", "create_hour")) == [
+        ("1", 120.5, "1381*******", "04"), ("4", None, None, "05")]
+    assert rows(quarantined(parsed).select("error")) == [("bad create_time",),
+                                                         ("bad total_amount",)]
+
+
+def test_numbers_in_text_fields_of_events(spark):
+    parsed = parse_feed(raw(
+        spark, '{"mid":"m","evid":"coupon","pgid":12,"itemid":7,"ts":1}'), "event")
+    assert rows(good(parsed).select("pgid", "itemid")) == [("12", "7")]
+
+
+def test_stamp_adds_the_time_once(spark):
+    df = raw(spark, '{"a":"x}"}', '{}', ' { "ts": 5, "a":1 } ', '{"a":{"ts":1}}')
+    out = [r[0] for r in df.select(stamp(F.col("value"), F.col("timestamp"))).collect()]
+    assert out == ['{"a":"x}","ts":1704103200000}', '{"ts":1704103200000}',
+                   ' { "ts": 5, "a":1 } ', '{"a":{"ts":1},"ts":1704103200000}']
+
+
+def test_document_and_index_name(spark):
+    row = spark.range(1).select(
+        F.lit("a").alias("x"), F.lit(2).alias("y"), F.lit("2024-01-01").alias("d")).select(
+        C.document("x", "y"), C.index_name("sales", F.col("d"), "-")).first()
+    assert tuple(row) == ('{"x":"a","y":2}', "sales-2024-01-01")

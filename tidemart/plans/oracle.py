@@ -7,7 +7,7 @@ from tidemart.plans.mapping import AS_OF, EVENT_NAMES, RECEIVED_FROM
 _LOGS = """logs AS (
   SELECT regexp_extract(props, '"k": *([0-9]+)', 1) AS mid, CAST(user_id AS VARCHAR) AS uid,
          CASE WHEN event_type = 'signup' THEN 'startup' ELSE 'event' END AS type,
-         epoch_ms(ts) AS ts, event_id,
+         epoch_us(ts) // 1000 AS ts, event_id,
          strftime(ts, '%Y-%m-%d') AS log_date, strftime(ts, '%H') AS log_hour
   FROM events)"""
 
@@ -72,7 +72,7 @@ _EVID = " ".join(f"WHEN '{kind}' THEN '{evid}'" for kind, evid in EVENT_NAMES.it
 _ALERTS = f"""ev AS (
   SELECT 'mid_' || CAST(user_id % 10 AS VARCHAR) AS mid, CAST(user_id AS VARCHAR) AS uid,
          CASE event_type {_EVID} END AS evid, CAST(event_id AS VARCHAR) AS itemid,
-         epoch_ms(ts) AS ms
+         epoch_us(ts) // 1000 AS ms
   FROM events
 ), win AS (
   SELECT ev.*, (ms // 1800000 - g.i) * 1800000 AS start_ms

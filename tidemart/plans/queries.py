@@ -385,7 +385,7 @@ def stream_dau(spark, sf):
     folder = new_folder(spark, "dau")
     _finish(jobs.start_dau(_stream_start(spark, sf), f"{folder}/table", f"{folder}/progress",
                            trigger=jobs.ONCE))
-    rows = tables.read_table(spark, f"{folder}/table", jobs.DAU_TABLE, "log_date")
+    rows = tables.read_days(spark, f"{folder}/table", jobs.DAU_TABLE, "log_date")
     return rows.select("mid", "log_date", "log_hour", "ts")
 
 
@@ -407,7 +407,7 @@ def _stream_orders(spark, sf):
 def stream_gmv(spark, sf):
     folder = new_folder(spark, "gmv")
     _finish(jobs.start_gmv(_stream_orders(spark, sf), f"{folder}/table", f"{folder}/progress",
-                           trigger=jobs.ONCE))
+                           period="month", trigger=jobs.ONCE))
     return orders.gmv_by_hour(jobs.current_orders(spark, f"{folder}/table"))
 
 
@@ -434,7 +434,7 @@ def stream_sale_details(spark, sf):
     detail_raw = M.raw(details, *[c for c in details.columns if c != "rt"], at=F.col("rt"))
     _finish(jobs.start_sale_details(
         _stream_orders(spark, sf), detail_raw, f"{folder}/users", f"{folder}/table",
-        f"{folder}/progress", as_of=AS_OF, trigger=jobs.ONCE))
+        f"{folder}/progress", as_of=AS_OF, period="month", trigger=jobs.ONCE))
     return (jobs.current_sales(spark, f"{folder}/table")
             .select(*SALE_DETAIL.fieldNames(), "index_day"))
 

@@ -2,7 +2,7 @@
 
 A keyed upsert that rewrites its target costs as much as the table on every
 micro-batch. These tables are written once per batch instead: each micro-batch
-owns the folder ``<day>/run=<stream>/batch=<n>`` and replaces it as a whole, so
+owns the folders ``period=<day>/run=<stream>/batch=<n>`` and replaces them whole, so
 a batch that is repeated after a failure leaves the same files. The last
 version per key is taken when a day is read, or once per day by
 :func:`publish`, which rebuilds whole day partitions of a separate table.
@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from tidemart.operators.keyed import last_per_key
 
 BATCH_COLUMNS = ["run", "batch"]
+PERIODS = {"day": 10, "month": 7}  # leading characters of yyyy-MM-dd
+_BATCH_FIELDS = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
 _LISTED_DAYS = 400
 
 
@@ -34,41 +36,66 @@ def run_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(line[0])["id"]
 
 
-def write_batch(rows: DataFrame, path: str, day: str | None, run: str, batch: int) -> None:
+def write_batch(rows: DataFrame, path: str, folder: str | None, run: str, batch: int,
+                *sort: str) -> None:
     """Write one micro-batch, replacing what an earlier attempt of it left.
 
     ``rebalance`` lets AQE merge small and split large output partitions, so a
-    batch that falls on one single day is still written by many tasks.
+    batch that falls into one single folder is still written by many tasks.
     """
-    days = [day] if day else []
-    (rows.withColumns({"run": F.lit(run), "batch": F.lit(int(batch)).cast("bigint")})
-     .hint("rebalance", *days)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*days, *BATCH_COLUMNS).parquet(path))
+    folders = [folder] if folder else []
+    placed = (rows.withColumns({"run": F.lit(run), "batch": F.lit(int(batch)).cast("bigint")})
+              .hint("rebalance", *folders))
+    if sort:
+        placed = placed.sortWithinPartitions(*folders, *BATCH_COLUMNS, *sort)
+    (placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*folders, *BATCH_COLUMNS).parquet(path))
 
 
-def _layout(schema: T.StructType, batches: bool) -> T.StructType:
-    extra = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
-    return T.StructType([*schema.fields, *(extra if batches else [])])
+def _period(day: str, period: str):
+    return F.substring(day, 1, PERIODS[period])
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, day: str | None,
-               days: Sequence[str] | None = None, batches: bool = True) -> DataFrame:
-    """Rows of the table, of the given days only if there are any.
+def write_days(rows: DataFrame, path: str, day: str, run: str, batch: int,
+               period: str = "day") -> None:
+    """Write one micro-batch of a table that is partitioned by the ``day`` column.
 
-    With ``days`` no other day folder is even listed. A table or day that does
-    not exist yet gives no rows.
+    With ``period="month"`` a folder holds a month: for a table with few rows
+    on each of very many days. The day stays a column either way; inside a
+    month rows are sorted by it, so that row-group statistics still prune.
     """
-    layout = _layout(schema, batches)
-    reader = spark.read.schema(layout).option("basePath", path)
-    where = path if days is None else f"{path}/{day}={{{','.join(sorted(days))}}}"
+    placed = rows.withColumn("period", _period(day, period))
+    write_batch(placed, path, "period", run, batch, *([] if period == "day" else [day]))
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a table without days, with their run and batch."""
+    return _read(spark, path, path, T.StructType([*schema.fields, *_BATCH_FIELDS]))
+
+
+def read_days(spark: SparkSession, path: str, schema: T.StructType, day: str,
+              days: Sequence[str] | None = None, period: str = "day") -> DataFrame:
+    """Rows of a table written by :func:`write_days`, with their run and batch.
+
+    With ``days`` only their folders are listed and read. A table or day that
+    does not exist yet gives no rows.
+    """
+    layout = T.StructType([*schema.fields, T.StructField("period", T.StringType()),
+                           *_BATCH_FIELDS])
+    if days is None:
+        return _read(spark, path, path, layout).drop("period")
+    folders = sorted({d[:PERIODS[period]] for d in days})
+    rows = _read(spark, path, f"{path}/period={{{','.join(folders)}}}", layout)
+    return rows.where(F.col(day).isin(list(days))).drop("period")
+
+
+def _read(spark: SparkSession, base: str, where: str, layout: T.StructType) -> DataFrame:
     try:
-        rows = reader.parquet(where)
+        return spark.read.schema(layout).option("basePath", base).parquet(where)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], layout)
-    return rows
+        return spark.createDataFrame([], layout)
 
 
 def days_of(rows: DataFrame, day: str) -> list[str] | None:
@@ -89,16 +116,17 @@ def latest(table: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
 
 
 def publish(spark: SparkSession, source: str, target: str, schema: T.StructType, day: str,
-            keys: Sequence[str], order: Sequence[str], days: Sequence[str] | None = None) -> None:
+            keys: Sequence[str], order: Sequence[str], days: Sequence[str] | None = None,
+            period: str = "day") -> None:
     """Rebuild day partitions of ``target`` with one row per key.
 
     Reads the batch table and never its own output, so it can be repeated at
-    any time; other days stay as they are.
+    any time; days not named stay as they are. ``keys`` include the day.
     """
-    rows = read_table(spark, source, schema, day, days)
-    (latest(rows, keys, *order).hint("rebalance", day)
+    rows = latest(read_days(spark, source, schema, day, days, period), keys, *order)
+    (rows.withColumn("period", _period(day, "day")).hint("rebalance", "period")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(day).parquet(target))
+     .partitionBy("period").parquet(target))
 
 
 def merge_into(rows: DataFrame, table: str, keys: Sequence[str]) -> None:
@@ -123,5 +151,5 @@ def write_topics(rows: DataFrame, fmt: str, path: str | None = None, run: str =
 
 def archive(rows: DataFrame, path: str, run: str = "batch", batch: int = 0) -> None:
     """Keep raw records as they came, one folder per day of arrival."""
-    write_batch(rows.select("value", F.date_format("timestamp", "yyyy-MM-dd").alias("day")),
-                path, "day", run, batch)
+    write_days(rows.select("value", F.date_format("timestamp", "yyyy-MM-dd").alias("day")),
+               path, "day", run, batch)

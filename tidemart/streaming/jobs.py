@@ -35,7 +35,7 @@ SALE_VERSIONS = T.StructType([
 
 
 def _start(stream: DataFrame, name: str, checkpoint: str, trigger: dict | None, cadence: str,
-           write: Callable[[DataFrame, str, int], None]) -> StreamingQuery:
+           write: Callable[[DataFrame, str, int], None], mode: str = "append") -> StreamingQuery:
     """Run ``write(batch, run, batch_id)`` on every micro-batch."""
     owner: list[str] = []
 
@@ -44,15 +44,15 @@ def _start(stream: DataFrame, name: str, checkpoint: str, trigger: dict | None,
             owner.append(tables.run_id(batch.sparkSession, checkpoint))
         write(batch, owner[0], batch_id)
 
-    return (stream.writeStream.queryName(name).foreachBatch(on_batch)
+    return (stream.writeStream.queryName(name).outputMode(mode).foreachBatch(on_batch)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": cadence})).start())
 
 
 def _set_aside(parsed: DataFrame, path: str | None, run: str, batch_id: int) -> None:
     if path:
-        tables.write_batch(quarantined(parsed).withColumn("day", day_of(F.col("timestamp"))),
-                           path, "day", run, batch_id)
+        tables.write_days(quarantined(parsed).withColumn("day", day_of(F.col("timestamp"))),
+                          path, "day", run, batch_id)
 
 
 def start_log_router(raw: DataFrame, topics: str, archive: str, checkpoint: str,
@@ -95,10 +95,10 @@ def start_dau(raw: DataFrame, table: str, checkpoint: str, quarantine: str | Non
         firsts = devices.first_of_day(with_log_time(good(parsed))).persist()
         try:
             days = tables.days_of(firsts, "log_date")
-            seen = tables.read_table(spark, table, DAU_TABLE, "log_date", days).where(
+            seen = tables.read_days(spark, table, DAU_TABLE, "log_date", days).where(
                 (F.col("run") != run) | (F.col("batch") < batch_id))
             fresh = devices.drop_seen(firsts, seen).select(*DAU_TABLE.fieldNames())
-            tables.write_batch(fresh, table, "log_date", run, batch_id)
+            tables.write_days(fresh, table, "log_date", run, batch_id)
             _set_aside(parsed, quarantine, run, batch_id)
         finally:
             firsts.unpersist()
@@ -120,19 +120,9 @@ def start_dau_state(raw: DataFrame, table: str, checkpoint: str, delay: str = "1
             .agg(F.min("et").alias("first_et")).drop("d"))
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        tables.write_batch(batch, table, "log_date", run, batch_id)
+        tables.write_days(batch, table, "log_date", run, batch_id)
 
-    stream = (days.writeStream.outputMode("update").queryName("dau_state")
-              .option("checkpointLocation", checkpoint))
-    owner: list[str] = []
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if not owner:
-            owner.append(tables.run_id(batch.sparkSession, checkpoint))
-        write(batch, owner[0], batch_id)
-
-    return stream.foreachBatch(on_batch).trigger(
-        **(trigger or {"processingTime": CADENCE})).start()
+    return _start(days, "dau_state", checkpoint, trigger, CADENCE, write, mode="update")
 
 
 def active_devices(spark: SparkSession, table: str, days: list[str] | None = None) -> DataFrame:
@@ -140,26 +130,27 @@ def active_devices(spark: SparkSession, table: str, days: list[str] | None = Non
     layout = T.StructType([
         T.StructField("mid", T.StringType()), T.StructField("first_et", T.TimestampType()),
         T.StructField("log_date", T.StringType())])
-    rows = tables.read_table(spark, table, layout, "log_date", days)
+    rows = tables.read_days(spark, table, layout, "log_date", days)
     return rows.groupBy("mid", "log_date").agg(F.min("first_et").alias("first_et"))
 
 
 def start_gmv(raw: DataFrame, table: str, checkpoint: str, quarantine: str | None = None,
-              trigger: dict | None = None) -> StreamingQuery:
+              period: str = "day", trigger: dict | None = None) -> StreamingQuery:
     """Cleaned order rows by create date; :func:`current_orders` reads them."""
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
         parsed = parse_feed(batch, "order")
         rows = orders.clean_orders(good(parsed)).withColumnRenamed("timestamp", "change_ts")
-        tables.write_batch(rows.select(*ORDER_VERSIONS.fieldNames()), table, "create_date",
-                           run, batch_id)
+        tables.write_days(rows.select(*ORDER_VERSIONS.fieldNames()), table, "create_date",
+                          run, batch_id, period)
         _set_aside(parsed, quarantine, run, batch_id)
 
     return _start(raw, "gmv", checkpoint, trigger, CADENCE, write)
 
 
-def current_orders(spark: SparkSession, table: str, days: list[str] | None = None) -> DataFrame:
+def current_orders(spark: SparkSession, table: str, days: list[str] | None = None,
+                   period: str = "day") -> DataFrame:
     """Last version of each order of the given create dates."""
-    versions = tables.read_table(spark, table, ORDER_VERSIONS, "create_date", days)
+    versions = tables.read_days(spark, table, ORDER_VERSIONS, "create_date", days, period)
     return tables.latest(versions, ["id", "create_date"], "change_ts").drop("change_ts")
 
 
@@ -176,7 +167,7 @@ def start_users(raw: DataFrame, table: str, checkpoint: str, quarantine: str | N
 
 
 def user_versions(spark: SparkSession, table: str) -> DataFrame:
-    return tables.read_table(spark, table, USER_VERSIONS, None)
+    return tables.read_batches(spark, table, USER_VERSIONS)
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
@@ -198,8 +189,8 @@ def start_alerts(raw: DataFrame, table: str, checkpoint: str, length: str = ALER
         closed = batch.persist()
         try:
             found = alerts.detect(closed, min_users)
-            tables.write_batch(alerts.alert_documents(closed, found), table, "index_day",
-                               run, batch_id)
+            tables.write_days(alerts.alert_documents(closed, found), table, "index_day",
+                              run, batch_id)
         finally:
             closed.unpersist()
 
@@ -208,13 +199,14 @@ def start_alerts(raw: DataFrame, table: str, checkpoint: str, length: str = ALER
 
 def current_alerts(spark: SparkSession, table: str, days: list[str] | None = None) -> DataFrame:
     return alerts.latest_documents(
-        tables.read_table(spark, table, ALERT_DOC, "index_day", days))
+        tables.read_days(spark, table, ALERT_DOC, "index_day", days))
 
 
 def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str, table: str,
                        checkpoint: str, as_of: Column | str | None = None,
                        seconds: int = JOIN_BOUND_SECONDS, delay: str = "1 minute",
-                       salts: int = 1, trigger: dict | None = None) -> StreamingQuery:
+                       salts: int = 1, period: str = "day",
+                       trigger: dict | None = None) -> StreamingQuery:
     """Order lines joined with orders and users; :func:`current_sales` reads them.
 
     Lines and orders wait for each other in the join state for the bound plus
@@ -236,15 +228,16 @@ def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str,
             known = latest_versions(sales.users_of(found, user_versions(spark, users)))
             rows = sales.enrich(found, known, F.col("joined_rt") if as_of is None else as_of)
             rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
-            tables.write_batch(rows.select(*SALE_VERSIONS.fieldNames()), table, "dt",
-                               run, batch_id)
+            tables.write_days(rows.select(*SALE_VERSIONS.fieldNames()), table, "dt",
+                              run, batch_id, period)
         finally:
             found.unpersist()
 
     return _start(pairs, "sale_details", checkpoint, trigger, CADENCE, write)
 
 
-def current_sales(spark: SparkSession, table: str, days: list[str] | None = None) -> DataFrame:
+def current_sales(spark: SparkSession, table: str, days: list[str] | None = None,
+                  period: str = "day") -> DataFrame:
     """Latest document per order detail id."""
-    versions = tables.read_table(spark, table, SALE_VERSIONS, "dt", days)
+    versions = tables.read_days(spark, table, SALE_VERSIONS, "dt", days, period)
     return tables.latest(versions, ["order_detail_id", "dt"], "joined_rt").drop("joined_rt")
