@@ -59,7 +59,11 @@ def quarantined(parsed: DataFrame) -> DataFrame:
 
 def with_log_time(logs: DataFrame) -> DataFrame:
     """Add ``et`` (event time), ``log_date`` and ``log_hour`` from ``ts`` millis."""
-    timed = logs.withColumn("et", event_time(F.col("ts")))
+    return with_log_days(logs.withColumn("et", event_time(F.col("ts"))))
+
+
+def with_log_days(timed: DataFrame) -> DataFrame:
+    """Add ``log_date`` and ``log_hour`` from the event time ``et``."""
     return timed.withColumns({"log_date": day_of(F.col("et")), "log_hour": hour_of(F.col("et"))})
 
 

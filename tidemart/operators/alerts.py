@@ -60,14 +60,10 @@ def windowed_stream(events: DataFrame, length: str = ALERT_WINDOW, slide: str =
 
 
 def detect(counted: DataFrame, min_users: int = ALERT_MIN_USERS) -> DataFrame:
-    """(window_start, window_end, mid, n_users) of the alerting windows.
-
-    Only coupons and clicks matter here, so all other events are dropped at
-    the scan, before they are multiplied by the windows.
-    """
-    return (counted.where(F.col("evid").isin(COUPON_EVENT, CLICK_EVENT))
-            .groupBy(*WINDOW_KEY)
+    """(window_start, window_end, mid, n_users, n_events) of the alerting windows."""
+    return (counted.groupBy(*WINDOW_KEY)
             .agg(F.count_distinct("uid").alias("n_users"),
+                 F.sum("n").alias("n_events"),
                  F.max((F.col("evid") == CLICK_EVENT).cast("int")).alias("clicked"))
             .where((F.col("n_users") >= min_users) & (F.col("clicked") == 0))
             .drop("clicked"))
@@ -87,19 +83,20 @@ def last_of_minute(alerts: DataFrame) -> DataFrame:
 
 
 def members(counted: DataFrame, alerts: DataFrame) -> DataFrame:
-    """(window_start, window_end, mid, kind, value, n): what the alerts list.
+    """(window_start, window_end, mid, n_events, kind, value, n): what alerts list.
 
     One row per different user, item and event name of an alerting window,
     with the number of events behind it.
     """
-    rows = counted.join(alerts.select(*WINDOW_KEY), WINDOW_KEY)
+    found = alerts.select(*WINDOW_KEY, "n_events")
     listed = F.array(
         F.struct(F.lit("user").alias("kind"), F.col("uid").alias("value")),
         F.struct(F.lit("item").alias("kind"), F.col("itemid").alias("value")),
         F.struct(F.lit("event").alias("kind"), F.col("evid").alias("value")))
-    return (rows.select(*WINDOW_KEY, F.inline(listed), "n")
+    return (counted.join(found, WINDOW_KEY)
+            .select(*found.columns, F.inline(listed), "n")
             .where(F.col("value").isNotNull())
-            .groupBy(*WINDOW_KEY, "kind", "value").agg(F.sum("n").alias("n")))
+            .groupBy(*found.columns, "kind", "value").agg(F.sum("n").alias("n")))
 
 
 def documents(listed: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
@@ -107,18 +104,17 @@ def documents(listed: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
 
     An alert of up to ``part_rows`` events is one document (part 0 of 1). A
     larger one is cut into parts that together hold every user, item and event
-    once: users and items by hash, events in equal shares. So a device with a
-    third of all events never becomes one row.
+    once: users and items by hash, events in equal shares. The parts are
+    shuffled apart, so a device with a third of all events becomes neither one
+    row nor one task.
     """
-    events = F.when(F.col("kind") == "event", F.col("n"))
-    sizes = (listed.groupBy(*WINDOW_KEY)
-             .agg(F.ceil(F.sum(events) / F.lit(part_rows)).cast("int").alias("parts")))
-    sized = listed.join(sizes, WINDOW_KEY)
-    # users and items go to the part of their hash, event names to all parts
-    spread = F.when(F.col("kind") == "event", F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("value"), F.col("parts")).cast("int")))
-    placed = sized.select(*WINDOW_KEY, "kind", "value", "n", "parts",
-                          F.explode(spread).alias("part"))
+    parts = F.ceil(F.col("n_events") / F.lit(part_rows)).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    by_hash = F.array(F.pmod(F.xxhash64("value"), F.col("parts")).cast("int"))
+    placed = (listed.withColumn("parts", parts)
+              .select(*WINDOW_KEY, "kind", "value", "n", "parts",
+                      F.explode(F.when(F.col("kind") == "event", every).otherwise(by_hash))
+                      .alias("part")))
     share = (F.floor(F.col("n") / F.col("parts"))
              + (F.col("part") < F.col("n") % F.col("parts")).cast("int")).cast("int")
 
@@ -141,7 +137,11 @@ def documents(listed: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
 
 def alert_documents(counted: DataFrame, alerts: DataFrame,
                     part_rows: int = PART_ROWS) -> DataFrame:
-    """Documents of the given alerting windows, one document id per minute."""
+    """Documents of the given alerting windows, one document id per minute.
+
+    ``alerts`` is best a written table: it is small as a rule, and Spark can
+    then see that and spare the events a shuffle.
+    """
     return documents(members(counted, last_of_minute(alerts)), part_rows)
 
 

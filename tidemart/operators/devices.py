@@ -22,13 +22,20 @@ def first_of_day(logs: DataFrame, *tie: str) -> DataFrame:
 def drop_seen(firsts: DataFrame, seen: DataFrame) -> DataFrame:
     """Rows of ``firsts`` whose device and day are not in ``seen`` yet.
 
-    ``seen`` grows with the day while ``firsts`` is one batch, so ``seen`` is
-    first cut down to the keys of the batch and only the hits are compared.
-    Spark broadcasts the batch keys if they are small enough and shuffles both
-    sides otherwise; no hint forces either.
+    Shuffled, both sides use the key ``firsts`` is already placed by.
     """
-    hits = seen.select(*DAY_KEY).join(firsts.select(*DAY_KEY), DAY_KEY, "left_semi")
-    return firsts.join(hits, DAY_KEY, "left_anti")
+    return firsts.join(seen.select(*DAY_KEY), DAY_KEY, "left_anti")
+
+
+def seen_of(firsts: DataFrame, seen: DataFrame) -> DataFrame:
+    """The keys of ``seen`` that occur in ``firsts``.
+
+    For a micro-batch against a whole day of devices: the batch keys are the
+    small side of this join, so the day is only scanned, and what remains is
+    no larger than the batch. Spark broadcasts the batch keys if they are
+    small enough and shuffles otherwise; no hint forces either.
+    """
+    return seen.select(*DAY_KEY).join(firsts.select(*DAY_KEY), DAY_KEY, "left_semi")
 
 
 def active_days(logs: DataFrame) -> DataFrame:
@@ -63,17 +70,18 @@ def with_first_hour(days: DataFrame) -> DataFrame:
     return days.withColumn("log_hour", hour_of(F.col("first_et")))
 
 
-def new_devices(days: DataFrame) -> DataFrame:
-    """(mid, log_date, log_hour) of the first day each device was ever seen.
+def new_devices(rows: DataFrame, time: str = "first_et") -> DataFrame:
+    """(mid, log_date, log_hour) of the first time each device was ever seen.
 
-    ``days`` has one row per device and day (``first_et``), so the input of
-    this second aggregation is the activity table, not the raw log.
+    ``rows`` are best the activity table (one row per device and day); on raw
+    logs ``time`` is ``et``. Either way one aggregation by device.
     """
-    return (days.groupBy("mid").agg(F.min("first_et").alias("first_et"))
+    return (rows.where(F.col("mid").isNotNull())
+            .groupBy("mid").agg(F.min(time).alias("first_et"))
             .select("mid", day_of(F.col("first_et")).alias("log_date"),
                     hour_of(F.col("first_et")).alias("log_hour")))
 
 
-def new_devices_by_day(days: DataFrame) -> DataFrame:
-    return (new_devices(days).groupBy("log_date")
+def new_devices_by_day(rows: DataFrame, time: str = "first_et") -> DataFrame:
+    return (new_devices(rows, time).groupBy("log_date")
             .agg(F.count("*").alias("new_devices")))

@@ -42,9 +42,11 @@ def full_outer_lines(orders: DataFrame, details: DataFrame) -> DataFrame:
     The second part sees each order id of the lines once per map task.
     """
     lines, heads = detail_side(details), order_side(orders)
-    matched = (lines.join(heads.withColumn("_order", F.lit(True)), "order_id", "left")
-               .withColumn("side", F.when(F.col("_order"), "both").otherwise("detail_only"))
-               .drop("_order"))
+    side = F.when(F.col("o.order_id").isNotNull(), "both").otherwise("detail_only")
+    matched = (lines.alias("d").join(heads.alias("o"),
+                                     F.col("d.order_id") == F.col("o.order_id"), "left")
+               .select("d.*", *[f"o.{c}" for c in _ORDER_SIDE if c != "order_id"],
+                       side.alias("side")))
     ids = lines.select("order_id").distinct()
     alone = heads.join(ids, "order_id", "left_anti").withColumn("side", F.lit("order_only"))
     columns = [*_ORDER_SIDE, *_DETAIL_SIDE, "side"]

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.functions.columns import event_time
-from tidemart.functions.parse import with_log_time
+from tidemart.functions.parse import with_log_days
 
 AS_OF = "2024-06-01"
 RECEIVED_FROM = 1_704_067_200  # 2024-01-01 00:00:00 UTC
@@ -18,14 +17,35 @@ EVENT_NAMES = {"view": "coupon", "click": "clickItem", "purchase": "addCart",
                "signup": "addFavor", "error": "addComment"}
 
 
+# Known layouts: no job has to open files only to learn their columns.
+LAYOUTS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(LAYOUTS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a file stream."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+    return spark.readStream.schema(LAYOUTS[name]).parquet(f"{sf_dir}/{name}*.parquet")
+
+
+def on_days(events: DataFrame, first: str, last: str) -> DataFrame:
+    """Events of the days ``first`` to ``last``: a range on ``ts`` the scan can use."""
+    start = F.lit(first).cast("timestamp_ntz")
+    end = F.lit(last).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    return events.where((F.col("ts") >= start) & (F.col("ts") < end))
 
 
 def _text(name: str) -> Column:
@@ -41,11 +61,12 @@ def start_logs(events: DataFrame) -> DataFrame:
     return events.select(
         F.get_json_object("props", "$.k").alias("mid"), _text("user_id").alias("uid"),
         F.when(F.col("event_type") == "signup", "startup").otherwise("event").alias("type"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), "event_id")
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), "event_id",
+        F.col("ts").cast("timestamp").alias("et"))
 
 
 def timed_start_logs(events: DataFrame) -> DataFrame:
-    return with_log_time(start_logs(events))
+    return with_log_days(start_logs(events))
 
 
 def event_logs(events: DataFrame) -> DataFrame:
@@ -56,11 +77,8 @@ def event_logs(events: DataFrame) -> DataFrame:
     return events.select(
         F.concat(F.lit("mid_"), (F.col("user_id") % 10).cast("string")).alias("mid"),
         _text("user_id").alias("uid"), name.alias("evid"), _text("event_id").alias("itemid"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
-
-
-def timed_event_logs(events: DataFrame) -> DataFrame:
-    return event_logs(events).withColumn("et", event_time(F.col("ts")))
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
+        F.col("ts").cast("timestamp").alias("et"))
 
 
 def order_feed(orders: DataFrame, *extra: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart.functions import columns as C
+from tidemart.functions.columns import event_time
 from tidemart.functions.parse import good, parse_feed, quarantined, with_log_time
 from tidemart.operators import alerts, devices, dimension, orders, routing, sales, search, serving
 from tidemart.plans import mapping as M
@@ -41,20 +42,25 @@ def _logs(spark, sf):
     return M.timed_start_logs(table(spark, sf, "events"))
 
 
-def _active(spark, sf):
-    return devices.with_first_hour(devices.active_days(_logs(spark, sf)))
+def _active(spark, sf, *days):
+    """Activity of all days, or of the days from the first to the last named."""
+    events = table(spark, sf, "events")
+    events = M.on_days(events, days[0], days[-1]) if days else events
+    return devices.with_first_hour(devices.active_days(M.timed_start_logs(events)))
 
 
 def _new(spark, sf):
-    return devices.new_devices(devices.active_days(_logs(spark, sf)))
+    return devices.new_devices(_logs(spark, sf), "et")
 
 
 def _orders(spark, sf):
     return orders.clean_orders(M.typed_orders(table(spark, sf, "orders")))
 
 
-def _purchases(spark, sf):
-    return orders.clean_orders(M.purchases(table(spark, sf, "events")))
+def _purchases(spark, sf, *days):
+    events = table(spark, sf, "events")
+    events = M.on_days(events, days[0], days[-1]) if days else events
+    return orders.clean_orders(M.purchases(events))
 
 
 def _details(spark, sf):
@@ -70,9 +76,10 @@ def _sales(spark, sf):
                                        _users(spark, sf), AS_OF)
 
 
-def _metric_tables(spark, sf):
-    return {"dau": _active(spark, sf), "new_mids": _new(spark, sf),
-            "orders": _purchases(spark, sf)}
+def _metric_tables(spark, sf, day):
+    days = C.previous_day(day), day
+    return {"dau": _active(spark, sf, *days), "new_mids": _new(spark, sf),
+            "orders": _purchases(spark, sf, *days)}
 
 
 # --- devices -------------------------------------------------------------------
@@ -94,7 +101,7 @@ def dau_anti_seen(spark, sf):
 
 @query
 def dau_total(spark, sf):
-    return devices.dau_total(_active(spark, sf), DAY)
+    return devices.dau_total(_active(spark, sf, DAY), DAY)
 
 
 @query
@@ -109,22 +116,23 @@ def dau_by_hour(spark, sf):
 
 @query
 def dau_hours_compare(spark, sf):
-    return serving.metric_hours(spark, "dau", DAY, **_metric_tables(spark, sf))
+    return serving.metric_hours(spark, "dau", DAY, **_metric_tables(spark, sf, DAY))
 
 
 @query
 def new_devices_by_day(spark, sf):
-    return devices.new_devices_by_day(devices.active_days(_logs(spark, sf)))
+    return devices.new_devices_by_day(_logs(spark, sf), "et")
 
 
 @query
 def new_mid_hours_compare(spark, sf):
-    return serving.metric_hours(spark, "new_mid", "2024-01-02", **_metric_tables(spark, sf))
+    day = "2024-01-02"
+    return serving.metric_hours(spark, "new_mid", day, **_metric_tables(spark, sf, day))
 
 
 @query
 def dau_hours_payload(spark, sf):
-    rows = serving.metric_rows("dau", DAY, **_metric_tables(spark, sf))
+    rows = serving.metric_rows("dau", DAY, **_metric_tables(spark, sf, DAY))
     return serving.hours_payload(rows)
 
 
@@ -158,12 +166,12 @@ def purchase_gmv_by_hour(spark, sf):
 
 @query
 def gmv_hours_compare(spark, sf):
-    return serving.metric_hours(spark, "order_amount", DAY, **_metric_tables(spark, sf))
+    return serving.metric_hours(spark, "order_amount", DAY, **_metric_tables(spark, sf, DAY))
 
 
 @query
 def totals_card(spark, sf):
-    return serving.totals_card(*_metric_tables(spark, sf).values(), day=DAY)
+    return serving.totals_card(*_metric_tables(spark, sf, DAY).values(), day=DAY)
 
 
 @query
@@ -278,7 +286,7 @@ def search_response_total(spark, sf):
 # --- alerts --------------------------------------------------------------------
 
 def _counted(spark, sf):
-    return alerts.windowed(M.timed_event_logs(table(spark, sf, "events")),
+    return alerts.windowed(M.event_logs(table(spark, sf, "events")),
                            ALERT_LENGTH, ALERT_SLIDE)
 
 
@@ -327,7 +335,7 @@ def _broken_some(rows: DataFrame, when) -> DataFrame:
 def _raw_start(spark, sf):
     logs = M.start_logs(table(spark, sf, "events"))
     rows = logs.select(F.to_json(F.struct("mid", "uid", "type", "ts")).alias("value"),
-                       C.event_time(F.col("ts")).alias("timestamp"), "mid")
+                       event_time(F.col("ts")).alias("timestamp"), "mid")
     return _broken_some(rows, F.col("mid") == "13")
 
 
@@ -356,7 +364,7 @@ def parse_orders(spark, sf):
 @query
 def log_routing_counts(spark, sf):
     logs = M.start_logs(table(spark, sf, "events"))
-    raw = M.raw(logs, "mid", "uid", "type", at=C.event_time(F.col("ts")))
+    raw = M.raw(logs, "mid", "uid", "type", at=event_time(F.col("ts")))
     return (routing.route_logs(raw).groupBy("topic")
             .agg(F.count("*").alias("n"),
                  F.sum(F.get_json_object("value", "$.ts").cast("bigint")).alias("ts_sum")))
@@ -377,7 +385,7 @@ def _finish(stream):
 
 def _stream_start(spark, sf):
     logs = M.start_logs(M.stream(spark, sf, "events"))
-    return M.raw(logs, "mid", "uid", "type", "ts", at=C.event_time(F.col("ts")))
+    return M.raw(logs, "mid", "uid", "type", "ts", at=event_time(F.col("ts")))
 
 
 @query
@@ -446,11 +454,12 @@ def stream_alerts(spark, sf):
     logs = M.event_logs(table(spark, sf, "events"))
     closing = logs.agg((F.max("ts") + 86_400_000).alias("ts")).select(
         F.lit("closing").alias("mid"), *[F.lit(None).cast("string").alias(c)
-                                         for c in ("uid", "evid", "itemid")], "ts")
+                                         for c in ("uid", "evid", "itemid")], "ts",
+        event_time(F.col("ts")).alias("et"))
     closing.write.parquet(f"{folder}/closing")
     both = M.event_logs(M.stream(spark, sf, "events")).unionByName(
         spark.readStream.schema(closing.schema).parquet(f"{folder}/closing"))
-    raw = M.raw(both, "mid", "uid", "evid", "itemid", "ts", at=C.event_time(F.col("ts")))
+    raw = M.raw(both, "mid", "uid", "evid", "itemid", "ts", at=event_time(F.col("ts")))
     _finish(jobs.start_alerts(raw, f"{folder}/table", f"{folder}/progress", ALERT_LENGTH,
                               ALERT_SLIDE, trigger=jobs.ONCE))
     return _flat(jobs.current_alerts(spark, f"{folder}/table"))
@@ -461,7 +470,7 @@ def stream_log_router(spark, sf):
     """Records per topic, with the archive next to them."""
     folder = new_folder(spark, "logs")
     logs = M.start_logs(M.stream(spark, sf, "events"))
-    raw = M.raw(logs, "mid", "uid", "type", at=C.event_time(F.col("ts")))
+    raw = M.raw(logs, "mid", "uid", "type", at=event_time(F.col("ts")))
     _finish(jobs.start_log_router(raw, f"{folder}/topics", f"{folder}/archive",
                                   f"{folder}/progress", trigger=jobs.ONCE))
     routed = spark.read.parquet(f"{folder}/topics").groupBy("topic").agg(F.count("*").alias("n"))

@@ -47,7 +47,9 @@ def build_session(app: str = "tidemart", master: str | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {**SQL_DEFAULTS, **STREAM_DEFAULTS}
+    settings = {**SQL_DEFAULTS, **STREAM_DEFAULTS,
+                # no Python call-site capture per column expression
+                "spark.python.sql.dataFrameDebugging.enabled": "false"}
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf)

@@ -97,7 +97,8 @@ def start_dau(raw: DataFrame, table: str, checkpoint: str, quarantine: str | Non
             days = tables.days_of(firsts, "log_date")
             seen = tables.read_days(spark, table, DAU_TABLE, "log_date", days).where(
                 (F.col("run") != run) | (F.col("batch") < batch_id))
-            fresh = devices.drop_seen(firsts, seen).select(*DAU_TABLE.fieldNames())
+            known = devices.seen_of(firsts, seen)
+            fresh = devices.drop_seen(firsts, known).select(*DAU_TABLE.fieldNames())
             tables.write_days(fresh, table, "log_date", run, batch_id)
             _set_aside(parsed, quarantine, run, batch_id)
         finally:
