@@ -13,6 +13,21 @@ from tidemart.schemas import FEEDS, Feed
 _BROKEN = "_broken"
 
 
+def parsed_once(value: Column, layout: T.StructType | str) -> Column:
+    """The JSON text as a struct column that is parsed a single time per row.
+
+    A plain ``from_json`` column would be copied into every filter on one of
+    its fields, so a record would be parsed again for each check. A generator
+    is a border no filter is moved across.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    return F.explode(F.array(F.from_json(value, layout, options)))
+
+
+def is_broken(doc: str) -> Column:
+    return F.col(doc).isNull() | F.col(f"{doc}.{_BROKEN}").isNotNull()
+
+
 def parse_feed(raw: DataFrame, feed: Feed | str) -> DataFrame:
     """One typed row per record of ``raw`` (a ``value`` text column).
 
@@ -22,12 +37,10 @@ def parse_feed(raw: DataFrame, feed: Feed | str) -> DataFrame:
     """
     feed = FEEDS[feed] if isinstance(feed, str) else feed
     layout = T.StructType([*feed.schema.fields, T.StructField(_BROKEN, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
     kept = [c for c in ("timestamp",) if c in raw.columns]
-    rows = raw.select(
-        "value", *kept, F.from_json("value", layout, options).alias("doc"))
+    rows = raw.select("value", *kept, parsed_once(F.col("value"), layout).alias("doc"))
 
-    checks = [(F.col("doc").isNull() | F.col(f"doc.{_BROKEN}").isNotNull(), "malformed")]
+    checks = [(is_broken("doc"), "malformed")]
     checks += [(F.coalesce(F.col(f"doc.{name}"), F.lit("")) == "", f"missing {name}")
                for name in feed.required]
     checks += [(F.col(f"doc.{name}").isNotNull() & number(F.col(f"doc.{name}"), kind).isNull(),
@@ -67,14 +80,16 @@ def with_log_days(timed: DataFrame) -> DataFrame:
     return timed.withColumns({"log_date": day_of(F.col("et")), "log_hour": hour_of(F.col("et"))})
 
 
-def stamp(value: Column, arrival: Column) -> Column:
+def stamp(value: Column, arrival: Column, known: Column | None = None) -> Column:
     """Add ``ts`` (arrival millis) to a JSON object text that has none.
 
-    A record that already carries ``ts`` is left alone, so a replay keeps the
-    time of the first arrival.
+    ``known`` is the ``ts`` of the record where it was parsed already. A record
+    that carries one is left alone, so a replay keeps the first arrival.
     """
+    known = F.get_json_object(value, "$.ts") if known is None else known
+    text = F.trim(value, F.lit(" \t\r\n"))
+    opened = F.substr(text, F.lit(1), F.length(text) - 1)
+    comma = F.when(F.trim(opened) == "{", F.lit("")).otherwise(F.lit(","))
     millis = F.unix_millis(arrival).cast("string")
-    body = F.regexp_extract(value, r"(?s)^\s*\{(.*)\}\s*$", 1)
-    separator = F.when(F.trim(body) == "", F.lit("")).otherwise(F.lit(","))
-    stamped = F.concat(F.lit("{"), body, separator, F.lit('"ts":'), millis, F.lit("}"))
-    return F.when(F.get_json_object(value, "$.ts").isNotNull(), value).otherwise(stamped)
+    return F.when(known.isNotNull(), value).otherwise(
+        F.concat(opened, comma, F.lit('"ts":'), millis, F.lit("}")))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.functions.parse import stamp
+from tidemart.functions.parse import is_broken, parsed_once, stamp
 from tidemart.schemas import (
     ROW_ENTRY, STARTUP_TYPE, TOPIC_EVENT, TOPIC_ORDER, TOPIC_ORDER_DETAIL, TOPIC_START,
     TOPIC_USER)
 
-_HEAD = "type STRING, _broken STRING"
+_HEAD = "type STRING, ts STRING, _broken STRING"
 
 
 def log_topic(log_type: Column) -> Column:
@@ -25,15 +25,12 @@ def route_logs(raw: DataFrame) -> DataFrame:
     ``raw`` has ``value`` and ``timestamp`` (arrival time of the source).
     Records that are no JSON object get an ``error`` and no topic.
     """
-    head = F.from_json(
-        "value", _HEAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    rows = raw.select("value", "timestamp", head.alias("head"))
-    broken = (F.col("head").isNull() | F.col("head._broken").isNotNull()
-              | ~F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$"))
+    rows = raw.select("value", "timestamp", parsed_once(F.col("value"), _HEAD).alias("head"))
+    broken = is_broken("head") | ~F.ltrim("value", F.lit(" \t\r\n")).startswith("{")
     return rows.select(
         F.when(~broken, log_topic(F.col("head.type"))).alias("topic"),
         F.when(broken, F.col("value"))
-        .otherwise(stamp(F.col("value"), F.col("timestamp"))).alias("value"),
+        .otherwise(stamp(F.col("value"), F.col("timestamp"), F.col("head.ts"))).alias("value"),
         "timestamp",
         F.when(broken, F.lit("malformed")).alias("error"))
 

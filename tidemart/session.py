@@ -20,6 +20,9 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key even where the next step relies on the placing of the
+    # join; Spark then shuffles partial results once more
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # a page far down a listing sorts by range instead of keeping
     # offset + limit rows in one task's heap
