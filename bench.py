@@ -20,7 +20,7 @@ HEADLINE = [
     "sale_detail_enriched", "sale_detail_interval", "user_latest", "search_page", "search_total",
     "facet_gender", "facet_age", "parse_start_log", "log_routing_counts", "cdc_routing",
 ]
-ROUNDS = 2
+ROUNDS = 3
 
 
 def main() -> None:

@@ -97,7 +97,8 @@ def order_feed(orders: DataFrame, *extra: str) -> DataFrame:
 
 
 def typed_orders(orders: DataFrame) -> DataFrame:
-    return order_feed(orders).withColumn("total_amount", F.col("total_amount").cast("double"))
+    return order_feed(orders, "o_totalprice").drop("total_amount").withColumnRenamed(
+        "o_totalprice", "total_amount")
 
 
 def purchases(events: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def purchases(events: DataFrame) -> DataFrame:
         F.date_format(happened, "yyyy-MM-dd HH:mm:ss").alias("create_time"))
 
 
-def detail_feed(lines: DataFrame, parts: DataFrame) -> DataFrame:
+def detail_feed(lines: DataFrame, parts: DataFrame, *extra: str) -> DataFrame:
     """Order lines; the receive time lies up to 200 s around that of the order."""
     gap = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 61) % 400 - 200
     names = parts.select(F.col("p_partkey").alias("l_partkey"), "p_name")
@@ -117,7 +118,12 @@ def detail_feed(lines: DataFrame, parts: DataFrame) -> DataFrame:
         _text("l_orderkey").alias("order_id"), F.col("p_name").alias("sku_name"),
         _text("l_partkey").alias("sku_id"), _amount_text("l_extendedprice").alias("order_price"),
         F.col("l_quantity").cast("int").cast("string").alias("sku_num"),
-        F.timestamp_seconds(F.lit(RECEIVED_FROM) + F.col("l_orderkey") % 86400 + gap).alias("rt"))
+        F.timestamp_seconds(F.lit(RECEIVED_FROM) + F.col("l_orderkey") % 86400 + gap).alias("rt"), *extra)
+
+
+def typed_details(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    return detail_feed(lines, parts, "l_extendedprice").drop("order_price").withColumnRenamed(
+        "l_extendedprice", "order_price")
 
 
 def user_feed(customers: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def _purchases(spark, sf, *days):
 
 
 def _details(spark, sf):
-    return M.detail_feed(table(spark, sf, "lineitem"), table(spark, sf, "part"))
+    return M.typed_details(table(spark, sf, "lineitem"), table(spark, sf, "part"))
 
 
 def _users(spark, sf):
