@@ -46,7 +46,8 @@ def test_parse_start_log_splits_good_and_bad(spark):
         '{"mid":"m1","uid":5,"type":"startup","ts":1704067199000,"extra":[1]}',
         '{"mid":"m1","ts":"1704067201000"}',
         '{"mid":null,"ts":1}', '{"mid":"m2","ts":"soon"}', '{"mid":"m2"}',
-        '{"mid":"m3","ts":17', '[]', '', '7'), "start").cache()
+        '{"mid":"m3","ts":17', '[]', '', '7', '{"mid":"m4","ts":99999999999999999}'),
+        "start").cache()
     timed = with_log_time(good(parsed))
     assert rows(timed.select("mid", "log_date", "log_hour")) == [
         ("m1", "2023-12-31", "23"), ("m1", "2024-01-01", "00")]
@@ -57,7 +58,8 @@ def test_parse_start_log_splits_good_and_bad(spark):
     assert reasons['{"mid":"m2"}'] == "missing ts"
     assert reasons['{"mid":"m3","ts":17'] == "malformed"
     assert set(reasons) >= {"[]", "", "7"}
-    assert parsed.count() == 9
+    assert reasons['{"mid":"m4","ts":99999999999999999}'] == "bad ts"
+    assert parsed.count() == 10
 
 
 def test_quoted_amounts_become_numbers_and_bad_ones_are_set_aside(spark):
@@ -67,12 +69,15 @@ def test_quoted_amounts_become_numbers_and_bad_ones_are_set_aside(spark):
         '"consignee_tel":"13812345678"}',
         '{"id":"2","total_amount":"many","create_time":"2020-08-18 04:24:04"}',
         '{"id":"3","total_amount":"1","create_time":"yesterday"}',
-        '{"id":"4","create_time":"2020-08-18 05:00:00"}'), "order")
+        '{"id":"4","create_time":"2020-08-18 05:00:00"}',
+        '{"id":"5","total_amount":"1e300","create_time":"2020-08-18 05:00:00"}',
+        '{"id":"6","total_amount":"NaN","create_time":"2020-08-18 05:00:00"}'), "order")
     fine = orders.clean_orders(good(parsed))
     assert rows(fine.select("id", "total_amount", "consignee_tel", "create_hour")) == [
         ("1", 120.5, "1381*******", "04"), ("4", None, None, "05")]
-    assert rows(quarantined(parsed).select("error")) == [("bad create_time",),
-                                                         ("bad total_amount",)]
+    assert rows(quarantined(parsed).select("error")) == [
+        ("bad create_time",), ("bad total_amount",), ("bad total_amount",),
+        ("bad total_amount",)]
 
 
 def test_numbers_in_text_fields_of_events(spark):
@@ -93,3 +98,9 @@ def test_document_and_index_name(spark):
         F.lit("a").alias("x"), F.lit(2).alias("y"), F.lit("2024-01-01").alias("d")).select(
         C.document("x", "y"), C.index_name("sales", F.col("d"), "-")).first()
     assert tuple(row) == ('{"x":"a","y":2}', "sales-2024-01-01")
+
+
+def test_scratch_folder_follows_the_session(spark):
+    from tidemart.session import new_folder, shared_folder
+    assert new_folder(spark, "a").startswith(shared_folder(spark) + "/a-")
+    assert new_folder(spark, "a") != new_folder(spark, "a")

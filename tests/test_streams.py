@@ -264,6 +264,16 @@ def test_changes_from_json_files(spark, drop_file, tmp_path):
     assert feeds.read_changes(spark, folder).count() == 4
 
 
+def test_unreadable_records_of_any_feed_are_kept(spark, drop_file, tmp_path):
+    folder = drop_file("in", [detail("a", "1", 0), '{"id":"b","rt":1704067200}'])
+    drop_file("in", ['{"id":"c","order_id":"1","order_price":"x","rt":1704153600}'])
+    out = str(tmp_path / "out")
+    jobs.start_quarantine(timed(folder, spark), "order_detail", str(tmp_path / "p"), out,
+                          trigger=jobs.ONCE).awaitTermination()
+    assert rows(spark.read.parquet(out).select("day", "error")) == [
+        ("2024-01-01", "missing order_id"), ("2024-01-02", "bad order_price")]
+
+
 def test_feeds_read_as_stream_and_as_batch(spark, drop_file, tmp_path):
     folder = drop_file("in", [user("1", "a", 0)])
     batch = feeds.read_feed(spark, "user", "text", folder)

@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemart.functions.columns import (
-    day_of, event_time, hour_of, number)
+    MONEY, day_of, event_time, hour_of, number)
 from tidemart.schemas import FEEDS, Feed
 
 _BROKEN = "_broken"
+_DATED = r"^\d{4}-\d{2}-\d{2} \S"
+_LAST_MILLI = 253_402_300_799_999  # end of the year 9999
+
+
+def _usable(text: Column, kind: str) -> Column:
+    """A number that later steps can take: a time of a four-digit year, or an
+    amount that fits the decimal it is summed as."""
+    if kind == "bigint":
+        fits = number(text, kind).between(0, _LAST_MILLI)
+    else:
+        fits = number(text, kind).isNotNull() & number(text, MONEY).isNotNull()
+    return F.coalesce(fits, F.lit(False))
 
 
 def parsed_once(value: Column, layout: T.StructType | str) -> Column:
@@ -41,13 +53,11 @@ def parse_feed(raw: DataFrame, feed: Feed | str) -> DataFrame:
     rows = raw.select("value", *kept, parsed_once(F.col("value"), layout).alias("doc"))
 
     checks = [(is_broken("doc"), "malformed")]
-    checks += [(F.coalesce(F.col(f"doc.{name}"), F.lit("")) == "", f"missing {name}")
-               for name in feed.required]
-    checks += [(F.col(f"doc.{name}").isNotNull() & number(F.col(f"doc.{name}"), kind).isNull(),
+    checks += [(F.col(f"doc.{name}").isNull(), f"missing {name}") for name in feed.required]
+    checks += [(F.col(f"doc.{name}").isNotNull() & ~_usable(F.col(f"doc.{name}"), kind),
                 f"bad {name}") for name, kind in feed.numbers.items()]
     if feed.name == "order":
-        checks.append((F.split_part(F.col("doc.create_time"), F.lit(" "), F.lit(2)) == "",
-                       "bad create_time"))
+        checks.append((~F.col("doc.create_time").rlike(_DATED), "bad create_time"))
 
     error = F.lit(None).cast("string")
     for test, reason in reversed(checks):

@@ -57,9 +57,13 @@ def _amount_text(name: str) -> Column:
 
 
 def start_logs(events: DataFrame) -> DataFrame:
-    """Start log: one record per event of the device in ``props``."""
+    """Start log: one record per event of the device in ``props``.
+
+    The generator keeps the device from being read out of the JSON a second
+    time for the filter on it.
+    """
     return events.select(
-        F.get_json_object("props", "$.k").alias("mid"), _text("user_id").alias("uid"),
+        F.explode(F.array(F.get_json_object("props", "$.k"))).alias("mid"), _text("user_id").alias("uid"),
         F.when(F.col("event_type") == "signup", "startup").otherwise("event").alias("type"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), "event_id",
         F.col("ts").cast("timestamp").alias("et"))

@@ -89,7 +89,13 @@ def read_days(spark: SparkSession, path: str, schema: T.StructType, day: str,
     return rows.where(F.col(day).isin(list(days))).drop("period")
 
 
-def _read(spark: SparkSession, base: str, where: str, layout: T.StructType) -> DataFrame:
+def read_table(spark: SparkSession, path: str, layout: T.StructType | str) -> DataFrame:
+    """A plain table; no rows while it does not exist."""
+    return _read(spark, path, path, layout)
+
+
+def _read(spark: SparkSession, base: str, where: str,
+          layout: T.StructType | str) -> DataFrame:
     try:
         return spark.read.schema(layout).option("basePath", base).parquet(where)
     except AnalysisException as error:

@@ -9,7 +9,8 @@ nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,25 +50,45 @@ def _start(stream: DataFrame, name: str, checkpoint: str, trigger: dict | None,
             .trigger(**(trigger or {"processingTime": cadence})).start())
 
 
+@contextmanager
+def _kept(rows: DataFrame, wanted: bool = True) -> Iterator[DataFrame]:
+    """Hold rows that are used several times within a micro-batch."""
+    if wanted:
+        rows = rows.persist()
+    try:
+        yield rows
+    finally:
+        if wanted:
+            rows.unpersist()
+
+
 def _set_aside(parsed: DataFrame, path: str | None, run: str, batch_id: int) -> None:
     if path:
         tables.write_days(quarantined(parsed).withColumn("day", day_of(F.col("timestamp"))),
                           path, "day", run, batch_id)
 
 
+def start_quarantine(raw: DataFrame, feed: str, checkpoint: str, quarantine: str,
+                     trigger: dict | None = None) -> StreamingQuery:
+    """The unreadable records of one feed, for jobs whose state cannot keep them."""
+    bad = quarantined(parse_feed(raw, feed)).withColumn("day", day_of(F.col("timestamp")))
+
+    def write(batch: DataFrame, run: str, batch_id: int) -> None:
+        tables.write_days(batch, quarantine, "day", run, batch_id)
+
+    return _start(bad, f"quarantine_{feed}", checkpoint, trigger, CADENCE, write)
+
+
 def start_log_router(raw: DataFrame, topics: str, archive: str, checkpoint: str,
                      quarantine: str | None = None, fmt: str = "parquet",
                      trigger: dict | None = None, **options: str) -> StreamingQuery:
     """Stamp raw device logs, archive them by day and send them to their feed."""
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        routed = routing.route_logs(batch).persist()
-        try:
+        with _kept(routing.route_logs(batch)) as routed:
             tables.archive(routed, archive, run, batch_id)
             fine = routed.where(F.col("error").isNull())
             tables.write_topics(fine, fmt, topics, run, batch_id, **options)
             _set_aside(routed, quarantine, run, batch_id)
-        finally:
-            routed.unpersist()
 
     return _start(raw, "log_router", checkpoint, trigger, CADENCE, write)
 
@@ -90,19 +111,16 @@ def start_dau(raw: DataFrame, table: str, checkpoint: str, quarantine: str | Non
     own former rows and those of later batches do not count as seen.
     """
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parsed = parse_feed(batch, "start")
-        firsts = devices.first_of_day(with_log_time(good(parsed))).persist()
-        try:
-            days = tables.days_of(firsts, "log_date")
-            seen = tables.read_days(spark, table, DAU_TABLE, "log_date", days).where(
-                (F.col("run") != run) | (F.col("batch") < batch_id))
-            known = devices.seen_of(firsts, seen)
-            fresh = devices.drop_seen(firsts, known).select(*DAU_TABLE.fieldNames())
-            tables.write_days(fresh, table, "log_date", run, batch_id)
+        with _kept(parse_feed(batch, "start"), bool(quarantine)) as parsed:
+            with _kept(devices.first_of_day(with_log_time(good(parsed)))) as firsts:
+                days = tables.days_of(firsts, "log_date")
+                seen = tables.read_days(
+                    batch.sparkSession, table, DAU_TABLE, "log_date", days).where(
+                    (F.col("run") != run) | (F.col("batch") < batch_id))
+                known = devices.seen_of(firsts, seen)
+                fresh = devices.drop_seen(firsts, known).select(*DAU_TABLE.fieldNames())
+                tables.write_days(fresh, table, "log_date", run, batch_id)
             _set_aside(parsed, quarantine, run, batch_id)
-        finally:
-            firsts.unpersist()
 
     return _start(raw, "dau", checkpoint, trigger, CADENCE, write)
 
@@ -139,11 +157,11 @@ def start_gmv(raw: DataFrame, table: str, checkpoint: str, quarantine: str | Non
               period: str = "day", trigger: dict | None = None) -> StreamingQuery:
     """Cleaned order rows by create date; :func:`current_orders` reads them."""
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        parsed = parse_feed(batch, "order")
-        rows = orders.clean_orders(good(parsed)).withColumnRenamed("timestamp", "change_ts")
-        tables.write_days(rows.select(*ORDER_VERSIONS.fieldNames()), table, "create_date",
-                          run, batch_id, period)
-        _set_aside(parsed, quarantine, run, batch_id)
+        with _kept(parse_feed(batch, "order"), bool(quarantine)) as parsed:
+            rows = orders.clean_orders(good(parsed)).withColumnRenamed("timestamp", "change_ts")
+            tables.write_days(rows.select(*ORDER_VERSIONS.fieldNames()), table, "create_date",
+                              run, batch_id, period)
+            _set_aside(parsed, quarantine, run, batch_id)
 
     return _start(raw, "gmv", checkpoint, trigger, CADENCE, write)
 
@@ -159,10 +177,11 @@ def start_users(raw: DataFrame, table: str, checkpoint: str, quarantine: str | N
                 trigger: dict | None = None) -> StreamingQuery:
     """Versions of user rows; :func:`current_users` reads the latest of each."""
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        parsed = parse_feed(batch, "user")
-        rows = good(parsed).withColumnRenamed("timestamp", "change_ts")
-        tables.write_batch(rows.select(*USER_VERSIONS.fieldNames()), table, None, run, batch_id)
-        _set_aside(parsed, quarantine, run, batch_id)
+        with _kept(parse_feed(batch, "user"), bool(quarantine)) as parsed:
+            rows = good(parsed).withColumnRenamed("timestamp", "change_ts")
+            tables.write_batch(rows.select(*USER_VERSIONS.fieldNames()), table, None,
+                               run, batch_id)
+            _set_aside(parsed, quarantine, run, batch_id)
 
     return _start(raw, "users", checkpoint, trigger, USER_CADENCE, write)
 
@@ -187,13 +206,10 @@ def start_alerts(raw: DataFrame, table: str, checkpoint: str, length: str = ALER
     counted = alerts.windowed_stream(events, length, slide, delay)
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        closed = batch.persist()
-        try:
+        with _kept(batch) as closed:
             found = alerts.detect(closed, min_users)
             tables.write_days(alerts.alert_documents(closed, found), table, "index_day",
                               run, batch_id)
-        finally:
-            closed.unpersist()
 
     return _start(counted, "alerts", checkpoint, trigger, CADENCE, write)
 
@@ -223,16 +239,13 @@ def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str,
     pairs = sales.interval_join(heads, received(detail_raw, "order_detail"), seconds, salts)
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        spark = batch.sparkSession
-        found = batch.persist()
-        try:
-            known = latest_versions(sales.users_of(found, user_versions(spark, users)))
+        with _kept(batch) as found:
+            versions = user_versions(batch.sparkSession, users)
+            known = latest_versions(sales.users_of(found, versions))
             rows = sales.enrich(found, known, F.col("joined_rt") if as_of is None else as_of)
             rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
             tables.write_days(rows.select(*SALE_VERSIONS.fieldNames()), table, "dt",
                               run, batch_id, period)
-        finally:
-            found.unpersist()
 
     return _start(pairs, "sale_details", checkpoint, trigger, CADENCE, write)
 
