@@ -194,6 +194,36 @@ def test_sale_details_in_any_order_equal_the_batch_join(spark, drop_file, tmp_pa
         assert sorted(map(str, got.select(shown).collect())) == want
 
 
+def test_sale_details_survive_a_restart_between_order_and_line(spark, drop_file, tmp_path):
+    users = str(tmp_path / "users")
+    order_folder = drop_file("orders", [order("1", 0), order("2", 0)])
+    detail_folder = drop_file("details", [detail("a", "1", 1), detail("w", "3", 20)])
+    run_sales(spark, tmp_path, "s", order_folder, detail_folder, users)
+    drop_file("orders", [order("3", 50)])
+    drop_file("details", [detail("b", "1", 60), detail("c", "2", 99)])
+    run_sales(spark, tmp_path, "s", order_folder, detail_folder, users)
+    got = run_sales(spark, tmp_path, "s", order_folder, detail_folder, users)
+    assert rows(got.select("order_detail_id", "order_id", "user_age", "age_known")) == [
+        ("a", "1", 0, False), ("b", "1", 0, False), ("c", "2", 0, False), ("w", "3", 0, False)]
+
+
+def test_alerts_survive_a_restart_inside_a_window(spark, drop_file, tmp_path):
+    table = str(tmp_path / "alerts")
+
+    def run(folder):
+        jobs.start_alerts(timed(folder, spark), table, table + "-p", slide="5 minutes",
+                          trigger=jobs.ONCE).awaitTermination()
+        return rows(jobs.current_alerts(spark, table).select("mid", F.size("uids")))
+
+    folder = drop_file("in", [event("m", "a", "coupon", 1, 10), event("m", "b", "coupon", 1, 20)])
+    assert run(folder) == []
+    drop_file("in", [event("m", "c", "coupon", 1, 30)])
+    assert run(folder) == []
+    drop_file("in", [event("closing", None, None, None, 90_000)])
+    assert run(folder) == [("m", 3)]
+    assert run(folder) == [("m", 3)]
+
+
 def event(mid, uid, evid, item, s):
     return json.dumps({"mid": mid, "uid": uid, "evid": evid, "itemid": item,
                        "ts": BASE + s * 1000, "rt": 1704067200 + s})

@@ -117,11 +117,13 @@ def detail_feed(lines: DataFrame, parts: DataFrame, *extra: str) -> DataFrame:
     """Order lines; the receive time lies up to 200 s around that of the order."""
     gap = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 61) % 400 - 200
     names = parts.select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    count = F.col("l_quantity").cast("int").cast("string")
     return lines.join(names, "l_partkey", "left").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", count)
+        .alias("id"),
         _text("l_orderkey").alias("order_id"), F.col("p_name").alias("sku_name"),
         _text("l_partkey").alias("sku_id"), _amount_text("l_extendedprice").alias("order_price"),
-        F.col("l_quantity").cast("int").cast("string").alias("sku_num"),
+        count.alias("sku_num"),
         F.timestamp_seconds(F.lit(RECEIVED_FROM) + F.col("l_orderkey") % 86400 + gap).alias("rt"), *extra)
 
 

@@ -43,7 +43,8 @@ _ORDERS = f"""order_base AS (
   FROM order_base)"""
 
 _DETAILS = f"""det AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                   CAST(l_quantity AS INTEGER)) AS id,
          CAST(l_orderkey AS VARCHAR) AS order_id, p_name AS sku_name,
          CAST(l_partkey AS VARCHAR) AS sku_id, l_extendedprice AS sku_price,
          ({RECEIVED_FROM} + l_orderkey % 86400

@@ -14,7 +14,7 @@ from tidemart.operators import alerts, devices, dimension, orders, routing, sale
 from tidemart.plans import mapping as M
 from tidemart.plans.mapping import AS_OF, table
 from tidemart.schemas import FEEDS, SALE_DETAIL
-from tidemart.session import new_folder, prepare
+from tidemart.session import new_folder, prepare, shuffle_partitions
 from tidemart.sinks import tables
 from tidemart.sources import feeds
 from tidemart.streaming import jobs
@@ -379,8 +379,10 @@ def cdc_routing(spark, sf):
 
 # --- streams: run once over the tables, then read the sink ----------------------
 
-def _finish(stream):
-    stream.awaitTermination()
+def _finish(spark, start, *args, **options):
+    """Run a job until it has read all there is; one state partition per core."""
+    with shuffle_partitions(spark, spark.sparkContext.defaultParallelism):
+        start(*args, **options, trigger=jobs.ONCE).awaitTermination()
 
 
 def _stream_start(spark, sf):
@@ -391,8 +393,8 @@ def _stream_start(spark, sf):
 @query
 def stream_dau(spark, sf):
     folder = new_folder(spark, "dau")
-    _finish(jobs.start_dau(_stream_start(spark, sf), f"{folder}/table", f"{folder}/progress",
-                           trigger=jobs.ONCE))
+    _finish(spark, jobs.start_dau, _stream_start(spark, sf), f"{folder}/table",
+            f"{folder}/progress")
     rows = tables.read_days(spark, f"{folder}/table", jobs.DAU_TABLE, "log_date")
     return rows.select("mid", "log_date", "log_hour", "ts")
 
@@ -400,8 +402,8 @@ def stream_dau(spark, sf):
 @query
 def stream_dau_state(spark, sf):
     folder = new_folder(spark, "dau-state")
-    _finish(jobs.start_dau_state(_stream_start(spark, sf), f"{folder}/table",
-                                 f"{folder}/progress", trigger=jobs.ONCE))
+    _finish(spark, jobs.start_dau_state, _stream_start(spark, sf), f"{folder}/table",
+            f"{folder}/progress")
     days = devices.with_first_hour(jobs.active_devices(spark, f"{folder}/table"))
     return days.select("mid", "log_date", "log_hour", F.unix_millis("first_et").alias("ts"))
 
@@ -414,8 +416,8 @@ def _stream_orders(spark, sf):
 @query
 def stream_gmv(spark, sf):
     folder = new_folder(spark, "gmv")
-    _finish(jobs.start_gmv(_stream_orders(spark, sf), f"{folder}/table", f"{folder}/progress",
-                           period="month", trigger=jobs.ONCE))
+    _finish(spark, jobs.start_gmv, _stream_orders(spark, sf), f"{folder}/table",
+            f"{folder}/progress", period="month")
     return orders.gmv_by_hour(jobs.current_orders(spark, f"{folder}/table"))
 
 
@@ -423,8 +425,7 @@ def _run_users(spark, sf, folder):
     changes = M.user_changes(M.stream(spark, sf, "customer"))
     raw = M.raw(changes, *[c for c in changes.columns if c != "change_ts"],
                 at=F.col("change_ts"))
-    _finish(jobs.start_users(raw, f"{folder}/users", f"{folder}/users-progress",
-                             trigger=jobs.ONCE))
+    _finish(spark, jobs.start_users, raw, f"{folder}/users", f"{folder}/users-progress")
 
 
 @query
@@ -440,9 +441,9 @@ def stream_sale_details(spark, sf):
     _run_users(spark, sf, folder)
     details = M.detail_feed(M.stream(spark, sf, "lineitem"), table(spark, sf, "part"))
     detail_raw = M.raw(details, *[c for c in details.columns if c != "rt"], at=F.col("rt"))
-    _finish(jobs.start_sale_details(
-        _stream_orders(spark, sf), detail_raw, f"{folder}/users", f"{folder}/table",
-        f"{folder}/progress", as_of=AS_OF, period="month", trigger=jobs.ONCE))
+    _finish(spark, jobs.start_sale_details, _stream_orders(spark, sf), detail_raw,
+            f"{folder}/users", f"{folder}/table", f"{folder}/progress", as_of=AS_OF,
+            period="month")
     return (jobs.current_sales(spark, f"{folder}/table")
             .select(*SALE_DETAIL.fieldNames(), "index_day"))
 
@@ -460,8 +461,8 @@ def stream_alerts(spark, sf):
     both = M.event_logs(M.stream(spark, sf, "events")).unionByName(
         spark.readStream.schema(closing.schema).parquet(f"{folder}/closing"))
     raw = M.raw(both, "mid", "uid", "evid", "itemid", "ts", at=event_time(F.col("ts")))
-    _finish(jobs.start_alerts(raw, f"{folder}/table", f"{folder}/progress", ALERT_LENGTH,
-                              ALERT_SLIDE, trigger=jobs.ONCE))
+    _finish(spark, jobs.start_alerts, raw, f"{folder}/table", f"{folder}/progress",
+            ALERT_LENGTH, ALERT_SLIDE)
     return _flat(jobs.current_alerts(spark, f"{folder}/table"))
 
 
@@ -471,8 +472,8 @@ def stream_log_router(spark, sf):
     folder = new_folder(spark, "logs")
     logs = M.start_logs(M.stream(spark, sf, "events"))
     raw = M.raw(logs, "mid", "uid", "type", at=event_time(F.col("ts")))
-    _finish(jobs.start_log_router(raw, f"{folder}/topics", f"{folder}/archive",
-                                  f"{folder}/progress", trigger=jobs.ONCE))
+    _finish(spark, jobs.start_log_router, raw, f"{folder}/topics", f"{folder}/archive",
+            f"{folder}/progress")
     routed = spark.read.parquet(f"{folder}/topics").groupBy("topic").agg(F.count("*").alias("n"))
     kept = (spark.read.parquet(f"{folder}/archive")
             .groupBy(F.concat(F.lit("archive "), F.col("day").cast("string")).alias("topic"))
@@ -487,8 +488,8 @@ def stream_change_router(spark, sf):
     changes = M.change_feed(*[M.stream(spark, sf, n)
                               for n in ("orders", "lineitem", "part", "customer")],
                             names=table(spark, sf, "part"))
-    _finish(jobs.start_change_router(changes, f"{folder}/topics", f"{folder}/progress",
-                                     trigger=jobs.ONCE))
+    _finish(spark, jobs.start_change_router, changes, f"{folder}/topics",
+            f"{folder}/progress")
     routed = []
     for name in ("order", "order_detail"):
         rows = good(parse_feed(feeds.read_topic(spark, f"{folder}/topics", FEEDS[name].topic),

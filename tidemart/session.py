@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +26,8 @@ SQL_DEFAULTS = {
     # join; Spark then shuffles partial results once more
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # fewer, larger scan tasks than the default of 128 MB
+    "spark.sql.files.maxPartitionBytes": "256m",
     # a page far down a listing sorts by range instead of keeping
     # offset + limit rows in one task's heap
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
@@ -68,6 +72,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def shuffle_partitions(spark: SparkSession, number: int) -> Iterator[None]:
+    """Start a stream with its own number of partitions.
+
+    A stateful stream keeps the number it was first started with as long as
+    its checkpoint lives, and AQE does not merge its partitions: size it for
+    the cluster, not for the largest batch job.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(number))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, from ``spark.checkpoint.dir``."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
