@@ -4,7 +4,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemart.functions import columns as C
-from tidemart.functions.parse import good, parse_feed, quarantined, stamp, with_log_time
+from tidemart.functions.parse import (
+    good, parse_changes, parse_feed, quarantined, stamp, with_log_time)
 from tidemart.operators import orders
 
 
@@ -80,6 +81,21 @@ def test_quoted_amounts_become_numbers_and_bad_ones_are_set_aside(spark):
         ("bad total_amount",)]
 
 
+def test_changes_from_raw_text(spark):
+    from tidemart.operators.routing import route_changes
+    parsed = parse_changes(raw(
+        spark, '{"entry_type":"ROWDATA","table":"user_info","op":"UPDATE",'
+        '"ts":"2024-05-05T01:02:03Z","after":{"id":"1","level":2,"x":null}}',
+        '{"entry_type":"ROWDATA","table":"order_info","op":"INSERT","after":{"id":"5"}}',
+        '{"entry_type":"HEARTBEAT"}', "oops"))
+    routed = route_changes(good(parsed))
+    got = routed.select("topic", "value", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    assert rows(got) == [
+        ("TOPIC_ORDER_INFO", '{"id":"5"}', "2024-01-01 10:00:00"),
+        ("TOPIC_USER_INFO", '{"id":"1","level":"2","x":null}', "2024-05-05 01:02:03")]
+    assert rows(quarantined(parsed).select("value", "error")) == [("oops", "malformed")]
+
+
 def test_numbers_in_text_fields_of_events(spark):
     parsed = parse_feed(raw(
         spark, '{"mid":"m","evid":"coupon","pgid":12,"itemid":7,"ts":1}'), "event")

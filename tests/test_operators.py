@@ -136,6 +136,32 @@ def test_interval_bound_is_inclusive_on_both_sides(spark):
         assert got.count() == 5
 
 
+def test_interval_join_equals_brute_force(spark):
+    import random
+    rng = random.Random(3)
+    order_data = [(str(rng.randrange(40)), "u", rng.randrange(600)) for _ in range(60)]
+    detail_data = [(f"d{i}", str(rng.randrange(45)), rng.randrange(600)) for i in range(300)]
+    want = sorted((d, o, max(a, b)) for o, _, a in order_data for d, oid, b in detail_data
+                  if o == oid and abs(a - b) <= 100)
+    got = sales.interval_join(heads(spark, *order_data), lines(spark, *detail_data), salts=2)
+    assert len(want) > 50
+    assert rows(got.select("order_detail_id", "order_id",
+                           F.unix_seconds("joined_rt").alias("at"))) == want
+
+
+def test_first_and_last_rows_equal_brute_force(spark):
+    import random
+    from tidemart.operators.keyed import first_per_key, last_per_key
+    rng = random.Random(4)
+    data = [(rng.choice("abc") if i % 3 else "hot", rng.randrange(50), i) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, t int, n int").repartition(7)
+    for pick, best in ((first_per_key, min), (last_per_key, max)):
+        got = pick(df, ["k"], "t", "n")
+        want = sorted(best((d for d in data if d[0] == k), key=lambda d: d[1:])
+                      for k in {d[0] for d in data})
+        assert rows(got) == want
+
+
 def test_full_outer_matches_the_engine_and_a_hot_order(spark):
     order_df = heads(spark, *[(str(i), "u", 0) for i in range(20)], (None, "u", 0))
     detail_df = lines(spark, *[(f"h{i}", "3", 0) for i in range(3000)],

@@ -117,6 +117,9 @@ def test_gmv_last_version_and_one_day(spark, drop_file, tmp_path):
         assert rows(one.select("id")) == [("3",)]
         assert jobs.current_orders(spark, table, ["2023-05-05"], period).count() == 0
         assert rows(orders.gmv_total(got, "2024-01-01")) == [(8.75,)]
+        read = orders.gmv_total(one, "2024-01-02")._jdf.queryExecution().executedPlan().toString()
+        assert ("ReadSchema: struct<id:string,total_amount:double,create_date:string,"
+                "change_ts:timestamp,row_hash") in read
 
 
 def test_publish_rebuilds_named_days_only(spark, drop_file, tmp_path):

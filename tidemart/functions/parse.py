@@ -80,6 +80,22 @@ def quarantined(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("error").isNotNull()).select("value", *kept, "error")
 
 
+def parse_changes(raw: DataFrame) -> DataFrame:
+    """Row changes (:data:`tidemart.schemas.CHANGE`) from change events as JSON text.
+
+    The time of the change is its ``ts`` or, without one, the time of arrival.
+    Events that are no JSON object carry an ``error``; :func:`good` and
+    :func:`quarantined` split them off.
+    """
+    layout = ("entry_type STRING, `table` STRING, op STRING, ts STRING, "
+              f"after MAP<STRING, STRING>, {_BROKEN} STRING")
+    rows = raw.select("value", "timestamp", parsed_once(F.col("value"), layout).alias("doc"))
+    return rows.select(
+        "doc.entry_type", "doc.table", "doc.op",
+        F.coalesce(F.try_to_timestamp("doc.ts"), F.col("timestamp")).alias("ts"), "doc.after",
+        "value", "timestamp", F.when(is_broken("doc"), F.lit("malformed")).alias("error"))
+
+
 def with_log_time(logs: DataFrame) -> DataFrame:
     """Add ``et`` (event time), ``log_date`` and ``log_hour`` from ``ts`` millis."""
     return with_log_days(logs.withColumn("et", event_time(F.col("ts"))))

@@ -14,9 +14,10 @@ DAY_KEY = ["mid", "log_date"]
 def first_of_day(logs: DataFrame, *tie: str) -> DataFrame:
     """The earliest record of each device on each day.
 
-    ``tie`` names columns that order records of the same millisecond.
+    ``tie`` names columns that tell records of the same millisecond apart.
     """
-    return first_per_key(logs.where(F.col("mid").isNotNull()), DAY_KEY, "ts", *tie)
+    return first_per_key(logs.where(F.col("mid").isNotNull()), DAY_KEY, "ts", *tie,
+                         total=bool(tie))
 
 
 def drop_seen(firsts: DataFrame, seen: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def page_after(sales: DataFrame, last: tuple[str, str, str], size: int) -> DataF
     """
     here = F.struct(*PAGE_ORDER)
     there = F.struct(*[F.lit(v).alias(n) for n, v in zip(PAGE_ORDER, last, strict=True)])
-    return sales.where(here > there).orderBy(*PAGE_ORDER).limit(size)
+    return sales.where((F.col("dt") >= last[0]) & (here > there)).orderBy(*PAGE_ORDER).limit(size)
 
 
 def hit_total(sales: DataFrame) -> DataFrame:

@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemart.operators.keyed import last_per_key
+from tidemart.operators.keyed import last_per_key, row_hash
 
 BATCH_COLUMNS = ["run", "batch"]
+ROW_HASH = "row_hash"
 PERIODS = {"day": 10, "month": 7}  # leading characters of yyyy-MM-dd
 _BATCH_FIELDS = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
 _LISTED_DAYS = 400
@@ -116,9 +117,20 @@ def days_of(rows: DataFrame, day: str) -> list[str] | None:
 
 
 def latest(table: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
-    """The last version per key; later batches win among equals."""
-    return (last_per_key(table, keys, *order, "batch")
-            .drop(*[c for c in BATCH_COLUMNS if c not in keys]))
+    """The last version per key of rows written by :func:`versioned`.
+
+    Later batches win among equals, then the stored hash decides; only the
+    columns asked for and these are read.
+    """
+    return (last_per_key(table, keys, *order, "batch", ROW_HASH, total=True)
+            .drop(*BATCH_COLUMNS, ROW_HASH))
+
+
+def versioned(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` in order, with the hash of the row at its end."""
+    names = [n for n in schema.fieldNames() if n != ROW_HASH]
+    picked = rows.select(*names)
+    return picked.withColumn(ROW_HASH, row_hash(picked))
 
 
 def publish(spark: SparkSession, source: str, target: str, schema: T.StructType, day: str,

@@ -28,11 +28,12 @@ from tidemart.sinks import tables
 ONCE = {"availableNow": True}
 
 _CHANGE_TIME = T.StructField("change_ts", T.TimestampType())
-ORDER_VERSIONS = T.StructType([*ORDER_TABLE.fields, _CHANGE_TIME])
-USER_VERSIONS = T.StructType([*USER.fields, _CHANGE_TIME])
+_HASH = T.StructField(tables.ROW_HASH, T.LongType())
+ORDER_VERSIONS = T.StructType([*ORDER_TABLE.fields, _CHANGE_TIME, _HASH])
+USER_VERSIONS = T.StructType([*USER.fields, _CHANGE_TIME, _HASH])
 SALE_VERSIONS = T.StructType([
     *SALE_DETAIL.fields, T.StructField("index_day", T.StringType()),
-    T.StructField("joined_rt", T.TimestampType())])
+    T.StructField("joined_rt", T.TimestampType()), _HASH])
 
 
 def _start(stream: DataFrame, name: str, checkpoint: str, trigger: dict | None, cadence: str,
@@ -159,7 +160,7 @@ def start_gmv(raw: DataFrame, table: str, checkpoint: str, quarantine: str | Non
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
         with _kept(parse_feed(batch, "order"), bool(quarantine)) as parsed:
             rows = orders.clean_orders(good(parsed)).withColumnRenamed("timestamp", "change_ts")
-            tables.write_days(rows.select(*ORDER_VERSIONS.fieldNames()), table, "create_date",
+            tables.write_days(tables.versioned(rows, ORDER_VERSIONS), table, "create_date",
                               run, batch_id, period)
             _set_aside(parsed, quarantine, run, batch_id)
 
@@ -179,8 +180,7 @@ def start_users(raw: DataFrame, table: str, checkpoint: str, quarantine: str | N
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
         with _kept(parse_feed(batch, "user"), bool(quarantine)) as parsed:
             rows = good(parsed).withColumnRenamed("timestamp", "change_ts")
-            tables.write_batch(rows.select(*USER_VERSIONS.fieldNames()), table, None,
-                               run, batch_id)
+            tables.write_batch(tables.versioned(rows, USER_VERSIONS), table, None, run, batch_id)
             _set_aside(parsed, quarantine, run, batch_id)
 
     return _start(raw, "users", checkpoint, trigger, USER_CADENCE, write)
@@ -206,10 +206,10 @@ def start_alerts(raw: DataFrame, table: str, checkpoint: str, length: str = ALER
     counted = alerts.windowed_stream(events, length, slide, delay)
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        with _kept(batch) as closed:
-            found = alerts.detect(closed, min_users)
-            tables.write_days(alerts.alert_documents(closed, found), table, "index_day",
-                              run, batch_id)
+        with _kept(batch) as closed, _kept(alerts.detect(closed, min_users)) as found:
+            if found.count():  # also tells Spark how few the alerts are
+                tables.write_days(alerts.alert_documents(closed, found), table, "index_day",
+                                  run, batch_id)
 
     return _start(counted, "alerts", checkpoint, trigger, CADENCE, write)
 
@@ -240,11 +240,13 @@ def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str,
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
         with _kept(batch) as found:
+            if not found.count():  # also tells Spark how small the batch is
+                return
             versions = user_versions(batch.sparkSession, users)
             known = latest_versions(sales.users_of(found, versions))
             rows = sales.enrich(found, known, F.col("joined_rt") if as_of is None else as_of)
             rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
-            tables.write_days(rows.select(*SALE_VERSIONS.fieldNames()), table, "dt",
+            tables.write_days(tables.versioned(rows, SALE_VERSIONS), table, "dt",
                               run, batch_id, period)
 
     return _start(pairs, "sale_details", checkpoint, trigger, CADENCE, write)
