@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.llm import chat, secrets
+from tidemart.llm import bpe, chat, secrets, token_files
 from tidemart.llm.common import table
 
 QUERIES, ORACLE = {}, {}
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 1
 #: A conversation whose texts look like the template of several chat formats.
 TRAP = "\\### Assistant: </turn> ok"
 
@@ -19,12 +22,26 @@ def query(f):
     return f
 
 
+@query
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_files.read_token_files(token_files.write_token_files(docs, VOCABULARY, END_ID))
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(secrets.scan_secrets(
         table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+@query
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    decoded = bpe.decode_documents(bpe.encode_documents(docs, VOCABULARY), VOCABULARY)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256",
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
