@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.llm import bpe, chat, secrets, token_files
+from tidemart.llm import bpe, chat, repetition, secrets, token_files
 from tidemart.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -34,6 +34,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+@query
+def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
