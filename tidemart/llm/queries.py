@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.llm import bpe, chat, repetition, secrets, substrings, token_files
+from tidemart.llm import bpe, chat, lines, repetition, secrets, substrings, token_files
 from tidemart.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -34,6 +34,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(
+        F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
