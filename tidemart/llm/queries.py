@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.llm import bpe, chat, lines, repetition, secrets, substrings, token_files
+from tidemart.llm import (
+    bpe,
+    chat,
+    decontamination,
+    lines,
+    repetition,
+    secrets,
+    substrings,
+    token_files,
+    toxicity,
+)
 from tidemart.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -34,6 +44,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+@query
+def op4_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and item whose passage it holds, within the error budget."""
+    found = decontamination.match_benchmark(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
+        table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", F.inline("found")).select("doc_id", "item_id", "distance")
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -54,6 +73,13 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, chain).drop("text")
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
