@@ -11,6 +11,7 @@ from tidemart.llm import (
     chat,
     decontamination,
     lines,
+    near_dups,
     repetition,
     secrets,
     substrings,
@@ -38,6 +39,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(docs, VOCABULARY, END_ID))
 
 
+@query
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document, named by its least id."""
+    return near_dups.near_classes(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "class_id")
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(secrets.scan_secrets(
