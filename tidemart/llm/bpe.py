@@ -17,6 +17,7 @@ give repeated rows; a text is encoded whole, however long.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections import defaultdict
@@ -31,7 +32,7 @@ from tokenizers import Tokenizer
 
 from tidemart.llm.common import slices, texts
 
-_PIECES_KEPT = 400_000
+_PIECES_KEPT, _USES_KEPT = 400_000, 3
 #: Printable ASCII and the letters of Latin-1 and Latin Extended-A: no combining marks, and one
 #: lower-case form each, so Python and the library agree on them (U+0130 lowers to two).
 _LATIN = regex.compile("[\x21-\x7e¡-¬®-įı-ž]+")
@@ -67,13 +68,19 @@ class Vocabulary:
         split = described["pre_tokenizer"]["pretokenizers"][0]
         self._words = regex.compile(split["pattern"]["Regex"])
         library = Tokenizer.from_file(path)
+        self.model = library.model
         self._normalize = library.normalizer.normalize_str
         self._split = library.pre_tokenizer.pre_tokenize_str
 
     def words(self, piece: str) -> list[bytes]:
         """Words of a piece without special tokens, as bytes."""
         if _LATIN.fullmatch(piece):
-            return [w.encode() for w in self._words.findall(piece.lower())]
+            piece = piece.lower()
+            if piece.isalpha():
+                return [piece.encode()]
+            if piece[-1] in ",." and piece[:-1].isalpha():
+                return [piece[:-1].encode(), piece[-1].encode()]
+            return [w.encode() for w in self._words.findall(piece)]
         back = {s: b for b, s in enumerate(byte_symbols())}
         return [bytes(back[c] for c in word)
                 for word, _ in self._split(self._normalize(piece))]
@@ -177,12 +184,27 @@ class PieceTable:
         self._flat = np.empty(0, np.uint32)
         self._sizes = np.empty(0, np.int64)
         self._starts = np.empty(0, np.int64)
+        self._uses = np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that were seen often."""
+        often = np.flatnonzero(self._uses >= _USES_KEPT)
+        names = list(self._numbers)
+        sizes = self._sizes[often]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        self._flat = self._flat[np.repeat(self._starts[often] - (ends - sizes), sizes)
+                                + np.arange(total)]
+        self._numbers = {names[i]: n for n, i in enumerate(often.tolist())}
+        self._sizes, self._starts, self._uses = sizes, ends - sizes, self._uses[often] // 2
+        if len(often) > _PIECES_KEPT // 2:
+            self._reset()
 
     def encode(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the number of each text."""
         split = [text.split() for text in batch]
         if len(self._numbers) > _PIECES_KEPT:
-            self._reset()
+            self._forget()
         numbers = self._numbers
         new = list(set().union(*split).difference(numbers)) if split else []
         if new:
@@ -193,9 +215,11 @@ class PieceTable:
             self._flat = np.concatenate([self._flat, np.fromiter(
                 (x for word in ids for x in word), np.uint32, int(sizes.sum()))])
             self._starts = np.cumsum(self._sizes) - self._sizes
+            self._uses = np.concatenate([self._uses, np.zeros(len(new), np.int64)])
         n_pieces = np.fromiter(map(len, split), np.int64, len(split))
         which = np.fromiter((i for words in split for i in map(numbers.__getitem__, words)),
                             np.int64, int(n_pieces.sum()))
+        self._uses += np.bincount(which, minlength=len(numbers))
         sizes = self._sizes[which]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -240,8 +264,6 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded`` from ``ids``."""
-    import hashlib
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, vocabulary = pair_index_table(path)
         for batch in batches:

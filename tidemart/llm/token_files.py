@@ -14,9 +14,9 @@ alone) and sorted within each range, so file after file the order is ascending.
 names of their own and report them; only the names that Spark committed in the manifest count,
 so a lost or repeated task leaves at most a file that nobody reads.
 
-Ids take two bytes where the vocabulary allows it, else four. Encoding is by the tokenizer
-library; since no token of its split pattern spans white space, each piece between spaces is
-encoded once per worker and then looked up.
+Ids take two bytes where the vocabulary allows it, else four. Encoding is by the model of the
+tokenizer library; since no token of its split pattern spans white space, each piece between
+spaces is encoded once per worker and then looked up.
 
 Defined cases: a null or empty text has only the end id; rows with equal ``doc_id`` stand next
 to each other, ordered by their ids; a null ``doc_id`` comes first; an empty table gives no
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from tidemart.llm.bpe import _LATIN, PieceTable
+from tidemart.llm.bpe import PieceTable, Vocabulary, byte_symbols
 from tidemart.llm.common import cut, slices, texts
 from tidemart.session import new_folder
 
@@ -55,24 +55,17 @@ _NO_ID = -(1 << 63)
 
 @cache
 def library_table(path: str) -> PieceTable:
-    """Pieces by the tokenizer library. A lower-case Latin word before a final full stop or
-    comma is encoded without it: the split pattern always parts letters from those."""
-    library = Tokenizer.from_file(path)
+    """Pieces by the tokenizer library: its model encodes each distinct word of a slice once."""
+    vocabulary = Vocabulary(path)
+    symbols = str.maketrans(dict(enumerate(byte_symbols())))
+    tokenize = vocabulary.model.tokenize
 
     def encode(pieces: list[str]) -> list[list[int]]:
-        cores, tails = [], []
-        for piece in pieces:
-            tail = ""
-            if _LATIN.fullmatch(piece):
-                piece = piece.lower()
-                if piece[-1] in ",." and len(piece) > 1 and piece[-2].isalpha():
-                    piece, tail = piece[:-1], piece[-1]
-            cores.append(piece)
-            tails.append(tail)
-        distinct = list({*cores, ".", ","})
-        ids = dict(zip(distinct, (x.ids for x in library.encode_batch_fast(
-            distinct, add_special_tokens=False)), strict=True))
-        return [ids[c] + ids[t] if t else ids[c] for c, t in zip(cores, tails, strict=True)]
+        parts = [vocabulary.parts(piece) for piece in pieces]
+        words = {w for part in parts for w in part if isinstance(w, bytes)}
+        ids = {w: [t.id for t in tokenize(w.decode("latin-1").translate(symbols))] for w in words}
+        return [[x for w in part for x in ((w,) if isinstance(w, int) else ids[w])]
+                for part in parts]
 
     return PieceTable(encode)
 
