@@ -262,8 +262,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded`` from ``ids``."""
+def decode_documents(encoded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded`` from ``ids``, and ``ids`` if wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, vocabulary = pair_index_table(path)
         for batch in batches:
@@ -277,9 +277,11 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
                     [batch.column("doc_id").slice(a, len(part)),
                      pa.array(map(len, part), pa.int64()),
                      pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in part]),
-                     pa.array([decode(x, vocabulary) for x in part], pa.binary()).cast(pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded"])
+                     pa.array([decode(x, vocabulary) for x in part], pa.binary()).cast(pa.string()),
+                     *([column.slice(a, len(part))] if keep_ids else [])],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded", *(["ids"] if keep_ids else [])])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded string")
+        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded string"
+        + ", ids array<int>" * keep_ids)

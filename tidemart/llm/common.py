@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,25 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _HASHES_KEPT = 300_000
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers where they can't find it by themselves (the driver
+    was started elsewhere and no path names it)."""
+    root = Path(__file__).resolve().parents[2]
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if root in (Path.cwd().resolve(), *paths) or app in _shipped:
+        return
+    _shipped.add(app)
+    archive = Path(tempfile.mkdtemp(prefix="tidemart-")) / "tidemart.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "tidemart").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tidemart.llm.common import slices, texts, window_hashes, word_hashes
 
@@ -144,7 +145,8 @@ def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
-_FOUND = "array<struct<item_id:bigint,distance:int,end_word:int>>"
+_FOUND = ArrayType(StructType().add("item_id", "long").add("distance", "integer")
+                   .add("end_word", "integer"))
 
 
 def _matched(docs: DataFrame, items: list[tuple[int, bytes]], errors: float) -> DataFrame:

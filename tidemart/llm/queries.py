@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +21,10 @@ from tidemart.llm import (
     token_files,
     toxicity,
 )
-from tidemart.llm.common import table
+from tidemart.llm.common import ship_package, table
 
-QUERIES, ORACLE = {}, {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -28,9 +32,14 @@ END_ID = 1
 TRAP = "\\### Assistant: </turn> ok"
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query

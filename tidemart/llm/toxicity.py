@@ -8,8 +8,8 @@ the verdict.
 
 The fit uses at most ``Settings.sample_rows`` labelled texts, half of them of the positive class
 where there are as many, the least by a hash of the id: bounded whatever the table holds.
-Features are counted in the tasks; the driver gets ``features`` names and one row of bits per
-sampled text. All texts are scored, whole, in the tasks.
+Features are counted in the tasks; the driver gets ``features`` names and one row of small counts
+per sampled text. All texts are scored, whole, in the tasks.
 
 Labels come as rows ``(doc_id, toxic)``. Narrower categories are labelled by rule: toxic texts
 with a word of the category's list. The lists only name what the chain's first models learn.
@@ -51,7 +51,7 @@ class Settings:
     least_texts: int = 5
     folds: int = 4
     penalty: float = 0.05
-    threshold: float = 0.5
+    threshold: float = 0.4
 
 
 def word_features(word: bytes) -> list[str]:
@@ -102,8 +102,8 @@ def _choose_features(sample: DataFrame, settings: Settings) -> list[str]:
     return [r["feature"] for r in best.limit(settings.features).collect()]
 
 
-class Presence:
-    """0/1 rows of the chosen features."""
+class FeatureRows:
+    """How often each chosen feature occurs in each text (up to 255)."""
 
     def __init__(self, features: list[str]) -> None:
         self._numbers = {f: i for i, f in enumerate(features)}
@@ -113,7 +113,7 @@ class Presence:
         out = np.zeros((len(batch), len(self._numbers)), np.float32)
         known = self._words
         for i, text in enumerate(batch):
-            for word in set(words_of(text)):
+            for word, n in Counter(words_of(text)).items():
                 at = known.get(word)
                 if at is None:
                     if len(known) > _WORDS_KEPT:
@@ -121,8 +121,8 @@ class Presence:
                     at = known[word] = [self._numbers[f] for f in word_features(word)
                                         if f in self._numbers]
                 if at:
-                    out[i, at] = 1
-        return out
+                    out[i, at] += n
+        return np.minimum(out, 255)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -187,23 +187,22 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
     features = _choose_features(sample, settings)
     lists = [set(w.encode() for w in words) for words in categories.values()]
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        presence = Presence(features)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_of = FeatureRows(features).rows
         for batch in slices(batches, "text"):
             own = texts(batch)
-            packed = np.packbits(presence.rows(own) > 0, axis=1)
+            counts = rows_of(own).astype(np.uint8)
             toxic = batch.column("toxic").to_numpy()
             flags = [bytes(int(t and (not words or not words.isdisjoint(words_of(text))))
                            for words in lists) for t, text in zip(toxic, own, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(flags, pa.binary()),
-                 batch.column("fold")], ["bits", "flags", "fold"])
-
-    rows = sample.mapInArrow(bits, "bits binary, flags binary, fold int").collect()
-    rows.sort(key=lambda r: (bytes(r["bits"]), bytes(r["flags"]), r["fold"]))
-    x = np.zeros((len(rows), len(features)))
-    for i, r in enumerate(rows):
-        x[i] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), count=len(features))
+                [pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(flags, pa.binary()),
+                 batch.column("fold")], ["counts", "flags", "fold"])
+
+    rows = sample.mapInArrow(counted, "counts binary, flags binary, fold int").collect()
+    rows.sort(key=lambda r: (bytes(r["counts"]), bytes(r["flags"]), r["fold"]))
+    x = np.log1p(np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.uint8)
+                 .reshape(len(rows), len(features)).astype(float))
     targets = [np.array([r["flags"][c] for r in rows], float) for c in range(len(lists))]
     folds = np.array([r["fold"] for r in rows], int)
     return Chain(tuple(categories), features, fit_chain(x, targets, folds, settings.penalty))
@@ -216,9 +215,9 @@ def score(docs: DataFrame, chain: Chain, settings: Settings = Settings()) -> Dat
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # some hundred numbers a category
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        presence = Presence(sent.value.features)
+        rows_of = FeatureRows(sent.value.features).rows
         for batch in slices(batches, "text"):
-            p = chain_probabilities(presence.rows(texts(batch)), sent.value.models)
+            p = chain_probabilities(np.log1p(rows_of(texts(batch))), sent.value.models)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), *(pa.array(x) for x in p.T),
                  pa.array(p[:, -1] >= settings.threshold)], [*kept, *names, "toxic"])
