@@ -32,6 +32,7 @@ on the input; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from tidemart.llm.common import cut, slices, texts, window_hashes, word_hashes
 WINDOW, PREFIX = 50, 8
 #: Suffixes that one group of a subtree may have.
 GROUP = 20_000
+#: Prefixes that may be split further, at most.
+MOST_CROWDED = 10_000
 _FIT = WINDOW - PREFIX + 1  # runs of PREFIX words in a window
 _DEPTHS = (8, 16, 32)  # prefixes that can name a group; the path ends at WINDOW
 
@@ -110,9 +113,10 @@ def suffixes(keyed: DataFrame, shared: DataFrame) -> DataFrame:
         run, "p8 int, p16 int, p32 int, p50 bigint, doc_id bigint, tag int, at int")
 
 
-def _crowded(rows: DataFrame, depth: list[str], most: int) -> DataFrame:
-    """Prefixes with more than ``most`` suffixes: at most 1 in ``most`` of the rows."""
-    return rows.groupBy(*depth).count().where(F.col("count") > most).select(*depth)
+def _crowded(rows: DataFrame, path: list[str], most: int) -> DataFrame:
+    """Prefixes with more than ``most`` suffixes."""
+    found = rows.groupBy(*path).count().where(F.col("count") > most).select(*path)
+    return cut(found, "substring-crowded")
 
 
 def _below(rows: DataFrame) -> DataFrame:
@@ -141,21 +145,26 @@ def _below(rows: DataFrame) -> DataFrame:
 
 def repeated_starts(rows: DataFrame, group: int = GROUP) -> DataFrame:
     """``doc_id``, ``tag``, ``at`` of the suffixes that start in a smaller document as well."""
+    # with at least a MOST_CROWDED-th of the suffixes each, there are no more crowded prefixes than
+    # that at any depth: their lists, and the nodes of depth 50 below, are safe to broadcast
+    most = max(group, rows.count() // MOST_CROWDED)
     paths = [["p8"], ["p8", "p16"], ["p8", "p16", "p32"], ["p8", "p16", "p32", "p50"]]
-    subtrees, crowd = [], rows
+    grouped, crowd = [], rows
     for path in paths:
-        crowded = _crowded(crowd, path, group)
-        subtrees.append(crowd.join(crowded, path, "left_anti"))
-        crowd = crowd.join(crowded, path, "left_semi")
-    # one prefix names each group: hashed by it, and walked in path order
-    walked = [_below(part.repartition(*path).sortWithinPartitions(*paths[-1], "doc_id"))
-              for part, path in zip(subtrees, paths, strict=True)]
-    nodes = crowd.groupBy(*paths[-1]).agg(F.min("doc_id").alias("least"))
-    walked.append(crowd.join(nodes, paths[-1]).where("doc_id > least").select("doc_id", "tag", "at"))
-    out = walked[0]
-    for part in walked[1:]:
-        out = out.unionByName(part)
-    return out
+        crowded = _crowded(crowd, path, most)
+        none = crowded.isEmpty()
+        few = crowd if none else crowd.join(F.broadcast(crowded), path, "left_anti")
+        grouped.append(few.withColumn("group", F.xxhash64(F.lit(len(path)), *path)))
+        if none:
+            break
+        crowd = crowd.join(F.broadcast(crowded), path, "left_semi")
+    suffixes_of = reduce(DataFrame.unionByName, grouped)
+    walked = _below(suffixes_of.repartition("group").sortWithinPartitions(*paths[-1], "doc_id"))
+    if none:
+        return walked
+    nodes = F.broadcast(crowd.groupBy(*paths[-1]).agg(F.min("doc_id").alias("least")))
+    hot = crowd.join(nodes, paths[-1]).where("doc_id > least").select("doc_id", "tag", "at")
+    return walked.unionByName(hot)
 
 
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
