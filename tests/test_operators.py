@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -271,6 +272,17 @@ def brute_alerts(data, length, slide, users=3):
     return found
 
 
+def listed(counted):
+    """(users, items, event names) of each alert, from its member rows."""
+    found = alerts.detect(counted)
+    heads = {r.doc_id: (r.mid, r.ts) for r in alerts.alert_documents(found).collect()}
+    out = {key: ([], [], []) for key in heads.values()}
+    for r in alerts.alert_members(counted, found).orderBy("value").collect():
+        place = out[heads[r.doc_id]][("user", "item", "event").index(r.kind)]
+        place.extend([r.value] * (r.n if r.kind == "event" else 1))
+    return out
+
+
 def test_two_three_and_four_users_click_and_null_user(spark):
     data = [("two", "a", "coupon", "1", 0), ("two", "b", "coupon", "1", 1),
             ("two", None, "coupon", "1", 1), ("two", "b", "coupon", "2", 2),
@@ -284,9 +296,7 @@ def test_two_three_and_four_users_click_and_null_user(spark):
             (None, "a", "coupon", "1", 0), (None, "b", "coupon", "1", 0),
             (None, "c", "coupon", "1", 0)]
     counted = alerts.windowed(events(spark, *data))
-    docs = alerts.alert_documents(counted, alerts.detect(counted))
-    got = {(r.mid, r.ts): (list(r.uids), list(r.itemIds), list(r.events))
-           for r in docs.collect()}
+    got = listed(counted)
     assert got == brute_alerts(data, 300, 60)
     assert ("three", BASE + 300_000) in got and ("four", BASE + 300_000) not in got
     assert {m for m, _ in got} == {"three"}
@@ -299,8 +309,8 @@ def test_alerts_equal_brute_force_on_random_events(spark):
     data = [(f"m{rng.randrange(6)}", rng.choice(["a", "b", "c", "d", None]), rng.choice(names),
              str(rng.randrange(4)), rng.randrange(3600)) for _ in range(220)]
     counted = alerts.windowed(events(spark, *data))
-    docs = alerts.alert_documents(counted, alerts.detect(counted)).collect()
-    got = {(r.mid, r.ts): (list(r.uids), list(r.itemIds), list(r.events)) for r in docs}
+    docs = alerts.alert_documents(alerts.detect(counted)).collect()
+    got = listed(counted)
     want = brute_alerts(data, 300, 60)
     assert want and got == want
     assert len({r.doc_id for r in docs}) == len(docs)
@@ -309,7 +319,7 @@ def test_alerts_equal_brute_force_on_random_events(spark):
 def test_fine_slide_keeps_the_last_alert_of_each_minute(spark):
     data = [("m", u, "coupon", u, s) for u, s in (("a", 0), ("b", 10), ("c", 31))]
     counted = alerts.windowed(events(spark, *data), slide="5 seconds")
-    docs = alerts.alert_documents(counted, alerts.detect(counted)).collect()
+    docs = alerts.alert_documents(alerts.detect(counted)).collect()
     every = brute_alerts(data, 300, 5)
     last = {}
     for mid, ts in every:
@@ -318,18 +328,31 @@ def test_fine_slide_keeps_the_last_alert_of_each_minute(spark):
     assert all(r.doc_id == f"m-{r.ts // 60000}" for r in docs)
 
 
-def test_large_alert_is_cut_into_parts_that_hold_everything_once(spark):
-    data = [("hot", f"u{i}", "coupon", f"i{i % 50}", i % 60) for i in range(900)]
-    data += [("hot", "x", "addCart", "z", 5)] * 101
-    counted = alerts.windowed(events(spark, *data), slide="5 minutes")
+@pytest.mark.parametrize("size", [10_000, 10_001])
+def test_an_alert_has_one_shape_at_every_size(spark, size):
+    frame = spark.range(size).select(
+        F.lit("hot").alias("mid"), (F.col("id") % 5).cast("string").alias("uid"),
+        F.lit("coupon").alias("evid"), F.lit("i").alias("itemid"),
+        F.timestamp_millis(F.lit(BASE) + F.col("id") % 60_000).alias("et"))
+    counted = alerts.windowed(frame, slide="5 minutes")
     found = alerts.detect(counted)
-    whole = alerts.alert_documents(counted, found).collect()
-    parts = alerts.alert_documents(counted, found, part_rows=100).collect()
-    assert len(whole) == 1 and len(parts) == 11 == parts[0].parts
-    assert sorted(u for p in parts for u in p.uids) == list(whole[0].uids)
-    assert sorted(i for p in parts for i in p.itemIds) == list(whole[0].itemIds)
-    assert sorted(e for p in parts for e in p.events) == list(whole[0].events)
-    assert max(len(p.events) for p in parts) <= 101
+    head = alerts.alert_documents(found).collect()
+    assert [(h.n_users, h.n_items, h.n_events) for h in head] == [(5, 1, size)]
+    listed = alerts.alert_members(counted, found).collect()
+    assert {(m.kind, m.value) for m in listed} == {
+        *(("user", str(i)) for i in range(5)), ("item", "i"), ("event", "coupon")}
+    assert all(sum(m.n for m in listed if m.kind == k) == size for k in ("user", "item", "event"))
+
+
+def test_panes_where_the_slide_does_not_divide_the_window(spark):
+    import random
+    rng = random.Random(6)
+    data = [(f"m{rng.randrange(4)}", rng.choice("abcd"), rng.choice(["coupon"] * 6 + ["clickItem"]),
+             str(rng.randrange(4)), rng.randrange(1800)) for _ in range(150)]
+    counted = alerts.windowed(events(spark, *data), "5 minutes", "2 minutes")
+    got = {(r.mid, int(r.ms)): r.n_users for r in alerts.detect(counted).select(
+        "mid", F.unix_millis("window_end").alias("ms"), "n_users").collect()}
+    assert got == {k: len(v[0]) for k, v in brute_alerts(data, 300, 120).items()} and got
 
 
 # --- routing --------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -216,17 +217,56 @@ def test_alerts_survive_a_restart_inside_a_window(spark, drop_file, tmp_path):
     def run(folder):
         jobs.start_alerts(timed(folder, spark), table, table + "-p", slide="5 minutes",
                           trigger=jobs.ONCE).awaitTermination()
-        return rows(jobs.current_alerts(spark, table).select("mid", F.size("uids")))
+        return rows(jobs.current_alerts(spark, table).select("mid", "n_users"))
 
     folder = drop_file("in", [event("m", "a", "coupon", 1, 10), event("m", "b", "coupon", 1, 20)])
     assert run(folder) == []
     drop_file("in", [event("m", "c", "coupon", 1, 30)])
-    assert run(folder) == []
-    drop_file("in", [event("closing", None, None, None, 90_000)])
+    assert run(folder) == [("m", 3)]
+    drop_file("in", [event("other", None, None, None, 90_000)])
     assert run(folder) == [("m", 3)]
     assert run(folder) == [("m", 3)]
 
 
+def test_late_events_change_the_windows_they_belong_to(spark, drop_file, tmp_path):
+    table = str(tmp_path / "alerts")
+
+    def run(folder):
+        jobs.start_alerts(timed(folder, spark), table, table + "-p", slide="5 minutes",
+                          trigger=jobs.ONCE).awaitTermination()
+        return rows(jobs.current_alerts(spark, table).select("mid", "n_users", "ts"))
+
+    folder = drop_file("in", [event("now", u, "coupon", 1, 500_000) for u in "ab"])
+    assert run(folder) == []
+    drop_file("in", [event("late", u, "coupon", 1, 10) for u in "abcde"])
+    alert = ("late", 5, BASE + 300_000)
+    assert run(folder) == [alert]
+    drop_file("in", [event("now", "c", "coupon", 1, 500_001)])
+    end = BASE + (500_000 // 300 + 1) * 300_000
+    assert run(folder) == [alert, ("now", 3, end)]
+    drop_file("in", [event("late", "a", "clickItem", 1, 11)])  # a late click takes it back
+    assert run(folder) == [("now", 3, end)]
+    assert {r.doc_id for r in jobs.current_alert_members(spark, table).collect()} == {
+        f"now-{end // 60000}"}
+
+
+def test_a_missing_table_or_a_wrong_period_is_an_error(spark, drop_file, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        jobs.current_orders(spark, str(tmp_path / "nowhere"))
+    folder = drop_file("in", [""])
+    table = str(tmp_path / "orders")
+    jobs.start_gmv(timed(folder, spark), table, table + "-p", trigger=jobs.ONCE).awaitTermination()
+    assert jobs.current_orders(spark, table).count() == 0
+    line = json.dumps({"id": "1", "create_time": "2024-01-01 00:00:00", "total_amount": "1",
+                       "rt": 1704067200})
+    drop_file("in", [line])
+    jobs.start_gmv(timed(folder, spark), table, table + "-p", period="month",
+                   trigger=jobs.ONCE).awaitTermination()
+    assert jobs.current_orders(spark, table, period="month").count() == 1
+    with pytest.raises(ValueError):
+        jobs.current_orders(spark, table)
+
+
 def event(mid, uid, evid, item, s):
     return json.dumps({"mid": mid, "uid": uid, "evid": evid, "itemid": item,
                        "ts": BASE + s * 1000, "rt": 1704067200 + s})
@@ -250,7 +290,7 @@ def test_alerts_over_batches_equal_the_batch_alerts(spark, drop_file, tmp_path):
                           trigger=jobs.ONCE).awaitTermination()
         raw = spark.createDataFrame([(x,) for x in lines], "value string")
         counted = alerts.windowed(with_log_time(good(parse_feed(raw, "event"))), slide=slide)
-        want = alerts.alert_documents(counted, alerts.detect(counted))
+        want = alerts.alert_documents(alerts.detect(counted))
         got = jobs.current_alerts(spark, table)
         columns = ALERT_DOC.fieldNames()
         assert want.count() > 3

@@ -91,8 +91,10 @@ def test_everything_together(spark, drop_file, tmp_path):
     assert rows(house.provinces(names, [DAY])) == [("3", "north", 1, 10.5, 1)]
 
     alert = house.alerts_of([DAY]).orderBy("ts").collect()
-    assert alert[0].mid == "farm" and list(alert[0].uids) == ["u0", "u1", "u2"]
-    assert len(alert) == 5 and all(a.parts == 1 for a in alert)
+    assert {a.mid for a in alert} == {"farm"} and {a.n_users for a in alert} == {3}
+    assert len(alert) == 5
+    people = house.alert_members_of([DAY]).where("kind = 'user'").select("value").distinct()
+    assert rows(people) == [("u0",), ("u1",), ("u2",)]
 
     house.close_day(DAY)
     house.close_day(DAY)

@@ -1,72 +1,92 @@
 """Coupon-fraud alerts over sliding windows.
 
 A device alerts in a window when at least ``min_users`` different users took a
-coupon on it and nobody clicked an item. An alert lists the users, the items
-and all event names of the device in the window.
-
-Everything up to the finished document works on *counted events*: rows
-(window_start, window_end, mid, evid, uid, itemid, n), where uid and itemid
-are only kept for coupons. No step before the document gathers a device: the
-distinct users are counted in two steps, first spread over (window, device,
-user) and only then over (window, device).
+coupon on it and nobody clicked an item. An alert has a header (counts) and
+member rows: the users, the items and all event names of the device in the
+window, each with its number of events. That shape is the same at every size;
+no row grows with the data.
+
+Events are first counted per *pane*, the longest stretch that no window border
+cuts, and only then spread over the windows: what is multiplied by
+length / slide is the counted panes. Everything after works on *counted
+events*: rows (window_start, window_end, mid, evid, uid, itemid, n), where uid
+and itemid are only kept for coupons. No step gathers a device: the distinct
+users are counted in two steps, first spread over (window, device, user) and
+only then over (window, device).
 """
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemart.functions.columns import day_of
 from tidemart.operators.keyed import last_per_key
 from tidemart.schemas import (
-    ALERT_DOC, ALERT_MIN_USERS, ALERT_WINDOW, CLICK_EVENT, COUPON_EVENT)
+    ALERT_DOC, ALERT_MEMBER, ALERT_MIN_USERS, ALERT_WINDOW, CLICK_EVENT, COUPON_EVENT)
 
 WINDOW_KEY = ["window_start", "window_end", "mid"]
-PART_ROWS = 10_000
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
-def windowed(events: DataFrame, length: str = ALERT_WINDOW, slide: str = "1 minute") -> DataFrame:
-    """Counted events (n = 1): each event once per window it falls into.
+def seconds(span: str) -> int:
+    """"5 minutes" as seconds."""
+    number, unit = span.split()
+    return int(number) * _UNITS[unit.rstrip("s")]
+
+
+def panes(events: DataFrame, length: str = ALERT_WINDOW, slide: str = "1 minute") -> DataFrame:
+    """Events counted per pane: (pane, mid, evid, uid, itemid, n).
 
     ``events`` has mid, uid, evid, itemid and the event time ``et``.
     """
+    pane = gcd(seconds(length), seconds(slide))
     coupon = F.col("evid") == COUPON_EVENT
-    return (events.where(F.col("mid").isNotNull())
-            .select(F.window("et", length, slide).alias("w"), "mid", "evid",
-                    F.when(coupon, F.col("uid")).alias("uid"),
-                    F.when(coupon, F.col("itemid")).alias("itemid"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "mid", "evid", "uid", "itemid", F.lit(1).cast("bigint").alias("n")))
-
-
-def windowed_stream(events: DataFrame, length: str = ALERT_WINDOW, slide: str = "1 minute",
-                    delay: str = "1 minute") -> DataFrame:
-    """Counted events of closed windows, from a stream.
-
-    The state is kept per (window, device, event name, user, item), so it
-    spreads over all tasks even when one device sends most events. A window
-    leaves the state once the watermark has passed it; all its rows then come
-    in the same micro-batch.
-    """
-    coupon = F.col("evid") == COUPON_EVENT
-    return (events.withWatermark("et", delay)
-            .where(F.col("mid").isNotNull())
-            .select("et", "mid", "evid", F.when(coupon, F.col("uid")).alias("uid"),
-                    F.when(coupon, F.col("itemid")).alias("itemid"))
-            .groupBy(F.window("et", length, slide).alias("w"), "mid", "evid", "uid", "itemid")
-            .agg(F.count("*").alias("n"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "mid", "evid", "uid", "itemid", "n"))
+    at = F.timestamp_seconds(F.floor(F.unix_seconds("et") / F.lit(pane)) * F.lit(pane))
+    return (events.where(F.col("mid").isNotNull() & F.col("et").isNotNull())
+            .groupBy(at.alias("pane"), "mid", "evid",
+                     F.when(coupon, F.col("uid")).alias("uid"),
+                     F.when(coupon, F.col("itemid")).alias("itemid"))
+            .agg(F.count("*").alias("n")))
+
+
+def spread(counted: DataFrame, length: str = ALERT_WINDOW, slide: str = "1 minute") -> DataFrame:
+    """Rows with a ``pane``, once per window that holds it, with the window instead."""
+    size, step = seconds(length), seconds(slide)
+    at = F.unix_seconds("pane")
+    last = F.floor(at / F.lit(step)) * F.lit(step)
+    more = F.floor((last - at + F.lit(size - gcd(size, step))) / F.lit(step))
+    others = [c for c in counted.columns if c != "pane"]
+    start = F.explode(F.transform(
+        F.when(more >= 0, F.sequence(F.lit(0).cast("bigint"), more)),
+        lambda k: last - k * step)).alias("start")
+    return counted.select(start, *others).select(
+        F.timestamp_seconds("start").alias("window_start"),
+        F.timestamp_seconds(F.col("start") + size).alias("window_end"), *others)
 
 
-def detect(counted: DataFrame, min_users: int = ALERT_MIN_USERS) -> DataFrame:
-    """(window_start, window_end, mid, n_users, n_events) of the alerting windows."""
+def windowed(events: DataFrame, length: str = ALERT_WINDOW, slide: str = "1 minute") -> DataFrame:
+    """Counted events: each pane once per window it falls into."""
+    return spread(panes(events, length, slide), length, slide)
+
+
+def judge(counted: DataFrame, min_users: int = ALERT_MIN_USERS) -> DataFrame:
+    """(window_start, window_end, mid, n_users, n_items, n_events, clicked) of the windows with
+    enough coupon users; those nobody clicked in are alerts."""
+    coupon = F.col("evid") == COUPON_EVENT
     return (counted.groupBy(*WINDOW_KEY)
             .agg(F.count_distinct("uid").alias("n_users"),
-                 F.sum("n").alias("n_events"),
-                 F.max((F.col("evid") == CLICK_EVENT).cast("int")).alias("clicked"))
-            .where((F.col("n_users") >= min_users) & (F.col("clicked") == 0))
-            .drop("clicked"))
+                 F.count_distinct(F.when(coupon, F.col("itemid"))).alias("n_items"),
+                 F.sum(F.when(F.col("evid").isNotNull(), F.col("n")).otherwise(0)).alias("n_events"),
+                 F.coalesce(F.max(F.col("evid") == CLICK_EVENT), F.lit(False)).alias("clicked"))
+            .where(F.col("n_users") >= min_users))
+
+
+def detect(counted: DataFrame, min_users: int = ALERT_MIN_USERS) -> DataFrame:
+    """The alerting windows, with their counts."""
+    return judge(counted, min_users).where(~F.col("clicked")).drop("clicked")
 
 
 def minute_of(ts):
@@ -83,74 +103,48 @@ def last_of_minute(alerts: DataFrame) -> DataFrame:
 
 
 def members(counted: DataFrame, alerts: DataFrame) -> DataFrame:
-    """(window_start, window_end, mid, n_events, kind, value, n): what alerts list.
+    """(window_start, window_end, mid, kind, value, n): what alerts list.
 
     One row per different user, item and event name of an alerting window,
     with the number of events behind it.
     """
-    found = alerts.select(*WINDOW_KEY, "n_events")
     listed = F.array(
         F.struct(F.lit("user").alias("kind"), F.col("uid").alias("value")),
         F.struct(F.lit("item").alias("kind"), F.col("itemid").alias("value")),
         F.struct(F.lit("event").alias("kind"), F.col("evid").alias("value")))
-    return (counted.join(found, WINDOW_KEY)
-            .select(*found.columns, F.inline(listed), "n")
+    return (counted.join(alerts.select(*WINDOW_KEY), WINDOW_KEY, "left_semi")
+            .select(*WINDOW_KEY, F.inline(listed), "n")
             .where(F.col("value").isNotNull())
-            .groupBy(*found.columns, "kind", "value").agg(F.sum("n").alias("n")))
+            .groupBy(*WINDOW_KEY, "kind", "value").agg(F.sum("n").alias("n")))
 
 
-def documents(listed: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Alert documents (:data:`tidemart.schemas.ALERT_DOC`).
+def _named(rows: DataFrame) -> DataFrame:
+    """Add the document id (one per device and minute), ``ts`` and the index day."""
+    return rows.withColumns({
+        "doc_id": F.concat_ws("-", F.col("mid"), minute_of(F.col("window_end")).cast("string")),
+        "ts": F.unix_millis("window_end"), "index_day": day_of(F.col("window_end"))})
 
-    An alert of up to ``part_rows`` events is one document (part 0 of 1). A
-    larger one is cut into parts that together hold every user, item and event
-    once: users and items by hash, events in equal shares. The parts are
-    shuffled apart, so a device with a third of all events becomes neither one
-    row nor one task.
-    """
-    parts = F.ceil(F.col("n_events") / F.lit(part_rows)).cast("int")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    by_hash = F.array(F.pmod(F.xxhash64("value"), F.col("parts")).cast("int"))
-    placed = (listed.withColumn("parts", parts)
-              .select(*WINDOW_KEY, "kind", "value", "n", "parts",
-                      F.explode(F.when(F.col("kind") == "event", every).otherwise(by_hash))
-                      .alias("part")))
-    share = (F.floor(F.col("n") / F.col("parts"))
-             + (F.col("part") < F.col("n") % F.col("parts")).cast("int")).cast("int")
-
-    def values(kind: str):
-        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
-
-    names = F.sort_array(F.collect_list(F.when(
-        F.col("kind") == "event", F.struct("value", share.alias("n")))))
-    docs = placed.groupBy(*WINDOW_KEY, "part", "parts").agg(
-        values("user").alias("uids"), values("item").alias("itemIds"), names.alias("names"))
-    return docs.select(
-        F.concat_ws("-", F.col("mid"), minute_of(F.col("window_end")).cast("string"))
-        .alias("doc_id"),
-        "part", "parts", "mid", "uids", "itemIds",
-        F.flatten(F.transform("names", lambda e: F.array_repeat(e["value"], e["n"])))
-        .alias("events"),
-        F.unix_millis("window_end").alias("ts"),
-        day_of(F.col("window_end")).alias("index_day"))
-
-
-def alert_documents(counted: DataFrame, alerts: DataFrame,
-                    part_rows: int = PART_ROWS) -> DataFrame:
-    """Documents of the given alerting windows, one document id per minute.
+
+def alert_documents(alerts: DataFrame) -> DataFrame:
+    """Headers (:data:`tidemart.schemas.ALERT_DOC`), one document id per minute."""
+    return _named(last_of_minute(alerts)).select(*ALERT_DOC.fieldNames())
+
+
+def alert_members(counted: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Member rows (:data:`tidemart.schemas.ALERT_MEMBER`) of the same documents.
 
     ``alerts`` is best a written table: it is small as a rule, and Spark can
     then see that and spare the events a shuffle.
     """
-    return documents(members(counted, last_of_minute(alerts)), part_rows)
+    return named_members(members(counted, last_of_minute(alerts)))
 
 
-def latest_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay when every write of an id replaces the one before.
+def named_members(listed: DataFrame) -> DataFrame:
+    return _named(listed).select(*ALERT_MEMBER.fieldNames())
 
-    All parts of the latest write are kept, and none of an earlier one.
-    """
-    last = docs.groupBy("doc_id").agg(F.max("ts").alias("ts"))
-    rows = docs.join(last, ["doc_id", "ts"], "left_semi")
-    return (last_per_key(rows, ["doc_id", "part"], "batch")
-            .select(*ALERT_DOC.fieldNames()))
+
+def latest_windows(versions: DataFrame) -> DataFrame:
+    """Of the judged windows that batches wrote again and again, the last state of each; those
+    that alert. ``run`` and ``batch`` tell which batch wrote it."""
+    rows = last_per_key(versions, WINDOW_KEY, "batch")
+    return last_of_minute(rows.where(~F.col("clicked")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemart.schemas import AGE_CLASSES, GENDER_CLASSES
@@ -31,13 +31,20 @@ def page_of(sales: DataFrame, page: int, size: int) -> DataFrame:
             .offset((page - 1) * size).limit(size))
 
 
-def page_after(sales: DataFrame, last: tuple[str, str, str], size: int) -> DataFrame:
-    """The page behind row ``last`` (its dt, order id and detail id).
+def cursor(page: DataFrame) -> Column:
+    """The place of the last row of a page, for :func:`page_after`; NULL if it has none."""
+    return page.agg(F.max(F.struct(*PAGE_ORDER)).alias("last")).scalar()
+
+
+def page_after(sales: DataFrame, last: tuple[str, str, str] | Column, size: int) -> DataFrame:
+    """The page behind row ``last`` (its dt, order id and detail id, or a :func:`cursor`).
 
     Costs the same however deep the listing is read: each task keeps ``size``
     rows, where an offset makes it keep all rows up to the page.
     """
     here = F.struct(*PAGE_ORDER)
+    if isinstance(last, Column):
+        return sales.where(here > last).orderBy(*PAGE_ORDER).limit(size)
     there = F.struct(*[F.lit(v).alias(n) for n, v in zip(PAGE_ORDER, last, strict=True)])
     return sales.where((F.col("dt") >= last[0]) & (here > there)).orderBy(*PAGE_ORDER).limit(size)
 

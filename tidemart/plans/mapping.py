@@ -48,6 +48,13 @@ def on_days(events: DataFrame, first: str, last: str) -> DataFrame:
     return events.where((F.col("ts") >= start) & (F.col("ts") < end))
 
 
+def on_order_days(orders: DataFrame, first: str, last: str) -> DataFrame:
+    """Orders of the days ``first`` to ``last``; they are created on their order date."""
+    day = F.col("o_orderdate")
+    return orders.where((day >= F.lit(first).cast("date"))
+                        & (day < F.lit(last).cast("date") + F.expr("INTERVAL 1 DAY")))
+
+
 def _text(name: str) -> Column:
     return F.col(name).cast("string")
 
@@ -115,13 +122,18 @@ def purchases(events: DataFrame) -> DataFrame:
 
 def detail_feed(lines: DataFrame, parts: DataFrame, *extra: str) -> DataFrame:
     """Order lines; the receive time lies up to 200 s around that of the order."""
-    gap = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 61) % 400 - 200
     names = parts.select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return line_feed(lines.join(names, "l_partkey", "left"), F.col("p_name").alias("sku_name"), *extra)
+
+
+def line_feed(lines: DataFrame, *extra: Column | str) -> DataFrame:
+    """The columns of an order line that need no part."""
+    gap = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 61) % 400 - 200
     count = F.col("l_quantity").cast("int").cast("string")
-    return lines.join(names, "l_partkey", "left").select(
+    return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", count)
         .alias("id"),
-        _text("l_orderkey").alias("order_id"), F.col("p_name").alias("sku_name"),
+        _text("l_orderkey").alias("order_id"),
         _text("l_partkey").alias("sku_id"), _amount_text("l_extendedprice").alias("order_price"),
         count.alias("sku_num"),
         F.timestamp_seconds(F.lit(RECEIVED_FROM) + F.col("l_orderkey") % 86400 + gap).alias("rt"), *extra)
@@ -176,11 +188,9 @@ def _change(rows: DataFrame, entry: Column, name: str, op: Column, ts: Column,
 
 
 def change_feed(orders: DataFrame, lines: DataFrame, parts: DataFrame,
-                customers: DataFrame, names: DataFrame | None = None) -> DataFrame:
+                customers: DataFrame) -> DataFrame:
     """Row changes of all tables, wanted and unwanted ones.
 
-    ``names`` are the parts as a static table when the others are streams.
-
     Orders in status F are updates and those in status P deletes; order keys
     of status O stay inserts, and the urgent ones come as transaction marks.
     """
@@ -193,7 +203,7 @@ def change_feed(orders: DataFrame, lines: DataFrame, parts: DataFrame,
     user_op = F.when(F.col("user_level") == "VIP", "UPDATE").otherwise("INSERT")
     return (_change(order_rows, mark, "order_info", order_op, F.col("rt"),
                     ["id", "user_id", "total_amount", "create_time"])
-            .unionByName(_change(detail_feed(lines, parts if names is None else names), row, "order_detail", insert,
+            .unionByName(_change(line_feed(lines), row, "order_detail", insert,
                                  F.col("rt"), ["id", "order_id", "sku_id", "order_price"]))
             .unionByName(_change(users, row, "user_info", user_op, F.col("change_ts"),
                                  ["id", "user_level", "birthday", "gender"]))

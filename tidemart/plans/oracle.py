@@ -81,20 +81,37 @@ _ALERTS = f"""ev AS (
 ), alert AS (
   SELECT mid, start_ms, start_ms + 7200000 AS end_ms,
          count(DISTINCT CASE WHEN evid = 'coupon' THEN uid END) AS n_users,
-         string_agg(DISTINCT CASE WHEN evid = 'coupon' THEN uid END, ','
-                    ORDER BY CASE WHEN evid = 'coupon' THEN uid END) AS uids,
-         string_agg(DISTINCT CASE WHEN evid = 'coupon' THEN itemid END, ','
-                    ORDER BY CASE WHEN evid = 'coupon' THEN itemid END) AS item_ids,
-         string_agg(evid, ',' ORDER BY evid) AS events
+         count(DISTINCT CASE WHEN evid = 'coupon' THEN itemid END) AS n_items,
+         count(evid) AS n_events
   FROM win GROUP BY mid, start_ms
   HAVING count(DISTINCT CASE WHEN evid = 'coupon' THEN uid END) >= 3
      AND count(CASE WHEN evid = 'clickItem' THEN 1 END) = 0)"""
 _ALERT_DOCS = f"""WITH {_ALERTS}
-  SELECT mid || '-' || CAST(end_ms // 60000 AS VARCHAR) AS doc_id, 0 AS part, 1 AS parts, mid,
-         uids, item_ids, events, end_ms AS ts,
+  SELECT mid || '-' || CAST(end_ms // 60000 AS VARCHAR) AS doc_id, mid,
+         n_users, n_items, n_events, end_ms AS ts,
          strftime(make_timestamp(end_ms * 1000), '%Y-%m-%d') AS index_day
   FROM alert"""
 
+_ALERT_MEMBERS = f"""WITH {_ALERTS}, listed AS (
+    SELECT win.*, end_ms FROM win JOIN alert USING (mid, start_ms)), kinds AS (
+    SELECT mid, end_ms, 'user' AS kind, uid AS value FROM listed WHERE evid = 'coupon'
+    UNION ALL SELECT mid, end_ms, 'item', itemid FROM listed WHERE evid = 'coupon'
+    UNION ALL SELECT mid, end_ms, 'event', evid FROM listed)
+  SELECT mid || '-' || CAST(end_ms // 60000 AS VARCHAR) AS doc_id, kind, value, count(*) AS n
+  FROM kinds WHERE value IS NOT NULL GROUP BY mid, end_ms, kind, value"""
+_ALERTS_FINE = f"""WITH dense AS (
+    SELECT 'mid_' || CAST(user_id % 10 AS VARCHAR) AS mid, CAST(user_id AS VARCHAR) AS uid,
+           CASE event_type {_EVID} END AS evid, CAST(event_id AS VARCHAR) AS itemid,
+           epoch_us(ts) // 1000 // 100 AS ms
+    FROM events), win AS (
+    SELECT dense.*, (ms // 5000 - g.i) * 5000 AS start_ms FROM dense, generate_series(0, 59) AS g(i))
+  SELECT mid, start_ms + 300000 AS end_ms,
+         count(DISTINCT CASE WHEN evid = 'coupon' THEN uid END) AS n_users,
+         count(DISTINCT CASE WHEN evid = 'coupon' THEN itemid END) AS n_items, count(evid) AS n_events
+  FROM win GROUP BY mid, start_ms
+  HAVING count(DISTINCT CASE WHEN evid = 'coupon' THEN uid END) >= 3
+     AND count(CASE WHEN evid = 'clickItem' THEN 1 END) = 0"""
+
 _HOURS = "SELECT lpad(CAST(i AS VARCHAR), 2, '0') AS hour FROM generate_series(0, 23) AS g(i)"
 
 
@@ -246,6 +263,15 @@ ORACLE: dict[str, str] = {
              (SELECT order_detail_id FROM page WHERE n = 5) AS fifth_row""",
     "coupon_alert": f"WITH {_ALERTS} SELECT mid, start_ms, end_ms, n_users FROM alert",
     "alert_docs": _ALERT_DOCS,
+    "alert_members": _ALERT_MEMBERS,
+    "coupon_alert_fine": _ALERTS_FINE,
+    "stream_alerts_late": _ALERT_MEMBERS,
+    "stream_dau_late": f"WITH {_FIRST} SELECT mid, log_date, log_hour, ts FROM first",
+    "change_quarantine": f"""WITH {_ORDERS}, {_DETAILS}, {_USERS}
+      SELECT 'malformed' AS kind, count(*) AS n FROM ord
+      UNION ALL SELECT 'TOPIC_ORDER_DETAIL', count(*) FROM det
+      UNION ALL SELECT 'TOPIC_USER_INFO', count(*) + count(*) FILTER (user_level = 'HOUSEHOLD')
+      FROM usr""",
     "alert_index": f"""SELECT 'coupon_alert_' || index_day AS index_name,
         count(DISTINCT doc_id) AS docs FROM ({_ALERT_DOCS}) GROUP BY 1""",
     "parse_start_log": f"""WITH {_LOGS}
@@ -293,9 +319,13 @@ ORACLE: dict[str, str] = {
              count(*) AS n FROM logs GROUP BY 1
       UNION ALL
       SELECT 'archive ' || log_date, count(*) FROM logs GROUP BY log_date""",
-    "stream_change_router": f"""WITH {_ORDERS}, {_DETAILS}
-      SELECT 'TOPIC_ORDER_INFO' AS topic, id, total_amount AS amount FROM ord
+    "stream_change_router": f"""WITH {_ORDERS}, {_DETAILS}, {_USERS}
+      SELECT 'TOPIC_ORDER_INFO' AS topic, id, total_amount AS amount, NULL AS level FROM ord
       WHERE order_status = 'O' AND o_orderpriority <> '1-URGENT'
       UNION ALL
-      SELECT 'TOPIC_ORDER_DETAIL', id, sku_price FROM det""",
+      SELECT 'TOPIC_ORDER_DETAIL', id, sku_price, NULL FROM det
+      UNION ALL
+      SELECT 'TOPIC_USER_INFO', id, NULL, user_level FROM usr
+      UNION ALL
+      SELECT 'TOPIC_USER_INFO', id, NULL, 'VIP' FROM usr WHERE user_level = 'HOUSEHOLD'""",
 }

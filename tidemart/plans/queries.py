@@ -53,8 +53,11 @@ def _new(spark, sf):
     return devices.new_devices(_logs(spark, sf), "et")
 
 
-def _orders(spark, sf):
-    return orders.clean_orders(M.typed_orders(table(spark, sf, "orders")))
+def _orders(spark, sf, *days):
+    """Orders of all days, or of the days from the first to the last named."""
+    rows = table(spark, sf, "orders")
+    rows = M.on_order_days(rows, days[0], days[-1]) if days else rows
+    return orders.clean_orders(M.typed_orders(rows))
 
 
 def _purchases(spark, sf, *days):
@@ -71,8 +74,8 @@ def _users(spark, sf):
     return M.user_feed(table(spark, sf, "customer"))
 
 
-def _sales(spark, sf):
-    return sales.enriched_sale_details(_orders(spark, sf), _details(spark, sf),
+def _sales(spark, sf, *days):
+    return sales.enriched_sale_details(_orders(spark, sf, *days), _details(spark, sf),
                                        _users(spark, sf), AS_OF)
 
 
@@ -151,7 +154,7 @@ def gmv_total_by_day(spark, sf):
 
 @query
 def gmv_total_one_day(spark, sf):
-    return orders.gmv_total(_orders(spark, sf), ORDER_DAY)
+    return orders.gmv_total(_orders(spark, sf, ORDER_DAY), ORDER_DAY)
 
 
 @query
@@ -241,8 +244,7 @@ def search_page(spark, sf):
 def search_page_after(spark, sf):
     """The same rows as page 3, read on from the last row of page 2."""
     hits = search.filter_sales(_sales(spark, sf), keyword=KEYWORD)
-    last = search.page_of(hits, 2, 20).tail(1)[0]
-    return search.page_after(hits, tuple(last[c] for c in search.PAGE_ORDER), 20)
+    return search.page_after(hits, search.cursor(search.page_of(hits, 2, 20)), 20)
 
 
 @query
@@ -258,7 +260,7 @@ def search_by_level(spark, sf):
 
 @query
 def search_by_day(spark, sf):
-    return search.filter_sales(_sales(spark, sf), day=ORDER_DAY)
+    return search.filter_sales(_sales(spark, sf, ORDER_DAY), day=ORDER_DAY)
 
 
 @query
@@ -297,13 +299,6 @@ def _found(spark, sf):
     return spark.read.parquet(folder)
 
 
-def _flat(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id", "part", "parts", "mid", F.array_join("uids", ",").alias("uids"),
-        F.array_join("itemIds", ",").alias("item_ids"),
-        F.array_join("events", ",").alias("events"), "ts", "index_day")
-
-
 @query
 def coupon_alert(spark, sf):
     return alerts.detect(_counted(spark, sf)).select(
@@ -313,13 +308,29 @@ def coupon_alert(spark, sf):
 
 @query
 def alert_docs(spark, sf):
-    return _flat(alerts.alert_documents(_counted(spark, sf), _found(spark, sf)))
+    return alerts.alert_documents(_found(spark, sf))
+
+
+@query
+def alert_members(spark, sf):
+    return alerts.alert_members(_counted(spark, sf), _found(spark, sf)).drop("ts", "index_day")
+
+
+@query
+def coupon_alert_fine(spark, sf):
+    """The reference cadence: windows of five minutes that slide by five seconds, over events
+    brought a hundred times closer together."""
+    events = M.event_logs(table(spark, sf, "events"))
+    dense = events.withColumn("et", F.timestamp_millis(F.floor(F.col("ts") / 100).cast("bigint")))
+    found = alerts.detect(alerts.windowed(dense, "5 minutes", "5 seconds"))
+    return found.select("mid", F.unix_millis("window_end").alias("end_ms"), "n_users", "n_items",
+                        "n_events")
 
 
 @query
 def alert_index(spark, sf):
     """Documents per daily index."""
-    docs = alerts.alert_documents(_counted(spark, sf), _found(spark, sf))
+    docs = alerts.alert_documents(_found(spark, sf))
     return (docs.groupBy(C.index_name("coupon_alert", F.col("index_day")).alias("index_name"))
             .agg(F.count_distinct("doc_id").alias("docs")))
 
@@ -418,7 +429,7 @@ def stream_gmv(spark, sf):
     folder = new_folder(spark, "gmv")
     _finish(spark, jobs.start_gmv, _stream_orders(spark, sf), f"{folder}/table",
             f"{folder}/progress", period="month")
-    return orders.gmv_by_hour(jobs.current_orders(spark, f"{folder}/table"))
+    return orders.gmv_by_hour(jobs.current_orders(spark, f"{folder}/table", period="month"))
 
 
 def _run_users(spark, sf, folder):
@@ -444,26 +455,63 @@ def stream_sale_details(spark, sf):
     _finish(spark, jobs.start_sale_details, _stream_orders(spark, sf), detail_raw,
             f"{folder}/users", f"{folder}/table", f"{folder}/progress", as_of=AS_OF,
             period="month")
-    return (jobs.current_sales(spark, f"{folder}/table")
+    return (jobs.current_sales(spark, f"{folder}/table", period="month")
             .select(*SALE_DETAIL.fieldNames(), "index_day"))
 
 
 @query
 def stream_alerts(spark, sf):
-    """A last record a day after all others closes every window before it."""
     folder = new_folder(spark, "alerts")
+    logs = M.event_logs(M.stream(spark, sf, "events"))
+    raw = M.raw(logs, "mid", "uid", "evid", "itemid", "ts", at=event_time(F.col("ts")))
+    _finish(spark, jobs.start_alerts, raw, f"{folder}/table", f"{folder}/progress",
+            ALERT_LENGTH, ALERT_SLIDE)
+    return jobs.current_alerts(spark, f"{folder}/table")
+
+
+def _out_of_order(spark, rows, folder, *columns):
+    """The records as a stream of files, later days first, one file a batch."""
+    raw = M.raw(rows, *columns, at=event_time(F.col("ts")))
+    for half in (F.dayofmonth("timestamp") > 15, F.dayofmonth("timestamp") <= 15):
+        (raw.where(half).select("value", "timestamp").coalesce(1).write.mode("append")
+         .parquet(f"{folder}/in"))
+    return feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in", maxFilesPerTrigger="1")
+
+
+@query
+def stream_alerts_late(spark, sf):
+    """Half of the events come after all later ones; the alerts are those of the whole."""
+    folder = new_folder(spark, "alerts-late")
     logs = M.event_logs(table(spark, sf, "events"))
-    closing = logs.agg((F.max("ts") + 86_400_000).alias("ts")).select(
-        F.lit("closing").alias("mid"), *[F.lit(None).cast("string").alias(c)
-                                         for c in ("uid", "evid", "itemid")], "ts",
-        event_time(F.col("ts")).alias("et"))
-    closing.write.parquet(f"{folder}/closing")
-    both = M.event_logs(M.stream(spark, sf, "events")).unionByName(
-        spark.readStream.schema(closing.schema).parquet(f"{folder}/closing"))
-    raw = M.raw(both, "mid", "uid", "evid", "itemid", "ts", at=event_time(F.col("ts")))
+    raw = _out_of_order(spark, logs, folder, "mid", "uid", "evid", "itemid", "ts")
     _finish(spark, jobs.start_alerts, raw, f"{folder}/table", f"{folder}/progress",
             ALERT_LENGTH, ALERT_SLIDE)
-    return _flat(jobs.current_alerts(spark, f"{folder}/table"))
+    return jobs.current_alert_members(spark, f"{folder}/table").drop("ts", "index_day")
+
+
+@query
+def stream_dau_late(spark, sf):
+    folder = new_folder(spark, "dau-late")
+    logs = M.start_logs(table(spark, sf, "events"))
+    raw = _out_of_order(spark, logs, folder, "mid", "uid", "type", "ts")
+    _finish(spark, jobs.start_dau_state, raw, f"{folder}/table", f"{folder}/progress")
+    days = devices.with_first_hour(jobs.active_devices(spark, f"{folder}/table"))
+    return days.select("mid", "log_date", "log_hour", F.unix_millis("first_et").alias("ts"))
+
+
+@query
+def change_quarantine(spark, sf):
+    """Cut-off change events that the router sets aside, and what it routes of the rest."""
+    folder = new_folder(spark, "change-quarantine")
+    typed = M.change_feed(*[M.stream(spark, sf, n)
+                            for n in ("orders", "lineitem", "part", "customer")])
+    raw = M.raw(typed, "entry_type", "table", "op", "ts", "after", at=F.col("ts"))
+    broken = _broken_some(raw, F.contains("value", F.lit("order_info")))
+    _finish(spark, jobs.start_change_router, broken, f"{folder}/topics", f"{folder}/progress",
+            f"{folder}/quarantine")
+    aside = spark.read.parquet(f"{folder}/quarantine").groupBy(F.col("error").alias("kind"))
+    routed = spark.read.parquet(f"{folder}/topics").groupBy(F.col("topic").alias("kind"))
+    return aside.agg(F.count("*").alias("n")).unionByName(routed.agg(F.count("*").alias("n")))
 
 
 @query
@@ -486,15 +534,15 @@ def stream_change_router(spark, sf):
     """Routed row changes, read back as typed feeds."""
     folder = new_folder(spark, "changes")
     changes = M.change_feed(*[M.stream(spark, sf, n)
-                              for n in ("orders", "lineitem", "part", "customer")],
-                            names=table(spark, sf, "part"))
+                              for n in ("orders", "lineitem", "part", "customer")])
     _finish(spark, jobs.start_change_router, changes, f"{folder}/topics",
             f"{folder}/progress")
     routed = []
-    for name in ("order", "order_detail"):
+    for name, amount in (("order", "total_amount"), ("order_detail", "order_price"), ("user", None)):
         rows = good(parse_feed(feeds.read_topic(spark, f"{folder}/topics", FEEDS[name].topic),
                                name))
-        amount = "total_amount" if name == "order" else "order_price"
-        routed.append(rows.select(F.lit(FEEDS[name].topic).alias("topic"), "id",
-                                  F.col(amount).cast("double").alias("amount")))
-    return routed[0].unionByName(routed[1])
+        routed.append(rows.select(
+            F.lit(FEEDS[name].topic).alias("topic"), "id",
+            (F.col(amount) if amount else F.lit(None)).cast("double").alias("amount"),
+            (F.lit(None).cast("string") if amount else F.col("user_level")).alias("level")))
+    return routed[0].unionByName(routed[1]).unionByName(routed[2])

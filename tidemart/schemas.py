@@ -93,12 +93,19 @@ SALE_DETAIL = T.StructType([
 
 ALERT_DOC = T.StructType([
     T.StructField("doc_id", T.StringType()),
-    T.StructField("part", T.IntegerType()),
-    T.StructField("parts", T.IntegerType()),
     T.StructField("mid", T.StringType()),
-    T.StructField("uids", T.ArrayType(T.StringType())),
-    T.StructField("itemIds", T.ArrayType(T.StringType())),
-    T.StructField("events", T.ArrayType(T.StringType())),
+    T.StructField("n_users", T.LongType()),
+    T.StructField("n_items", T.LongType()),
+    T.StructField("n_events", T.LongType()),
+    T.StructField("ts", T.LongType()),
+    T.StructField("index_day", T.StringType()),
+])
+
+ALERT_MEMBER = T.StructType([
+    T.StructField("doc_id", T.StringType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("n", T.LongType()),
     T.StructField("ts", T.LongType()),
     T.StructField("index_day", T.StringType()),
 ])

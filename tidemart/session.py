@@ -28,9 +28,6 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # fewer, larger scan tasks than the default of 128 MB
     "spark.sql.files.maxPartitionBytes": "256m",
-    # a page far down a listing sorts by range instead of keeping
-    # offset + limit rows in one task's heap
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
 STREAM_DEFAULTS = {

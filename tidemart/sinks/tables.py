@@ -24,7 +24,6 @@ BATCH_COLUMNS = ["run", "batch"]
 ROW_HASH = "row_hash"
 PERIODS = {"day": 10, "month": 7}  # leading characters of yyyy-MM-dd
 _BATCH_FIELDS = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
-_LISTED_DAYS = 400
 
 
 def run_id(spark: SparkSession, checkpoint: str) -> str:
@@ -74,46 +73,73 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return _read(spark, path, path, T.StructType([*schema.fields, *_BATCH_FIELDS]))
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Begin a table: from now on it has no rows, where an unknown path is an error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _check_period(spark: SparkSession, path: str, period: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        raise FileNotFoundError(f"no table at {path}")
+    entries = store.listStatusIterator(folder)
+    while entries.hasNext():
+        name = entries.next().getPath().getName()
+        if name.startswith("period="):
+            if len(name) != len("period=") + PERIODS[period] and "__HIVE" not in name:
+                raise ValueError(f"{path} is not partitioned by {period}: it has {name}")
+            return
+
+
 def read_days(spark: SparkSession, path: str, schema: T.StructType, day: str,
-              days: Sequence[str] | None = None, period: str = "day") -> DataFrame:
+              days: Sequence[str] | None = None, period: str = "day",
+              span: tuple[str, str] | None = None) -> DataFrame:
     """Rows of a table written by :func:`write_days`, with their run and batch.
 
-    With ``days`` only their folders are listed and read. A table or day that
-    does not exist yet gives no rows.
+    With ``days`` only their folders are listed and read; with ``span`` the
+    folders from its first to its last day are. A day without rows gives none;
+    a path without a table, or one with other periods, is an error.
     """
+    _check_period(spark, path, period)
     layout = T.StructType([*schema.fields, T.StructField("period", T.StringType()),
                            *_BATCH_FIELDS])
+    if span is not None:
+        first, last = (d[:PERIODS[period]] for d in span)
+        rows = _read(spark, path, path, layout).where(F.col("period").between(first, last))
+        return rows.where(F.col(day).between(*span)).drop("period")
     if days is None:
         return _read(spark, path, path, layout).drop("period")
     folders = sorted({d[:PERIODS[period]] for d in days})
-    rows = _read(spark, path, f"{path}/period={{{','.join(folders)}}}", layout)
+    try:
+        rows = _read(spark, path, f"{path}/period={{{','.join(folders)}}}", layout)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], layout)  # none of the days is there yet
     return rows.where(F.col(day).isin(list(days))).drop("period")
 
 
 def read_table(spark: SparkSession, path: str, layout: T.StructType | str) -> DataFrame:
-    """A plain table; no rows while it does not exist."""
+    """A plain table."""
     return _read(spark, path, path, layout)
 
 
 def _read(spark: SparkSession, base: str, where: str,
           layout: T.StructType | str) -> DataFrame:
-    try:
-        return spark.read.schema(layout).option("basePath", base).parquet(where)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], layout)
+    return spark.read.schema(layout).option("basePath", base).parquet(where)
 
 
-def days_of(rows: DataFrame, day: str) -> list[str] | None:
-    """The days a batch touches, or None when they are too many to list.
-
-    A live batch touches one or two; a backfill over years reads the table
-    without the restriction.
-    """
-    found = [r[0] for r in rows.select(day).where(F.col(day).isNotNull()).distinct()
-             .limit(_LISTED_DAYS + 1).collect()]
-    return found if len(found) <= _LISTED_DAYS else None
+def span_of(rows: DataFrame, day: str) -> tuple[str, str]:
+    """The first and the last day of a batch: one range, however many days there are."""
+    first, last = rows.agg(F.min(day), F.max(day)).first()
+    return (first or "", last or "")
 
 
 def latest(table: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemart.functions.parse import good, parse_changes
 from tidemart.schemas import CHANGE, FEEDS, RAW
 
 _ROUTED = T.StructType([*RAW.fields, T.StructField("topic", T.StringType())])
@@ -72,13 +73,18 @@ def read_topic(spark: SparkSession, path: str, topic: str) -> DataFrame:
     return _as_raw(spark.read.schema(_ROUTED).parquet(path).where(F.col("topic") == topic))
 
 
-def read_changes_stream(spark: SparkSession, path: str, fmt: str = "json",
+def read_changes_stream(spark: SparkSession, path: str | None = None, fmt: str = "text",
                         max_files: int | None = None, **options: str) -> DataFrame:
-    """Row changes of all tables (:data:`tidemart.schemas.CHANGE`)."""
+    """Raw change events of all tables, one JSON object each; the router types them.
+
+    For Kafka pass ``fmt="kafka"`` with ``subscribe``; ``maxOffsetsPerTrigger`` or ``max_files``
+    cap a micro-batch.
+    """
     if max_files:
         options["maxFilesPerTrigger"] = str(max_files)
-    return spark.readStream.format(fmt).schema(CHANGE).options(**options).load(path)
+    return read_feed_stream(spark, None, fmt, path, **options)
 
 
-def read_changes(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return spark.read.format(fmt).schema(CHANGE).load(path)
+def read_changes(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
+    """The same events as a batch, typed (:data:`tidemart.schemas.CHANGE`) where readable."""
+    return good(parse_changes(read_feed(spark, None, fmt, path))).select(*CHANGE.fieldNames())

@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemart.functions.columns import day_of
-from tidemart.functions.parse import good, parse_feed, quarantined, with_log_time
+from tidemart.functions.parse import good, parse_changes, parse_feed, quarantined, with_log_time
 from tidemart.operators import alerts, devices, orders, routing, sales
 from tidemart.schemas import (
-    ALERT_DOC, ALERT_MIN_USERS, ALERT_WINDOW, CADENCE, DAU_TABLE, JOIN_BOUND_SECONDS, ORDER_TABLE,
+    ALERT_MIN_USERS, ALERT_WINDOW, CADENCE, DAU_TABLE, JOIN_BOUND_SECONDS, ORDER_TABLE,
     SALE_DETAIL, USER, USER_CADENCE)
 from tidemart.sinks import tables
 
@@ -31,22 +31,42 @@ _CHANGE_TIME = T.StructField("change_ts", T.TimestampType())
 _HASH = T.StructField(tables.ROW_HASH, T.LongType())
 ORDER_VERSIONS = T.StructType([*ORDER_TABLE.fields, _CHANGE_TIME, _HASH])
 USER_VERSIONS = T.StructType([*USER.fields, _CHANGE_TIME, _HASH])
+PANES = T.StructType([
+    T.StructField("pane", T.TimestampType()), T.StructField("mid", T.StringType()),
+    T.StructField("evid", T.StringType()), T.StructField("uid", T.StringType()),
+    T.StructField("itemid", T.StringType()), T.StructField("n", T.LongType()),
+    T.StructField("pane_day", T.StringType())])
+_WINDOW = [
+    T.StructField("window_start", T.TimestampType()), T.StructField("window_end", T.TimestampType()),
+    T.StructField("mid", T.StringType())]
+JUDGED = T.StructType([
+    *_WINDOW, T.StructField("n_users", T.LongType()), T.StructField("n_items", T.LongType()),
+    T.StructField("n_events", T.LongType()), T.StructField("clicked", T.BooleanType()),
+    T.StructField("index_day", T.StringType())])
+LISTED = T.StructType([
+    *_WINDOW, T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()),
+    T.StructField("n", T.LongType()), T.StructField("index_day", T.StringType())])
+#: Rows that one file of a batch holds, where Spark cannot size the files itself.
+FILE_ROWS = 500_000
 SALE_VERSIONS = T.StructType([
     *SALE_DETAIL.fields, T.StructField("index_day", T.StringType()),
     T.StructField("joined_rt", T.TimestampType()), _HASH])
 
 
 def _start(stream: DataFrame, name: str, checkpoint: str, trigger: dict | None, cadence: str,
-           write: Callable[[DataFrame, str, int], None], mode: str = "append") -> StreamingQuery:
-    """Run ``write(batch, run, batch_id)`` on every micro-batch."""
+           write: Callable[[DataFrame, str, int], None], *owned: str) -> StreamingQuery:
+    """Run ``write(batch, run, batch_id)`` on every micro-batch; the job's own tables begin
+    with it, so that they can be read before it has written to them."""
     owner: list[str] = []
+    for path in owned:
+        tables.make_folder(stream.sparkSession, path)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if not owner:
             owner.append(tables.run_id(batch.sparkSession, checkpoint))
         write(batch, owner[0], batch_id)
 
-    return (stream.writeStream.queryName(name).outputMode(mode).foreachBatch(on_batch)
+    return (stream.writeStream.queryName(name).outputMode("append").foreachBatch(on_batch)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": cadence})).start())
 
@@ -94,11 +114,22 @@ def start_log_router(raw: DataFrame, topics: str, archive: str, checkpoint: str,
     return _start(raw, "log_router", checkpoint, trigger, CADENCE, write)
 
 
-def start_change_router(changes: DataFrame, topics: str, checkpoint: str, fmt: str = "parquet",
+def start_change_router(changes: DataFrame, topics: str, checkpoint: str,
+                        quarantine: str | None = None, fmt: str = "parquet",
                         trigger: dict | None = None, **options: str) -> StreamingQuery:
-    """Send the after-images of wanted row changes to their feed."""
+    """Send the after-images of wanted row changes to their feed.
+
+    ``changes`` are raw change events (``value``, ``timestamp``), of which the unreadable ones
+    are set aside, or rows that are typed already.
+    """
+    raw = "value" in changes.columns
+
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        tables.write_topics(routing.route_changes(batch), fmt, topics, run, batch_id, **options)
+        with _kept(parse_changes(batch) if raw else batch, raw) as parsed:
+            wanted = good(parsed) if raw else parsed
+            tables.write_topics(routing.route_changes(wanted), fmt, topics, run, batch_id, **options)
+            if raw:
+                _set_aside(parsed, quarantine, run, batch_id)
 
     return _start(changes, "change_router", checkpoint, trigger, CADENCE, write)
 
@@ -114,35 +145,35 @@ def start_dau(raw: DataFrame, table: str, checkpoint: str, quarantine: str | Non
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
         with _kept(parse_feed(batch, "start"), bool(quarantine)) as parsed:
             with _kept(devices.first_of_day(with_log_time(good(parsed)))) as firsts:
-                days = tables.days_of(firsts, "log_date")
                 seen = tables.read_days(
-                    batch.sparkSession, table, DAU_TABLE, "log_date", days).where(
+                    batch.sparkSession, table, DAU_TABLE, "log_date",
+                    span=tables.span_of(firsts, "log_date")).where(
                     (F.col("run") != run) | (F.col("batch") < batch_id))
                 known = devices.seen_of(firsts, seen)
                 fresh = devices.drop_seen(firsts, known).select(*DAU_TABLE.fieldNames())
                 tables.write_days(fresh, table, "log_date", run, batch_id)
             _set_aside(parsed, quarantine, run, batch_id)
 
-    return _start(raw, "dau", checkpoint, trigger, CADENCE, write)
+    return _start(raw, "dau", checkpoint, trigger, CADENCE, write, table)
 
 
-def start_dau_state(raw: DataFrame, table: str, checkpoint: str, delay: str = "1 day",
+def start_dau_state(raw: DataFrame, table: str, checkpoint: str, quarantine: str | None = None,
                     trigger: dict | None = None) -> StreamingQuery:
-    """Active devices by their earliest record, from keyed state.
+    """Active devices by their earliest record, without reading what was seen before.
 
-    Costs as much as the batch, whatever the number of devices already seen
-    that day: the state store answers per key. A batch emits the keys whose
-    earliest time it may have changed; :func:`active_devices` reads the result.
-    State of a day is dropped ``delay`` after the day is over.
+    Each batch writes the earliest time of its own devices and days;
+    :func:`active_devices` takes the earliest over the batches. A batch costs
+    what it holds, and a record may come any time late: there is no watermark
+    to fall behind.
     """
-    logs = with_log_time(good(parse_feed(raw, "start"))).withWatermark("et", delay)
-    days = (logs.groupBy(F.window("et", "1 day").alias("d"), "mid", "log_date")
-            .agg(F.min("et").alias("first_et")).drop("d"))
-
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        tables.write_days(batch, table, "log_date", run, batch_id)
+        with _kept(parse_feed(batch, "start"), bool(quarantine)) as parsed:
+            firsts = (with_log_time(good(parsed)).where(F.col("mid").isNotNull())
+                      .groupBy("mid", "log_date").agg(F.min("et").alias("first_et")))
+            tables.write_days(firsts, table, "log_date", run, batch_id)
+            _set_aside(parsed, quarantine, run, batch_id)
 
-    return _start(days, "dau_state", checkpoint, trigger, CADENCE, write, mode="update")
+    return _start(raw, "dau_state", checkpoint, trigger, CADENCE, write, table)
 
 
 def active_devices(spark: SparkSession, table: str, days: list[str] | None = None) -> DataFrame:
@@ -164,7 +195,7 @@ def start_gmv(raw: DataFrame, table: str, checkpoint: str, quarantine: str | Non
                               run, batch_id, period)
             _set_aside(parsed, quarantine, run, batch_id)
 
-    return _start(raw, "gmv", checkpoint, trigger, CADENCE, write)
+    return _start(raw, "gmv", checkpoint, trigger, CADENCE, write, table)
 
 
 def current_orders(spark: SparkSession, table: str, days: list[str] | None = None,
@@ -183,7 +214,7 @@ def start_users(raw: DataFrame, table: str, checkpoint: str, quarantine: str | N
             tables.write_batch(tables.versioned(rows, USER_VERSIONS), table, None, run, batch_id)
             _set_aside(parsed, quarantine, run, batch_id)
 
-    return _start(raw, "users", checkpoint, trigger, USER_CADENCE, write)
+    return _start(raw, "users", checkpoint, trigger, USER_CADENCE, write, table)
 
 
 def user_versions(spark: SparkSession, table: str) -> DataFrame:
@@ -200,29 +231,76 @@ def current_users(spark: SparkSession, table: str) -> DataFrame:
 
 def start_alerts(raw: DataFrame, table: str, checkpoint: str, length: str = ALERT_WINDOW,
                  slide: str = "1 minute", min_users: int = ALERT_MIN_USERS,
-                 delay: str = "1 minute", trigger: dict | None = None) -> StreamingQuery:
-    """Alert documents of closed windows; :func:`current_alerts` reads them."""
-    events = with_log_time(good(parse_feed(raw, "event")))
-    counted = alerts.windowed_stream(events, length, slide, delay)
+                 quarantine: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Alerts of sliding windows; :func:`current_alerts` reads them.
+
+    A batch adds its counted panes to ``<table>/panes`` and judges the windows
+    they fall into anew, from all panes of the devices they name. So an alert
+    is out with the batch that completes it, a record that comes late, however
+    late, changes the windows it belongs to, and a late click takes an alert
+    back. Only the days that the windows of the batch touch are read.
+    """
+    pane_table, judged_table, listed_table = (f"{table}/{x}" for x in ("panes", "windows", "members"))
+    reach = F.expr(f"INTERVAL {alerts.seconds(length)} SECONDS")
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        with _kept(batch) as closed, _kept(alerts.detect(closed, min_users)) as found:
-            if found.count():  # also tells Spark how few the alerts are
-                tables.write_days(alerts.alert_documents(closed, found), table, "index_day",
-                                  run, batch_id)
+        with _kept(parse_feed(batch, "event"), bool(quarantine)) as parsed:
+            events = with_log_time(good(parsed))
+            with _kept(alerts.panes(events, length, slide).withColumn(
+                    "pane_day", day_of(F.col("pane")))) as fresh:
+                tables.write_days(fresh, pane_table, "pane_day", run, batch_id)
+                first, last = fresh.agg(F.min(F.col("pane") - reach),
+                                        F.max(F.col("pane") + reach)).first()
+                if first is not None:
+                    judge(batch.sparkSession, fresh, first, last, run, batch_id)
+            _set_aside(parsed, quarantine, run, batch_id)
+
+    def judge(spark: SparkSession, fresh: DataFrame, first, last, run: str, batch_id: int) -> None:
+        days = f"{first:%Y-%m-%d}", f"{last:%Y-%m-%d}"
+        touched = alerts.spread(fresh.select("pane", "mid"), length, slide).distinct()
+        known = (tables.read_days(spark, pane_table, PANES, "pane_day", span=days)
+                 .where((F.col("run") != run) | (F.col("batch") <= batch_id))
+                 .where(F.col("pane").between(first, last))
+                 .join(fresh.select("mid").distinct(), "mid", "left_semi"))
+        counted = (alerts.spread(known.drop(*tables.BATCH_COLUMNS, "pane_day"), length, slide)
+                   .join(touched, alerts.WINDOW_KEY, "left_semi"))
+        with _kept(alerts.judge(counted, min_users)) as judged:
+            if not judged.count():  # also tells Spark how few the alerts are
+                return
+            index_day = day_of(F.col("window_end"))
+            tables.write_days(judged.withColumn("index_day", index_day), judged_table, "index_day",
+                              run, batch_id)
+            listed = alerts.members(counted, judged.where(~F.col("clicked")))
+            tables.write_days(listed.withColumn("index_day", index_day), listed_table, "index_day",
+                              run, batch_id)
+
+    return _start(raw, "alerts", checkpoint, trigger, CADENCE, write,
+                  pane_table, judged_table, listed_table)
 
-    return _start(counted, "alerts", checkpoint, trigger, CADENCE, write)
+
+def _current_windows(spark: SparkSession, table: str, days: list[str] | None) -> DataFrame:
+    return alerts.latest_windows(
+        tables.read_days(spark, f"{table}/windows", JUDGED, "index_day", days))
 
 
 def current_alerts(spark: SparkSession, table: str, days: list[str] | None = None) -> DataFrame:
-    return alerts.latest_documents(
-        tables.read_days(spark, table, ALERT_DOC, "index_day", days))
+    """Headers of the alerts that stand."""
+    return alerts.alert_documents(_current_windows(spark, table, days))
+
+
+def current_alert_members(spark: SparkSession, table: str, days: list[str] | None = None
+                          ) -> DataFrame:
+    """Member rows of the alerts that stand, as the batch that judged them last listed them."""
+    listed = tables.read_days(spark, f"{table}/members", LISTED, "index_day", days)
+    written = _current_windows(spark, table, days).select(*alerts.WINDOW_KEY, *tables.BATCH_COLUMNS)
+    rows = listed.join(written, [*alerts.WINDOW_KEY, *tables.BATCH_COLUMNS], "left_semi")
+    return alerts.named_members(rows)
 
 
 def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str, table: str,
                        checkpoint: str, as_of: Column | str | None = None,
                        seconds: int = JOIN_BOUND_SECONDS, delay: str = "1 minute",
-                       salts: int = 1, period: str = "day",
+                       salts: int = 16, period: str = "day",
                        trigger: dict | None = None) -> StreamingQuery:
     """Order lines joined with orders and users; :func:`current_sales` reads them.
 
@@ -240,16 +318,19 @@ def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str,
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
         with _kept(batch) as found:
-            if not found.count():  # also tells Spark how small the batch is
+            n = found.count()  # also tells Spark how small the batch is
+            if not n:
                 return
             versions = user_versions(batch.sparkSession, users)
             known = latest_versions(sales.users_of(found, versions))
             rows = sales.enrich(found, known, F.col("joined_rt") if as_of is None else as_of)
-            rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
+            # batches of a stream with state run without adaptive execution: size the files here
+            rows = (rows.withColumn("index_day", day_of(F.col("joined_rt")))
+                    .repartition(1 + n // FILE_ROWS))
             tables.write_days(tables.versioned(rows, SALE_VERSIONS), table, "dt",
                               run, batch_id, period)
 
-    return _start(pairs, "sale_details", checkpoint, trigger, CADENCE, write)
+    return _start(pairs, "sale_details", checkpoint, trigger, CADENCE, write, table, users)
 
 
 def current_sales(spark: SparkSession, table: str, days: list[str] | None = None,

@@ -42,7 +42,17 @@ class Warehouse:
     def _feed(self, name: str) -> DataFrame:
         if name in self.sources:
             return self.sources[name]
-        return feeds.read_topic_stream(self.spark, self.path("topics"), FEEDS[name].topic)
+        topic = FEEDS[name].topic
+        tables.make_folder(self.spark, self.path(f"topics/topic={topic}"))  # may be empty yet
+        return feeds.read_topic_stream(self.spark, self.path("topics"), topic)
+
+    def _table(self, name: str) -> str:
+        """The path of an own table, which may have no rows yet; a root without any job is an
+        error."""
+        if not tables.exists(self.spark, self.path("progress")):
+            raise FileNotFoundError(f"no warehouse at {self.root}")
+        tables.make_folder(self.spark, self.path(name))
+        return self.path(name)
 
     def _places(self, job: str) -> dict[str, str]:
         return {"checkpoint": self.path(f"progress/{job}"),
@@ -57,16 +67,21 @@ class Warehouse:
 
     def route_changes(self, changes: DataFrame, trigger: dict | None = None,
                       **sink: str) -> StreamingQuery:
-        return jobs.start_change_router(changes, self.path("topics"),
-                                        self.path("progress/changes"), trigger=trigger, **sink)
+        return jobs.start_change_router(changes, self.path("topics"), trigger=trigger,
+                                        **self._places("changes"), **sink)
 
     def count_devices(self, trigger: dict | None = None) -> StreamingQuery:
         return jobs.start_dau(self._feed("start"), self.path("dau"), trigger=trigger,
                               **self._places("dau"))
 
+    def time_devices(self, trigger: dict | None = None) -> StreamingQuery:
+        """Active devices by their earliest record; :meth:`active_devices` answers from it."""
+        return jobs.start_dau_state(self._feed("start"), self.path("active"), trigger=trigger,
+                                    **self._places("active"))
+
     def watch_coupons(self, trigger: dict | None = None, **rule) -> StreamingQuery:
-        return jobs.start_alerts(self._feed("event"), self.path("alerts"),
-                                 self.path("progress/alerts"), trigger=trigger, **rule)
+        return jobs.start_alerts(self._feed("event"), self.path("alerts"), trigger=trigger,
+                                 **self._places("alerts"), **rule)
 
     def count_orders(self, trigger: dict | None = None) -> StreamingQuery:
         return jobs.start_gmv(self._feed("order"), self.path("orders"), period=self.period,
@@ -77,6 +92,10 @@ class Warehouse:
                                 **self._places("users"))
 
     def join_sales(self, trigger: dict | None = None, **join) -> StreamingQuery:
+        """The joined sales. The unreadable records of both feeds are set aside by two more
+        queries that start with the join, as its state cannot keep them."""
+        for feed in ("order", "order_detail"):
+            self.set_aside(feed, trigger)
         return jobs.start_sale_details(
             self._feed("order"), self._feed("order_detail"), self.path("users"),
             self.path("sales"), self.path("progress/sales"), period=self.period,
@@ -99,15 +118,18 @@ class Warehouse:
         for name, schema, column, key, order in (
                 ("orders", jobs.ORDER_VERSIONS, "create_date", "id", "change_ts"),
                 ("sales", jobs.SALE_VERSIONS, "dt", "order_detail_id", "joined_rt")):
-            tables.publish(self.spark, self.path(name), self.path(f"{name}_by_day"), schema,
+            tables.publish(self.spark, self._table(name), self.path(f"{name}_by_day"), schema,
                            column, [key, column], [order], [day], self.period)
 
     # --- tables ---------------------------------------------------------------
 
     def devices_of(self, days: list[str] | None = None) -> DataFrame:
-        return tables.read_days(self.spark, self.path("dau"), DAU_TABLE, "log_date", days).drop(
+        return tables.read_days(self.spark, self._table("dau"), DAU_TABLE, "log_date", days).drop(
             *tables.BATCH_COLUMNS)
 
+    def active_devices(self, days: list[str] | None = None) -> DataFrame:
+        return jobs.active_devices(self.spark, self._table("active"), days)
+
     def new_devices(self, days: list[str]) -> DataFrame:
         """Devices of the given days that no earlier day has seen.
 
@@ -115,24 +137,32 @@ class Warehouse:
         them, which has one row per device, not with the whole activity.
         """
         first = min(days)
-        seen = tables.read_table(self.spark, self.path("first_seen"),
+        seen = tables.read_table(self.spark, self._table("first_seen"),
                                  "mid STRING, log_hour STRING, log_date STRING")
         rows = self.devices_of(days).withColumn("et", event_time(F.col("ts")))
         earlier = seen.where(F.col("log_date") < first).select("mid")
         return devices.new_devices(rows.join(earlier, "mid", "left_anti"), "et")
 
     def orders_of(self, days: list[str] | None = None) -> DataFrame:
-        return jobs.current_orders(self.spark, self.path("orders"), days, self.period)
+        return jobs.current_orders(self.spark, self._table("orders"), days, self.period)
 
     def users(self) -> DataFrame:
-        return jobs.current_users(self.spark, self.path("users"))
+        return jobs.current_users(self.spark, self._table("users"))
 
     def sales_of(self, days: list[str] | None = None) -> DataFrame:
-        return jobs.current_sales(self.spark, self.path("sales"), days, self.period).select(
+        return jobs.current_sales(self.spark, self._table("sales"), days, self.period).select(
             *SALE_DETAIL.fieldNames())
 
     def alerts_of(self, days: list[str] | None = None) -> DataFrame:
-        return jobs.current_alerts(self.spark, self.path("alerts"), days)
+        return jobs.current_alerts(self.spark, self._alerts(), days)
+
+    def alert_members_of(self, days: list[str] | None = None) -> DataFrame:
+        return jobs.current_alert_members(self.spark, self._alerts(), days)
+
+    def _alerts(self) -> str:
+        for part in ("windows", "members"):
+            self._table(f"alerts/{part}")
+        return self.path("alerts")
 
     # --- answers --------------------------------------------------------------
 
