@@ -300,7 +300,7 @@ def current_alert_members(spark: SparkSession, table: str, days: list[str] | Non
 def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str, table: str,
                        checkpoint: str, as_of: Column | str | None = None,
                        seconds: int = JOIN_BOUND_SECONDS, delay: str = "1 minute",
-                       salts: int = 16, period: str = "day",
+                       salts: int = 8, period: str = "day",
                        trigger: dict | None = None) -> StreamingQuery:
     """Order lines joined with orders and users; :func:`current_sales` reads them.
 
