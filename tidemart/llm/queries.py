@@ -79,7 +79,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = repetition.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.drop("n_repeats", "longest_repeat", "spans")
 
 
 @query
@@ -134,3 +135,63 @@ SELECT conv_id, count(*) AS n_turns,
            + length({_escaped('text')})) + 8 AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id
 """
+
+
+ORACLE["op9_substring_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (
+  SELECT doc_id, g.i, md5(array_to_string(words[g.i:g.i + 49], ' ')) AS k
+  FROM t, unnest(range(1, len(words) - 48)) AS g(i)),
+gone AS (
+  SELECT DISTINCT doc_id, i + j.n AS i
+  FROM w JOIN (SELECT k, min(doc_id) AS least FROM w GROUP BY k) USING (k), range(50) AS j(n)
+  WHERE doc_id > least),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, g.i, words[g.i] AS word FROM t, unnest(range(1, len(words) + 1)) AS g(i))
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+  CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _repeated(name: str, size: int) -> str:
+    """Words in windows of ``size`` that occur twice or more in their text."""
+    return f"""
+{name}_all AS (
+  SELECT doc_id, g.i, md5(array_to_string(words[g.i:g.i + {size - 1}], ' ')) AS k
+  FROM t, unnest(range(1, len(words) - {size - 2})) AS g(i)),
+{name} AS (
+  SELECT doc_id, count(DISTINCT i + j.n) AS n
+  FROM {name}_all JOIN (SELECT doc_id, k FROM {name}_all GROUP BY ALL HAVING count(*) > 1) USING (doc_id, k),
+    range({size}) AS j(n)
+  GROUP BY doc_id)"""
+
+
+_RULES = repetition.Limits()
+ORACLE["op6_repetition_rules"] = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+{_repeated("short", 3)},
+{_repeated("long", _RULES.least_repeat)},
+{_repeated("longest", _RULES.longest_repeat + 1)},
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(short.n, 0) AS n_repeat_words,
+    coalesce(long.n, 0) AS covered_words, coalesce(longest.n, 0) AS too_long
+  FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN short USING (doc_id) LEFT JOIN long USING (doc_id)
+    LEFT JOIN longest USING (doc_id))
+SELECT * EXCLUDE (too_long), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND too_long = 0
+    AND covered_words <= {_RULES.most_covered} * n_words AS kept
+FROM counted
+"""
