@@ -109,6 +109,7 @@ def test_benchmark_matches(spark, nothing, block_bytes):
     assert got == sorted(want)
     clean = decontamination.decontaminate(frame, bench)
     assert clean.columns == ["doc_id", "text", "found"]
+    assert {r["found"] for r in clean.collect()} == {"x"}
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, h in want if not h)
     assert decontamination.decontaminate(nothing, bench).count() == 0
     none = bench.limit(0)
@@ -131,13 +132,15 @@ def test_toxicity_held_out(spark, nothing):
 
 def test_toxicity_cases(spark, corpus, nothing):
     docs, rows = corpus
-    docs = docs.withColumn("toxic", F.lit(5))
+    docs = docs.withColumns({"toxic": F.lit(5), "p_toxic": F.lit(7)})
     labels = spark.createDataFrame([(i, int(i in range(80, 90))) for i in range(100)] + [(None, 1), (3, None), (9999, 1)],
                                    "doc_id long, toxic int")
     settings = toxicity.Settings(least_texts=2)
     left = toxicity.drop_toxic(docs, labels, settings)
     assert left.columns == docs.columns
-    ids = {r["doc_id"] for r in left.collect()}
+    kept = left.collect()
+    assert {(r["toxic"], r["found"], r["p_toxic"]) for r in kept} == {(5, "y", 7)}
+    ids = {r["doc_id"] for r in kept}
     assert not ids & set(range(80, 90)) and len(ids) > 80
     for few in (labels.where("toxic = 0"), labels.limit(0)):
         assert toxicity.drop_toxic(docs, few).count() == len(rows)

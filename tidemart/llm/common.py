@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemart.session import new_folder
 
@@ -93,6 +94,16 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return hashes
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``text`` and the other columns as one struct, so that no name of theirs can clash."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("_row"), "text")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
            ) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most`` bytes at once; a longer

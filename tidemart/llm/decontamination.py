@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from tidemart.llm.common import slices, texts, window_hashes, word_hashes
+from tidemart.llm.common import packed, slices, texts, unpacked, window_hashes, word_hashes
 
 #: Part of an item's words that may differ.
 ERRORS = 0.15
@@ -178,11 +178,12 @@ def match_benchmark(docs: DataFrame, items: DataFrame, errors: float = ERRORS,
     """Columns of ``docs`` and ``found``: the items within their budget, each with its distance and
     the end of the passage in words."""
     out = docs.withColumn("found", F.lit(None).cast(_FOUND))
-    for block in _blocks(items, block_bytes):
+    for block in _blocks(items, block_bytes):  # one pass over the texts for each
         out = _matched(out, block, errors)
     return out.withColumn("found", F.coalesce("found", F.array().cast(_FOUND)))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> DataFrame:
     """The documents that hold no passage of an item."""
-    return match_benchmark(docs, items, errors).where(F.size("found") == 0).select(*docs.columns)
+    found = match_benchmark(packed(docs), items, errors)
+    return unpacked(found.where(F.size("found") == 0), docs.columns)

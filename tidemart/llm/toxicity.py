@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.llm.common import slices, texts
+from tidemart.llm.common import packed, slices, texts, unpacked
 from tidemart.llm.decontamination import words_of
 
 #: Categories in the order of the chain; the words label training texts, nothing else.
@@ -83,7 +83,7 @@ def _choose_features(sample: DataFrame, settings: Settings) -> list[str]:
                 seen[toxic].update(text_features(text))
             for toxic in (0, 1):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(seen[toxic])), pa.array([toxic] * len(seen[toxic]), pa.int32()),
+                    [pa.array(list(seen[toxic]), pa.string()), pa.array([toxic] * len(seen[toxic]), pa.int32()),
                      pa.array(list(seen[toxic].values()), pa.int64())], ["feature", "toxic", "n"])
 
     totals = {r["toxic"]: r["n"] for r in
@@ -230,10 +230,5 @@ def score(docs: DataFrame, chain: Chain, settings: Settings = Settings()) -> Dat
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that the chain does not reject."""
-    scored = score(docs.withColumn("_toxic_before", F.lit(None).cast("int"))
-                   if "toxic" not in docs.columns else
-                   docs.withColumnRenamed("toxic", "_toxic_before"), train(docs, labels, settings),
-                   settings)
-    kept = scored.where(~F.col("toxic")).drop("toxic")
-    return (kept.withColumnRenamed("_toxic_before", "toxic") if "toxic" in docs.columns
-            else kept).select(*docs.columns)
+    scored = score(packed(docs), train(docs, labels, settings), settings)
+    return unpacked(scored.where(~F.col("toxic")), docs.columns)
