@@ -69,18 +69,18 @@ def block_keys(line: Column) -> Column:
 
 
 def variant_keys(line: Column) -> Column:
-    """(key, kind): the line itself (``whole``) and its one-deletion variants, each once with the
-    place (``place``, to meet substitutions) and once without (``part``, to meet the line that
-    equals it)."""
+    """(key, kind): the line itself (``w``) and its one-deletion variants, each once with the
+    place (``p``, to meet substitutions) and once without (``d``, to meet the line that equals
+    it)."""
     def entry(kind: str, *parts: Column) -> Column:
         return F.struct(F.xxhash64(*parts).alias("key"), F.lit(kind).alias("kind"))
 
     def deleted(i: Column) -> Column:
         rest = F.concat(F.substr(line, F.lit(1), i - 1), F.substr(line, i + 1))
-        return F.array(entry("place", F.lit("place"), i, rest), entry("part", F.lit("line"), rest))
+        return F.array(entry("p", F.lit("place"), i, rest), entry("d", F.lit("line"), rest))
 
-    return F.array_append(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.char_length(line)), deleted))), entry("whole", F.lit("line"), line))
+    return F.array_append(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(line)), deleted)),
+                          entry("w", F.lit("line"), line))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -102,13 +102,16 @@ def _sharing(rows: DataFrame, keys: str) -> DataFrame:
 
 def _near_pairs(lines: DataFrame) -> DataFrame:
     """(h1 of the earlier, h1 of the later) line that met in the deletion neighbourhood."""
-    member = F.struct("place", "h1").alias("member")
-    keys = lines.select(member, F.inline(variant_keys(F.col("line"))))
-    placed = keys.where("kind = 'place'").select("key", "member")
-    earliest = placed.groupBy("key").agg(F.min("member").alias("other")).join(placed, "key")
-    wholes = keys.where("kind = 'whole'").select("key", F.col("member").alias("other"))
-    inserted = keys.where("kind = 'part'").select("key", "member").join(wholes, "key")
-    met = earliest.select("other", "member").unionByName(inserted.select("other", "member"))
+    keys = cut(lines.select(F.struct("place", "h1").alias("member"),
+                            F.inline(variant_keys(F.col("line")))), "line-variants")
+
+    def least(kind: str) -> Column:
+        return F.min(F.when(F.col("kind") == kind, F.col("member")))
+
+    shared = (keys.groupBy("key").agg(F.count("*").alias("n"), least("p").alias("earliest"),
+                                      least("w").alias("whole")).where("n > 1").drop("n"))
+    met = keys.where("kind <> 'w'").join(shared, "key").select(
+        "member", F.when(F.col("kind") == "p", F.col("earliest")).otherwise(F.col("whole")).alias("other"))
     return met.where(F.col("other.h1") != F.col("member.h1")).select(
         F.least("other", "member")["h1"].alias("a"),
         F.greatest("other", "member")["h1"].alias("b")).distinct()
