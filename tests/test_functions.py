@@ -102,11 +102,13 @@ def test_numbers_in_text_fields_of_events(spark):
     assert rows(good(parsed).select("pgid", "itemid")) == [("12", "7")]
 
 
-def test_stamp_adds_the_time_once(spark):
-    df = raw(spark, '{"a":"x}"}', '{}', ' { "ts": 5, "a":1 } ', '{"a":{"ts":1}}')
+def test_stamp_sets_the_time_of_arrival(spark):
+    df = raw(spark, '{"a":"x}"}', '{}', ' { "ts": 5, "a":{"ts":1} } ', '{"a":{"ts":1}}',
+             '{"ts":null}', '{"b":[1,2.5,"é"],"ts":"x","a":null}')
     out = [r[0] for r in df.select(stamp(F.col("value"), F.col("timestamp"))).collect()]
     assert out == ['{"a":"x}","ts":1704103200000}', '{"ts":1704103200000}',
-                   ' { "ts": 5, "a":1 } ', '{"a":{"ts":1},"ts":1704103200000}']
+                   '{"a":{"ts":1},"ts":1704103200000}', '{"a":{"ts":1},"ts":1704103200000}',
+                   '{"ts":1704103200000}', '{"a":null,"b":[1,2.5,"é"],"ts":1704103200000}']
 
 
 def test_document_and_index_name(spark):

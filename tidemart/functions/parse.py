@@ -106,16 +106,17 @@ def with_log_days(timed: DataFrame) -> DataFrame:
     return timed.withColumns({"log_date": day_of(F.col("et")), "log_hour": hour_of(F.col("et"))})
 
 
-def stamp(value: Column, arrival: Column, known: Column | None = None) -> Column:
-    """Add ``ts`` (arrival millis) to a JSON object text that has none.
+def stamp(value: Column, arrival: Column) -> Column:
+    """Set ``ts`` (arrival millis) of a JSON object text; a ``ts`` it came with is overwritten.
 
-    ``known`` is the ``ts`` of the record where it was parsed already. A record
-    that carries one is left alone, so a replay keeps the first arrival.
+    Only records that bring one are taken apart (their keys then come sorted); all others get it
+    at their end.
     """
-    known = F.get_json_object(value, "$.ts") if known is None else known
-    text = F.trim(value, F.lit(" \t\r\n"))
+    bare = F.to_json(F.map_filter(
+        F.try_parse_json(value).cast("map<string,variant>"), lambda name, _: name != "ts"))
+    brings = F.array_contains(F.json_object_keys(value), "ts")
+    text = F.trim(F.when(brings, F.coalesce(bare, value)).otherwise(value), F.lit(" \t\r\n"))
     opened = F.substr(text, F.lit(1), F.length(text) - 1)
     comma = F.when(F.trim(opened) == "{", F.lit("")).otherwise(F.lit(","))
     millis = F.unix_millis(arrival).cast("string")
-    return F.when(known.isNotNull(), value).otherwise(
-        F.concat(opened, comma, F.lit('"ts":'), millis, F.lit("}")))
+    return F.concat(opened, comma, F.lit('"ts":'), millis, F.lit("}"))
