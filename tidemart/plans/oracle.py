@@ -314,11 +314,16 @@ ORACLE: dict[str, str] = {
              strftime(make_timestamp(p.joined_ms * 1000), '%Y-%m-%d') AS index_day
       FROM pairs p LEFT JOIN latest u ON p.user_id = u.id""",
     "stream_alerts": _ALERT_DOCS,
-    "stream_log_router": f"""WITH {_LOGS}
+    "stream_log_router": f"""WITH {_LOGS}, texts AS (
+      SELECT *, '{{"mid":"' || mid || '","uid":"' || uid || '","type":"' || type || '"' AS text FROM logs)
       SELECT CASE WHEN type = 'startup' THEN 'Topic_Start' ELSE 'Topic_Event' END AS topic,
-             count(*) AS n FROM logs GROUP BY 1
+             count(*) AS n,
+             CAST(sum(CAST('0x' || md5(text || ',"ts":' || ts || '}}')[1:8] AS BIGINT)) AS BIGINT) AS texts
+      FROM texts GROUP BY 1
       UNION ALL
-      SELECT 'archive ' || log_date, count(*) FROM logs GROUP BY log_date""",
+      SELECT 'archive ' || log_date, count(*),
+             CAST(sum(CAST('0x' || md5(text || ',"ts":' || ts || '}}')[1:8] AS BIGINT)) AS BIGINT)
+      FROM texts GROUP BY log_date""",
     "stream_change_router": f"""WITH {_ORDERS}, {_DETAILS}, {_USERS}
       SELECT 'TOPIC_ORDER_INFO' AS topic, id, total_amount AS amount, NULL AS level FROM ord
       WHERE order_status = 'O' AND o_orderpriority <> '1-URGENT'

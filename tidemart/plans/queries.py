@@ -516,16 +516,18 @@ def change_quarantine(spark, sf):
 
 @query
 def stream_log_router(spark, sf):
-    """Records per topic, with the archive next to them."""
+    """Records per topic with a sum over their hashed texts, and the archive next to them."""
     folder = new_folder(spark, "logs")
     logs = M.start_logs(M.stream(spark, sf, "events"))
     raw = M.raw(logs, "mid", "uid", "type", at=event_time(F.col("ts")))
     _finish(spark, jobs.start_log_router, raw, f"{folder}/topics", f"{folder}/archive",
             f"{folder}/progress")
-    routed = spark.read.parquet(f"{folder}/topics").groupBy("topic").agg(F.count("*").alias("n"))
+    texts = [F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5("value"), 1, 8), 16, 10)
+                                            .cast("bigint")).alias("texts")]
+    routed = spark.read.parquet(f"{folder}/topics").groupBy("topic").agg(*texts)
     kept = (spark.read.parquet(f"{folder}/archive")
             .groupBy(F.concat(F.lit("archive "), F.col("day").cast("string")).alias("topic"))
-            .agg(F.count("*").alias("n")))
+            .agg(*texts))
     return routed.unionByName(kept)
 
 

@@ -194,6 +194,6 @@ def write_topics(rows: DataFrame, fmt: str, path: str | None = None, run: str =
 
 
 def archive(rows: DataFrame, path: str, run: str = "batch", batch: int = 0) -> None:
-    """Keep raw records as they came, one folder per day of arrival."""
+    """Keep raw records, stamped, one folder per day of arrival."""
     write_days(rows.select("value", F.date_format("timestamp", "yyyy-MM-dd").alias("day")),
                path, "day", run, batch)
