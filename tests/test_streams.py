@@ -250,6 +250,24 @@ def test_late_events_change_the_windows_they_belong_to(spark, drop_file, tmp_pat
         f"now-{end // 60000}"}
 
 
+def test_folding_bounds_what_the_user_dimension_reads(spark, drop_file, tmp_path):
+    table = str(tmp_path / "users")
+    sizes = []
+    for n in range(9):
+        folder = drop_file("in", [user("1", f"v{n}", n), user(f"u{n % 3}", "x", n)])
+        jobs.start_users(timed(folder, spark), table, table + "-p", trigger=jobs.ONCE).awaitTermination()
+        want = rows(jobs.current_users(spark, table).select("id", "user_level", "login_name"))
+        if n % 2:
+            jobs.fold_users(spark, table)
+            assert rows(jobs.current_users(spark, table).select("id", "user_level", "login_name")) == want
+            sizes.append(len(jobs.user_versions(spark, table).inputFiles()))
+            # a fold again, without new batches, is harmless
+            jobs.fold_users(spark, table)
+            assert rows(jobs.current_users(spark, table).select("id", "user_level", "login_name")) == want
+    assert len(want) == 4 and len(spark.read.parquet(table).select("batch").distinct().collect()) <= 3
+    assert max(sizes) <= sizes[0] + 2
+
+
 def test_a_missing_table_or_a_wrong_period_is_an_error(spark, drop_file, tmp_path):
     with pytest.raises(FileNotFoundError):
         jobs.current_orders(spark, str(tmp_path / "nowhere"))

@@ -173,6 +173,77 @@ def publish(spark: SparkSession, source: str, target: str, schema: T.StructType,
      .partitionBy("period").parquet(target))
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Finished snapshots of a folded table, oldest first."""
+    store, folder = _folder(spark, f"{path}_folded")
+    if not store.exists(folder):
+        return []
+    names = sorted(s.getPath().getName() for s in store.listStatus(folder))
+    return [f"{path}_folded/{n}" for n in names if exists(spark, f"{path}_folded/{n}/upto/_SUCCESS")]
+
+
+def _upto(spark: SparkSession, snapshot: str) -> dict[str, int]:
+    """The last batch of each stream that a snapshot holds; one row per stream."""
+    rows = spark.read.schema("run STRING, batch BIGINT").parquet(f"{snapshot}/upto").collect()
+    return {r["run"]: r["batch"] for r in rows}
+
+
+def _newer(upto: dict[str, int]):
+    newer = ~F.col("run").isin(list(upto))
+    for run, batch in upto.items():
+        newer |= (F.col("run") == run) & (F.col("batch") > batch)
+    return newer
+
+
+def read_folded(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Versions of a table of :func:`write_batch`: its newest snapshot, if :func:`fold` made one, and
+    the batches since. What is read does not grow with the number of batches ever written."""
+    snapshots = _snapshots(spark, path)
+    rows = read_batches(spark, path, schema)
+    if not snapshots:
+        return rows
+    layout = T.StructType([*schema.fields, *_BATCH_FIELDS])
+    old = spark.read.schema(layout).parquet(f"{snapshots[-1]}/rows")
+    return old.unionByName(rows.where(_newer(_upto(spark, snapshots[-1]))))
+
+
+def fold(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], *order: str) -> None:
+    """Write the last version per key as a new snapshot, and drop the batch folders that the
+    snapshot before it had folded already: readers of that one do not open them either.
+
+    A snapshot counts once its list of batches is complete, so a fold that fails changes nothing.
+    Run it from one place, between batches or beside them.
+    """
+    before = _snapshots(spark, path)
+    rows = read_folded(spark, path, schema)
+    seen = read_batches(spark, path, schema).groupBy("run").agg(F.max("batch").alias("batch"))
+    upto = (_upto(spark, before[-1]) if before else {}) | {r["run"]: r["batch"] for r in seen.collect()}
+    if not upto:
+        return
+    held = rows.where(~_newer(upto))  # a batch that is written meanwhile is left for the next fold
+    target = f"{path}_folded/{len(before):08d}"
+    if before:
+        target = f"{path}_folded/{int(before[-1].rpartition('/')[2]) + 1:08d}"
+    kept = last_per_key(held, keys, *order, "batch", ROW_HASH, total=True)
+    kept.hint("rebalance").write.mode("overwrite").parquet(f"{target}/rows")
+    (spark.createDataFrame(list(upto.items()), "run STRING, batch BIGINT").coalesce(1)
+     .write.mode("overwrite").parquet(f"{target}/upto"))
+    for run, last in (_upto(spark, before[-1]) if before else {}).items():
+        store, folder = _folder(spark, f"{path}/run={run}")
+        for entry in store.listStatus(folder) if store.exists(folder) else []:
+            name = entry.getPath().getName()
+            if name.startswith("batch=") and int(name[len("batch="):]) <= last:
+                store.delete(entry.getPath(), True)
+    for snapshot in before[:-1]:
+        store, folder = _folder(spark, snapshot)
+        store.delete(folder, True)
+
+
 def merge_into(rows: DataFrame, table: str, keys: Sequence[str]) -> None:
     """Keyed upsert into a catalog table whose format supports row-level writes."""
     on = " AND ".join(f"{table}.{k} = source.{k}" for k in keys)

@@ -218,7 +218,12 @@ def start_users(raw: DataFrame, table: str, checkpoint: str, quarantine: str | N
 
 
 def user_versions(spark: SparkSession, table: str) -> DataFrame:
-    return tables.read_batches(spark, table, USER_VERSIONS)
+    return tables.read_folded(spark, table, USER_VERSIONS)
+
+
+def fold_users(spark: SparkSession, table: str) -> None:
+    """Replace the history of versions by a snapshot of the latest ones."""
+    tables.fold(spark, table, USER_VERSIONS, ["id"], "change_ts")
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:

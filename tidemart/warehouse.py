@@ -91,6 +91,10 @@ class Warehouse:
         return jobs.start_users(self._feed("user"), self.path("users"), trigger=trigger,
                                 **self._places("users"))
 
+    def fold_users(self) -> None:
+        """Bound what the user dimension reads; once a day or so."""
+        jobs.fold_users(self.spark, self._table("users"))
+
     def join_sales(self, trigger: dict | None = None, **join) -> StreamingQuery:
         """The joined sales. The unreadable records of both feeds are set aside by two more
         queries that start with the join, as its state cannot keep them."""
