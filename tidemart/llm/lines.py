@@ -55,23 +55,23 @@ def half_keys(line: Column) -> Column:
 
 
 def block_keys(line: Column) -> Column:
-    """Hashes of the line without one block, in the length of the line and, for the longer of two,
-    one character less; what follows the block is counted from the end."""
+    """(key, block): hashes of the line without one block, in the length of the line and, for the
+    longer of two, one character less; what follows the block is counted from the end."""
     n = F.char_length(line)
 
     def without(shorter: Column, k: Column) -> Column:
         rest = F.greatest(shorter - (k + 1) * _BLOCK, F.lit(0))
-        return F.xxhash64(shorter, k, F.substr(line, F.lit(1), k * _BLOCK),
-                          F.substr(line, n - rest + 1, rest))
+        return F.struct(F.xxhash64(shorter, k, F.substr(line, F.lit(1), k * _BLOCK),
+                                   F.substr(line, n - rest + 1, rest)).alias("key"), k.alias("block"))
 
     return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")),
                                  lambda k: F.array(without(n, k), without(n - 1, k))))
 
 
-def variant_keys(line: Column) -> Column:
-    """(key, kind): the line itself (``w``) and its one-deletion variants, each once with the
-    place (``p``, to meet substitutions) and once without (``d``, to meet the line that equals
-    it)."""
+def variant_keys(line: Column, blocks: Column) -> Column:
+    """(key, kind): the line itself (``w``) and its variants with one character of the named blocks
+    deleted (the longer of two lines has one character more there), each once with the place
+    (``p``, to meet substitutions) and once without (``d``, to meet the line that equals it)."""
     def entry(kind: str, *parts: Column) -> Column:
         return F.struct(F.xxhash64(*parts).alias("key"), F.lit(kind).alias("kind"))
 
@@ -79,8 +79,9 @@ def variant_keys(line: Column) -> Column:
         rest = F.concat(F.substr(line, F.lit(1), i - 1), F.substr(line, i + 1))
         return F.array(entry("p", F.lit("place"), i, rest), entry("d", F.lit("line"), rest))
 
-    return F.array_append(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(line)), deleted)),
-                          entry("w", F.lit("line"), line))
+    places = F.array_distinct(F.flatten(F.transform(blocks, lambda k: F.sequence(
+        k * _BLOCK + 1, F.least((k + 1) * _BLOCK + 1, F.char_length(line))))))
+    return F.array_append(F.flatten(F.transform(places, deleted)), entry("w", F.lit("line"), line))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -92,18 +93,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
         "row_tag": F.hash(text), "row_lines": F.split(text, "\n")})
 
 
-def _sharing(rows: DataFrame, keys: str) -> DataFrame:
-    """``h1`` of lines with a key that another line has as well."""
-    each = rows.select("h1", F.explode(keys).alias("key"))
+def _sharing(each: DataFrame) -> DataFrame:
+    """The rows (h1, key, ...) with a key that another line has as well."""
     shared = (each.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
               .where("a < b").select("key"))
-    return each.join(shared, "key", "left_semi").select("h1").distinct()
+    return each.join(shared, "key", "left_semi")
 
 
 def _near_pairs(lines: DataFrame) -> DataFrame:
     """(h1 of the earlier, h1 of the later) line that met in the deletion neighbourhood."""
     keys = cut(lines.select(F.struct("place", "h1").alias("member"),
-                            F.inline(variant_keys(F.col("line")))), "line-variants")
+                            F.inline(variant_keys(F.col("line"), F.col("blocks")))), "line-variants")
 
     def least(kind: str) -> Column:
         return F.min(F.when(F.col("kind") == kind, F.col("member")))
@@ -128,8 +128,8 @@ def removed_lines(keyed: DataFrame) -> DataFrame:
     first = placed.groupBy("h1", "h2").agg(F.min("place").alias("first"))
 
     # texts of the lines that share a half, from their earliest place
-    halves = placed.select("h1", "halves")
-    wanted = (first.join(_sharing(halves, "halves"), "h1", "left_semi")
+    halves = _sharing(placed.select("h1", F.explode("halves").alias("key")))
+    wanted = (first.join(halves.select("h1").distinct(), "h1", "left_semi")
               .groupBy(F.col("first.row_doc").alias("row_doc"), F.col("first.row_tag").alias("row_tag"))
               .agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "h1")).alias("wanted")))
     some = (keyed.select("row_doc", "row_tag", "row_lines").join(wanted, ["row_doc", "row_tag"])
@@ -138,8 +138,9 @@ def removed_lines(keyed: DataFrame) -> DataFrame:
                 F.get("row_lines", w["at"]).alias("line"))))))
     some = cut(some.select(F.struct("row_doc", "row_tag", "at").alias("place"), "h1", "line")
                .dropDuplicates(["h1"]), "line-halves")
-    blocks = _sharing(some.select("h1", block_keys(F.col("line")).alias("blocks")), "blocks")
-    close = cut(some.join(blocks, "h1", "left_semi"), "line-blocks")
+    blocks = _sharing(cut(some.select("h1", F.inline(block_keys(F.col("line")))), "line-block-keys"))
+    close = cut(some.join(blocks.groupBy("h1").agg(F.collect_set("block").alias("blocks")), "h1"),
+                "line-blocks")
 
     text_of = close.select("h1", "line")
     near = (_near_pairs(close)
