@@ -15,10 +15,13 @@ relation.
 3. *Bands.* Texts with an equal band (``rows`` values) share a bucket. With 20 bands of 4, a pair
    at 0.8 meets with probability 1 - 3e-5.
 4. *Links.* In each bucket, the member that shares the most buckets overall is compared with all
-   others; texts it does not resemble get a second and a third such round; after that each member
-   outside the bucket's largest class is compared with the members of other classes. So no two
-   texts of a bucket stay in different classes unless they were compared and differ, and no
-   bucket is expanded into all its pairs. Candidates are compared on all their shingles.
+   others. Then a few members of the bucket's largest class, in each round others and more of them,
+   are compared with the members outside it; what joins that class needs no further comparison.
+   At last each member still outside is compared with the members of other classes. So no two texts
+   of a bucket stay in different classes unless they were compared and differ, and no bucket is
+   expanded into all its pairs. A comparison first looks at four bits of each of the 80 signature
+   values: with fewer than ``least_equal`` equal (a pair at 0.8 has 65 on average, and fewer than 50
+   with probability 1e-5), the two differ. All others are compared on all their shingles.
 5. *Classes.* Least labels along links, by joins, until nothing changes.
 
 Every step is a join or an aggregation; intermediate tables go to the shared folder.
@@ -37,7 +40,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemart.llm.common import cut, join_hashes, mix, slices, texts, window_hashes, word_hashes
@@ -49,7 +52,8 @@ class Settings:
     threshold: float = 0.8
     bands: int = 20
     rows: int = 4
-    rounds: int = 3
+    least_equal: int = 50
+    speakers: tuple[int, ...] = (4, 16, 64)
 
     @property
     def coordinates(self) -> int:
@@ -128,6 +132,25 @@ def band_keys(signature: np.ndarray, settings: Settings) -> np.ndarray:
     return keys
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each value, sixteen values a number; the last number is filled with zeros."""
+    nibbles = signature >> np.uint64(60)
+    short = -nibbles.shape[1] % 16
+    nibbles = np.pad(nibbles, ((0, 0), (0, short))).reshape(len(signature), -1, 16)
+    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
+def _unequal(a: str, b: str, n: int) -> Column:
+    """How many of the four-bit values differ."""
+    total = F.lit(0)
+    for i in range(n):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for step in (1, 2):  # a value's lowest bit becomes the union of its four
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def _bands(docs: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
@@ -141,15 +164,18 @@ def _bands(docs: DataFrame, settings: Settings) -> DataFrame:
                 np.concatenate([sets[i][1] for i in some]).astype(np.float64),
                 np.repeat(np.arange(len(some)), sizes), len(some), settings.coordinates)
             keys = band_keys(signature, settings).view(np.int64)
+            bits = sketch(signature).view(np.int64)
             offsets = np.arange(len(some) + 1, dtype=np.int32) * settings.bands
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()).take(pa.array(some)),
                  batch.column("digest").take(pa.array(some)),
                  pa.array([int(sets[i][1].sum()) for i in some], pa.int64()),
-                 pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                ["doc_id", "digest", "size", "bands"])
+                 pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
+                 pa.array(bits.tolist(), pa.list_(pa.int64()))],
+                ["doc_id", "digest", "size", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, digest string, size bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, digest string, size bigint, bands array<bigint>, "
+                                "sketch array<bigint>")
 
 
 def _elements(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -204,13 +230,15 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def _candidates(members: DataFrame, labels: DataFrame, centers: DataFrame, least: float) -> DataFrame:
-    """(a, b): every center with the bucket's members of other classes, sizes permitting."""
-    there = members.join(labels, "node")
-    here = centers.join(labels, "node").select(
-        "key", F.col("node").alias("center"), F.col("label").alias("its"), F.col("size").alias("its_size"))
-    fits = F.least("size", "its_size") >= least * F.greatest("size", "its_size")
-    return (here.join(there, "key").where((F.col("its") != F.col("label")) & fits)
+def _candidates(there: DataFrame, centers: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): every center with the bucket's members of other classes that it may resemble."""
+    here = centers.select(
+        "key", F.col("node").alias("center"), F.col("label").alias("its"), F.col("size").alias("its_size"),
+        F.col("sketch").alias("its_sketch"))
+    fits = F.least("size", "its_size") >= settings.threshold * F.greatest("size", "its_size")
+    close = _unequal("sketch", "its_sketch", -(-settings.coordinates // 16)) <= (
+        settings.coordinates - settings.least_equal)
+    return (here.join(there, "key").where((F.col("its") != F.col("label")) & fits & close)
             .select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))
             .distinct())
 
@@ -221,15 +249,17 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     keyed = docs.select("doc_id", F.md5(text).alias("digest"), text.alias("text"))
     sketched = cut(_bands(keyed, settings), "near-bands")
     folded = sketched.groupBy("digest").agg(
-        F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = cut(folded.select(F.xxhash64("digest").alias("node"), "digest", "first", "size", "bands"),
-                "near-nodes")
+        F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch"))
+    nodes = cut(folded.select(F.xxhash64("digest").alias("node"), "digest", "first", "size", "bands",
+                              "sketch"), "near-nodes")
 
-    each = nodes.select("node", "size", F.explode("bands").alias("key"))
+    each = nodes.select("node", F.explode("bands").alias("key"))
     crowded = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = each.join(crowded, "key")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = cut(members.join(degree, "node").select("key", "node", "size", "degree"), "near-members")
+    facts = nodes.select("node", "size", "sketch").join(degree, "node")
+    members = cut(members.select("key", "node").join(facts, "node"), "near-members")
     inside = nodes.join(degree, "node", "left_semi").select("node", "digest", "first")
     elements = cut(_elements(
         keyed.join(inside.withColumnRenamed("first", "doc_id"), ["doc_id", "digest"])
@@ -238,29 +268,30 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     inside = inside.select("node")
     links = elements.sparkSession.createDataFrame([], "a bigint, b bigint")
     labels = inside.select("node", F.col("node").alias("label"))
-    used = elements.sparkSession.createDataFrame([], "key bigint, node bigint")
-    for turn in range(settings.rounds + 1):
+    turns = len(settings.speakers) + 2
+    for turn in range(turns):
         there = members.join(labels, "node")
         split = there.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-        there = there.join(split.select("key"), "key", "left_semi")
-        if turn < settings.rounds:
-            done = used.join(labels, "node").select("key", "label").distinct()
-            best = (there.join(done, ["key", "label"], "left_anti").groupBy("key")
-                    .agg(F.max(F.struct("degree", "node", "size")).alias("best")))
-            centers = cut(best.select("key", "best.node", "best.size"), "near-centers")
-            used = used.unionByName(centers.select("key", "node"))
+        there = cut(there.join(split.select("key"), "key", "left_semi"), "near-split")
+        if there.isEmpty():
+            break
+        if turn == 0:
+            best = there.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("best"))
+            centers = there.join(best, "key").where("node = best.node")
         else:
             counts = there.groupBy("key", "label").agg(F.count("*").alias("n"))
             largest = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"))
-            centers = there.join(largest, "key").where("label <> most.label").select("key", "node", "size")
-        new = _similar(_candidates(members, labels, centers, settings.threshold), elements, settings)
-        new = cut(new, "near-links")
-        if new.isEmpty():
-            if turn >= settings.rounds or centers.isEmpty():
-                break
-            continue
-        links = links.unionByName(new)
-        labels = connected(inside, links)
+            known = there.join(largest, "key")
+            if turn < turns - 1:
+                draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("most.n"))
+                centers = known.where((F.col("label") == F.col("most.label"))
+                                      & (draw < settings.speakers[turn - 1]))
+            else:
+                centers = known.where("label <> most.label")
+        new = cut(_similar(_candidates(there, centers, settings), elements, settings), "near-links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = connected(inside, links)
 
     class_of = (nodes.join(labels, "node", "left")
                 .select("digest", "first", F.coalesce("label", "node").alias("label")))
