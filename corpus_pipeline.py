@@ -47,8 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, path), path, keep_ids=True)
+    decoded = bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
     return decoded.select("doc_id", "n_tokens", "ids", "ids_sha256",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 

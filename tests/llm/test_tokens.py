@@ -63,11 +63,17 @@ def test_merges_follow_rank_order_not_text_order():
 
 def test_codec_round(spark, corpus, nothing):
     docs, rows = corpus
-    got = sorted(map(tuple, bpe.decode_documents(bpe.encode_documents(docs, PATH), PATH).collect()), key=str)
+    encoded = bpe.encode_documents(docs, PATH)
+    whole = bpe.round_trip(docs, PATH, keep_ids=True)
+    got = sorted(map(tuple, whole.drop("ids").collect()), key=str)
     want = sorted(((i, len(ids_of(t)), hashlib.sha256(np.array(ids_of(t), "<u4").tobytes()).hexdigest(),
                     LIBRARY.decode(ids_of(t), skip_special_tokens=False)) for i, t in rows), key=str)
     assert got == want
-    assert bpe.encode_documents(nothing, PATH).count() == 0
+    assert sorted(map(tuple, bpe.decode_documents(encoded, PATH).collect()), key=str) == sorted(
+        ((w[0], w[3]) for w in want), key=str)
+    assert sorted(map(tuple, encoded.collect()), key=str) == sorted(
+        map(tuple, whole.select("doc_id", "ids").collect()), key=str)
+    assert bpe.encode_documents(nothing, PATH).count() == bpe.round_trip(nothing, PATH).count() == 0
 
 
 def test_token_files(spark, corpus, nothing):

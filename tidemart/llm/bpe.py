@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 
 from tidemart.llm.common import slices, texts
 
-_PIECES_KEPT, _USES_KEPT = 400_000, 3
+_PIECES_KEPT, _USES_KEPT = 300_000, 3
 #: Printable ASCII and the letters of Latin-1 and Latin Extended-A: no combining marks, and one
 #: lower-case form each, so Python and the library agree on them (U+0130 lowers to two).
 _LATIN = regex.compile("[\x21-\x7e¡-¬®-įı-ž]+")
@@ -262,26 +262,43 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def decode_documents(encoded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded`` from ``ids``, and ``ids`` if wanted."""
+def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded`` (from the ids) of every text, and
+    ``ids`` if wanted; in one pass, so one Python worker a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, vocabulary = pair_index_table(path)
+        for batch in slices(batches, "text", 2_000_000):
+            ids, sizes = table.encode(texts(batch))
+            ends = np.cumsum(sizes)
+            each = [ids[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
+            columns = [
+                batch.column("doc_id"), pa.array(sizes, pa.int64()),
+                pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string()),
+                pa.array([decode(x, vocabulary) for x in each], pa.binary()).cast(pa.string())]
+            if keep_ids:
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(offsets, ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded"] + ["ids"] * keep_ids
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded string"
+        + ", ids array<int>" * keep_ids)
+
+
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """``doc_id`` and ``decoded`` from ``ids``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, vocabulary = pair_index_table(path)
         for batch in batches:
-            column = batch.column("ids")
-            offsets = column.offsets.to_numpy()
-            values = column.values.to_numpy(zero_copy_only=False).astype("<u4")
             for a in range(0, batch.num_rows, 500):
-                part = [values[i:j] for i, j in zip(offsets[a:a + 500], offsets[a + 1:a + 501],
-                                                    strict=False)][:batch.num_rows - a]
+                part = batch.slice(a, 500)
+                texts_of = [decode(np.array(x or [], np.int64), vocabulary)
+                            for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, len(part)),
-                     pa.array(map(len, part), pa.int64()),
-                     pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in part]),
-                     pa.array([decode(x, vocabulary) for x in part], pa.binary()).cast(pa.string()),
-                     *([column.slice(a, len(part))] if keep_ids else [])],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded", *(["ids"] if keep_ids else [])])
+                    [part.column("doc_id"), pa.array(texts_of, pa.binary()).cast(pa.string())],
+                    ["doc_id", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded string"
-        + ", ids array<int>" * keep_ids)
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded string")

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,8 +110,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
     """Cut batches so that ``column`` holds about ``most`` bytes at once; a longer
     single text comes alone."""
     for batch in batches:
-        sizes = np.array([len(x) if x is not None else 0 for x in
-                          batch.column(column).cast(pa.binary()).to_pylist()], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(
+            zero_copy_only=False).astype(np.int64)
         part = np.cumsum(sizes) // most
         bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         for a, b in zip(bounds, bounds[1:], strict=False):

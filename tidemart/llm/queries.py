@@ -86,7 +86,7 @@ def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, VOCABULARY), VOCABULARY)
+    decoded = bpe.round_trip(docs, VOCABULARY)
     return decoded.select("doc_id", "n_tokens", "ids_sha256",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
