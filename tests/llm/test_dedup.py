@@ -71,6 +71,24 @@ def test_hot_line_and_near_copies_of_it(spark):
     assert got == {i: int(0 < i < 600) for i in range(900)}
 
 
+def test_short_lines(spark):
+    """Lines of all lengths from one character on, also across the length where the keys begin."""
+    rnd = random.Random(6)
+    base = ["".join(rnd.choice("abé c") for _ in range(n)) for n in (*range(1, 24), *range(17, 24))]
+    base += ["-", "{", "});", "end", "ends", "return x"]
+
+    def edited(x):
+        kind, i = rnd.choice("isdnn"), rnd.randrange(len(x))
+        return x if kind == "n" else x[:i] + ("z" if kind != "d" else "") + (x[i:] if kind == "i" else x[i + 1:])
+
+    rows = [(d, "\n".join(edited(rnd.choice(base)) for _ in range(rnd.randint(0, 5)))) for d in range(60)]
+    rows += [(100 + i, f"own line number {i * 7919}\n-\nend") for i in range(40)] + [(None, "end\n\n \nfresh")]
+    want = lines_left(rows)
+    assert want[59][1] != rows[59][1] and all(t.split("\n")[1:] == [] for _, t in want[60:100])
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_lines_of_corpus(spark, corpus, nothing):
     docs, rows = corpus
     assert lines.dedup_lines(docs).count() == len(rows)

@@ -8,7 +8,8 @@ result does not depend on the order of work.
    combines on the map side, so a line that makes up a third of all rows costs one row a task.
 2. *Half and block keys.* One edit leaves the first or the last half of a line intact, and all but
    one block of sixteen characters. Lines that share neither with another line have no
-   neighbour; only the others go on. Both filters lose no pair.
+   neighbour; only the others go on. Both filters lose no pair. Lines of up to ``SHORT`` characters,
+   of which too little is left for either key to tell them apart, all go on, with all their blocks.
 3. *Deletion neighbourhood.* Each remaining line emits, as hashed keys, the line itself and all
    variants with one character deleted; a variant also carries the place of the deletion. Lines
    with an equal variant *and* place differ by one substitution at most, all with each other, so
@@ -18,9 +19,9 @@ result does not depend on the order of work.
 4. The edit distance of each line to the line it met is verified on the texts, and where an
    earlier one is near, the line goes.
 
-Defined cases: null and empty texts have no lines to compare; lines without a word and lines of
-fewer than ``LEAST_CHARS`` characters are never compared and stay; a text that lost all its
-compared lines may be left with blank ones or none; rows with an equal ``doc_id`` are told apart
+Defined cases: null and empty texts have no lines to compare; lines without a word are never
+compared and stay, all others are compared at any length; a text that lost all its compared lines
+may be left with blank ones or none; rows with an equal ``doc_id`` are told apart
 by their text, and equal rows all stay or lose the same lines; a row with a null ``doc_id``
 comes after all others; other columns are kept by ``dedup_lines``.
 """
@@ -32,7 +33,10 @@ from pyspark.sql import functions as F
 
 from tidemart.llm.common import cut
 
-LEAST_CHARS = 20
+#: Every line with a word is compared, from one character on.
+LEAST_CHARS = 1
+#: Lines of up to so many characters skip the half and block keys.
+SHORT = 20
 _WORD = "[^\\x20\\x09-\\x0D]"
 #: Lengths of halves are multiples of this, so that nearly all lines have one on each side.
 _HALF_STEP = 8
@@ -54,6 +58,10 @@ def half_keys(line: Column) -> Column:
     return F.array_distinct(F.concat(both(_half(n)), both(_half(n - 1))))
 
 
+def _last_block(n: Column) -> Column:
+    return F.floor((n - 1) / _BLOCK).cast("int")
+
+
 def block_keys(line: Column) -> Column:
     """(key, block): hashes of the line without one block, in the length of the line and, for the
     longer of two, one character less; what follows the block is counted from the end."""
@@ -64,7 +72,7 @@ def block_keys(line: Column) -> Column:
         return F.struct(F.xxhash64(shorter, k, F.substr(line, F.lit(1), k * _BLOCK),
                                    F.substr(line, n - rest + 1, rest)).alias("key"), k.alias("block"))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")),
+    return F.flatten(F.transform(F.sequence(F.lit(0), _last_block(n)),
                                  lambda k: F.array(without(n, k), without(n - 1, k))))
 
 
@@ -121,15 +129,19 @@ def removed_lines(keyed: DataFrame) -> DataFrame:
     """``row_doc``, ``row_tag`` and the places of the lines that go."""
     lines = keyed.select("row_doc", "row_tag", F.posexplode("row_lines").alias("at", "line")).where(
         (F.char_length("line") >= LEAST_CHARS) & F.col("line").rlike(_WORD))
+    n = F.char_length("line")
+    # a line of SHORT characters goes on in any case, and is there to be met by one of SHORT + 1
     placed = cut(lines.select(
         F.struct("row_doc", "row_tag", "at").alias("place"), F.xxhash64("line").alias("h1"),
-        F.hash(F.lit("line"), "line").alias("h2"), half_keys(F.col("line")).alias("halves")),
+        F.hash(F.lit("line"), "line").alias("h2"), (n <= SHORT).alias("short"),
+        F.when(n >= SHORT, half_keys(F.col("line"))).alias("halves")),
         "line-places")
     first = placed.groupBy("h1", "h2").agg(F.min("place").alias("first"))
 
-    # texts of the lines that share a half, from their earliest place
+    # texts of the short lines and of those that share a half, from their earliest place
     halves = _sharing(placed.select("h1", F.explode("halves").alias("key")))
-    wanted = (first.join(halves.select("h1").distinct(), "h1", "left_semi")
+    going = halves.select("h1").unionByName(placed.where("short").select("h1")).distinct()
+    wanted = (first.join(going, "h1", "left_semi")
               .groupBy(F.col("first.row_doc").alias("row_doc"), F.col("first.row_tag").alias("row_tag"))
               .agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "h1")).alias("wanted")))
     some = (keyed.select("row_doc", "row_tag", "row_lines").join(wanted, ["row_doc", "row_tag"])
@@ -138,9 +150,12 @@ def removed_lines(keyed: DataFrame) -> DataFrame:
                 F.get("row_lines", w["at"]).alias("line"))))))
     some = cut(some.select(F.struct("row_doc", "row_tag", "at").alias("place"), "h1", "line")
                .dropDuplicates(["h1"]), "line-halves")
-    blocks = _sharing(cut(some.select("h1", F.inline(block_keys(F.col("line")))), "line-block-keys"))
-    close = cut(some.join(blocks.groupBy("h1").agg(F.collect_set("block").alias("blocks")), "h1"),
-                "line-blocks")
+    blocks = _sharing(cut(some.where(n >= SHORT).select("h1", F.inline(block_keys(F.col("line")))),
+                          "line-block-keys"))
+    longer = some.where(n > SHORT).join(
+        blocks.groupBy("h1").agg(F.collect_set("block").alias("blocks")), "h1")
+    close = cut(some.where(n <= SHORT).withColumn("blocks", F.sequence(
+        F.lit(0), _last_block(n))).unionByName(longer), "line-blocks")
 
     text_of = close.select("h1", "line")
     near = (_near_pairs(close)
