@@ -130,6 +130,21 @@ def test_toxicity_held_out(spark, nothing):
     assert right >= 0.9 * (right + missed) and wrong <= 0.005 * counts[0, False]
 
 
+def test_toxicity_of_a_sample_keeps_the_odds_of_the_labels(spark):
+    """Both classes are cut to 250 labels; the clean ones are eight times as many."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    settings = toxicity.Settings(sample_rows=500)
+    known = {r["toxic"]: r["count"] for r in labels.where(~held).groupBy("toxic").count().collect()}
+    assert min(known.values()) > 250
+    scored = toxicity.score(docs, toxicity.train(docs, labels.where(~held), settings), settings).join(
+        labels.where(held).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    clean, bad = scored.groupBy("label").agg(
+        F.avg(F.col("toxic").cast("int")).alias("rejected"), F.avg("p_toxic").alias("p")).orderBy("label").collect()
+    assert clean["rejected"] <= 0.01 and clean["p"] <= 0.03 and bad["rejected"] >= 0.9
+
+
 def test_toxicity_cases(spark, corpus, nothing):
     docs, rows = corpus
     docs = docs.withColumns({"toxic": F.lit(5), "p_toxic": F.lit(7)})

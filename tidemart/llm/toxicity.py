@@ -7,7 +7,9 @@ not see it, so a later model learns how far an earlier one can be trusted. The l
 the verdict.
 
 The fit uses at most ``Settings.sample_rows`` labelled texts, half of them of the positive class
-where there are as many, the least by a hash of the id: bounded whatever the table holds.
+where there are as many, the least by a hash of the id: bounded whatever the table holds. Where
+that cuts a class, its texts weigh as much as all labels of the class would, relative to the other
+class, so that the probabilities are those of the labels and not of the halves.
 Features are counted in the tasks; the driver gets ``features`` names and one row of small counts
 per sampled text. All texts are scored, whole, in the tasks.
 
@@ -64,14 +66,18 @@ def text_features(text: bytes) -> set[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """(text, toxic, fold) of the bounded sample."""
+    """(text, toxic, fold, share) of the bounded sample; ``share`` is how many labels of its class
+    there are for each one drawn."""
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
              .agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id")))
     half = settings.sample_rows // 2
-    few = [known.where(f"toxic = {c}").orderBy("order", "doc_id").limit(half) for c in (1, 0)]
-    rows = F.broadcast(few[0].unionByName(few[1]))  # at most sample_rows rows of three numbers
+    totals = {r["toxic"]: r["n"] for r in
+              known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    few = [known.where(f"toxic = {c}").orderBy("order", "doc_id").limit(half)
+           .withColumn("share", F.lit(max(1.0, totals.get(c, 0) / max(half, 1)))) for c in (1, 0)]
+    rows = F.broadcast(few[0].unionByName(few[1]))  # at most sample_rows rows of four numbers
     return docs.select("doc_id", "text").join(rows, "doc_id").select(
-        "text", "toxic", F.pmod("order", F.lit(settings.folds)).cast("int").alias("fold"))
+        "text", "toxic", F.pmod("order", F.lit(settings.folds)).cast("int").alias("fold"), "share")
 
 
 def _choose_features(sample: DataFrame, settings: Settings) -> list[str]:
@@ -129,8 +135,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25) -> np.ndarray:
-    """Weights with the intercept last: penalized maximum likelihood by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25,
+                 share: np.ndarray | None = None) -> np.ndarray:
+    """Weights with the intercept last: penalized maximum likelihood by Newton steps. ``share`` says
+    for how many texts each row counts, relative to the others."""
     if not len(y) or y.min() == y.max():
         out = np.zeros(x.shape[1] + 1)
         out[-1] = 30.0 if len(y) and y[0] else -30.0
@@ -138,11 +146,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25)
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
+    each = np.ones(len(x)) if share is None else share / share.mean()
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        gradient = x.T @ (p - y) + ridge * w
-        curve = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
+        gradient = x.T @ (each * (p - y)) + ridge * w
+        curve = (x * (each * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
         move = np.linalg.solve(curve, gradient)
         w -= move
         if np.abs(move).max() < 1e-4:
@@ -150,18 +159,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25)
     return w
 
 
-def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray, penalty: float
-              ) -> list[np.ndarray]:
+def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray, penalty: float,
+              share: np.ndarray | None = None) -> list[np.ndarray]:
     """One weight vector per category, over the features and the earlier probabilities."""
     models, earlier = [], np.zeros((len(x), 0))
+    share = np.ones(len(x)) if share is None else share
     for y in targets:
         inputs = np.hstack([x, earlier])
         out_of_fold = np.zeros(len(x))
         for fold in np.unique(folds):
             here = folds == fold
-            w = fit_logistic(inputs[~here], y[~here], penalty)
+            w = fit_logistic(inputs[~here], y[~here], penalty, share=share[~here])
             out_of_fold[here] = _sigmoid(inputs[here] @ w[:-1] + w[-1])
-        models.append(fit_logistic(inputs, y, penalty))
+        models.append(fit_logistic(inputs, y, penalty, share=share))
         earlier = np.hstack([earlier, out_of_fold[:, None]])
     return models
 
@@ -197,15 +207,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
                            for words in lists) for t, text in zip(toxic, own, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(flags, pa.binary()),
-                 batch.column("fold")], ["counts", "flags", "fold"])
+                 batch.column("fold"), batch.column("share")], ["counts", "flags", "fold", "share"])
 
-    rows = sample.mapInArrow(counted, "counts binary, flags binary, fold int").collect()
-    rows.sort(key=lambda r: (bytes(r["counts"]), bytes(r["flags"]), r["fold"]))
+    rows = sample.mapInArrow(counted, "counts binary, flags binary, fold int, share double").collect()
+    rows.sort(key=lambda r: (bytes(r["counts"]), bytes(r["flags"]), r["fold"], r["share"]))
     x = np.log1p(np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.uint8)
                  .reshape(len(rows), len(features)).astype(float))
     targets = [np.array([r["flags"][c] for r in rows], float) for c in range(len(lists))]
     folds = np.array([r["fold"] for r in rows], int)
-    return Chain(tuple(categories), features, fit_chain(x, targets, folds, settings.penalty))
+    share = np.array([r["share"] for r in rows])
+    return Chain(tuple(categories), features, fit_chain(x, targets, folds, settings.penalty, share))
 
 
 def score(docs: DataFrame, chain: Chain, settings: Settings = Settings()) -> DataFrame:
