@@ -211,6 +211,24 @@ def test_sale_details_survive_a_restart_between_order_and_line(spark, drop_file,
         ("a", "1", 0, False), ("b", "1", 0, False), ("c", "2", 0, False), ("w", "3", 0, False)]
 
 
+def test_sale_details_that_come_out_of_order(spark, drop_file, tmp_path):
+    """Pairs hours before all that was read so far, complete at once or over several batches."""
+    users = str(tmp_path / "users")
+    order_folder = drop_file("orders", [order("1", 90_000)])
+    detail_folder = drop_file("details", [detail("a", "1", 90_001)])
+    drop_file("orders", [order("2", 50), order("3", 86_390)])
+    drop_file("details", [detail("b", "2", 60), detail("c", "4", 86_410), detail("d", "2", 151)])
+    drop_file("orders", [order("4", 86_350), order("5", 10)])
+    drop_file("details", [detail("e", "3", 86_490), detail("f", "1", 89_900), detail("g", "2", 0)])
+    got = run_sales(spark, tmp_path, "s", order_folder, detail_folder, users)
+    assert rows(got.select("order_detail_id", "order_id")) == [
+        ("a", "1"), ("b", "2"), ("c", "4"), ("e", "3"), ("f", "1"), ("g", "2")]
+    drop_file("orders", [order("6", 500)])
+    drop_file("details", [detail("h", "5", 20), detail("i", "6", 400)])
+    got = run_sales(spark, tmp_path, "s", order_folder, detail_folder, users)
+    assert {r[0] for r in rows(got.select("order_detail_id"))} == set("abcefghi") and got.count() == 8
+
+
 def test_alerts_survive_a_restart_inside_a_window(spark, drop_file, tmp_path):
     table = str(tmp_path / "alerts")
 

@@ -334,3 +334,5 @@ ORACLE: dict[str, str] = {
       UNION ALL
       SELECT 'TOPIC_USER_INFO', id, NULL, 'VIP' FROM usr WHERE user_level = 'HOUSEHOLD'""",
 }
+#: The order in which records come changes nothing.
+ORACLE["stream_sales_late"] = ORACLE["stream_sale_details"]

@@ -459,6 +459,29 @@ def stream_sale_details(spark, sf):
             .select(*SALE_DETAIL.fieldNames(), "index_day"))
 
 
+def _latest_first(raw, folder):
+    """The records as a stream of files of six hours of receipt, the last first, one file a batch."""
+    for quarter in (3, 2, 1, 0):
+        raw.where(F.floor(F.hour("timestamp") / 6) == quarter).coalesce(1).write.mode("append").parquet(folder)
+    return feeds.read_feed_stream(raw.sparkSession, None, "parquet", folder, maxFilesPerTrigger="1")
+
+
+@query
+def stream_sales_late(spark, sf):
+    """Each quarter of both feeds comes after all that was received later; the sales are those of the whole."""
+    folder = new_folder(spark, "sales-late")
+    _run_users(spark, sf, folder)
+    heads = M.order_feed(table(spark, sf, "orders"))
+    lines = M.detail_feed(table(spark, sf, "lineitem"), table(spark, sf, "part"))
+    heads, lines = (_latest_first(
+        M.raw(rows, *[c for c in rows.columns if c != "rt"], at=F.col("rt")), f"{folder}/in-{name}")
+        for name, rows in (("orders", heads), ("lines", lines)))
+    _finish(spark, jobs.start_sale_details, heads, lines, f"{folder}/users", f"{folder}/table",
+            f"{folder}/progress", as_of=AS_OF, period="month")
+    return (jobs.current_sales(spark, f"{folder}/table", period="month")
+            .select(*SALE_DETAIL.fieldNames(), "index_day"))
+
+
 @query
 def stream_alerts(spark, sf):
     folder = new_folder(spark, "alerts")

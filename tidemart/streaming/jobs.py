@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +47,13 @@ JUDGED = T.StructType([
 LISTED = T.StructType([
     *_WINDOW, T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()),
     T.StructField("n", T.LongType()), T.StructField("index_day", T.StringType())])
-#: Rows that one file of a batch holds, where Spark cannot size the files itself.
-FILE_ROWS = 500_000
+_RECEIVED = [T.StructField("rt", T.TimestampType()), T.StructField("rt_day", T.StringType())]
+SALE_ORDERS = T.StructType([
+    *(T.StructField(n, T.StringType()) for n in "id order_status create_time user_id create_date".split()),
+    *_RECEIVED])
+SALE_LINES = T.StructType([
+    *(T.StructField(n, T.StringType()) for n in "order_id id sku_id order_price sku_name".split()),
+    *_RECEIVED])
 SALE_VERSIONS = T.StructType([
     *SALE_DETAIL.fields, T.StructField("index_day", T.StringType()),
     T.StructField("joined_rt", T.TimestampType()), _HASH])
@@ -304,38 +310,63 @@ def current_alert_members(spark: SparkSession, table: str, days: list[str] | Non
 
 def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str, table: str,
                        checkpoint: str, as_of: Column | str | None = None,
-                       seconds: int = JOIN_BOUND_SECONDS, delay: str = "1 minute",
-                       salts: int = 8, period: str = "day",
+                       seconds: int = JOIN_BOUND_SECONDS, salts: int = 8, period: str = "day",
                        trigger: dict | None = None) -> StreamingQuery:
     """Order lines joined with orders and users; :func:`current_sales` reads them.
 
-    Lines and orders wait for each other in the join state for the bound plus
-    the watermark delay; a line that meets no order leaves silently. The user
-    table is read anew in every batch. Without ``as_of`` the age counts from
-    the day the pair was complete, so a repeated batch gives the same row.
+    A batch adds its orders and lines to ``<table>_feeds``, by day of receipt, and joins them with
+    what lies within the bound of them, of this and all earlier batches. So each pair is out with
+    the batch that completes it, in whatever order and however late its two sides come; a line that
+    meets no order leaves silently. Only the days that the batch and the bound touch are read. The
+    user table is read anew in every batch. Without ``as_of`` the age counts from the day the pair
+    was complete, so a repeated batch gives the same row.
     """
-    def received(raw: DataFrame, feed: str) -> DataFrame:
-        return (good(parse_feed(raw, feed)).withColumnRenamed("timestamp", "rt")
-                .withWatermark("rt", delay))
-
-    heads = orders.clean_orders(received(order_raw, "order"), hour="colon")
-    pairs = sales.interval_join(heads, received(detail_raw, "order_detail"), seconds, salts)
+    order_table, line_table = (f"{table}_feeds/{x}" for x in ("orders", "lines"))
+    bound = F.expr(f"INTERVAL {int(seconds)} SECONDS")
+
+    def received(batch: DataFrame, feed: str) -> DataFrame:
+        rows = good(parse_feed(batch.where(F.col("feed") == feed), feed)).withColumnRenamed("timestamp", "rt")
+        return rows.where(F.col("rt").isNotNull()).withColumn("rt_day", day_of(F.col("rt")))
+
+    def around(fresh: DataFrame, path: str, layout: T.StructType, seen: Column) -> DataFrame | None:
+        """The rows of the other side within the bound of some fresh row's time, at least."""
+        low, high = F.min("rt") - bound, F.max("rt") + bound
+        first, last, first_day, last_day = fresh.agg(low, high, day_of(low), day_of(high)).first()
+        if first is None:
+            return None
+        rows = tables.read_days(fresh.sparkSession, path, layout, "rt_day", span=(first_day, last_day))
+        return rows.where(seen).where(F.col("rt").between(first, last))
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        with _kept(batch) as found:
-            n = found.count()  # also tells Spark how small the batch is
-            if not n:
+        heads = orders.clean_orders(received(batch, "order"), hour="colon")
+        with (_kept(heads.select(*SALE_ORDERS.fieldNames())) as heads,
+              _kept(received(batch, "order_detail").select(*SALE_LINES.fieldNames())) as lines):
+            tables.write_days(heads, order_table, "rt_day", run, batch_id)
+            tables.write_days(lines, line_table, "rt_day", run, batch_id)
+            other = F.col("run") != run
+            near_lines = around(heads, line_table, SALE_LINES, other | (F.col("batch") <= batch_id))
+            near_heads = around(lines, order_table, SALE_ORDERS, other | (F.col("batch") < batch_id))
+            pairs = [sales.interval_join(h, d, seconds, salts)
+                     for h, d in ((heads, near_lines), (near_heads, lines)) if h is not None and d is not None]
+            if pairs:
+                keep(reduce(DataFrame.unionByName, pairs), run, batch_id)
+
+    def keep(pairs: DataFrame, run: str, batch_id: int) -> None:
+        with _kept(pairs) as found:
+            if not found.count():  # also tells Spark how small the batch is
                 return
-            versions = user_versions(batch.sparkSession, users)
+            versions = user_versions(found.sparkSession, users)
             known = latest_versions(sales.users_of(found, versions))
             rows = sales.enrich(found, known, F.col("joined_rt") if as_of is None else as_of)
-            # batches of a stream with state run without adaptive execution: size the files here
-            rows = (rows.withColumn("index_day", day_of(F.col("joined_rt")))
-                    .repartition(1 + n // FILE_ROWS))
+            rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
             tables.write_days(tables.versioned(rows, SALE_VERSIONS), table, "dt",
                               run, batch_id, period)
 
-    return _start(pairs, "sale_details", checkpoint, trigger, CADENCE, write, table, users)
+    raw = reduce(DataFrame.unionByName, (
+        r.select("value", "timestamp", F.lit(feed).alias("feed"))
+        for r, feed in ((order_raw, "order"), (detail_raw, "order_detail"))))
+    return _start(raw, "sale_details", checkpoint, trigger, CADENCE, write, table, users,
+                  order_table, line_table)
 
 
 def current_sales(spark: SparkSession, table: str, days: list[str] | None = None,
