@@ -145,6 +145,14 @@ def test_toxicity_of_a_sample_keeps_the_odds_of_the_labels(spark):
     assert clean["rejected"] <= 0.01 and clean["p"] <= 0.03 and bad["rejected"] >= 0.9
 
 
+def test_toxicity_sample_of_an_id_with_many_rows(spark):
+    rows = [(i, f"text {i}") for i in range(20)] + [(7, f"text 7 row {i}") for i in range(300)] + [(3, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r["text"] for r in toxicity._sample(docs, labels, toxicity.Settings(sample_rows=16)).collect())
+    assert len(got) == 16 and set(got) <= {f"text {i}" for i in range(20)}
+
+
 def test_toxicity_cases(spark, corpus, nothing):
     docs, rows = corpus
     docs = docs.withColumns({"toxic": F.lit(5), "p_toxic": F.lit(7)})

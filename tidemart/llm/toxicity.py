@@ -17,7 +17,8 @@ Labels come as rows ``(doc_id, toxic)``. Narrower categories are labelled by rul
 with a word of the category's list. The lists only name what the chain's first models learn.
 
 Defined cases: a null or empty text has no features and the verdict of the intercept; a null
-label or id, and labels of unknown documents, are ignored; repeated rows are scored alike; if the
+label or id, and labels of unknown documents, are ignored; repeated rows are scored alike, and of
+rows with an equal labelled id only the least text is learned from; if the
 labels hold one class only, or none, everything gets that class's probability (0 without labels);
 other columns are kept by ``drop_toxic``.
 """
@@ -76,8 +77,10 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame
     few = [known.where(f"toxic = {c}").orderBy("order", "doc_id").limit(half)
            .withColumn("share", F.lit(max(1.0, totals.get(c, 0) / max(half, 1)))) for c in (1, 0)]
     rows = F.broadcast(few[0].unionByName(few[1]))  # at most sample_rows rows of four numbers
-    return docs.select("doc_id", "text").join(rows, "doc_id").select(
-        "text", "toxic", F.pmod("order", F.lit(settings.folds)).cast("int").alias("fold"), "share")
+    fold = F.pmod("order", F.lit(settings.folds)).cast("int").alias("fold")
+    return (docs.select("doc_id", "text").join(rows, "doc_id")
+            .groupBy("doc_id", "toxic", fold, "share").agg(F.min("text").alias("text"))
+            .select("text", "toxic", "fold", "share"))
 
 
 def _choose_features(sample: DataFrame, settings: Settings) -> list[str]:
