@@ -34,7 +34,3 @@ def drop_file(tmp_path):
         return str(target)
 
     return write
-
-
-def rows(df):
-    return sorted(tuple(r) for r in df.collect())

@@ -46,3 +46,7 @@ def spark_rows(df):
 def oracle_rows(con, sql):
     cursor = con.execute(sql)
     return normal([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import rows
+from oracle_check import rows
 from pyspark.sql import functions as F
 
 from tidemart.functions import columns as C

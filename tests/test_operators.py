@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from oracle_check import rows
 from pyspark.sql import functions as F
 
 from tidemart.operators import alerts, devices, dimension, orders, routing, sales, search, serving

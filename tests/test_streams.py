@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import rows
+from oracle_check import rows
 from pyspark.sql import functions as F
 
 from tidemart.functions.parse import good, parse_feed, with_log_time

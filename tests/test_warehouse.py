@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import rows
+from oracle_check import rows
 from pyspark.sql import functions as F
 
 from tidemart.functions.columns import previous_day
