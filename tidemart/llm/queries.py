@@ -20,6 +20,7 @@ from tidemart.llm import (
     substrings,
     token_files,
     toxicity,
+    trie,
 )
 from tidemart.llm.common import ship_package, table
 
@@ -114,6 +115,54 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(turns.unionByName(trap)))
 
 
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return trie.prefix_trie(trie.rebuilt(trie.conversations(turns))).drop("turn_id")
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in SQL, bit by bit."""
+    step = "list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), " \
+           "lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda crc, byte: {step}), 4294967295)"
+
+
+ORACLE["op13_conversation_trie"] = rf"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base,
+  {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM t),
+r AS (
+  SELECT c.conv_id, 0 AS own, i, role, text FROM c JOIN t ON t.conv_id = c.base AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth,
+    len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+    sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER w) AS path
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+m AS (SELECT *, lag(path) OVER w AS parent, lead(path) OVER w IS NULL AS ends FROM p
+  WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs,
+    (count(*) - 1) * any_value(words) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM m GROUP BY path, depth),
+kids AS (SELECT parent AS path, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT p.path, sum(n.saved) AS saved_tokens, count(*) FILTER (WHERE kids.path IS NULL) AS n_leaves
+  FROM n LEFT JOIN kids USING (path) JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.path)
+SELECT n.depth, n.conv_id, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n AS up ON up.path = n.parent LEFT JOIN kids ON kids.path = n.path
+  JOIN below ON below.path = n.path
+"""
+
+
 def _escaped(column: str) -> str:
     return rf"replace(replace({column}, '\', '\b'), '<', '\l')"
 
