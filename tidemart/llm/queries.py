@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tidemart.llm import (
     bpe,
     chat,
+    compression,
     decontamination,
     lines,
+    merkle,
     near_dups,
     repetition,
     secrets,
@@ -115,6 +117,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(turns.unionByName(trap)))
 
 
+@query
+def op11_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = compression.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality").where(~held_out))
+    return compression.score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(merkle.leaves(docs, {"n_chars": F.col("n_chars") + 1}, tampered))
+    folded = F.element_at("copied", -1)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+                        folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
 @query
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -129,6 +150,60 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda crc, byte: {step}), 4294967295)"
 
 
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(v) for v in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+# Trees of both kinds, level by level: g names the tree, i the node in its level. Every node's parent
+# and sibling, then every leaf's siblings bottom up and the path folded from its changed leaf.
+ORACLE["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS other,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM documents),
+levels AS (
+  SELECT 0 AS level, lang, i, leaf AS h, n FROM t
+  UNION ALL
+  SELECT level + 1, lang, i // 2,
+    sha256(h || coalesce(lead(h) OVER (PARTITION BY lang ORDER BY i), '')), (n + 1) // 2
+  FROM (SELECT *, row_number() OVER () FROM levels WHERE n > 1) QUALIFY i % 2 = 0),
+subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM levels WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, i, h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(h || coalesce(lead(h) OVER (ORDER BY i), '')), (n + 1) // 2
+  FROM (SELECT *, row_number() OVER () FROM tops WHERE n > 1) QUALIFY i % 2 = 0),
+climb AS (
+  SELECT doc_id, leaf, lang, 0 AS level, i, n, other AS h, '' AS proof FROM t
+  UNION ALL
+  SELECT doc_id, leaf, c.lang, c.level + 1, c.i // 2, (c.n + 1) // 2,
+    CASE WHEN c.i % 2 = 1 THEN sha256(s.h || c.h) ELSE sha256(c.h || coalesce(s.h, '')) END,
+    proof || coalesce(s.h, '')
+  FROM climb c LEFT JOIN levels s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.i = xor(c.i, 1)
+  WHERE c.n > 1),
+upper AS (
+  SELECT doc_id, leaf, c.lang, 0 AS level, s.i, s.n, c.h, proof
+  FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT doc_id, leaf, u.lang, u.level + 1, u.i // 2, (u.n + 1) // 2,
+    CASE WHEN u.i % 2 = 1 THEN sha256(s.h || u.h) ELSE sha256(u.h || coalesce(s.h, '')) END,
+    proof || coalesce(s.h, '')
+  FROM upper u LEFT JOIN tops s ON s.level = u.level AND s.i = xor(u.i, 1) WHERE u.n > 1)
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, u.h AS folded_root,
+  u.h = r.h AS verified
+FROM upper u JOIN subroots s ON s.lang IS NOT DISTINCT FROM u.lang, (SELECT h FROM tops WHERE n = 1) r
+WHERE u.n = 1
+"""
+
+
 ORACLE["op13_conversation_trie"] = rf"""
 WITH RECURSIVE t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -141,7 +216,8 @@ r AS (
   UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
 p AS (
   SELECT conv_id, row_number() OVER w AS depth,
-    len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+    len(regexp_extract_all(text, '[^ 	-
+]+')) AS words,
     sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER w) AS path
   FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)
   UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
