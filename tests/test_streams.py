@@ -5,6 +5,7 @@ import json
 import pytest
 from oracle_check import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemart.functions.parse import good, parse_feed, with_log_time
 from tidemart.operators import alerts, devices, orders, sales
@@ -400,3 +401,128 @@ def test_empty_input(spark, tmp_path, drop_file):
     assert jobs.current_orders(spark, str(tmp_path / "gmv")).count() == 0
     assert set(ORDER_TABLE.fieldNames()) <= set(
         jobs.current_orders(spark, str(tmp_path / "gmv")).columns)
+
+
+def test_readers_open_only_committed_folders_of_their_days(spark, tmp_path, monkeypatch):
+    """With a thousand old days, a read lists the log of its own days and nothing else."""
+    table = str(tmp_path / "t")
+    layout = T.StructType([T.StructField("id", T.LongType()), T.StructField("day", T.StringType())])
+
+    def write(batch, *days):
+        tables.write_days(spark.createDataFrame([(batch, d) for d in days], layout), table, "day", "r", batch)
+
+    write(0, "2024-01-01", "2024-01-02")
+    write(1, "2024-01-02")
+    for n in range(1000):  # old days, whose folders are not there at all: opening one would fail
+        day = f"{1000 + n}-05-05"
+        (tmp_path / "t" / "_commits" / f"period={day}").mkdir()
+        (tmp_path / "t" / "_commits" / f"period={day}" / "r.000000000009").touch()
+    left = tmp_path / "t" / "run=r" / "batch=7" / "period=2024-01-02"  # of a batch that failed
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_text("half a file")
+    listed = []
+    names = tables._names
+    monkeypatch.setattr(tables, "_names", lambda s, path: listed.append(path) or names(s, path))
+    got = tables.read_days(spark, table, layout, "day", ["2024-01-02", "2023-07-07"])
+    assert rows(got) == [(0, "2024-01-02", "r", 0), (1, "2024-01-02", "r", 1)]
+    assert len(listed) == 2 and all("period=20" in path for path in listed)
+    write(1, "2024-01-03")  # the batch again, with another day
+    assert rows(tables.read_days(spark, table, layout, "day", ["2024-01-02", "2024-01-03"])) == [
+        (0, "2024-01-02", "r", 0), (1, "2024-01-03", "r", 1)]
+
+
+def test_a_batch_reads_its_own_days_however_far_apart(spark, drop_file, tmp_path, monkeypatch):
+    table, asked = str(tmp_path / "dau"), []
+    read = tables.read_days
+    monkeypatch.setattr(tables, "read_days", lambda s, p, layout, day, days=None, period="day": (
+        asked.append(days), read(s, p, layout, day, days, period))[1])
+    folder = drop_file("in", [start("a", 1000), start("b", -BASE + 5)])
+    jobs.start_dau(timed(folder, spark), table, table + "-p", trigger=jobs.ONCE).awaitTermination()
+    assert asked == [["1970-01-01", "2024-01-01"]]
+    asked.clear()
+    folder = drop_file("events", [event("m", u, "coupon", 1, 10) for u in "abc"]
+                       + [event("old", "a", "coupon", 1, -BASE // 1000 + 86_400)])
+    alert_table = str(tmp_path / "alerts")
+    jobs.start_alerts(timed(folder, spark), alert_table, alert_table + "-p", slide="5 minutes",
+                      trigger=jobs.ONCE).awaitTermination()
+    assert asked == [["1970-01-01", "1970-01-02", "2023-12-31", "2024-01-01"]]
+    assert rows(jobs.current_alerts(spark, alert_table).select("mid", "n_users")) == [("m", 3)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Kolkata"])
+def test_alerts_in_any_zone(spark, drop_file, tmp_path, monkeypatch, zone):
+    """Small batches across midnight, with driver and session in another zone."""
+    import os
+    import time
+    table = str(tmp_path / "alerts")
+    folder = None
+    for s, users in ((3 * 3600, "abcde"), (86_399, "ab"), (86_401, "cde"), (28_799, "abcde")):
+        folder = drop_file("in", [event(f"m{s // 10}", u, "coupon", 1, s) for u in users])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    monkeypatch.setitem(os.environ, "TZ", zone)
+    try:
+        time.tzset()
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        jobs.start_alerts(timed(folder, spark), table, table + "-p", slide="5 minutes",
+                          trigger=jobs.ONCE).awaitTermination()
+        got = {(r["mid"], r["n_users"]) for r in jobs.current_alerts(spark, table).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+        monkeypatch.undo()
+        time.tzset()
+    assert got == {("m1080", 5), ("m2879", 5), ("m8640", 3)}
+
+
+def test_folded_days_answer_as_before(spark, drop_file, tmp_path):
+    """Folds beside the stream: between batches, again, and with a batch that is repeated after it."""
+    table, progress = str(tmp_path / "orders"), str(tmp_path / "p")
+
+    def run(folder):
+        jobs.start_gmv(timed(folder, spark), table, progress, trigger=jobs.ONCE).awaitTermination()
+        return rows(jobs.current_orders(spark, table).select("id", "create_date", "total_amount"))
+
+    def fold(days=None):
+        tables.fold_days(spark, table, jobs.ORDER_VERSIONS, "create_date", days, ["id", "create_date"], ["change_ts"])
+        return rows(jobs.current_orders(spark, table).select("id", "create_date", "total_amount"))
+
+    want, folders = [], []
+    for n in range(6):
+        folder = drop_file("in", [order("1", n, str(n)), order(f"x{n}", n, "1"),
+                                  order("2", -n, str(n), create_time="2024-01-02 00:00:00")])
+        want = run(folder)
+        assert fold(["2024-01-01"] if n % 2 else None) == want
+        folders.append(len(list((tmp_path / "orders").glob("run=*/batch=*"))))
+    assert want[0] == ("1", "2024-01-01", 5.0) and ("2", "2024-01-02", 0.0) in want
+    assert max(folders) <= 3 and fold() == want == fold()
+    for file in (tmp_path / "p" / "commits").iterdir():  # the last batch runs again, after its fold
+        if file.name.lstrip(".").startswith("5"):
+            file.unlink()
+    assert run(folder) == want == fold()
+    one = jobs.current_orders(spark, table, ["2024-01-02"])
+    assert len(one.inputFiles()) <= 2 and rows(one.select("id")) == [("2",)]
+
+
+def test_closed_receive_days_keep_late_rows_for_a_replay(spark, drop_file, tmp_path):
+    users = str(tmp_path / "users")
+    order_folder = drop_file("orders", [order("1", 86_390), order("2", 100)])
+    detail_folder = drop_file("details", [detail("a", "1", 86_395), detail("b", "9", 50)])
+    for n in (1, 2):
+        drop_file("orders", [order(f"n{n}", 90_000 + n)])
+        drop_file("details", [detail(f"m{n}", f"n{n}", 90_000 + n)])
+    got = run_sales(spark, tmp_path, "s", order_folder, detail_folder, users)
+    table = str(tmp_path / "s")
+    jobs.close_feeds(spark, table, "2024-01-02")
+    jobs.close_feeds(spark, table, "2024-01-02")
+    held = tables.committed(spark, f"{table}_feeds/orders")
+    assert held["2024-01-01"].batches == [] and held["2024-01-02"].batches
+    # late for the closed day: "b" has its order now, "c" its line; a line of the open day meets a closed one
+    drop_file("orders", [order("9", 60), order("8", 70_000)])
+    drop_file("details", [detail("c", "2", 120), detail("e", "1", 86_450), detail("d", "8", 70_001)])
+    got = run_sales(spark, tmp_path, "s", order_folder, detail_folder, users)
+    assert rows(got.select("order_detail_id")) == [("a",), ("e",), ("m1",), ("m2",)]
+    assert rows(jobs.late_rows(spark, table)) == [("2024-01-01", "order", 2), ("2024-01-01", "order_detail", 2)]
+    for _ in range(2):
+        jobs.replay_late(spark, table, users, as_of="2024-06-01")
+        got = jobs.current_sales(spark, table)
+        assert rows(got.select("order_detail_id", "order_id")) == [
+            ("a", "1"), ("b", "9"), ("c", "2"), ("d", "8"), ("e", "1"), ("m1", "n1"), ("m2", "n2")]

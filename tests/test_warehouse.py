@@ -100,5 +100,10 @@ def test_everything_together(spark, drop_file, tmp_path):
     house.close_day(DAY)
     seen = spark.read.parquet(house.path("first_seen"))
     assert rows(seen.select("mid")) == [("a",), ("b",), ("c",), ("d",)]
-    published = spark.read.parquet(house.path("orders_by_day"))
-    assert rows(published.select("id", "total_amount")) == [("1", 10.5), ("2", 1.25)]
+    # what answers read of a closed day is its snapshot
+    assert rows(house.orders_of([yesterday, DAY]).select("id", "total_amount")) == [("1", 10.5), ("2", 1.25)]
+    assert rows(house.sales_of([DAY]).select("order_detail_id")) == [("1a",), ("1b",)]
+    assert {r.mid for r in house.alerts_of([DAY]).collect()} == {"farm"} and house.devices_of([DAY]).count() == 3
+    for frame in (house.orders_of([DAY]), house.sales_of([DAY]), house.devices_of([DAY])):
+        files = frame.inputFiles()
+        assert files and all("_folded/period=" in f for f in files)

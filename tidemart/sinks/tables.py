@@ -2,18 +2,24 @@
 
 A keyed upsert that rewrites its target costs as much as the table on every
 micro-batch. These tables are written once per batch instead: each micro-batch
-owns the folders ``period=<day>/run=<stream>/batch=<n>`` and replaces them whole, so
-a batch that is repeated after a failure leaves the same files. The last
-version per key is taken when a day is read, or once per day by
-:func:`publish`, which rebuilds whole day partitions of a separate table.
+owns the folder ``run=<stream>/batch=<n>`` and replaces it whole, so a batch
+that is repeated after a failure leaves the same files. The last version per
+key is taken when a day is read.
+
+A table by days has a commit log beside its files: once a batch is written
+whole, an empty file ``_commits/period=<day>/<stream>.<n>`` is left for each
+day that it holds. Readers list the log of the days they ask for and open the
+folders it names; nothing else is listed, however long the history, and the
+files of a batch that failed are never read. :func:`fold_days` replaces the
+batches of a day by one sorted snapshot, which the log then names instead.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +28,8 @@ from tidemart.operators.keyed import last_per_key, row_hash
 
 BATCH_COLUMNS = ["run", "batch"]
 ROW_HASH = "row_hash"
-PERIODS = {"day": 10, "month": 7}  # leading characters of yyyy-MM-dd
+#: Leading characters of yyyy-MM-dd; a bucket is a number of three digits in place of a day.
+PERIODS = {"day": 10, "month": 7, "bucket": 3}
 _BATCH_FIELDS = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
 
 
@@ -57,15 +64,25 @@ def _period(day: str, period: str):
 
 
 def write_days(rows: DataFrame, path: str, day: str, run: str, batch: int,
-               period: str = "day") -> None:
-    """Write one micro-batch of a table that is partitioned by the ``day`` column.
+               period: str = "day", *sort: str) -> None:
+    """Write and commit one micro-batch of a table that is partitioned by the ``day`` column.
 
     With ``period="month"`` a folder holds a month: for a table with few rows
     on each of very many days. The day stays a column either way; inside a
     month rows are sorted by it, so that row-group statistics still prune.
     """
-    placed = rows.withColumn("period", _period(day, period))
-    write_batch(placed, path, "period", run, batch, *([] if period == "day" else [day]))
+    spark, own = rows.sparkSession, f"{path}/run={run}/batch={int(batch)}"
+    for name in _names(spark, own):  # an earlier attempt may have committed already
+        _delete(spark, f"{path}/{_COMMITS}/{name}/{run}.{int(batch):012d}")
+    placed = rows.withColumn("period", _period(day, period)).hint("rebalance", "period")
+    keys = [*([] if period == "day" else [day]), *sort]
+    if keys:
+        placed = placed.sortWithinPartitions("period", *keys)
+    (placed.write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("period").parquet(own))
+    for name in _names(spark, own):
+        if name.startswith("period="):
+            _touch(spark, f"{path}/{_COMMITS}/{name}/{run}.{int(batch):012d}")
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -84,46 +101,174 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
-def _check_period(spark: SparkSession, path: str, period: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+# --- the commit log ----------------------------------------------------------------
+
+_COMMITS = "_commits"
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it is not there."""
+    store, folder = _folder(spark, path)
     if not store.exists(folder):
+        return []
+    return sorted(s.getPath().getName() for s in store.listStatus(folder))
+
+
+def _touch(spark: SparkSession, path: str) -> None:
+    store, file = _folder(spark, path)
+    store.create(file, True).close()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    store, folder = _folder(spark, path)
+    store.delete(folder, True)
+
+
+@dataclass
+class Held:
+    """What the log of one period names: its newest snapshot, up to which batch of each stream that
+    reaches, and the later batches."""
+    fold: int | None = None
+    upto: dict[str, int] = field(default_factory=dict)
+    batches: list[tuple[str, int]] = field(default_factory=list)
+
+
+def committed(spark: SparkSession, path: str, periods: Iterable[str] | None = None) -> dict[str, Held]:
+    """The log of the named periods, or of all."""
+    root = f"{path}/{_COMMITS}"
+    if periods is None:
+        periods = [n.removeprefix("period=") for n in _names(spark, root)]
+    out = {}
+    for p in periods:
+        held, folds, batches = Held(), {}, []
+        for name in _names(spark, f"{root}/period={p}"):
+            kind, *rest = name.split(".")
+            if kind != "fold":
+                batches.append((kind, int(rest[0])))
+            elif rest[1] == "done":
+                held.fold = max(held.fold or 0, int(rest[0]))
+            else:
+                folds.setdefault(int(rest[0]), {})[rest[1]] = int(rest[2])
+        held.upto = folds.get(held.fold, {})
+        held.batches = [(r, b) for r, b in batches if b > held.upto.get(r, -1)]
+        if held.batches or held.fold is not None:
+            out[p] = held
+    return out
+
+
+def open_periods(spark: SparkSession, path: str) -> list[str]:
+    """Periods with batches that no snapshot holds."""
+    return [p for p, held in committed(spark, path).items() if held.batches]
+
+
+def last_mark(spark: SparkSession, path: str) -> str:
+    """The greatest name that :func:`set_mark` left below ``path``, or an empty text."""
+    return (_names(spark, path) or [""])[-1]
+
+
+def set_mark(spark: SparkSession, path: str, name: str) -> None:
+    """Leave a name; older ones that it exceeds go."""
+    _touch(spark, f"{path}/{name}")
+    for other in _names(spark, path):
+        if other < name:
+            _delete(spark, f"{path}/{other}")
+
+
+def _check_period(spark: SparkSession, path: str, period: str) -> None:
+    if not exists(spark, path):
         raise FileNotFoundError(f"no table at {path}")
-    entries = store.listStatusIterator(folder)
-    while entries.hasNext():
+    store, folder = _folder(spark, f"{path}/{_COMMITS}")
+    entries = store.listStatusIterator(folder) if store.exists(folder) else None
+    while entries and entries.hasNext():
         name = entries.next().getPath().getName()
-        if name.startswith("period="):
-            if len(name) != len("period=") + PERIODS[period] and "__HIVE" not in name:
+        if name.startswith("period=") and "__HIVE" not in name:
+            if len(name) != len("period=") + PERIODS[period]:
                 raise ValueError(f"{path} is not partitioned by {period}: it has {name}")
             return
 
 
 def read_days(spark: SparkSession, path: str, schema: T.StructType, day: str,
-              days: Sequence[str] | None = None, period: str = "day",
-              span: tuple[str, str] | None = None) -> DataFrame:
+              days: Sequence[str] | None = None, period: str = "day") -> DataFrame:
     """Rows of a table written by :func:`write_days`, with their run and batch.
 
-    With ``days`` only their folders are listed and read; with ``span`` the
-    folders from its first to its last day are. A day without rows gives none;
-    a path without a table, or one with other periods, is an error.
+    With ``days`` only their folders are listed and read. A day without rows
+    gives none; a path without a table, or one with other periods, is an error.
     """
     _check_period(spark, path, period)
-    layout = T.StructType([*schema.fields, T.StructField("period", T.StringType()),
-                           *_BATCH_FIELDS])
-    if span is not None:
-        first, last = (d[:PERIODS[period]] for d in span)
-        rows = _read(spark, path, path, layout).where(F.col("period").between(first, last))
-        return rows.where(F.col(day).between(*span)).drop("period")
-    if days is None:
-        return _read(spark, path, path, layout).drop("period")
-    folders = sorted({d[:PERIODS[period]] for d in days})
-    try:
-        rows = _read(spark, path, f"{path}/period={{{','.join(folders)}}}", layout)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], layout)  # none of the days is there yet
-    return rows.where(F.col(day).isin(list(days))).drop("period")
+    periods = None if days is None else sorted({d[:PERIODS[period]] for d in days})
+    rows = _rows_of(spark, path, schema, committed(spark, path, periods))
+    return rows if days is None else rows.where(F.col(day).isin(list(days)))
+
+
+def _rows_of(spark: SparkSession, path: str, schema: T.StructType, held: dict[str, Held]) -> DataFrame:
+    layout = T.StructType([*schema.fields, *_BATCH_FIELDS])
+    files = [f"{path}/run={r}/batch={b}/period={p}" for p, h in held.items() for r, b in h.batches]
+    folds = [_fold_path(path, p, h.fold) for p, h in held.items() if h.fold is not None]
+    parts = []
+    if files:
+        placed = T.StructType([*layout.fields, T.StructField("period", T.StringType())])
+        parts.append(spark.read.schema(placed).option("basePath", path).parquet(*files)
+                     .select(*layout.fieldNames()))
+    if folds:
+        parts.append(spark.read.schema(layout).parquet(*folds))
+    if not parts:
+        return spark.createDataFrame([], layout)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _fold_path(path: str, period: str, number: int) -> str:
+    return f"{path}_folded/period={period}/fold={number:08d}"
+
+
+def fold_days(spark: SparkSession, path: str, schema: T.StructType, day: str, days: Sequence[str] | None = None,
+              keys: Sequence[str] = (), order: Sequence[str] = (), period: str = "day") -> None:
+    """Replace the batches of the named days, or of all, by one snapshot a period, sorted by day and key;
+    with ``keys``, of the last version per key.
+
+    Safe beside readers and a running stream: a snapshot counts once its last log entry is there,
+    batches that are committed meanwhile are left for the next fold, and what a snapshot replaced is
+    deleted by the fold after it, when no reader of the older log is at work any more. A batch that is
+    repeated after it was folded changes nothing: the log names the snapshot for it.
+    """
+    _check_period(spark, path, period)
+    periods = None if days is None else sorted({d[:PERIODS[period]] for d in days})
+    for p, held in committed(spark, path, periods).items():
+        if not held.batches:
+            continue
+        rows = _rows_of(spark, path, schema, {p: held})
+        if keys:
+            rows = last_per_key(rows, keys, *order, "batch", *([ROW_HASH] if ROW_HASH in rows.columns else []),
+                                total=ROW_HASH in rows.columns)
+        number = 0 if held.fold is None else held.fold + 1
+        sort = [day, *(k for k in keys if k != day)]
+        (rows.hint("rebalance").sortWithinPartitions(*sort).write.mode("overwrite")
+         .parquet(_fold_path(path, p, number)))
+        upto = dict(held.upto)
+        for run, batch in held.batches:
+            upto[run] = max(batch, upto.get(run, -1))
+        log = f"{path}/{_COMMITS}/period={p}"
+        for run, batch in upto.items():
+            _touch(spark, f"{log}/fold.{number:08d}.{run}.{batch:012d}")
+        _touch(spark, f"{log}/fold.{number:08d}.done")
+        _drop_folded(spark, path, p, held)
+
+
+def _drop_folded(spark: SparkSession, path: str, period: str, before: Held) -> None:
+    """Delete what the snapshot ``before`` replaced."""
+    if before.fold is None:
+        return
+    log = f"{path}/{_COMMITS}/period={period}"
+    for name in _names(spark, log):
+        kind, *rest = name.split(".")
+        if kind == "fold" and int(rest[0]) < before.fold:
+            _delete(spark, f"{log}/{name}")
+            _delete(spark, _fold_path(path, period, int(rest[0])))
+        elif kind != "fold" and int(rest[0]) <= before.upto.get(kind, -1):
+            _delete(spark, f"{log}/{name}")
+            own = f"{path}/run={kind}/batch={int(rest[0])}"
+            _delete(spark, f"{own}/period={period}")
+            if not any(n.startswith("period=") for n in _names(spark, own)):
+                _delete(spark, own)
 
 
 def read_table(spark: SparkSession, path: str, layout: T.StructType | str) -> DataFrame:
@@ -136,10 +281,13 @@ def _read(spark: SparkSession, base: str, where: str,
     return spark.read.schema(layout).option("basePath", base).parquet(where)
 
 
-def span_of(rows: DataFrame, day: str) -> tuple[str, str]:
-    """The first and the last day of a batch: one range, however many days there are."""
-    first, last = rows.agg(F.min(day), F.max(day)).first()
-    return (first or "", last or "")
+def days_of(rows: DataFrame, first, last=None) -> list[str]:
+    """The different days of a column of times, or from the one to the other of each row: as many
+    strings as a batch has days, however far apart they lie."""
+    last = first if last is None else last
+    each = F.explode(F.sequence(F.to_date(first), F.to_date(last)))
+    found = rows.where(first.isNotNull() & last.isNotNull()).select(each.alias("day")).distinct()
+    return sorted(r[0] for r in found.select(F.date_format("day", "yyyy-MM-dd")).collect())
 
 
 def latest(table: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
@@ -244,13 +392,6 @@ def fold(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[st
         store.delete(folder, True)
 
 
-def merge_into(rows: DataFrame, table: str, keys: Sequence[str]) -> None:
-    """Keyed upsert into a catalog table whose format supports row-level writes."""
-    on = " AND ".join(f"{table}.{k} = source.{k}" for k in keys)
-    (rows.alias("source").mergeInto(table, F.expr(on))
-     .whenMatched().updateAll().whenNotMatched().insertAll().merge())
-
-
 def write_topics(rows: DataFrame, fmt: str, path: str | None = None, run: str = "batch",
                  batch: int = 0, **options: str) -> None:
     """Send (topic, value) rows to their topics.

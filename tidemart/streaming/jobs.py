@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemart.functions.columns import day_of
+from tidemart.functions.columns import day_of, previous_day
 from tidemart.functions.parse import good, parse_changes, parse_feed, quarantined, with_log_time
 from tidemart.operators import alerts, devices, orders, routing, sales
 from tidemart.schemas import (
@@ -153,7 +153,7 @@ def start_dau(raw: DataFrame, table: str, checkpoint: str, quarantine: str | Non
             with _kept(devices.first_of_day(with_log_time(good(parsed)))) as firsts:
                 seen = tables.read_days(
                     batch.sparkSession, table, DAU_TABLE, "log_date",
-                    span=tables.span_of(firsts, "log_date")).where(
+                    tables.days_of(firsts, F.col("log_date"))).where(
                     (F.col("run") != run) | (F.col("batch") < batch_id))
                 known = devices.seen_of(firsts, seen)
                 fresh = devices.drop_seen(firsts, known).select(*DAU_TABLE.fieldNames())
@@ -249,10 +249,11 @@ def start_alerts(raw: DataFrame, table: str, checkpoint: str, length: str = ALER
     they fall into anew, from all panes of the devices they name. So an alert
     is out with the batch that completes it, a record that comes late, however
     late, changes the windows it belongs to, and a late click takes an alert
-    back. Only the days that the windows of the batch touch are read.
+    back. Of the panes, those days are read that the windows of the batch touch,
+    and of these the stretches of time of each device next to its own records.
     """
     pane_table, judged_table, listed_table = (f"{table}/{x}" for x in ("panes", "windows", "members"))
-    reach = F.expr(f"INTERVAL {alerts.seconds(length)} SECONDS")
+    reach = alerts.seconds(length)
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
         with _kept(parse_feed(batch, "event"), bool(quarantine)) as parsed:
@@ -260,19 +261,20 @@ def start_alerts(raw: DataFrame, table: str, checkpoint: str, length: str = ALER
             with _kept(alerts.panes(events, length, slide).withColumn(
                     "pane_day", day_of(F.col("pane")))) as fresh:
                 tables.write_days(fresh, pane_table, "pane_day", run, batch_id)
-                first, last = fresh.agg(F.min(F.col("pane") - reach),
-                                        F.max(F.col("pane") + reach)).first()
-                if first is not None:
-                    judge(batch.sparkSession, fresh, first, last, run, batch_id)
+                span = F.expr(f"INTERVAL {reach} SECONDS")
+                days = tables.days_of(fresh, F.col("pane") - span, F.col("pane") + span)
+                if days:
+                    judge(batch.sparkSession, fresh, days, run, batch_id)
             _set_aside(parsed, quarantine, run, batch_id)
 
-    def judge(spark: SparkSession, fresh: DataFrame, first, last, run: str, batch_id: int) -> None:
-        days = f"{first:%Y-%m-%d}", f"{last:%Y-%m-%d}"
+    def judge(spark: SparkSession, fresh: DataFrame, days: list[str], run: str, batch_id: int) -> None:
         touched = alerts.spread(fresh.select("pane", "mid"), length, slide).distinct()
-        known = (tables.read_days(spark, pane_table, PANES, "pane_day", span=days)
+        stretch = F.floor(F.unix_seconds("pane") / F.lit(reach))
+        near = fresh.select("mid", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
+        known = (tables.read_days(spark, pane_table, PANES, "pane_day", days)
                  .where((F.col("run") != run) | (F.col("batch") <= batch_id))
-                 .where(F.col("pane").between(first, last))
-                 .join(fresh.select("mid").distinct(), "mid", "left_semi"))
+                 .withColumn("stretch", stretch)
+                 .join(near.distinct(), ["mid", "stretch"], "left_semi").drop("stretch"))
         counted = (alerts.spread(known.drop(*tables.BATCH_COLUMNS, "pane_day"), length, slide)
                    .join(touched, alerts.WINDOW_KEY, "left_semi"))
         with _kept(alerts.judge(counted, min_users)) as judged:
@@ -308,65 +310,143 @@ def current_alert_members(spark: SparkSession, table: str, days: list[str] | Non
     return alerts.named_members(rows)
 
 
+def _feed_tables(table: str) -> tuple[str, str]:
+    return f"{table}_feeds/orders", f"{table}_feeds/lines"
+
+
+def _late_tables(table: str) -> tuple[str, str]:
+    return f"{table}_feeds/late_orders", f"{table}_feeds/late_lines"
+
+
+def _received(batch: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
+    """All records of one of the joined feeds, parsed, and the usable ones with their day of receipt."""
+    parsed = parse_feed(batch.where(F.col("feed") == feed), feed)
+    rows = good(parsed).withColumnRenamed("timestamp", "rt")
+    return parsed, rows.where(F.col("rt").isNotNull()).withColumn("rt_day", day_of(F.col("rt")))
+
+
+class _SalesJoin:
+    """The join of fresh orders and lines with what was received around them."""
+
+    def __init__(self, users: str, table: str, as_of: Column | str | None, seconds: int, salts: int, period: str):
+        self.users, self.table, self.as_of = users, table, as_of
+        self.seconds, self.salts, self.period = int(seconds), salts, period
+
+    def around(self, fresh: DataFrame, path: str, layout: T.StructType, seen: Column) -> DataFrame | None:
+        """The rows of the other side within the bound of some fresh row's time, at least: of the days
+        that the bound touches, the stretches of time next to a fresh row."""
+        span = F.expr(f"INTERVAL {self.seconds} SECONDS")
+        days = tables.days_of(fresh, F.col("rt") - span, F.col("rt") + span)
+        if not days:
+            return None
+        stretch = F.floor(F.unix_seconds("rt") / F.lit(max(self.seconds, 1)))
+        near = fresh.select(F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()
+        rows = tables.read_days(fresh.sparkSession, path, layout, "rt_day", days).where(seen)
+        return rows.withColumn("stretch", stretch).join(near, "stretch", "left_semi").drop("stretch")
+
+    def write(self, heads: DataFrame, lines: DataFrame, run: str, batch_id: int) -> None:
+        """Keep the rows in the feed tables, and the pairs they complete in the sales table."""
+        order_table, line_table = _feed_tables(self.table)
+        tables.write_days(heads, order_table, "rt_day", run, batch_id)
+        tables.write_days(lines, line_table, "rt_day", run, batch_id)
+        other = F.col("run") != run
+        near_lines = self.around(heads, line_table, SALE_LINES, other | (F.col("batch") <= batch_id))
+        near_heads = self.around(lines, order_table, SALE_ORDERS, other | (F.col("batch") < batch_id))
+        pairs = [sales.interval_join(h, d, self.seconds, self.salts)
+                 for h, d in ((heads, near_lines), (near_heads, lines)) if h is not None and d is not None]
+        if pairs:
+            self._keep(reduce(DataFrame.unionByName, pairs), run, batch_id)
+
+    def _keep(self, pairs: DataFrame, run: str, batch_id: int) -> None:
+        with _kept(pairs) as found:
+            if not found.count():  # also tells Spark how small the batch is
+                return
+            versions = user_versions(found.sparkSession, self.users)
+            known = latest_versions(sales.users_of(found, versions))
+            rows = sales.enrich(found, known, F.col("joined_rt") if self.as_of is None else self.as_of)
+            rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
+            tables.write_days(tables.versioned(rows, SALE_VERSIONS), self.table, "dt",
+                              run, batch_id, self.period)
+
+
 def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str, table: str,
                        checkpoint: str, as_of: Column | str | None = None,
                        seconds: int = JOIN_BOUND_SECONDS, salts: int = 8, period: str = "day",
-                       trigger: dict | None = None) -> StreamingQuery:
+                       quarantine: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Order lines joined with orders and users; :func:`current_sales` reads them.
 
     A batch adds its orders and lines to ``<table>_feeds``, by day of receipt, and joins them with
     what lies within the bound of them, of this and all earlier batches. So each pair is out with
     the batch that completes it, in whatever order and however late its two sides come; a line that
-    meets no order leaves silently. Only the days that the batch and the bound touch are read. The
-    user table is read anew in every batch. Without ``as_of`` the age counts from the day the pair
-    was complete, so a repeated batch gives the same row.
+    meets no order leaves silently. Rows received on a day that :func:`close_feeds` closed are kept
+    apart (:func:`late_rows`) until :func:`replay_late` joins them. The user table is read anew in
+    every batch. Without ``as_of`` the age counts from the day the pair was complete, so a repeated
+    batch gives the same row. Unreadable records of both feeds are set aside in ``quarantine``.
     """
-    order_table, line_table = (f"{table}_feeds/{x}" for x in ("orders", "lines"))
-    bound = F.expr(f"INTERVAL {int(seconds)} SECONDS")
-
-    def received(batch: DataFrame, feed: str) -> DataFrame:
-        rows = good(parse_feed(batch.where(F.col("feed") == feed), feed)).withColumnRenamed("timestamp", "rt")
-        return rows.where(F.col("rt").isNotNull()).withColumn("rt_day", day_of(F.col("rt")))
-
-    def around(fresh: DataFrame, path: str, layout: T.StructType, seen: Column) -> DataFrame | None:
-        """The rows of the other side within the bound of some fresh row's time, at least."""
-        low, high = F.min("rt") - bound, F.max("rt") + bound
-        first, last, first_day, last_day = fresh.agg(low, high, day_of(low), day_of(high)).first()
-        if first is None:
-            return None
-        rows = tables.read_days(fresh.sparkSession, path, layout, "rt_day", span=(first_day, last_day))
-        return rows.where(seen).where(F.col("rt").between(first, last))
+    join = _SalesJoin(users, table, as_of, seconds, salts, period)
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        heads = orders.clean_orders(received(batch, "order"), hour="colon")
-        with (_kept(heads.select(*SALE_ORDERS.fieldNames())) as heads,
-              _kept(received(batch, "order_detail").select(*SALE_LINES.fieldNames())) as lines):
-            tables.write_days(heads, order_table, "rt_day", run, batch_id)
-            tables.write_days(lines, line_table, "rt_day", run, batch_id)
-            other = F.col("run") != run
-            near_lines = around(heads, line_table, SALE_LINES, other | (F.col("batch") <= batch_id))
-            near_heads = around(lines, order_table, SALE_ORDERS, other | (F.col("batch") < batch_id))
-            pairs = [sales.interval_join(h, d, seconds, salts)
-                     for h, d in ((heads, near_lines), (near_heads, lines)) if h is not None and d is not None]
-            if pairs:
-                keep(reduce(DataFrame.unionByName, pairs), run, batch_id)
-
-    def keep(pairs: DataFrame, run: str, batch_id: int) -> None:
-        with _kept(pairs) as found:
-            if not found.count():  # also tells Spark how small the batch is
-                return
-            versions = user_versions(found.sparkSession, users)
-            known = latest_versions(sales.users_of(found, versions))
-            rows = sales.enrich(found, known, F.col("joined_rt") if as_of is None else as_of)
-            rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
-            tables.write_days(tables.versioned(rows, SALE_VERSIONS), table, "dt",
-                              run, batch_id, period)
+        closed = _closed_upto(batch.sparkSession, table)
+        with _kept(batch, bool(quarantine)) as batch:
+            all_heads, heads = _received(batch, "order")
+            all_lines, lines = _received(batch, "order_detail")
+            heads = orders.clean_orders(heads, hour="colon").select(*SALE_ORDERS.fieldNames())
+            with _kept(heads) as heads, _kept(lines.select(*SALE_LINES.fieldNames())) as lines:
+                if closed:
+                    behind = F.col("rt_day") <= closed
+                    for rows, path in zip((heads, lines), _late_tables(table), strict=True):
+                        tables.write_days(rows.where(behind), path, "rt_day", run, batch_id)
+                    heads, lines = heads.where(~behind), lines.where(~behind)
+                join.write(heads, lines, run, batch_id)
+            if quarantine:
+                bad = [quarantined(p) for p in (all_heads, all_lines)]
+                tables.write_days(bad[0].unionByName(bad[1]).withColumn("day", day_of(F.col("timestamp"))),
+                                  quarantine, "day", run, batch_id)
 
     raw = reduce(DataFrame.unionByName, (
         r.select("value", "timestamp", F.lit(feed).alias("feed"))
         for r, feed in ((order_raw, "order"), (detail_raw, "order_detail"))))
     return _start(raw, "sale_details", checkpoint, trigger, CADENCE, write, table, users,
-                  order_table, line_table)
+                  *_feed_tables(table), *_late_tables(table))
+
+
+def _closed_upto(spark: SparkSession, table: str) -> str:
+    return tables.last_mark(spark, f"{table}_feeds/closed")
+
+
+def close_feeds(spark: SparkSession, table: str, before: str) -> None:
+    """End the days of receipt before ``before`` in the feeds of the sales join.
+
+    Their batches are folded into one snapshot a day, so the number of folders stays bounded; rows near
+    midnight still find their partners there. What is received for them later is late. Only days that a
+    batch was committed for since the last close are folded anew.
+    """
+    for path, layout in zip(_feed_tables(table), (SALE_ORDERS, SALE_LINES), strict=True):
+        days = [d for d in tables.open_periods(spark, path) if d < before]
+        tables.fold_days(spark, path, layout, "rt_day", days)
+    tables.set_mark(spark, f"{table}_feeds/closed", previous_day(before))
+
+
+def late_rows(spark: SparkSession, table: str) -> DataFrame:
+    """(rt_day, feed, n): rows that came for closed days, replayed or not."""
+    counts = [tables.read_days(spark, path, layout, "rt_day").groupBy("rt_day", F.lit(feed).alias("feed"))
+              .agg(F.count("*").alias("n")) for path, layout, feed in zip(
+                  _late_tables(table), (SALE_ORDERS, SALE_LINES), ("order", "order_detail"), strict=True)]
+    return counts[0].unionByName(counts[1])
+
+
+def replay_late(spark: SparkSession, table: str, users: str, as_of: Column | str | None = None,
+                seconds: int = JOIN_BOUND_SECONDS, salts: int = 8, period: str = "day") -> None:
+    """Join the late rows with what was received around them, and with each other.
+
+    A replay is a batch of its own (run ``replay``). It takes all late rows, so it may be repeated
+    and changes nothing then; a pair that is there already is the same version again.
+    """
+    number = int(tables.last_mark(spark, f"{table}_feeds/replays") or -1) + 1
+    heads, lines = (tables.read_days(spark, path, layout, "rt_day").select(*layout.fieldNames())
+                    for path, layout in zip(_late_tables(table), (SALE_ORDERS, SALE_LINES), strict=True))
+    _SalesJoin(users, table, as_of, seconds, salts, period).write(heads, lines, "replay", number)
+    tables.set_mark(spark, f"{table}_feeds/replays", f"{number:08d}")
 
 
 def current_sales(spark: SparkSession, table: str, days: list[str] | None = None,

@@ -96,14 +96,22 @@ class Warehouse:
         jobs.fold_users(self.spark, self._table("users"))
 
     def join_sales(self, trigger: dict | None = None, **join) -> StreamingQuery:
-        """The joined sales. The unreadable records of both feeds are set aside by two more
-        queries that start with the join, as its state cannot keep them."""
-        for feed in ("order", "order_detail"):
-            self.set_aside(feed, trigger)
+        """The joined sales; the job sets the unreadable records of both feeds aside itself."""
         return jobs.start_sale_details(
             self._feed("order"), self._feed("order_detail"), self.path("users"),
-            self.path("sales"), self.path("progress/sales"), period=self.period,
-            trigger=trigger, **join)
+            self.path("sales"), period=self.period, trigger=trigger, **self._places("sales"), **join)
+
+    def close_feeds(self, before: str) -> None:
+        """End the receive days before ``before`` in the buffer of the sales join."""
+        jobs.close_feeds(self.spark, self._table("sales"), before)
+
+    def late_sales(self) -> DataFrame:
+        """(rt_day, feed, n) of the rows that came for closed receive days."""
+        return jobs.late_rows(self.spark, self._table("sales"))
+
+    def replay_late_sales(self, **join) -> None:
+        """Join the late rows after all; may be repeated."""
+        jobs.replay_late(self.spark, self._table("sales"), self._table("users"), period=self.period, **join)
 
     def set_aside(self, feed: str, trigger: dict | None = None) -> StreamingQuery:
         """Keep the unreadable records of a feed that only joins or windows use."""
@@ -111,19 +119,25 @@ class Warehouse:
                                      **self._places(f"{feed}-feed"))
 
     def close_day(self, day: str) -> None:
-        """Once a day is over: keep its new devices and compact its orders and sales.
+        """Once a day is over: keep its new devices and fold its batches into one snapshot a table,
+        which all answers read from then on, with what came after it.
 
-        Days are closed in order. Repeating a day gives the same tables.
+        Days are closed in order. Repeating a day gives the same answers.
         """
         fresh = self.new_devices([day])
         (fresh.hint("rebalance").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("log_date")
          .parquet(self.path("first_seen")))
-        for name, schema, column, key, order in (
-                ("orders", jobs.ORDER_VERSIONS, "create_date", "id", "change_ts"),
-                ("sales", jobs.SALE_VERSIONS, "dt", "order_detail_id", "joined_rt")):
-            tables.publish(self.spark, self._table(name), self.path(f"{name}_by_day"), schema,
-                           column, [key, column], [order], [day], self.period)
+        for name, schema, column, keys, order in (
+                ("orders", jobs.ORDER_VERSIONS, "create_date", ["id"], ["change_ts"]),
+                ("sales", jobs.SALE_VERSIONS, "dt", ["order_detail_id"], ["joined_rt"]),
+                ("dau", DAU_TABLE, "log_date", [], []),
+                ("alerts/panes", jobs.PANES, "pane_day", [], []),
+                ("alerts/windows", jobs.JUDGED, "index_day", [], []),
+                ("alerts/members", jobs.LISTED, "index_day", [], [])):
+            period = self.period if keys else "day"
+            tables.fold_days(self.spark, self._table(name), schema, column, [day],
+                             [*keys, column] if keys else [], order, period)
 
     # --- tables ---------------------------------------------------------------
 
