@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from tidemart.functions import columns as C
 from tidemart.functions.parse import (
-    good, parse_changes, parse_feed, quarantined, stamp, with_log_time)
-from tidemart.operators import orders
+    good, parse_changes, parse_feed, quarantined, stamp, without_time, with_log_time)
+from tidemart.operators import orders, routing
 
 
 def raw(spark, *values):
@@ -103,12 +103,16 @@ def test_numbers_in_text_fields_of_events(spark):
 
 
 def test_stamp_sets_the_time_of_arrival(spark):
-    df = raw(spark, '{"a":"x}"}', '{}', ' { "ts": 5, "a":{"ts":1} } ', '{"a":{"ts":1}}',
-             '{"ts":null}', '{"b":[1,2.5,"é"],"ts":"x","a":null}')
-    out = [r[0] for r in df.select(stamp(F.col("value"), F.col("timestamp"))).collect()]
-    assert out == ['{"a":"x}","ts":1704103200000}', '{"ts":1704103200000}',
-                   '{"a":{"ts":1},"ts":1704103200000}', '{"a":{"ts":1},"ts":1704103200000}',
-                   '{"ts":1704103200000}', '{"a":null,"b":[1,2.5,"é"],"ts":1704103200000}']
+    df = raw(spark, '{"a":"x}"}', '{}', ' { "ts": 5, "a":{"ts":1} } ', '{"a":{"ts":1}}', '{"t\\u0073":7,"b":1}',
+             '{"ts":null}', '{"b":[1,2.5,"é"],"ts":"x","a":null}', '{"a":1,"a":2}', '{"a":1,"a":2,"ts":3}', "[1]")
+    out = [r[0] for r in df.select(stamp(without_time(F.col("value")), F.col("timestamp"))).collect()]
+    assert out[:-1] == [
+        '{"a":"x}","ts":1704103200000}', '{"ts":1704103200000}',
+        '{"a":{"ts":1},"ts":1704103200000}', '{"a":{"ts":1},"ts":1704103200000}', '{"b":1,"ts":1704103200000}',
+        '{"ts":1704103200000}', '{"a":null,"b":[1,2.5,"é"],"ts":1704103200000}',
+        '{"a":1,"a":2,"ts":1704103200000}', None]
+    errors = [r[0] for r in routing.route_logs(df).select("error").collect()]
+    assert errors == [None] * 8 + ["repeated name", "malformed"]
 
 
 def test_document_and_index_name(spark):

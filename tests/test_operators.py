@@ -381,3 +381,37 @@ def test_change_routing(spark):
     got = {(r.topic, json.loads(r.value)["id"]) for r in routing.route_changes(df).collect()}
     assert got == {("TOPIC_ORDER_INFO", "0"), ("TOPIC_ORDER_DETAIL", "3"),
                    ("TOPIC_USER_INFO", "5"), ("TOPIC_USER_INFO", "6")}
+
+
+def test_alert_events_in_order_equal_a_plain_list(spark):
+    import random
+    rng = random.Random(3)
+    base = 1_704_067_200
+    data = [(n, f"m{rng.randrange(3)}", rng.choice("abcd"), rng.choice(["coupon"] * 4 + ["addCart", None]), "i",
+             1000 * (base + rng.randrange(1500))) for n in range(300)]
+    rows_of = spark.createDataFrame(data, "id long, mid string, uid string, evid string, itemid string, ts long")
+    events = rows_of.withColumn("et", F.timestamp_millis("ts"))
+    found = alerts.detect(alerts.windowed(events))
+    got = sorted(tuple(r) for r in alerts.alert_events(events, found).collect())
+    want = []
+    for w in alerts.last_of_minute(found).select("mid", F.unix_millis("window_end").alias("end")).collect():
+        held = sorted((ts, n, evid) for n, mid, _, evid, _, ts in data
+                      if mid == w.mid and evid is not None and w.end - 300_000 <= ts < w.end)
+        want += [(f"{w.mid}-{w.end // 60_000}", i, ts, evid) for i, (ts, _, evid) in enumerate(held, 1)]
+    assert len(want) > 200 and got == sorted(want)
+
+
+def test_any_page_opens_its_part_only(spark, tmp_path):
+    from tidemart.operators import pages
+    rows_of = spark.range(1000).select(*[F.lpad(((F.col("id") * 7919) % 1000).cast("string"), 4, "0").alias(c)
+                                         for c in ("dt", "order_id", "order_detail_id")], "id")
+    path = str(tmp_path / "pages")
+    pages.write_pages(rows_of, path, parts=8)
+    for page, size in ((1, 20), (37, 10), (50, 20), (3, 333), (4, 333), (99, 20), (1, 5000)):
+        got = pages.read_page(spark, path, page, size)
+        want = [f"{n:04d}" for n in range(1000)][(page - 1) * size:page * size]
+        assert [r["dt"] for r in got.collect()] == want
+        if want and size <= 20:
+            assert len({f.split("part=")[1].split("/")[0] for f in got.inputFiles()}) <= 2
+    pages.write_pages(rows_of.limit(0), path)
+    assert pages.read_page(spark, path, 1, 20).count() == 0

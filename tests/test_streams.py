@@ -457,20 +457,20 @@ def test_alerts_in_any_zone(spark, drop_file, tmp_path, monkeypatch, zone):
     table = str(tmp_path / "alerts")
     folder = None
     for s, users in ((3 * 3600, "abcde"), (86_399, "ab"), (86_401, "cde"), (28_799, "abcde")):
-        folder = drop_file("in", [event(f"m{s // 10}", u, "coupon", 1, s) for u in users])
+        folder = drop_file("in", [event(f"m{s // 1000}", u, "coupon", 1, s) for u in users])
     before = spark.conf.get("spark.sql.session.timeZone")
     monkeypatch.setitem(os.environ, "TZ", zone)
     try:
         time.tzset()
         spark.conf.set("spark.sql.session.timeZone", zone)
-        jobs.start_alerts(timed(folder, spark), table, table + "-p", slide="5 minutes",
+        jobs.start_alerts(timed(folder, spark), table, table + "-p",
                           trigger=jobs.ONCE).awaitTermination()
         got = {(r["mid"], r["n_users"]) for r in jobs.current_alerts(spark, table).collect()}
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
         monkeypatch.undo()
         time.tzset()
-    assert got == {("m1080", 5), ("m2879", 5), ("m8640", 3)}
+    assert got == {("m10", 5), ("m28", 5), ("m86", 5), ("m86", 3)}
 
 
 def test_folded_days_answer_as_before(spark, drop_file, tmp_path):
@@ -526,3 +526,23 @@ def test_closed_receive_days_keep_late_rows_for_a_replay(spark, drop_file, tmp_p
         got = jobs.current_sales(spark, table)
         assert rows(got.select("order_detail_id", "order_id")) == [
             ("a", "1"), ("b", "9"), ("c", "2"), ("d", "8"), ("e", "1"), ("m1", "n1"), ("m2", "n2")]
+
+
+def test_first_seen_is_corrected_by_late_records(spark, drop_file, tmp_path):
+    table, day = str(tmp_path / "first"), 86_400_000
+
+    def run(folder):
+        jobs.start_first_seen(timed(folder, spark), table, table + "-p", trigger=jobs.ONCE).awaitTermination()
+        return rows(jobs.new_devices_of(spark, table))
+
+    folder = drop_file("in", [start("a", 5 * day), start("b", 5 * day + 1), start("a", 6 * day)])
+    assert run(folder) == [("2024-01-06", "00", 2)]
+    drop_file("in", [start("a", 7 * day), start("c", 7 * day)])
+    assert run(folder) == [("2024-01-06", "00", 2), ("2024-01-08", "00", 1)]
+    jobs.fold_first_seen(spark, table)
+    drop_file("in", [start("a", 3_600_000), start("b", 5 * day)])  # a moves to another day, b to itself
+    want = [("2024-01-01", "01", 1), ("2024-01-06", "00", 1), ("2024-01-08", "00", 1)]
+    assert run(folder) == want
+    jobs.fold_first_seen(spark, table)
+    assert run(folder) == want and rows(jobs.first_seen(spark, table).select("mid")) == [("a",), ("b",), ("c",)]
+    assert rows(jobs.new_devices_of(spark, table, ["2024-01-06"])) == [("2024-01-06", "00", 1)]

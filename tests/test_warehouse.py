@@ -106,4 +106,4 @@ def test_everything_together(spark, drop_file, tmp_path):
     assert {r.mid for r in house.alerts_of([DAY]).collect()} == {"farm"} and house.devices_of([DAY]).count() == 3
     for frame in (house.orders_of([DAY]), house.sales_of([DAY]), house.devices_of([DAY])):
         files = frame.inputFiles()
-        assert files and all("_folded/period=" in f for f in files)
+        assert files and all("_folded/fold=" in f for f in files)

@@ -48,6 +48,10 @@ def previous_day(day: str) -> str:
     return (dt.date.fromisoformat(day) - dt.timedelta(days=1)).isoformat()
 
 
+def next_day(day: str) -> str:
+    return (dt.date.fromisoformat(day) + dt.timedelta(days=1)).isoformat()
+
+
 def mask_phone(phone: Column) -> Column:
     """Keep the first characters, hide the rest behind a fixed-length fill."""
     return F.concat(F.substring(phone, 1, MASK_VISIBLE), F.lit(MASK_FILL))

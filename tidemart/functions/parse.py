@@ -106,16 +106,21 @@ def with_log_days(timed: DataFrame) -> DataFrame:
     return timed.withColumns({"log_date": day_of(F.col("et")), "log_hour": hour_of(F.col("et"))})
 
 
-def stamp(value: Column, arrival: Column) -> Column:
-    """Set ``ts`` (arrival millis) of a JSON object text; a ``ts`` it came with is overwritten.
+def without_time(value: Column) -> Column:
+    """A JSON object text without its ``ts``, or NULL if that cannot be told (a name that comes twice).
 
-    Only records that bring one are taken apart (their keys then come sorted); all others get it
-    at their end.
+    A text in which the name does not stand, nor an escape that could spell it, stays as it is and is
+    not parsed; the others are taken apart, and their keys then come sorted.
     """
     bare = F.to_json(F.map_filter(
         F.try_parse_json(value).cast("map<string,variant>"), lambda name, _: name != "ts"))
-    brings = F.array_contains(F.json_object_keys(value), "ts")
-    text = F.trim(F.when(brings, F.coalesce(bare, value)).otherwise(value), F.lit(" \t\r\n"))
+    suspect = F.contains(value, F.lit('"ts"')) | F.contains(value, F.lit("\\u"))
+    return F.when(suspect, bare).otherwise(value)
+
+
+def stamp(bare: Column, arrival: Column) -> Column:
+    """Add ``ts`` (arrival millis) at the end of a JSON object text that has none."""
+    text = F.trim(bare, F.lit(" \t\r\n"))
     opened = F.substr(text, F.lit(1), F.length(text) - 1)
     comma = F.when(F.trim(opened) == "{", F.lit("")).otherwise(F.lit(","))
     millis = F.unix_millis(arrival).cast("string")

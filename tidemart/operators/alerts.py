@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemart.functions.columns import day_of
@@ -139,6 +139,32 @@ def alert_members(counted: DataFrame, alerts: DataFrame) -> DataFrame:
     return named_members(members(counted, last_of_minute(alerts)))
 
 
+def alert_events(events: DataFrame, alerts: DataFrame, length: str = ALERT_WINDOW) -> DataFrame:
+    """(doc_id, seq, ts, evid): all events of an alert in the order they happened, from 1 on.
+
+    ``events`` has mid, evid, ts, the event time ``et`` and an ``id`` that tells events of one
+    millisecond apart. Events meet windows in stretches of time as long as a window, of which a window
+    touches two, so no event is spread over windows it is not listed in. Places are counted per
+    document and sixteenth of a window and then within it: the events of a device that has a third of
+    them all are still ranked by many tasks.
+    """
+    size = seconds(length)
+    stretch, part = (lambda at, n=n: F.floor(F.unix_seconds(at) / F.lit(n)) for n in (size, max(size // 16, 1)))
+    docs = _named(last_of_minute(alerts)).select(
+        "doc_id", "mid", "window_start", "window_end", F.explode(F.array_distinct(F.array(
+            stretch("window_start"), stretch(F.col("window_end") - F.expr("INTERVAL 1 SECOND"))))).alias("stretch"))
+    named = events.where(F.col("evid").isNotNull()).select("mid", "evid", "ts", "et", "id", stretch("et").alias("stretch"))
+    listed = (named.join(docs, ["mid", "stretch"])
+              .where((F.col("et") >= F.col("window_start")) & (F.col("et") < F.col("window_end")))
+              .select("doc_id", part("et").alias("part"), "ts", "evid", "id"))
+    parts = listed.groupBy("doc_id", "part").agg(F.count("*").alias("n"))  # sixteen rows a document or so
+    upto = Window.partitionBy("doc_id").orderBy("part")
+    before = parts.select("doc_id", "part", (F.sum("n").over(upto) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("ts", "id"))
+    return (listed.withColumn("place", within).join(before, ["doc_id", "part"])
+            .select("doc_id", (F.col("before") + F.col("place")).alias("seq"), "ts", "evid"))
+
+
 def named_members(listed: DataFrame) -> DataFrame:
     return _named(listed).select(*ALERT_MEMBER.fieldNames())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.functions.parse import is_broken, parsed_once, stamp
+from tidemart.functions.parse import is_broken, parsed_once, stamp, without_time
 from tidemart.schemas import (
     ROW_ENTRY, STARTUP_TYPE, TOPIC_EVENT, TOPIC_ORDER, TOPIC_ORDER_DETAIL, TOPIC_START,
     TOPIC_USER)
@@ -23,16 +23,18 @@ def route_logs(raw: DataFrame) -> DataFrame:
     """(topic, value, timestamp, error) of raw device logs, stamped on arrival.
 
     ``raw`` has ``value`` and ``timestamp`` (arrival time of the source).
-    Records that are no JSON object get an ``error`` and no topic.
+    Records that are no JSON object, or bring a ``ts`` and name a field twice, get an ``error`` and
+    no topic. Records without a ``ts`` are parsed once, for their type.
     """
     rows = raw.select("value", "timestamp", parsed_once(F.col("value"), _HEAD).alias("head"))
     broken = is_broken("head") | ~F.ltrim("value", F.lit(" \t\r\n")).startswith("{")
+    stamped = F.when(~broken, stamp(without_time(F.col("value")), F.col("timestamp")))
+    rows = rows.select("value", "timestamp", broken.alias("broken"), "head.type", stamped.alias("stamped"))
     return rows.select(
-        F.when(~broken, log_topic(F.col("head.type"))).alias("topic"),
-        F.when(broken, F.col("value"))
-        .otherwise(stamp(F.col("value"), F.col("timestamp"))).alias("value"),
-        "timestamp",
-        F.when(broken, F.lit("malformed")).alias("error"))
+        F.when(F.col("stamped").isNotNull(), log_topic(F.col("type"))).alias("topic"),
+        F.coalesce("stamped", "value").alias("value"), "timestamp",
+        F.when(F.col("broken"), F.lit("malformed"))
+        .when(F.col("stamped").isNull(), F.lit("repeated name")).alias("error"))
 
 
 def change_topic(table: Column, op: Column) -> Column:

@@ -87,7 +87,7 @@ def event_logs(events: DataFrame) -> DataFrame:
         name = F.when(F.col("event_type") == kind, evid).otherwise(name)
     return events.select(
         F.concat(F.lit("mid_"), (F.col("user_id") % 10).cast("string")).alias("mid"),
-        _text("user_id").alias("uid"), name.alias("evid"), _text("event_id").alias("itemid"),
+        _text("user_id").alias("uid"), name.alias("evid"), _text("event_id").alias("itemid"), "event_id",
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
         F.col("ts").cast("timestamp").alias("et"))
 

@@ -178,6 +178,25 @@ _GMV_HOURS = f"""WITH {_ORDERS}
   SELECT create_date, create_hour, {_MONEY.format('total_amount')} AS sum_amount
   FROM ord GROUP BY create_date, create_hour"""
 
+_NEW_BUYERS = f"""WITH {_ORDERS}, firsts AS (SELECT user_id, min(create_date) AS log_date FROM ord GROUP BY user_id)
+  SELECT log_date, count(*) AS new_devices FROM firsts GROUP BY log_date"""
+
+
+def _options(part: str, label: str) -> str:
+    return f"""SELECT '{part}' AS part, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS pos,
+        name || '|' || n AS name, CAST(n AS DOUBLE) * 100 / (SELECT count(*) FROM hits) AS value
+      FROM (SELECT {label} AS name, count(*) AS n FROM hits GROUP BY 1)"""
+
+
+_RESPONSE = f"""WITH {_HITS}, page AS (
+    SELECT *, row_number() OVER (ORDER BY dt, order_id, order_detail_id) AS n FROM hits)
+  SELECT 'total' AS part, 0 AS pos, NULL AS name, CAST((SELECT count(*) FROM hits) AS DOUBLE) AS value
+  UNION ALL {_options('age', _AGE)} UNION ALL {_options('gender', _GENDER)}
+  UNION ALL SELECT 'detail', CAST(n - 51 AS INTEGER), concat_ws('|', order_detail_id, order_id, order_status,
+    create_time, user_id, sku_id, coalesce(user_gender, '-'), user_age, coalesce(user_level, '-'), sku_name,
+    age_known, dt), sku_price
+  FROM page WHERE n BETWEEN 51 AND 100"""
+
 ORACLE: dict[str, str] = {
     "dau_first_of_day": f"""WITH {_FIRST}
       SELECT mid, log_date, log_hour, uid, type, ts, event_id FROM first""",
@@ -195,6 +214,8 @@ ORACLE: dict[str, str] = {
                                   "2024-01-14", "2024-01-15"),
     "new_devices_by_day": f"""WITH {_NEW}
       SELECT log_date, count(*) AS new_devices FROM fresh GROUP BY log_date""",
+    "new_buyers_by_day": _NEW_BUYERS,
+    "stream_new_buyers": _NEW_BUYERS,
     "new_mid_hours_compare": _compare(_NEW, "fresh", "log_date", "log_hour", "count(*)",
                                       "2024-01-01", "2024-01-02"),
     "dau_hours_payload": f"""WITH {_FIRST}, per_hour AS (
@@ -246,6 +267,9 @@ ORACLE: dict[str, str] = {
     "user_age": f"WITH {_USERS} SELECT id, birthday, age FROM usr",
     "search_page": f"""WITH {_HITS} SELECT * FROM hits
       ORDER BY dt, order_id, order_detail_id LIMIT 20 OFFSET 20""",
+    "search_response_rows": _RESPONSE,
+    "search_page_directory": f"""WITH {_SALES} SELECT * FROM sales
+      ORDER BY dt, order_id, order_detail_id LIMIT 20 OFFSET 4980""",
     "search_page_after": f"""WITH {_HITS} SELECT * FROM hits
       ORDER BY dt, order_id, order_detail_id LIMIT 20 OFFSET 40""",
     "search_total": f"WITH {_HITS} SELECT count(*) AS total FROM hits",
@@ -264,6 +288,10 @@ ORACLE: dict[str, str] = {
     "coupon_alert": f"WITH {_ALERTS} SELECT mid, start_ms, end_ms, n_users FROM alert",
     "alert_docs": _ALERT_DOCS,
     "alert_members": _ALERT_MEMBERS,
+    "alert_events": f"""WITH {_ALERTS}
+      SELECT mid || '-' || CAST(end_ms // 60000 AS VARCHAR) AS doc_id,
+             row_number() OVER (PARTITION BY mid, end_ms ORDER BY ms, CAST(itemid AS BIGINT)) AS seq, ms AS ts, evid
+      FROM win JOIN alert USING (mid, start_ms) WHERE evid IS NOT NULL""",
     "coupon_alert_fine": _ALERTS_FINE,
     "stream_alerts_late": _ALERT_MEMBERS,
     "stream_dau_late": f"WITH {_FIRST} SELECT mid, log_date, log_hour, ts FROM first",
@@ -335,4 +363,7 @@ ORACLE: dict[str, str] = {
       SELECT 'TOPIC_USER_INFO', id, NULL, 'VIP' FROM usr WHERE user_level = 'HOUSEHOLD'""",
 }
 #: The order in which records come changes nothing.
-ORACLE["stream_sales_late"] = ORACLE["stream_sale_details"]
+ORACLE["stream_sales_late"] = ORACLE["stream_sales_replayed"] = ORACLE["stream_sale_details"]
+ORACLE["stream_gmv_folded"] = ORACLE["stream_gmv"]
+ORACLE["stream_dau_restarts"] = ORACLE["stream_dau_cadence"] = ORACLE["stream_dau"]
+ORACLE["stream_change_files"] = ORACLE["stream_change_router"]

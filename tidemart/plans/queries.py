@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart.functions import columns as C
 from tidemart.functions.columns import event_time
-from tidemart.functions.parse import good, parse_feed, quarantined, with_log_time
-from tidemart.operators import alerts, devices, dimension, orders, routing, sales, search, serving
+from tidemart.functions.parse import good, parse_feed, parsed_once, quarantined, with_log_time
+from tidemart.operators import (
+    alerts, devices, dimension, orders, pages, routing, sales, search, serving)
 from tidemart.plans import mapping as M
 from tidemart.plans.mapping import AS_OF, table
 from tidemart.schemas import FEEDS, SALE_DETAIL
@@ -127,6 +129,17 @@ def new_devices_by_day(spark, sf):
     return devices.new_devices_by_day(_logs(spark, sf), "et")
 
 
+def _first_orders(spark, sf):
+    """Customers as devices that are active when they order: new ones come over many years."""
+    rows = _orders(spark, sf)
+    return rows.select(F.col("user_id").alias("mid"), F.col("create_time").cast("timestamp").alias("et"))
+
+
+@query
+def new_buyers_by_day(spark, sf):
+    return devices.new_devices_by_day(_first_orders(spark, sf), "et")
+
+
 @query
 def new_mid_hours_compare(spark, sf):
     day = "2024-01-02"
@@ -285,6 +298,38 @@ def search_response_total(spark, sf):
         F.get_json_object("value", "$.detail[4].order_detail_id").alias("fifth_row"))
 
 
+@query
+def search_response_rows(spark, sf):
+    """The whole JSON response, read back: total, both facets and the page, each in its order."""
+    answer = search.response(search.search(_sales(spark, sf), keyword=KEYWORD, page=2, size=50))
+    option = "array<struct<name:string,value:bigint,share_pct:double>>"
+    layout = (f"total bigint, stat array<struct<options:{option}>>, "
+              f"detail array<struct<{SALE_DETAIL.simpleString()[len('struct<'):-1]}>>")
+    doc = answer.select(parsed_once(F.col("value"), layout).alias("doc"))
+
+    def rows(part: str, entries: Column, name, value) -> Column:
+        return F.transform(entries, lambda e, i: F.struct(
+            F.lit(part).alias("part"), i.alias("pos"), name(e).alias("name"), value(e).alias("value")))
+
+    def texts(d: Column) -> Column:
+        names = [c for c in SALE_DETAIL.fieldNames() if c != "sku_price"]
+        return F.concat_ws("|", *[F.coalesce(d[c].cast("string"), F.lit("-")) for c in names])
+
+    options = [rows(part, F.col("doc.stat")[i]["options"],
+                    lambda o: F.concat_ws("|", o["name"], o["value"].cast("string")), lambda o: o["share_pct"])
+               for i, part in enumerate(("age", "gender"))]
+    total = rows("total", F.array(F.col("doc.total")), lambda t: F.lit(None).cast("string"), lambda t: t.cast("double"))
+    return doc.select(F.inline(F.concat(total, *options, rows("detail", F.col("doc.detail"), texts, lambda d: d["sku_price"]))))
+
+
+@query
+def search_page_directory(spark, sf):
+    """Page 250 of all sales from the listing that is kept in order; one or two of its parts are read."""
+    folder = new_folder(spark, "pages")
+    pages.write_pages(_sales(spark, sf), folder)
+    return pages.read_page(spark, folder, 250, 20)
+
+
 # --- alerts --------------------------------------------------------------------
 
 def _counted(spark, sf):
@@ -316,6 +361,13 @@ def alert_members(spark, sf):
     return alerts.alert_members(_counted(spark, sf), _found(spark, sf)).drop("ts", "index_day")
 
 
+@query
+def alert_events(spark, sf):
+    """The events of every alert, in order."""
+    events = M.event_logs(table(spark, sf, "events")).withColumn("id", F.col("event_id"))
+    return alerts.alert_events(events, _found(spark, sf), ALERT_LENGTH)
+
+
 @query
 def coupon_alert_fine(spark, sf):
     """The reference cadence: windows of five minutes that slide by five seconds, over events
@@ -482,6 +534,103 @@ def stream_sales_late(spark, sf):
             .select(*SALE_DETAIL.fieldNames(), "index_day"))
 
 
+@query
+def stream_sales_replayed(spark, sf):
+    """The second half of the day of receipt comes first, then the day is closed; the first half is late
+    and joined by a replay. The sales are those of the whole, also from folded tables."""
+    folder = new_folder(spark, "sales-replayed")
+    _run_users(spark, sf, folder)
+    heads = M.order_feed(table(spark, sf, "orders"))
+    lines = M.detail_feed(table(spark, sf, "lineitem"), table(spark, sf, "part"))
+    raws = [M.raw(rows, *[c for c in rows.columns if c != "rt"], at=F.col("rt")) for rows in (heads, lines)]
+    for half in (1, 0):
+        streams = []
+        for name, raw in zip(("orders", "lines"), raws, strict=True):
+            part = raw.where(F.floor(F.hour("timestamp") / 12) == half)
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/in-{name}")
+            streams.append(feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in-{name}"))
+        _finish(spark, jobs.start_sale_details, *streams, f"{folder}/users", f"{folder}/table",
+                f"{folder}/progress", as_of=AS_OF, period="month")
+        if half:
+            day = raws[0].agg(F.max(F.date_format("timestamp", "yyyy-MM-dd"))).first()[0]
+            jobs.close_feeds(spark, f"{folder}/table", C.next_day(day))
+    jobs.replay_late(spark, f"{folder}/table", f"{folder}/users", as_of=AS_OF, period="month")
+    tables.fold_days(spark, f"{folder}/table", jobs.SALE_VERSIONS, "dt", None, ["order_detail_id", "dt"],
+                     ["joined_rt"], "month")
+    return (jobs.current_sales(spark, f"{folder}/table", period="month")
+            .select(*SALE_DETAIL.fieldNames(), "index_day"))
+
+
+@query
+def stream_gmv_folded(spark, sf):
+    """Order value from a table whose months were folded between two runs of the stream."""
+    folder = new_folder(spark, "gmv-folded")
+    feed = M.order_feed(table(spark, sf, "orders"))
+    raw = M.raw(feed, *[c for c in feed.columns if c != "rt"], at=F.col("rt"))
+    for half in (0, 1):
+        raw.where(F.floor(F.hour("timestamp") / 12) == half).write.mode("append").parquet(f"{folder}/in")
+        stream = feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in")
+        _finish(spark, jobs.start_gmv, stream, f"{folder}/table", f"{folder}/progress", period="month")
+        if not half:
+            tables.fold_days(spark, f"{folder}/table", jobs.ORDER_VERSIONS, "create_date", None,
+                             ["id", "create_date"], ["change_ts"], "month")
+    return orders.gmv_by_hour(jobs.current_orders(spark, f"{folder}/table", period="month"))
+
+
+@query
+def stream_new_buyers(spark, sf):
+    """First-seen devices fed with later years first: days are corrected as earlier records come."""
+    folder = new_folder(spark, "first-seen")
+    first = _first_orders(spark, sf)
+    raw = M.raw(first.withColumn("ts", F.unix_millis("et")), "mid", "ts", at=F.col("et"))
+    for late in (True, False):
+        part = raw.where((F.year("timestamp") > 1994) == late)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in", maxFilesPerTrigger="1")
+    _finish(spark, jobs.start_first_seen, stream, f"{folder}/table", f"{folder}/progress",
+            period="month")
+    return (jobs.new_devices_of(spark, f"{folder}/table", period="month").groupBy("log_date")
+            .agg(F.sum("ct").alias("new_devices")))
+
+
+def _start_files(spark, sf, folder, days):
+    """Start logs of some days of the month as one more file of a folder, and the folder as a stream."""
+    logs = M.start_logs(table(spark, sf, "events"))
+    raw = M.raw(logs, "mid", "uid", "type", "ts", at=event_time(F.col("ts")))
+    raw.where(F.dayofmonth("timestamp").between(*days)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in", maxFilesPerTrigger="1")
+
+
+def _dau_table(spark, folder):
+    rows = tables.read_days(spark, f"{folder}/table", jobs.DAU_TABLE, "log_date")
+    return rows.select("mid", "log_date", "log_hour", "ts")
+
+
+@query
+def stream_dau_restarts(spark, sf):
+    """Three runs of one job over a growing folder: each goes on where the one before stopped."""
+    folder = new_folder(spark, "dau-restarts")
+    for days in ((1, 10), (11, 20), (21, 31)):
+        stream = _start_files(spark, sf, folder, days)
+        _finish(spark, jobs.start_dau, stream, f"{folder}/table", f"{folder}/progress")
+    return _dau_table(spark, folder)
+
+
+@query
+def stream_dau_cadence(spark, sf):
+    """A job that runs on: files come while it is up, and it is stopped once it has read them all."""
+    folder = new_folder(spark, "dau-cadence")
+    running = jobs.start_dau(_start_files(spark, sf, folder, (1, 15)), f"{folder}/table", f"{folder}/progress",
+                             trigger={"processingTime": "500 milliseconds"})
+    try:
+        running.processAllAvailable()
+        _start_files(spark, sf, folder, (16, 31))
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return _dau_table(spark, folder)
+
+
 @query
 def stream_alerts(spark, sf):
     folder = new_folder(spark, "alerts")
@@ -562,6 +711,22 @@ def stream_change_router(spark, sf):
                               for n in ("orders", "lineitem", "part", "customer")])
     _finish(spark, jobs.start_change_router, changes, f"{folder}/topics",
             f"{folder}/progress")
+    return _routed_changes(spark, folder)
+
+
+@query
+def stream_change_files(spark, sf):
+    """The same from raw change events in text files, a few files a batch."""
+    folder = new_folder(spark, "change-files")
+    typed = M.change_feed(*[table(spark, sf, n) for n in ("orders", "lineitem", "part", "customer")])
+    raw = M.raw(typed, "entry_type", "table", "op", "ts", "after", at=F.col("ts"))
+    raw.select("value").repartition(6).write.text(f"{folder}/in")
+    _finish(spark, jobs.start_change_router, feeds.read_changes_stream(spark, f"{folder}/in", max_files=4),
+            f"{folder}/topics", f"{folder}/progress")
+    return _routed_changes(spark, folder)
+
+
+def _routed_changes(spark, folder):
     routed = []
     for name, amount in (("order", "total_amount"), ("order_detail", "order_price"), ("user", None)):
         rows = good(parse_feed(feeds.read_topic(spark, f"{folder}/topics", FEEDS[name].topic),

@@ -217,7 +217,7 @@ def _rows_of(spark: SparkSession, path: str, schema: T.StructType, held: dict[st
 
 
 def _fold_path(path: str, period: str, number: int) -> str:
-    return f"{path}_folded/period={period}/fold={number:08d}"
+    return f"{path}_folded/fold={number:08d}/period={period}"
 
 
 def fold_days(spark: SparkSession, path: str, schema: T.StructType, day: str, days: Sequence[str] | None = None,
@@ -232,24 +232,26 @@ def fold_days(spark: SparkSession, path: str, schema: T.StructType, day: str, da
     """
     _check_period(spark, path, period)
     periods = None if days is None else sorted({d[:PERIODS[period]] for d in days})
-    for p, held in committed(spark, path, periods).items():
-        if not held.batches:
-            continue
-        rows = _rows_of(spark, path, schema, {p: held})
-        if keys:
-            rows = last_per_key(rows, keys, *order, "batch", *([ROW_HASH] if ROW_HASH in rows.columns else []),
-                                total=ROW_HASH in rows.columns)
-        number = 0 if held.fold is None else held.fold + 1
-        sort = [day, *(k for k in keys if k != day)]
-        (rows.hint("rebalance").sortWithinPartitions(*sort).write.mode("overwrite")
-         .parquet(_fold_path(path, p, number)))
+    log = {p: held for p, held in committed(spark, path, periods).items() if held.batches}
+    if not log:
+        return
+    rows = _rows_of(spark, path, schema, log)
+    if keys:
+        ties = [ROW_HASH] if ROW_HASH in rows.columns else []
+        rows = last_per_key(rows, keys, *order, "batch", *ties, total=bool(ties))
+    number = 1 + max(-1 if held.fold is None else held.fold for held in log.values())
+    sort = [day, *(k for k in keys if k != day)]
+    (rows.withColumn("period", _period(day, period)).hint("rebalance", "period")
+     .sortWithinPartitions("period", *sort).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(f"{path}_folded/fold={number:08d}"))
+    for p, held in log.items():
         upto = dict(held.upto)
         for run, batch in held.batches:
             upto[run] = max(batch, upto.get(run, -1))
-        log = f"{path}/{_COMMITS}/period={p}"
+        entries = f"{path}/{_COMMITS}/period={p}/fold.{number:08d}"
         for run, batch in upto.items():
-            _touch(spark, f"{log}/fold.{number:08d}.{run}.{batch:012d}")
-        _touch(spark, f"{log}/fold.{number:08d}.done")
+            _touch(spark, f"{entries}.{run}.{batch:012d}")
+        _touch(spark, f"{entries}.done")
         _drop_folded(spark, path, p, held)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemart.functions.columns import day_of, previous_day
+from tidemart.functions.columns import day_of, hour_of, previous_day
 from tidemart.functions.parse import good, parse_changes, parse_feed, quarantined, with_log_time
 from tidemart.operators import alerts, devices, orders, routing, sales
 from tidemart.schemas import (
@@ -37,6 +37,14 @@ PANES = T.StructType([
     T.StructField("evid", T.StringType()), T.StructField("uid", T.StringType()),
     T.StructField("itemid", T.StringType()), T.StructField("n", T.LongType()),
     T.StructField("pane_day", T.StringType())])
+#: Buckets of the table of first-seen devices; of three digits at most.
+SEEN_BUCKETS = 128
+FIRST_SEEN = T.StructType([
+    T.StructField("mid", T.StringType()), T.StructField("first_et", T.TimestampType()),
+    T.StructField("earlier", T.LongType()), T.StructField("bucket", T.StringType())])
+_MOVES = T.StructType([
+    T.StructField("log_date", T.StringType()), T.StructField("log_hour", T.StringType()),
+    T.StructField("n", T.LongType())])
 _WINDOW = [
     T.StructField("window_start", T.TimestampType()), T.StructField("window_end", T.TimestampType()),
     T.StructField("mid", T.StringType())]
@@ -191,6 +199,62 @@ def active_devices(spark: SparkSession, table: str, days: list[str] | None = Non
     return rows.groupBy("mid", "log_date").agg(F.min("first_et").alias("first_et"))
 
 
+def start_first_seen(raw: DataFrame, table: str, checkpoint: str, quarantine: str | None = None,
+                     period: str = "day", trigger: dict | None = None) -> StreamingQuery:
+    """When each device was first seen ever; :func:`new_devices_of` and :func:`first_seen` read it.
+
+    A batch compares the earliest times of its devices with those known, of the buckets its devices
+    fall into, and writes what is new or earlier (``<table>/first``). Days are counted by moves
+    (``<table>/moves``): a device adds one to its day, and a record that comes late moves it from one
+    day to another, so both days are right at once. :func:`fold_first_seen` bounds what a batch reads to one
+    row per device of these buckets.
+    """
+    first_table, move_table = f"{table}/first", f"{table}/moves"
+
+    def write(batch: DataFrame, run: str, batch_id: int) -> None:
+        with _kept(parse_feed(batch, "start"), bool(quarantine)) as parsed:
+            fresh = (with_log_time(good(parsed)).where(F.col("mid").isNotNull())
+                     .groupBy("mid").agg(F.min("et").alias("first_et")))
+            bucket = F.lpad(F.pmod(F.xxhash64("mid"), F.lit(SEEN_BUCKETS)).cast("string"), 3, "0")
+            with _kept(fresh.withColumn("bucket", bucket)) as fresh:
+                buckets = [r[0] for r in fresh.select("bucket").distinct().collect()]
+                known = tables.read_days(batch.sparkSession, first_table, FIRST_SEEN, "bucket", buckets, "bucket")
+                known = (known.where((F.col("run") != run) | (F.col("batch") < batch_id))
+                         .join(fresh.select("mid"), "mid", "left_semi")
+                         .groupBy("mid").agg(F.min("first_et").alias("was")))
+                moved = fresh.join(known, "mid", "left").where(
+                    F.col("was").isNull() | (F.col("first_et") < F.col("was")))
+                with _kept(moved) as moved:
+                    tables.write_days(moved.withColumn("earlier", -F.unix_micros("first_et")).select(
+                        *FIRST_SEEN.fieldNames()), first_table, "bucket", run, batch_id, "bucket")
+                    steps = moved.select(F.inline(F.array(
+                        F.struct(F.col("first_et").alias("at"), F.lit(1).alias("step")),
+                        F.struct(F.col("was").alias("at"), F.lit(-1).alias("step"))))).where(F.col("at").isNotNull())
+                    counted = steps.groupBy(day_of(F.col("at")).alias("log_date"), hour_of(F.col("at")).alias("log_hour"))
+                    tables.write_days(counted.agg(F.sum("step").cast("bigint").alias("n")), move_table, "log_date",
+                                      run, batch_id, period)
+            _set_aside(parsed, quarantine, run, batch_id)
+
+    return _start(raw, "first_seen", checkpoint, trigger, CADENCE, write, first_table, move_table)
+
+
+def first_seen(spark: SparkSession, table: str) -> DataFrame:
+    """(mid, first_et) of all devices."""
+    rows = tables.read_days(spark, f"{table}/first", FIRST_SEEN, "bucket", period="bucket")
+    return rows.groupBy("mid").agg(F.min("first_et").alias("first_et"))
+
+
+def new_devices_of(spark: SparkSession, table: str, days: list[str] | None = None,
+                   period: str = "day") -> DataFrame:
+    """(log_date, log_hour, ct): devices first seen then, from the moves of these days alone."""
+    moves = tables.read_days(spark, f"{table}/moves", _MOVES, "log_date", days, period)
+    return moves.groupBy("log_date", "log_hour").agg(F.sum("n").alias("ct")).where(F.col("ct") != 0)
+
+
+def fold_first_seen(spark: SparkSession, table: str) -> None:
+    tables.fold_days(spark, f"{table}/first", FIRST_SEEN, "bucket", None, ["mid", "bucket"], ["earlier"], "bucket")
+
+
 def start_gmv(raw: DataFrame, table: str, checkpoint: str, quarantine: str | None = None,
               period: str = "day", trigger: dict | None = None) -> StreamingQuery:
     """Cleaned order rows by create date; :func:`current_orders` reads them."""
