@@ -26,13 +26,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tidemart.llm.common import slices, texts
 
-_PIECES_KEPT, _USES_KEPT = 300_000, 3
+#: A table forgets when it has so many pieces, or so many bytes of them.
+_PIECES_KEPT, _BYTES_KEPT, _USES_KEPT = 300_000, 32 << 20, 3
 #: Printable ASCII and the letters of Latin-1 and Latin Extended-A: no combining marks, and one
 #: lower-case form each, so Python and the library agree on them (U+0130 lowers to two).
 _LATIN = regex.compile("[\x21-\x7e¡-¬®-įı-ž]+")
@@ -172,20 +174,39 @@ def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     return out
 
 
+def side_by_side(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((x for each in ids for x in each), np.uint32, int(sizes.sum())), sizes
+
+
 class PieceTable:
     """Ids of pieces between white space, each encoded once while the table has room."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        """``encode`` gives the ids of pieces one after another, and how many each has."""
         self._encode = encode
         self._reset()
 
     def _reset(self) -> None:
         self._numbers: dict[bytes, int] = {}
+        self._bytes = 0
         self._flat = np.empty(0, np.uint32)
         self._sizes = np.empty(0, np.int64)
         self._starts = np.empty(0, np.int64)
         self._uses = np.empty(0, np.int64)
 
+    def _add(self, new: list[bytes]) -> None:
+        if not new:
+            return
+        flat, sizes = self._encode([x.decode() for x in new])
+        n = len(self._numbers)
+        self._numbers.update(zip(new, range(n, n + len(new)), strict=True))
+        self._bytes += sum(map(len, new))
+        self._sizes = np.concatenate([self._sizes, sizes])
+        self._flat = np.concatenate([self._flat, flat])
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._uses = np.concatenate([self._uses, np.zeros(len(new), np.int64)])
+
     def _forget(self) -> None:
         """Keep the pieces that were seen often."""
         often = np.flatnonzero(self._uses >= _USES_KEPT)
@@ -197,25 +218,40 @@ class PieceTable:
                                 + np.arange(total)]
         self._numbers = {names[i]: n for n, i in enumerate(often.tolist())}
         self._sizes, self._starts, self._uses = sizes, ends - sizes, self._uses[often] // 2
-        if len(often) > _PIECES_KEPT // 2:
+        self._bytes = sum(map(len, self._numbers))
+        if len(often) > _PIECES_KEPT // 2 or self._bytes > _BYTES_KEPT // 2:
             self._reset()
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, for a string column: Arrow cuts it and numbers its different pieces, so
+        Python looks at each of those once a column, however often they occur."""
+        split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self._numbers) > _PIECES_KEPT or self._bytes > _BYTES_KEPT:
+            self._forget()
+        self._add([x for x in distinct if x not in self._numbers])
+        number_of = np.fromiter(map(self._numbers.__getitem__, distinct), np.int64, len(distinct))
+        codes = coded.indices.to_numpy()
+        self._uses[number_of] += np.bincount(codes, minlength=len(distinct))
+        # ids of the column's own pieces side by side, then each piece's stretch of them
+        sizes = self._sizes[number_of]
+        own_starts = np.cumsum(sizes) - sizes
+        own = self._flat[np.repeat(self._starts[number_of] - own_starts, sizes) + np.arange(int(sizes.sum()))]
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = own[np.repeat(own_starts[codes] - (ends - each), each) + np.arange(total)]
+        upto = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(upto)
+
     def encode(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the number of each text."""
         split = [text.split() for text in batch]
-        if len(self._numbers) > _PIECES_KEPT:
+        if len(self._numbers) > _PIECES_KEPT or self._bytes > _BYTES_KEPT:
             self._forget()
         numbers = self._numbers
-        new = list(set().union(*split).difference(numbers)) if split else []
-        if new:
-            ids = self._encode([x.decode() for x in new])
-            numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._sizes = np.concatenate([self._sizes, sizes])
-            self._flat = np.concatenate([self._flat, np.fromiter(
-                (x for word in ids for x in word), np.uint32, int(sizes.sum()))])
-            self._starts = np.cumsum(self._sizes) - self._sizes
-            self._uses = np.concatenate([self._uses, np.zeros(len(new), np.int64)])
+        self._add(list(set().union(*split).difference(numbers)) if split else [])
         n_pieces = np.fromiter(map(len, split), np.int64, len(split))
         which = np.fromiter((i for words in split for i in map(numbers.__getitem__, words)),
                             np.int64, int(n_pieces.sum()))
@@ -232,12 +268,12 @@ class PieceTable:
 def pair_index_table(path: str) -> tuple[PieceTable, Vocabulary]:
     vocabulary = Vocabulary(path)
 
-    def encode(pieces: list[str]) -> list[list[int]]:
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [vocabulary.parts(piece) for piece in pieces]
         words = list({w for part in parts for w in part if isinstance(w, bytes)})
         merged = dict(zip(words, merge_words(words, vocabulary), strict=True))
-        return [[x for w in part for x in ((w,) if isinstance(w, int) else merged[w])]
-                for part in parts]
+        return side_by_side([[x for w in part for x in ((w,) if isinstance(w, int) else merged[w])]
+                             for part in parts])
 
     return PieceTable(encode), vocabulary
 

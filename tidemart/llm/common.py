@@ -20,7 +20,7 @@ from tidemart.session import new_folder
 #: Words are runs of anything but these six characters; ``bytes.split()`` cuts at exactly them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_HASHES_KEPT = 300_000
+_HASHES_KEPT, _LONGEST_KEPT = 300_000, 64
 
 
 _shipped: set[str] = set()
@@ -55,9 +55,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 class _Hashes(dict):
-    """Word to 64-bit hash; forgets everything when full, so memory is bounded."""
+    """Word to 64-bit hash; keeps short words only and forgets everything when full, so memory is
+    bounded."""
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > _LONGEST_KEPT:
+            return xxhash.xxh64_intdigest(word)
         if len(self) >= _HASHES_KEPT:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)

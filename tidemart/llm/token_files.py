@@ -25,9 +25,11 @@ files; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,7 +44,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from tidemart.llm.bpe import PieceTable, Vocabulary, byte_symbols
-from tidemart.llm.common import cut, slices, texts
+from tidemart.llm.common import cut, slices
 from tidemart.session import new_folder
 
 # Fixed values of the seekable format.
@@ -58,14 +60,30 @@ def library_table(path: str) -> PieceTable:
     """Pieces by the tokenizer library: its model encodes each distinct word of a slice once."""
     vocabulary = Vocabulary(path)
     symbols = str.maketrans(dict(enumerate(byte_symbols())))
-    tokenize = vocabulary.model.tokenize
-
-    def encode(pieces: list[str]) -> list[list[int]]:
-        parts = [vocabulary.parts(piece) for piece in pieces]
-        words = {w for part in parts for w in part if isinstance(w, bytes)}
-        ids = {w: [t.id for t in tokenize(w.decode("latin-1").translate(symbols))] for w in words}
-        return [[x for w in part for x in ((w,) if isinstance(w, int) else ids[w])]
-                for part in parts]
+    tokenize, parts_of = vocabulary.model.tokenize, vocabulary.parts
+
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes, known = array("I"), [], {}
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and the many small lists would be searched in vain
+        try:
+            for piece in pieces:
+                before = len(flat)
+                for word in parts_of(piece):
+                    ids = known.get(word)
+                    if ids is None:
+                        if isinstance(word, int):
+                            ids = [word]
+                        else:
+                            text = word.decode("latin-1")
+                            ids = [t.id for t in tokenize(text if word.isascii() and word.isalpha() else text.translate(symbols))]
+                        known[word] = ids
+                    flat.extend(ids)
+                sizes.append(len(flat) - before)
+        finally:
+            if collecting:
+                gc.enable()
+        return np.frombuffer(flat, np.uint32).copy(), np.array(sizes, np.int64)
 
     return PieceTable(encode)
 
@@ -182,7 +200,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = library_table(path)
         for batch in slices(batches, "text"):
-            ids, sizes = known.encode(texts(batch))
+            ids, sizes = known.encode_column(batch.column("text"))
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id).astype(f"<u{width}")
             offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * width
