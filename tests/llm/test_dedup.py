@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from tidemart.llm import lines, near_dups, substrings
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -89,6 +90,52 @@ def test_short_lines(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_with_one_id_keep_their_own_lines(spark, doc_id):
+    """Two texts of one id, or none, with equal 32-bit hashes lose nothing but repeated lines."""
+    rows = [(doc_id, "row number 316485 is here\nanother line with 2506244715 of its own"),
+            (doc_id, "row number 368722 is here\nthe dup line of everyone"), (1, "the dup line of everyone")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r[0] for r in frame.where("doc_id IS NOT DISTINCT FROM " + ("NULL" if doc_id is None else "7"))
+              .selectExpr("hash(text)").collect()}
+    assert len(hashes) == 1
+    got = sorted(r["text"] for r in lines.dedup_lines(frame).collect())
+    assert got == sorted([rows[0][1], "row number 368722 is here", "the dup line of everyone"])
+
+
+def test_lines_and_classes_keep_columns_of_any_name(spark):
+    names = "row_doc string, row_tag long, row_lines int, row_gone string, n_lines string, n_removed string"
+    rows = [(1, "one line\ntwo lines", "a", 2, 3, "b", "c", "d"), (2, "one line\nof its own", "e", 5, 6, "f", "g", "h")]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+    got = lines.dedup_lines(docs)
+    assert got.columns == ["doc_id", "row_doc", "row_tag", "row_lines", "row_gone", "text", "n_lines", "n_removed"]
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, "a", 2, 3, "b", "one line\ntwo lines", 2, 0), (2, "e", 5, 6, "f", "of its own", 2, 1)]
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    assert sorted(tuple(r) for r in stage(spark, docs, "").collect()) == [
+        rows[0], (2, "of its own", *rows[1][2:])]
+    names = "_id string, _digest string, digest long, class_id int, stays string, node string, _row string"
+    docs = spark.createDataFrame([(i, f"text number {i % 2} " * 20, "a", "b", i, 4, "c", "d", "e") for i in range(4)],
+                                 f"doc_id long, text string, {names}")
+    left = near_dups.keep_one_each(docs)
+    assert left.columns == docs.columns
+    assert sorted(tuple(r)[2:] for r in left.collect()) == [("a", "b", i, 4, "c", "d", "e") for i in (0, 1)]
+
+
+def test_near_copies_without_an_id(spark):
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(500)}" for _ in range(200)]
+    near = [*words[:100], "changed", *words[101:]]
+    other = [f"v{rnd.randrange(500)}" for _ in range(200)]
+    rows = [(4, " ".join(words)), (None, " ".join(near)), (None, " ".join(words)), (None, " ".join(other)),
+            (None, " ".join([*other[:50], "changed", *other[51:]])), (9, "a text of its own with words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["digest"]): r["class_id"] for r in near_dups.near_classes(docs).collect()}
+    assert sorted(map(str, found.values())) == ["4", "4", "4", "9", "None", "None"]
+    left = near_dups.keep_one_each(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in left) == ["4", "9", "None"]
+
+
 def test_lines_of_corpus(spark, corpus, nothing):
     docs, rows = corpus
     assert lines.dedup_lines(docs).count() == len(rows)

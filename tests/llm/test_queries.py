@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert sorted(name.split("_")[0] for name in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(name.split("_")[0] for name in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.llm.common import cut
+from tidemart.llm.common import cut, packed
 
 #: Every line with a word is compared, from one character on.
 LEAST_CHARS = 1
@@ -93,24 +93,25 @@ def variant_keys(line: Column, blocks: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with a key of the row: ``row_doc`` orders (null last), ``row_tag`` tells rows
-    with an equal id apart by their text."""
+    """Documents, packed, with a key of the row: ``row_doc`` orders (null last), ``row_tag``, 128 bits of
+    hashes, tells rows with an equal id apart by their text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({
-        "row_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)),
-        "row_tag": F.hash(text), "row_lines": F.split(text, "\n")})
+    return packed(docs).select(
+        "_row", "text", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("row_doc"),
+        F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("tag"), text).alias("b")).alias("row_tag"),
+        F.split(text, "\n").alias("row_lines"))
 
 
 def _sharing(each: DataFrame) -> DataFrame:
-    """The rows (h1, key, ...) with a key that another line has as well."""
+    """The rows (h1, h2, key, ...) with a key that another line has as well."""
     shared = (each.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
               .where("a < b").select("key"))
     return each.join(shared, "key", "left_semi")
 
 
 def _near_pairs(lines: DataFrame) -> DataFrame:
-    """(h1 of the earlier, h1 of the later) line that met in the deletion neighbourhood."""
-    keys = cut(lines.select(F.struct("place", "h1").alias("member"),
+    """Hashes of the earlier (a1, a2) and the later line (b1, b2) that met in the deletion neighbourhood."""
+    keys = cut(lines.select(F.struct("place", "h1", "h2").alias("member"),
                             F.inline(variant_keys(F.col("line"), F.col("blocks")))), "line-variants")
 
     def least(kind: str) -> Column:
@@ -120,9 +121,9 @@ def _near_pairs(lines: DataFrame) -> DataFrame:
                                       least("w").alias("whole")).where("n > 1").drop("n"))
     met = keys.where("kind <> 'w'").join(shared, "key").select(
         "member", F.when(F.col("kind") == "p", F.col("earliest")).otherwise(F.col("whole")).alias("other"))
-    return met.where(F.col("other.h1") != F.col("member.h1")).select(
-        F.least("other", "member")["h1"].alias("a"),
-        F.greatest("other", "member")["h1"].alias("b")).distinct()
+    a, b = F.least("other", "member"), F.greatest("other", "member")
+    return met.where((F.col("other.h1") != F.col("member.h1")) | (F.col("other.h2") != F.col("member.h2"))).select(
+        a["h1"].alias("a1"), a["h2"].alias("a2"), b["h1"].alias("b1"), b["h2"].alias("b2")).distinct()
 
 
 def removed_lines(keyed: DataFrame) -> DataFrame:
@@ -139,46 +140,54 @@ def removed_lines(keyed: DataFrame) -> DataFrame:
     first = placed.groupBy("h1", "h2").agg(F.min("place").alias("first"))
 
     # texts of the short lines and of those that share a half, from their earliest place
-    halves = _sharing(placed.select("h1", F.explode("halves").alias("key")))
-    going = halves.select("h1").unionByName(placed.where("short").select("h1")).distinct()
-    wanted = (first.join(going, "h1", "left_semi")
+    line = ["h1", "h2"]
+    halves = _sharing(placed.select(*line, F.explode("halves").alias("key")))
+    going = halves.select(*line).unionByName(placed.where("short").select(*line)).distinct()
+    wanted = (first.join(going, line, "left_semi")
               .groupBy(F.col("first.row_doc").alias("row_doc"), F.col("first.row_tag").alias("row_tag"))
-              .agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "h1")).alias("wanted")))
+              .agg(F.collect_list(F.struct(F.col("first.at").alias("at"), *line)).alias("wanted")))
     some = (keyed.select("row_doc", "row_tag", "row_lines").join(wanted, ["row_doc", "row_tag"])
             .select("row_doc", "row_tag", F.inline(F.transform("wanted", lambda w: F.struct(
-                w["at"].alias("at"), w["h1"].alias("h1"),
+                w["at"].alias("at"), w["h1"].alias("h1"), w["h2"].alias("h2"),
                 F.get("row_lines", w["at"]).alias("line"))))))
-    some = cut(some.select(F.struct("row_doc", "row_tag", "at").alias("place"), "h1", "line")
-               .dropDuplicates(["h1"]), "line-halves")
-    blocks = _sharing(cut(some.where(n >= SHORT).select("h1", F.inline(block_keys(F.col("line")))),
+    some = cut(some.select(F.struct("row_doc", "row_tag", "at").alias("place"), *line, "line")
+               .dropDuplicates(line), "line-halves")
+    blocks = _sharing(cut(some.where(n >= SHORT).select(*line, F.inline(block_keys(F.col("line")))),
                           "line-block-keys"))
     longer = some.where(n > SHORT).join(
-        blocks.groupBy("h1").agg(F.collect_set("block").alias("blocks")), "h1")
+        blocks.groupBy(*line).agg(F.collect_set("block").alias("blocks")), line)
     close = cut(some.where(n <= SHORT).withColumn("blocks", F.sequence(
         F.lit(0), _last_block(n))).unionByName(longer), "line-blocks")
 
-    text_of = close.select("h1", "line")
-    near = (_near_pairs(close)
-            .join(text_of.select(F.col("h1").alias("a"), F.col("line").alias("line_a")), "a")
-            .join(text_of.select(F.col("h1").alias("b"), F.col("line").alias("line_b")), "b")
+    def texts_of(x: str) -> DataFrame:
+        return close.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"line_{x}"))
+
+    near = (_near_pairs(close).join(texts_of("a"), ["a1", "a2"]).join(texts_of("b"), ["b1", "b2"])
             .where(F.levenshtein("line_a", "line_b", 1).between(0, 1))
-            .select(F.col("b").alias("h1")).distinct().withColumn("near", F.lit(True)))
-    judged = first.join(near, "h1", "left")
-    return (placed.select("place", "h1", "h2").join(judged, ["h1", "h2"])
+            .select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct().withColumn("near", F.lit(True)))
+    judged = first.join(near, line, "left")
+    return (placed.select("place", *line).join(judged, line)
             .where(F.col("near") | (F.col("place") > F.col("first")))
             .groupBy("place.row_doc", "place.row_tag").agg(F.collect_set("place.at").alias("row_gone")))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the lines that go taken out of ``text``, and two more:
-    ``n_lines`` before and ``n_removed``."""
+def dedup_rows(docs: DataFrame) -> DataFrame:
+    """``_row`` (the other columns of ``docs``), ``text`` without the lines that go, ``n_lines`` before
+    and ``n_removed``."""
     keyed = _keyed(docs)
     gone = removed_lines(keyed)
     joined = keyed.join(gone, ["row_doc", "row_tag"], "left")
     stays = F.array_except(F.sequence(F.lit(0), F.size("row_lines") - 1), "row_gone")
     kept = F.array_join(F.transform(stays, lambda i: F.get("row_lines", i)), "\n")
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return joined.select(
-        *others, F.when(F.col("row_gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        "_row", F.when(F.col("row_gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.size("row_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("row_gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` but those named as the results, with the lines that go taken out of
+    ``text``, and two more: ``n_lines`` before and ``n_removed``."""
+    found = dedup_rows(docs)
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return found.select(*(F.col("_row")[c].alias(c) for c in others), "text", "n_lines", "n_removed")

@@ -20,16 +20,17 @@ relation.
    At last each member still outside is compared with the members of other classes. So no two texts
    of a bucket stay in different classes unless they were compared and differ, and no bucket is
    expanded into all its pairs. A comparison first looks at four bits of each of the 80 signature
-   values: with fewer than ``least_equal`` equal (a pair at 0.8 has 65 on average, and fewer than 50
-   with probability 1e-5), the two differ. All others are compared on all their shingles.
+   values: with fewer than ``least_equal`` equal (a pair at 0.8 has 65 on average, and fewer than 40
+   with probability 1e-10, far below what the bands lose), the two differ. All others are compared on all their shingles.
 5. *Classes.* Least labels along links, by joins, until nothing changes.
 
 Every step is a join or an aggregation; intermediate tables go to the shared folder.
 
 Defined cases: a text of one to four words is one shingle; null texts and texts without words are
 in a class of their own each, copies or not; the class is named by its least ``doc_id``; rows
-with an equal ``doc_id`` are told apart by their text and stay together in ``keep_one_each``; a
-null ``doc_id`` is never a class's name unless no other is there; other columns are kept.
+with an equal ``doc_id`` are told apart by their text, and equal ones stay together in
+``keep_one_each``, also with a null ``doc_id``, which is never a class's name unless no other is there:
+then the text with the least digest stays; other columns are kept.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.llm.common import cut, join_hashes, mix, slices, texts, window_hashes, word_hashes
+from tidemart.llm.common import (
+    cut, join_hashes, mix, packed, slices, texts, unpacked, window_hashes, word_hashes)
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,7 @@ class Settings:
     threshold: float = 0.8
     bands: int = 20
     rows: int = 4
-    least_equal: int = 50
+    least_equal: int = 40
     speakers: tuple[int, ...] = (4, 16, 64)
 
     @property
@@ -244,7 +246,8 @@ def _candidates(there: DataFrame, centers: DataFrame, settings: Settings) -> Dat
 
 
 def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id``, ``digest`` (of the text) and ``class_id``, one row per row of ``docs``."""
+    """``doc_id``, ``digest`` (of the text), ``class_id`` and ``stays`` (in :func:`keep_one_each`), one row
+    per row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.md5(text).alias("digest"), text.alias("text"))
     sketched = cut(_bands(keyed, settings), "near-bands")
@@ -262,8 +265,8 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     members = cut(members.select("key", "node").join(facts, "node"), "near-members")
     inside = nodes.join(degree, "node", "left_semi").select("node", "digest", "first")
     elements = cut(_elements(
-        keyed.join(inside.withColumnRenamed("first", "doc_id"), ["doc_id", "digest"])
-        .select("node", "text").dropDuplicates(["node"]), settings), "near-elements")
+        keyed.join(inside.withColumnRenamed("digest", "of"), F.col("doc_id").eqNullSafe(F.col("first"))
+                   & (F.col("digest") == F.col("of"))).select("node", "text").dropDuplicates(["node"]), settings), "near-elements")
 
     inside = inside.select("node")
     links = elements.sparkSession.createDataFrame([], "a bigint, b bigint")
@@ -295,18 +298,21 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     class_of = (nodes.join(labels, "node", "left")
                 .select("digest", "first", F.coalesce("label", "node").alias("label")))
-    named = class_of.groupBy("label").agg(F.min("first").alias("class_id"))
-    classes = class_of.join(named, "label").select("digest", "class_id")
+    # the text that stays is that of the least id; where no member has one, that of the least digest
+    named = class_of.groupBy("label").agg(
+        F.min("first").alias("class_id"),
+        F.min(F.struct(F.col("first").isNull().alias("unnamed"), "first", "digest")).alias("keeper"))
+    classes = class_of.join(named, "label").select("digest", "class_id", "keeper")
     rows = keyed.select("doc_id", "digest")
-    return (rows.join(classes, "digest", "left")
-            .select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id")))
+    return (rows.join(classes, "digest", "left").select(
+        "doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"),
+        (F.col("keeper").isNull() | F.col("doc_id").eqNullSafe(F.col("keeper.first"))
+         & (F.col("digest") == F.col("keeper.digest"))).alias("stays")))
 
 
 def keep_one_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that give their class its name, with all their columns."""
-    classes = near_classes(docs, settings)
-    gone = classes.where("doc_id <> class_id OR doc_id IS NULL AND class_id IS NOT NULL").select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    digest = F.md5(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (digest == F.col("_digest")),
-                     "left_anti")
+    gone = near_classes(docs, settings).where("NOT stays").select("doc_id", "digest").distinct()
+    rows = packed(docs).select("*", F.col("_row.doc_id").alias("of"), F.md5(F.coalesce("text", F.lit(""))).alias("seen"))
+    same = F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("seen") == F.col("digest"))
+    return unpacked(rows.join(gone, same, "left_anti"), docs.columns)

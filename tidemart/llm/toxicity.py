@@ -112,7 +112,7 @@ def _choose_features(sample: DataFrame, settings: Settings) -> list[str]:
 
 
 class FeatureRows:
-    """How often each chosen feature occurs in each text (up to 255)."""
+    """How often each chosen feature occurs in each text."""
 
     def __init__(self, features: list[str]) -> None:
         self._numbers = {f: i for i, f in enumerate(features)}
@@ -131,7 +131,7 @@ class FeatureRows:
                                         if f in self._numbers]
                 if at:
                     out[i, at] += n
-        return np.minimum(out, 255)
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
         rows_of = FeatureRows(features).rows
         for batch in slices(batches, "text"):
             own = texts(batch)
-            counts = rows_of(own).astype(np.uint8)
+            counts = rows_of(own).astype(np.uint32)
             toxic = batch.column("toxic").to_numpy()
             flags = [bytes(int(t and (not words or not words.isdisjoint(words_of(text))))
                            for words in lists) for t, text in zip(toxic, own, strict=True)]
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
 
     rows = sample.mapInArrow(counted, "counts binary, flags binary, fold int, share double").collect()
     rows.sort(key=lambda r: (bytes(r["counts"]), bytes(r["flags"]), r["fold"], r["share"]))
-    x = np.log1p(np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.uint8)
+    x = np.log1p(np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.uint32)
                  .reshape(len(rows), len(features)).astype(float))
     targets = [np.array([r["flags"][c] for r in rows], float) for c in range(len(lists))]
     folds = np.array([r["fold"] for r in rows], int)
