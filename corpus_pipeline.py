@@ -15,7 +15,7 @@ stage only. All but the last return the columns of ``documents``; other columns
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart.llm import bpe, decontamination, lines, near_dups, toxicity
@@ -30,12 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(docs)
-    kept = found.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD_PATTERN))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(
-            F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    found = lines.dedup_rows(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD_PATTERN))
+
+    def column(name: str) -> Column:
+        own = F.col("_row")[name]
+        if name == "n_chars":
+            kind = docs.schema["n_chars"].dataType
+            return F.when(F.col("n_removed") == 0, own).otherwise(F.char_length("text").cast(kind)).alias(name)
+        return F.col("text") if name == "text" else own.alias(name)
+
+    return found.select(*(column(name) for name in docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
