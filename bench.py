@@ -22,7 +22,8 @@ HEADLINE = [
     "facet_gender", "facet_age", "parse_start_log", "log_routing_counts", "cdc_routing",
 ]
 #: Jobs from an empty table to its last record; timed once, as each run starts its own stream.
-STREAMS = ["stream_dau", "stream_dau_state", "stream_gmv", "stream_users", "stream_alerts"]
+STREAMS = ["stream_dau", "stream_dau_state", "stream_gmv", "stream_users", "stream_alerts",
+           "stream_sale_details"]
 ROUNDS = 3
 
 
