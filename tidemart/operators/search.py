@@ -77,7 +77,8 @@ def facet_cells(sales: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
-def _share(cells: DataFrame, by: str) -> DataFrame:
+def share_of(cells: DataFrame, by: str) -> DataFrame:
+    """One facet (``gender`` or ``age``) from cells, counted here or kept by a job."""
     whole = Window.partitionBy()  # a handful of class rows
     return (cells.groupBy(F.col(by).alias("name")).agg(F.sum("n").alias("value"))
             .withColumn("share_pct", F.col("value") * F.lit(100.0)
@@ -85,11 +86,11 @@ def _share(cells: DataFrame, by: str) -> DataFrame:
 
 
 def gender_share(sales: DataFrame) -> DataFrame:
-    return _share(facet_cells(sales), "gender")
+    return share_of(facet_cells(sales), "gender")
 
 
 def age_share(sales: DataFrame) -> DataFrame:
-    return _share(facet_cells(sales), "age")
+    return share_of(facet_cells(sales), "age")
 
 
 class SearchResult(NamedTuple):
@@ -100,16 +101,18 @@ class SearchResult(NamedTuple):
 
 
 def search(sales: DataFrame, day: str | None = None, keyword: str | None = None,
-           level: str | None = None, page: int = 1, size: int = 10) -> SearchResult:
+           level: str | None = None, page: int = 1, size: int = 10,
+           cells: DataFrame | None = None) -> SearchResult:
     """Total, both facets and one page of the same hits.
 
     Total and facets share one set of cells, so the hits are read twice at
-    most: once for the cells, once for the page.
+    most: once for the cells, once for the page. Kept ``cells`` of just these
+    hits spare the first.
     """
     hits = filter_sales(sales, day, keyword, level)
-    cells = facet_cells(hits)
+    cells = facet_cells(hits) if cells is None else cells
     total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    return SearchResult(total, _share(cells, "age"), _share(cells, "gender"),
+    return SearchResult(total, share_of(cells, "age"), share_of(cells, "gender"),
                         page_of(hits, page, size))
 
 

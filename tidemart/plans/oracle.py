@@ -273,6 +273,10 @@ ORACLE: dict[str, str] = {
     "search_page_after": f"""WITH {_HITS} SELECT * FROM hits
       ORDER BY dt, order_id, order_detail_id LIMIT 20 OFFSET 40""",
     "search_total": f"WITH {_HITS} SELECT count(*) AS total FROM hits",
+    "search_totals_indexed": f"""WITH {_SALES}, words(keyword) AS (VALUES ('g'), ('In'), ('rin'), ('RING'),
+        ('t r'), ('ed ring'), ('ringring'))
+      SELECT keyword, count(sku_name) AS total
+      FROM words LEFT JOIN sales ON contains(lower(sku_name), lower(keyword)) GROUP BY 1""",
     "search_by_level": f"""WITH {_HITS}
       SELECT count(*) AS total FROM hits WHERE user_level = 'BUILDING'""",
     "search_by_day": f"WITH {_SALES} SELECT * FROM sales WHERE dt = '1998-03-02'",
@@ -341,6 +345,12 @@ ORACLE: dict[str, str] = {
              p.sku_name, u.age IS NOT NULL AS age_known, p.create_date AS dt,
              strftime(make_timestamp(p.joined_ms * 1000), '%Y-%m-%d') AS index_day
       FROM pairs p LEFT JOIN latest u ON p.user_id = u.id""",
+    "stream_facet_cells": f"""WITH {_PAIRS}, {_USERS}, latest AS (
+        SELECT l.*, usr.age FROM ({_LATEST_USERS}) l JOIN usr USING (id)), whole AS (
+        SELECT u.user_level, u.gender AS user_gender, coalesce(u.age, 0) AS user_age,
+               u.age IS NOT NULL AS age_known
+        FROM pairs p LEFT JOIN latest u ON p.user_id = u.id)
+      SELECT user_level, {_GENDER} AS gender, {_AGE} AS age, count(*) AS n FROM whole GROUP BY 1, 2, 3""",
     "stream_alerts": _ALERT_DOCS,
     "stream_log_router": f"""WITH {_LOGS}, texts AS (
       SELECT *, '{{"mid":"' || mid || '","uid":"' || uid || '","type":"' || type || '"' AS text FROM logs)
@@ -367,3 +377,4 @@ ORACLE["stream_sales_late"] = ORACLE["stream_sales_replayed"] = ORACLE["stream_s
 ORACLE["stream_gmv_folded"] = ORACLE["stream_gmv"]
 ORACLE["stream_dau_restarts"] = ORACLE["stream_dau_cadence"] = ORACLE["stream_dau"]
 ORACLE["stream_change_files"] = ORACLE["stream_change_router"]
+ORACLE["search_page_indexed"] = ORACLE["search_page"]

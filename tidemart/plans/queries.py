@@ -12,7 +12,7 @@ from tidemart.functions import columns as C
 from tidemart.functions.columns import event_time
 from tidemart.functions.parse import good, parse_feed, parsed_once, quarantined, with_log_time
 from tidemart.operators import (
-    alerts, devices, dimension, orders, pages, routing, sales, search, serving)
+    alerts, cells, devices, dimension, keywords, orders, pages, routing, sales, search, serving)
 from tidemart.plans import mapping as M
 from tidemart.plans.mapping import AS_OF, table
 from tidemart.schemas import FEEDS, SALE_DETAIL
@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 DAY = "2024-01-15"
 ORDER_DAY = "1998-03-02"
 KEYWORD = "RING"
+KEYWORDS = ("g", "In", "rin", "RING", "t r", "ed ring", "ringring")
 ALERT_LENGTH, ALERT_SLIDE = "2 hours", "30 minutes"
 
 
@@ -330,6 +331,33 @@ def search_page_directory(spark, sf):
     return pages.read_page(spark, folder, 250, 20)
 
 
+def _keyword_index(spark, sf):
+    """The index of all sales, grown by two batches that share names, then folded, then by a third."""
+    folder, rows = new_folder(spark, "names"), _sales(spark, sf)
+    year = F.substring("dt", 1, 4).cast("int")
+    for batch, part in enumerate((year < 1994, (year >= 1994) & (year < 1997), year >= 1997)):
+        keywords.index_names(rows.where(part), folder, "all", batch)
+        if batch == 1:
+            keywords.fold(spark, folder)
+    return folder
+
+
+@query
+def search_page_indexed(spark, sf):
+    """Page 2 of the hits of a keyword that is looked up in posting lists; the sales are read by name."""
+    hits = keywords.sales_with(_sales(spark, sf), _keyword_index(spark, sf), KEYWORD)
+    return search.search(hits, page=2, size=20).detail
+
+
+@query
+def search_totals_indexed(spark, sf):
+    """Hits of keywords of one, two, three and more characters, across words and of none."""
+    folder, rows = _keyword_index(spark, sf), _sales(spark, sf)
+    return reduce(DataFrame.unionByName, (
+        search.hit_total(keywords.sales_with(rows, folder, word)).select(
+            F.lit(word).alias("keyword"), "total") for word in KEYWORDS))
+
+
 # --- alerts --------------------------------------------------------------------
 
 def _counted(spark, sf):
@@ -736,3 +764,30 @@ def _routed_changes(spark, folder):
             (F.col(amount) if amount else F.lit(None)).cast("double").alias("amount"),
             (F.lit(None).cast("string") if amount else F.col("user_level")).alias("level")))
     return routed[0].unionByName(routed[1]).unionByName(routed[2])
+
+
+@query
+def stream_facet_cells(spark, sf):
+    """Facet cells kept by the sales job. All orders come again after all user changes: their sales
+    move from the cells of the users' first values to those of the last."""
+    folder = new_folder(spark, "cells")
+    changes = M.user_changes(table(spark, sf, "customer"))
+    feed = M.order_feed(table(spark, sf, "orders"))
+    heads = M.raw(feed, *[c for c in feed.columns if c != "rt"], at=F.col("rt"))
+    feed = M.detail_feed(table(spark, sf, "lineitem"), table(spark, sf, "part"))
+    lines = M.raw(feed, *[c for c in feed.columns if c != "rt"], at=F.col("rt"))
+    first = F.col("change_ts") < F.lit("2024-02-01").cast("timestamp")
+    for known, names in ((first, ("orders", "lines")), (~first, ("orders",))):
+        rows = changes.where(known)
+        M.raw(rows, *[c for c in rows.columns if c != "change_ts"], at=F.col("change_ts")).write.mode(
+            "append").parquet(f"{folder}/in-users")
+        for name, raw in (("orders", heads), ("lines", lines)):
+            if name in names:
+                raw.write.mode("append").parquet(f"{folder}/in-{name}")
+        users, orders_in, lines_in = (feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in-{name}")
+                                      for name in ("users", "orders", "lines"))
+        _finish(spark, jobs.start_users, users, f"{folder}/users", f"{folder}/users-progress")
+        _finish(spark, jobs.start_sale_details, orders_in, lines_in, f"{folder}/users", f"{folder}/table",
+                f"{folder}/progress", as_of=AS_OF, period="month", served=True)
+    return (tables.read_days(spark, jobs.cells_of(f"{folder}/table"), cells.CELLS, "dt", None, "month")
+            .groupBy("user_level", "gender", "age").agg(F.sum("n").alias("n")).where("n <> 0"))

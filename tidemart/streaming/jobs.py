@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemart.functions.columns import day_of, hour_of, previous_day
 from tidemart.functions.parse import good, parse_changes, parse_feed, quarantined, with_log_time
-from tidemart.operators import alerts, devices, orders, routing, sales
+from tidemart.operators import alerts, cells, devices, keywords, orders, routing, sales
 from tidemart.schemas import (
     ALERT_MIN_USERS, ALERT_WINDOW, CADENCE, DAU_TABLE, JOIN_BOUND_SECONDS, ORDER_TABLE,
     SALE_DETAIL, USER, USER_CADENCE)
@@ -378,6 +378,16 @@ def _feed_tables(table: str) -> tuple[str, str]:
     return f"{table}_feeds/orders", f"{table}_feeds/lines"
 
 
+def names_of(table: str) -> str:
+    """The keyword index of a sales table."""
+    return f"{table}_names"
+
+
+def cells_of(table: str) -> str:
+    """The facet cells of a sales table."""
+    return f"{table}_cells"
+
+
 def _late_tables(table: str) -> tuple[str, str]:
     return f"{table}_feeds/late_orders", f"{table}_feeds/late_lines"
 
@@ -392,9 +402,10 @@ def _received(batch: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
 class _SalesJoin:
     """The join of fresh orders and lines with what was received around them."""
 
-    def __init__(self, users: str, table: str, as_of: Column | str | None, seconds: int, salts: int, period: str):
+    def __init__(self, users: str, table: str, as_of: Column | str | None, seconds: int, salts: int, period: str,
+                 served: bool = False):
         self.users, self.table, self.as_of = users, table, as_of
-        self.seconds, self.salts, self.period = int(seconds), salts, period
+        self.seconds, self.salts, self.period, self.served = int(seconds), salts, period, served
 
     def around(self, fresh: DataFrame, path: str, layout: T.StructType, seen: Column) -> DataFrame | None:
         """The rows of the other side within the bound of some fresh row's time, at least: of the days
@@ -429,14 +440,27 @@ class _SalesJoin:
             known = latest_versions(sales.users_of(found, versions))
             rows = sales.enrich(found, known, F.col("joined_rt") if self.as_of is None else self.as_of)
             rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
-            tables.write_days(tables.versioned(rows, SALE_VERSIONS), self.table, "dt",
-                              run, batch_id, self.period)
+            with _kept(tables.versioned(rows, SALE_VERSIONS), self.served) as versions:
+                if self.served:  # before the sales: a repeated batch finds none of its own
+                    self._serve(versions, run, batch_id)
+                tables.write_days(versions, self.table, "dt", run, batch_id, self.period)
+
+    def _serve(self, versions: DataFrame, run: str, batch_id: int) -> None:
+        """Keyword index and facet cells, brought up to this batch."""
+        spark = versions.sparkSession
+        keywords.index_names(versions, names_of(self.table), run, batch_id)
+        days = sorted(r[0] for r in versions.where("dt IS NOT NULL").select("dt").distinct().collect())
+        held = tables.read_days(spark, self.table, SALE_VERSIONS, "dt", days, self.period)
+        own = (F.col("run") == run) & (F.col("batch") >= batch_id)
+        tables.write_days(cells.changes(versions, held.where(~own), batch_id), cells_of(self.table), "dt",
+                          run, batch_id, self.period)
 
 
 def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str, table: str,
                        checkpoint: str, as_of: Column | str | None = None,
                        seconds: int = JOIN_BOUND_SECONDS, salts: int = 8, period: str = "day",
-                       quarantine: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+                       quarantine: str | None = None, trigger: dict | None = None,
+                       served: bool = False) -> StreamingQuery:
     """Order lines joined with orders and users; :func:`current_sales` reads them.
 
     A batch adds its orders and lines to ``<table>_feeds``, by day of receipt, and joins them with
@@ -446,8 +470,13 @@ def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str,
     apart (:func:`late_rows`) until :func:`replay_late` joins them. The user table is read anew in
     every batch. Without ``as_of`` the age counts from the day the pair was complete, so a repeated
     batch gives the same row. Unreadable records of both feeds are set aside in ``quarantine``.
+    With ``served``, from the first batch on, each batch also keeps the keyword index and the facet
+    cells of the table; replays must then say so too, and not run while a batch does.
     """
-    join = _SalesJoin(users, table, as_of, seconds, salts, period)
+    join = _SalesJoin(users, table, as_of, seconds, salts, period, served)
+    if served:
+        keywords.begin(order_raw.sparkSession, names_of(table))
+        tables.make_folder(order_raw.sparkSession, cells_of(table))
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
         closed = _closed_upto(batch.sparkSession, table)
@@ -500,7 +529,8 @@ def late_rows(spark: SparkSession, table: str) -> DataFrame:
 
 
 def replay_late(spark: SparkSession, table: str, users: str, as_of: Column | str | None = None,
-                seconds: int = JOIN_BOUND_SECONDS, salts: int = 8, period: str = "day") -> None:
+                seconds: int = JOIN_BOUND_SECONDS, salts: int = 8, period: str = "day",
+                served: bool = False) -> None:
     """Join the late rows with what was received around them, and with each other.
 
     A replay is a batch of its own (run ``replay``). It takes all late rows, so it may be repeated
@@ -509,7 +539,7 @@ def replay_late(spark: SparkSession, table: str, users: str, as_of: Column | str
     number = int(tables.last_mark(spark, f"{table}_feeds/replays") or -1) + 1
     heads, lines = (tables.read_days(spark, path, layout, "rt_day").select(*layout.fieldNames())
                     for path, layout in zip(_late_tables(table), (SALE_ORDERS, SALE_LINES), strict=True))
-    _SalesJoin(users, table, as_of, seconds, salts, period).write(heads, lines, "replay", number)
+    _SalesJoin(users, table, as_of, seconds, salts, period, served).write(heads, lines, "replay", number)
     tables.set_mark(spark, f"{table}_feeds/replays", f"{number:08d}")
 
 
@@ -518,3 +548,9 @@ def current_sales(spark: SparkSession, table: str, days: list[str] | None = None
     """Latest document per order detail id."""
     versions = tables.read_days(spark, table, SALE_VERSIONS, "dt", days, period)
     return tables.latest(versions, ["order_detail_id", "dt"], "joined_rt").drop("joined_rt")
+
+
+def current_cells(spark: SparkSession, table: str, days: list[str] | None = None, level: str | None = None,
+                  period: str = "day") -> DataFrame:
+    """Sales per gender and age class, from the cells alone."""
+    return cells.total_of(tables.read_days(spark, cells_of(table), cells.CELLS, "dt", days, period), level)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemart.functions.columns import event_time, previous_day
-from tidemart.operators import devices, orders, search, serving
+from tidemart.operators import cells, devices, keywords, orders, search, serving
 from tidemart.schemas import DAU_TABLE, FEEDS, SALE_DETAIL
 from tidemart.sinks import tables
 from tidemart.sources import feeds
@@ -99,7 +99,8 @@ class Warehouse:
         """The joined sales; the job sets the unreadable records of both feeds aside itself."""
         return jobs.start_sale_details(
             self._feed("order"), self._feed("order_detail"), self.path("users"),
-            self.path("sales"), period=self.period, trigger=trigger, **self._places("sales"), **join)
+            self.path("sales"), period=self.period, trigger=trigger, served=True, **self._places("sales"),
+            **join)
 
     def close_feeds(self, before: str) -> None:
         """End the receive days before ``before`` in the buffer of the sales join."""
@@ -111,7 +112,12 @@ class Warehouse:
 
     def replay_late_sales(self, **join) -> None:
         """Join the late rows after all; may be repeated."""
-        jobs.replay_late(self.spark, self._table("sales"), self._table("users"), period=self.period, **join)
+        jobs.replay_late(self.spark, self._table("sales"), self._table("users"), period=self.period, served=True,
+                         **join)
+
+    def fold_keywords(self) -> None:
+        """Bound what the keyword index reads; once a day or so."""
+        keywords.fold(self.spark, self._names())
 
     def set_aside(self, feed: str, trigger: dict | None = None) -> StreamingQuery:
         """Keep the unreadable records of a feed that only joins or windows use."""
@@ -131,11 +137,12 @@ class Warehouse:
         for name, schema, column, keys, order in (
                 ("orders", jobs.ORDER_VERSIONS, "create_date", ["id"], ["change_ts"]),
                 ("sales", jobs.SALE_VERSIONS, "dt", ["order_detail_id"], ["joined_rt"]),
+                ("sales_cells", cells.CELLS, "dt", [], []),
                 ("dau", DAU_TABLE, "log_date", [], []),
                 ("alerts/panes", jobs.PANES, "pane_day", [], []),
                 ("alerts/windows", jobs.JUDGED, "index_day", [], []),
                 ("alerts/members", jobs.LISTED, "index_day", [], [])):
-            period = self.period if keys else "day"
+            period = self.period if keys or column == "dt" else "day"
             tables.fold_days(self.spark, self._table(name), schema, column, [day],
                              [*keys, column] if keys else [], order, period)
 
@@ -177,6 +184,16 @@ class Warehouse:
     def alert_members_of(self, days: list[str] | None = None) -> DataFrame:
         return jobs.current_alert_members(self.spark, self._alerts(), days)
 
+    def _names(self) -> str:
+        path = jobs.names_of(self._table("sales"))
+        keywords.begin(self.spark, path)
+        return path
+
+    def sales_cells(self, days: list[str] | None = None, level: str | None = None) -> DataFrame:
+        """Sales per gender and age class, as the sales job keeps them."""
+        self._table("sales_cells")
+        return jobs.current_cells(self.spark, self._table("sales"), days, level, self.period)
+
     def _alerts(self) -> str:
         for part in ("windows", "members"):
             self._table(f"alerts/{part}")
@@ -206,8 +223,11 @@ class Warehouse:
 
     def search(self, day: str | None = None, keyword: str | None = None,
                level: str | None = None, page: int = 1, size: int = 10) -> search.SearchResult:
-        sales = self.sales_of([day] if day else None)
-        return search.search(sales, day, keyword, level, page, size)
+        """A keyword is looked up in the index; without one, total and facets come from the kept cells."""
+        days = [day] if day else None
+        sales = keywords.sales_with(self.sales_of(days), self._names(), keyword)
+        kept = None if keyword else self.sales_cells(days, level)
+        return search.search(sales, day, None, level, page, size, kept)
 
     def search_json(self, **query) -> DataFrame:
         return search.response(self.search(**query))
