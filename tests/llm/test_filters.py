@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,7 +122,8 @@ def test_toxicity_held_out(spark, nothing):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
     chain = toxicity.train(docs, labels.where(~held))
-    assert len(chain.models) == 3 and [len(m) - len(chain.features) for m in chain.models] == [1, 2, 3]
+    assert chain.categories == ("quality", "toxic")
+    assert [len(m) - len(c) for m, c in zip(chain.models, chain.columns, strict=True)] == [1, 2]
     scored = toxicity.score(docs, chain).join(
         labels.where(held).select("doc_id", F.col("toxic").alias("label")), "doc_id")
     counts = {(r["label"], r["toxic"]): r["count"] for r in scored.groupBy("label", "toxic").count().collect()}
@@ -130,6 +132,46 @@ def test_toxicity_held_out(spark, nothing):
     assert right >= 0.9 * (right + missed) and wrong <= 0.005 * counts[0, False]
 
 
+def slow_logistic(x, y, penalty, share):
+    """Penalized maximum likelihood by accelerated gradient steps, row by row weights, intercept last."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    each, ridge = share / share.mean(), np.append(np.full(x.shape[1] - 1, penalty), 1e-6)
+    step = 1 / (0.25 * np.linalg.eigvalsh((x * each[:, None]).T @ x)[-1] + penalty)
+    w = ahead = np.zeros(x.shape[1])
+    for i in range(60_000):
+        p = 1 / (1 + np.exp(-(x @ ahead)))
+        new = ahead - step * (x.T @ (each * (p - y)) + ridge * ahead)
+        ahead, w = new + i / (i + 3) * (new - w), new
+    return w
+
+
+def test_toxicity_fit_equals_a_plain_one():
+    rng = np.random.default_rng(3)
+    x = rng.poisson(0.6, (150, 4)).astype(float)
+    folds, share = rng.integers(0, 3, 150), rng.choice([1.0, 4.0], 150)
+    first = (x[:, 0] + rng.normal(0, 1, 150) > 0.7).astype(float)
+    last = ((first + x[:, 1] + rng.normal(0, 1, 150)) > 1.5).astype(float)
+    first[::9] = -1  # unknown
+    got = toxicity.fit_chain(x, [first, last], folds, 0.5, share)
+    known = first >= 0
+    out_of_fold = np.zeros(150)
+    for fold in range(3):
+        learn = [i for i in range(150) if folds[i] != fold and known[i]]
+        w = slow_logistic(x[learn], first[learn], 0.5, share[learn])
+        for i in range(150):
+            if folds[i] == fold:
+                out_of_fold[i] = 1 / (1 + np.exp(-(x[i] @ w[:-1] + w[-1])))
+    want = [slow_logistic(x[known], first[known], 0.5, share[known]),
+            slow_logistic(np.hstack([x, out_of_fold[:, None]]), last, 0.5, share)]
+    for a, b in zip(got, want, strict=True):
+        assert np.abs(a - b).max() < 1e-3
+    # scores take the first model's own probability where the fit took the one out of its fold
+    p = toxicity.chain_probabilities(x, got)
+    own = 1 / (1 + np.exp(-(x @ want[0][:-1] + want[0][-1])))
+    both = 1 / (1 + np.exp(-(np.hstack([x, own[:, None]]) @ want[1][:-1] + want[1][-1])))
+    assert np.abs(p[:, 0] - own).max() < 1e-3 and np.abs(p[:, 1] - both).max() < 1e-3
+
+
 def test_toxicity_of_a_sample_keeps_the_odds_of_the_labels(spark):
     """Both classes are cut to 250 labels; the clean ones are eight times as many."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

@@ -97,7 +97,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    chain = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
     return toxicity.score(docs, chain).drop("text")
 
 

@@ -13,8 +13,10 @@ class, so that the probabilities are those of the labels and not of the halves.
 Features are counted in the tasks; the driver gets ``features`` names and one row of small counts
 per sampled text. All texts are scored, whole, in the tasks.
 
-Labels come as rows ``(doc_id, toxic)``. Narrower categories are labelled by rule: toxic texts
-with a word of the category's list. The lists only name what the chain's first models learn.
+Labels come as rows ``(doc_id, toxic)`` with any number of further label columns (0, 1 or null),
+which are the earlier categories of the chain in the order of the columns: narrower kinds of toxicity
+where there are labels for them, else whatever else a text was judged for, such as its quality. A text
+without a label in an earlier category is left out of that category's models and gets its probability.
 
 Defined cases: a null or empty text has no features and the verdict of the intercept; a null
 label or id, and labels of unknown documents, are ignored; repeated rows are scored alike, and of
@@ -37,12 +39,8 @@ from pyspark.sql import functions as F
 from tidemart.llm.common import packed, slices, texts, unpacked
 from tidemart.llm.decontamination import words_of
 
-#: Categories in the order of the chain; the words label training texts, nothing else.
-CATEGORIES = {
-    "insult": ("clown", "idiot", "loser", "moron", "stupid"),
-    "contempt": ("disgusting", "pathetic", "scum", "trash", "worthless"),
-    "toxic": (),
-}
+#: The last category of the chain.
+VERDICT = "toxic"
 _STEMS = (4, 5, 6)
 _WORDS_KEPT = 200_000
 
@@ -51,6 +49,7 @@ _WORDS_KEPT = 200_000
 class Settings:
     sample_rows: int = 8192
     features: int = 512
+    earlier_features: int = 64
     least_texts: int = 5
     folds: int = 4
     penalty: float = 0.05
@@ -66,11 +65,18 @@ def text_features(text: bytes) -> set[str]:
     return {f for word in set(words_of(text)) for f in word_features(word)}
 
 
+def categories_of(labels: DataFrame) -> list[str]:
+    """The chain that a table of labels gives."""
+    return [*(c for c in labels.columns if c not in ("doc_id", VERDICT)), VERDICT]
+
+
 def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """(text, toxic, fold, share) of the bounded sample; ``share`` is how many labels of its class
-    there are for each one drawn."""
+    """(text, toxic, marks, fold, share) of the bounded sample; ``marks`` are the labels in the order of
+    the chain, -1 for none, and ``share`` is how many labels of its class there are for each one drawn."""
+    marks = F.array(*(F.coalesce(F.max(F.col(c).cast("int")), F.lit(-1)) for c in categories_of(labels)))
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
-             .agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id")))
+             .agg(F.max("toxic").alias("toxic"), marks.alias("marks"))
+             .withColumn("order", F.xxhash64("doc_id")))
     half = settings.sample_rows // 2
     totals = {r["toxic"]: r["n"] for r in
               known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -79,12 +85,13 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame
     rows = F.broadcast(few[0].unionByName(few[1]))  # at most sample_rows rows of four numbers
     fold = F.pmod("order", F.lit(settings.folds)).cast("int").alias("fold")
     return (docs.select("doc_id", "text").join(rows, "doc_id")
-            .groupBy("doc_id", "toxic", fold, "share").agg(F.min("text").alias("text"))
-            .select("text", "toxic", "fold", "share"))
+            .groupBy("doc_id", "toxic", "marks", fold, "share").agg(F.min("text").alias("text"))
+            .select("text", "toxic", "marks", "fold", "share"))
 
 
-def _choose_features(sample: DataFrame, settings: Settings) -> list[str]:
-    """The features that tell the classes apart best (chi-squared over texts)."""
+def _choose_features(sample: DataFrame, n: int, least_texts: int) -> list[str]:
+    """The features that tell the classes ``toxic`` of the sample apart best (chi-squared over texts)."""
+    most = n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             seen = (Counter(), Counter())
@@ -103,12 +110,12 @@ def _choose_features(sample: DataFrame, settings: Settings) -> list[str]:
     counts = (sample.select("text", "toxic").mapInArrow(count, "feature string, toxic int, n bigint")
               .groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("b"),
                                       F.sum(F.col("n") * (1 - F.col("toxic"))).alias("g"))
-              .where(F.col("b") + F.col("g") >= settings.least_texts))
+              .where(F.col("b") + F.col("g") >= least_texts))
     b, g, n = F.col("b"), F.col("g"), bad + good
     chi = (n * F.pow(b * (good - g) - g * (bad - b), F.lit(2))
            / ((b + g) * (n - b - g + 0.5) * bad * good))
     best = counts.select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature")
-    return [r["feature"] for r in best.limit(settings.features).collect()]
+    return [r["feature"] for r in best.limit(most).collect()]
 
 
 class FeatureRows:
@@ -163,26 +170,31 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25,
 
 
 def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray, penalty: float,
-              share: np.ndarray | None = None) -> list[np.ndarray]:
-    """One weight vector per category, over the features and the earlier probabilities."""
+              share: np.ndarray | None = None, columns: list[list[int]] | None = None) -> list[np.ndarray]:
+    """One weight vector per category, over its own ``columns`` of the features (all by default) and the
+    earlier probabilities; a target below 0 is unknown."""
     models, earlier = [], np.zeros((len(x), 0))
+    columns = columns or [list(range(x.shape[1]))] * len(targets)
     share = np.ones(len(x)) if share is None else share
-    for y in targets:
-        inputs = np.hstack([x, earlier])
+    for y, own in zip(targets, columns, strict=True):
+        inputs, known = np.hstack([x[:, own], earlier]), y >= 0
         out_of_fold = np.zeros(len(x))
         for fold in np.unique(folds):
             here = folds == fold
-            w = fit_logistic(inputs[~here], y[~here], penalty, share=share[~here])
+            learn = ~here & known
+            w = fit_logistic(inputs[learn], y[learn], penalty, share=share[learn])
             out_of_fold[here] = _sigmoid(inputs[here] @ w[:-1] + w[-1])
-        models.append(fit_logistic(inputs, y, penalty, share=share))
+        models.append(fit_logistic(inputs[known], y[known], penalty, share=share[known]))
         earlier = np.hstack([earlier, out_of_fold[:, None]])
     return models
 
 
-def chain_probabilities(x: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
+def chain_probabilities(x: np.ndarray, models: list[np.ndarray],
+                        columns: list[list[int]] | None = None) -> np.ndarray:
     probabilities = np.zeros((len(x), 0))
-    for w in models:
-        inputs = np.hstack([x, probabilities])
+    columns = columns or [list(range(x.shape[1]))] * len(models)
+    for w, own in zip(models, columns, strict=True):
+        inputs = np.hstack([x[:, own], probabilities])
         probabilities = np.hstack([probabilities, _sigmoid(inputs @ w[:-1] + w[-1])[:, None]])
     return probabilities
 
@@ -192,34 +204,38 @@ class Chain:
     categories: tuple[str, ...]
     features: list[str]
     models: list[np.ndarray]
+    columns: list[list[int]]
 
 
-def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
-          categories: dict[str, tuple[str, ...]] = CATEGORIES) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Chain:
+    categories = categories_of(labels)
     sample = _sample(docs, labels, settings)
-    features = _choose_features(sample, settings)
-    lists = [set(w.encode() for w in words) for words in categories.values()]
+    chosen = []
+    for c, category in enumerate(categories):
+        own = sample.select("text", F.col("marks")[c].alias("toxic")).where("toxic >= 0")
+        n = settings.features if category == VERDICT else settings.earlier_features
+        chosen.append(_choose_features(own, n, settings.least_texts))
+    features = list(dict.fromkeys(f for names in chosen for f in names))
+    columns = [[features.index(f) for f in names] for names in chosen]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of = FeatureRows(features).rows
         for batch in slices(batches, "text"):
-            own = texts(batch)
-            counts = rows_of(own).astype(np.uint32)
-            toxic = batch.column("toxic").to_numpy()
-            flags = [bytes(int(t and (not words or not words.isdisjoint(words_of(text))))
-                           for words in lists) for t, text in zip(toxic, own, strict=True)]
+            counts = rows_of(texts(batch)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(flags, pa.binary()),
-                 batch.column("fold"), batch.column("share")], ["counts", "flags", "fold", "share"])
+                [pa.array([c.tobytes() for c in counts], pa.binary()),
+                 *(batch.column(c) for c in ("marks", "fold", "share"))], ["counts", "marks", "fold", "share"])
 
-    rows = sample.mapInArrow(counted, "counts binary, flags binary, fold int, share double").collect()
-    rows.sort(key=lambda r: (bytes(r["counts"]), bytes(r["flags"]), r["fold"], r["share"]))
+    rows = sample.select("text", "marks", "fold", "share").mapInArrow(
+        counted, "counts binary, marks array<int>, fold int, share double").collect()
+    rows.sort(key=lambda r: (bytes(r["counts"]), r["marks"], r["fold"], r["share"]))
     x = np.log1p(np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.uint32)
                  .reshape(len(rows), len(features)).astype(float))
-    targets = [np.array([r["flags"][c] for r in rows], float) for c in range(len(lists))]
+    targets = [np.array([r["marks"][c] for r in rows], float) for c in range(len(categories))]
     folds = np.array([r["fold"] for r in rows], int)
     share = np.array([r["share"] for r in rows])
-    return Chain(tuple(categories), features, fit_chain(x, targets, folds, settings.penalty, share))
+    return Chain(tuple(categories), features, fit_chain(x, targets, folds, settings.penalty, share, columns),
+                 columns)
 
 
 def score(docs: DataFrame, chain: Chain, settings: Settings = Settings()) -> DataFrame:
@@ -231,7 +247,8 @@ def score(docs: DataFrame, chain: Chain, settings: Settings = Settings()) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of = FeatureRows(sent.value.features).rows
         for batch in slices(batches, "text"):
-            p = chain_probabilities(np.log1p(rows_of(texts(batch))), sent.value.models)
+            p = chain_probabilities(np.log1p(rows_of(texts(batch))), sent.value.models,
+                                    sent.value.columns)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), *(pa.array(x) for x in p.T),
                  pa.array(p[:, -1] >= settings.threshold)], [*kept, *names, "toxic"])
