@@ -26,7 +26,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
