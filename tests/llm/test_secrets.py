@@ -77,3 +77,17 @@ def test_no_rows_and_native(spark, nothing):
     assert secrets.scan_secrets(nothing).count() == 0
     plan = queries.op3_secret_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_a_long_text_of_many_matches(spark, tmp_path):
+    """Each of 12,000 runs is a base span, an entropy span, or both, and assignments come between."""
+    rnd = random.Random(8)
+    text = " ".join("".join(rnd.choices("0123456789abcdef", k=24)) + ("" if i % 3 else f" token={i:08d}")
+                    for i in range(12_000))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "long"))
+    found = secrets.secrets_digest(secrets.scan_secrets(spark.read.parquet(str(tmp_path / "long"))))
+    row = found.collect()[0]
+    base = base_spans(text)
+    assert (row["n_hex"], row["n_assign"]) == (12_000, 4_000)
+    assert row["base_sha256"] == hashlib.sha256(written(base).encode()).hexdigest()
+    assert row["spans"] == written(sorted(base + entropy_spans(text)))

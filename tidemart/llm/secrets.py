@@ -2,13 +2,14 @@
 
 *Base* spans come from three patterns. *Entropy* spans come from candidate strings (runs of
 one character class): a window slides over each candidate, its Shannon entropy follows from
-the counts of the one character that leaves and the one that enters, and windows at or above
+counts that are kept from window to window, one taken out and one put in, and windows at or above
 the threshold of the class are merged into spans. A window has to hold a letter and a digit.
 Candidates that match the allow-list (UUIDs, integrity hashes, placeholders) add no entropy
 spans; base spans are never suppressed.
 
 A text is scanned whole, in the row it is in: no shuffle, no Python. Long candidates are cut
-into blocks that overlap by a window less one, so the work stays linear in the text.
+into blocks that overlap by a window less one, and matches are placed by chunks, so the work stays
+linear in the text also where matches are many.
 
 Defined cases: a null or empty text has no spans; positions are code points, the end is
 exclusive; rows are kept as they are (repeated ids are repeated in the result); other
@@ -17,6 +18,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,9 @@ CLASSES = {
     "entropy_hex": (r"[0-9A-Fa-f]{24,}", 24, 3.0),
     "entropy_base64": (r"[0-9A-Za-z+/_=-]{32,}", 32, 4.2),
 }
+#: The characters of all classes by their number, from 1: digits, letters, others.
+_ALPHABET = string.digits + string.ascii_letters + "+/_=-"
+_DIGITS, _LETTERS = len(string.digits), len(string.digits + string.ascii_letters)
 #: Candidates that look random and are no secrets.
 ALLOW_LIST = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
@@ -41,9 +48,22 @@ ALLOW_LIST = (
     r"(?i:example|placeholder|changeme|xxxxxx|123456789|abcdefghijkl)",
 )
 _BLOCK = 1024
+_CHUNK = 128
 _NO_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunks(items: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of each stretch of ``_CHUNK`` items."""
+    return _let(items, lambda own: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(own) - 1) / _CHUNK), F.lit(0)).cast("int")),
+        lambda n: body(F.slice(own, n * _CHUNK + 1, F.lit(_CHUNK)))))
+
+
 def _located(text: Column, pattern: str) -> Column:
     """``(start, end, found, value)`` of every match; value is group 2 of assignments."""
     group = 2 if pattern == ASSIGN else 0
@@ -62,7 +82,17 @@ def _located(text: Column, pattern: str) -> Column:
             begin.alias("start"), end.alias("end"), x["found"].alias("found"),
             x["value"].alias("value")))).alias("spans"))
 
-    spans = F.aggregate(matched, start, step, lambda state: state["spans"])
+    def shifted(chunks: Column, offsets: Column) -> Column:
+        return F.flatten(F.transform(chunks, lambda c, n: F.transform(c["spans"], lambda s: F.struct(
+            (s["start"] + F.get(offsets, n)).alias("start"), (s["end"] + F.get(offsets, n)).alias("end"),
+            s["found"].alias("found"), s["value"].alias("value")))))
+
+    # an array that grows by one is copied each time, so matches are placed by chunks, and chunks by
+    # their lengths
+    spans = _let(_chunks(matched, lambda part: F.aggregate(part, start, step)), lambda chunks: _let(
+        F.aggregate(chunks, F.array(F.lit(0).cast("long")),
+                    lambda at, c: F.concat(at, F.array(F.element_at(at, -1) + c["at"]))),
+        lambda offsets: shifted(chunks, offsets)))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kind))
 
 
@@ -76,68 +106,82 @@ def _n_log_n(n: Column) -> Column:
     return n * F.log2(F.greatest(n, F.lit(1)))
 
 
-def _count(char: Column, inside: Column) -> Column:
-    return F.char_length(inside) - F.char_length(F.replace(inside, char, F.lit("")))
+def _counted(counts: Column, code: Column, by: int) -> Column:
+    """The counts with that of one character moved; ``code`` 0 is no character."""
+    here = F.greatest(code, F.lit(1))
+    return F.when(code > 0, F.concat(
+        F.slice(counts, F.lit(1), here - 1), F.array(F.get(counts, here - 1) + by),
+        F.slice(counts, here + 1, F.lit(len(_ALPHABET))))).otherwise(counts)
+
+
+def _is(code: Column, first: int, last: int) -> Column:
+    return ((code > first) & (code <= last)).cast("int")
 
 
 def entropy_spans(candidate: Column, window: int, least: float) -> Column:
     """Merged windows of ``candidate`` whose entropy is at least ``least``.
 
-    With counts n of the characters, entropy is log2(w) - sum(n log2 n) / w; moving the window
-    by one changes the sum by the terms of the character that leaves and the one that enters.
+    With counts n of the characters, entropy is log2(w) - sum(n log2 n) / w. The counts are kept: a
+    step takes the character that leaves out of them and puts the one that enters in, and changes the
+    sum by the terms of these two.
     """
-    def moved(i: Column) -> Column:
-        entering = F.substr(candidate, i, F.lit(1))
-        first = F.greatest(i - window + 1, F.lit(1))
-        inside = F.substr(candidate, first, i - first)
-        n_in = _count(entering, inside)
-        leaving = F.substr(candidate, i - window, F.lit(1))
-        n_out = _count(leaving, inside)
-        change = _n_log_n(n_in + 1) - _n_log_n(n_in)
-        return F.struct(i.alias("i"), F.when(i > window, change - (
-            _n_log_n(n_out + 1) - _n_log_n(n_out))).otherwise(change).alias("change"),
-            F.concat(inside, entering).rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]").alias("mixed"))
-
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("begin"),
-                     F.lit(-1).cast("long").alias("end"),
-                     F.array().cast(_NO_SPANS).alias("spans"))
-
-    def step(state: Column, x: Column) -> Column:
-        total = state["sum"] + x["change"]
-        entropy = F.log2(F.lit(window)) - total / window
-        high = (x["i"] >= window) & x["mixed"] & (F.round(entropy, 9) >= least)
-        begin = (x["i"] - window).cast("long")
+    start = F.struct(
+        F.lit(0).alias("i"), F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"),
+        F.lit(0).alias("digits"), F.lit(0).alias("letters"), F.lit(0.0).alias("sum"),
+        F.lit(-1).cast("long").alias("begin"), F.lit(-1).cast("long").alias("end"),
+        F.array().cast(_NO_SPANS).alias("spans"))
+
+    def moved(state: Column, entering: Column, leaving: Column) -> Column:
+        """The state of the window one character on, its spans as they were."""
+        def entered(counts: Column) -> Column:
+            n_in = F.get(counts, entering - 1)
+            n_out = F.coalesce(F.get(state["counts"], leaving - 1), F.lit(1))
+            return F.struct(
+                (state["i"] + 1).alias("i"), _counted(counts, entering, 1).alias("counts"),
+                (state["digits"] + _is(entering, 0, _DIGITS) - _is(leaving, 0, _DIGITS)).alias("digits"),
+                (state["letters"] + _is(entering, _DIGITS, _LETTERS)
+                 - _is(leaving, _DIGITS, _LETTERS)).alias("letters"),
+                (state["sum"] + (_n_log_n(n_in + 1) - _n_log_n(n_in))
+                 - (_n_log_n(n_out) - _n_log_n(n_out - 1))).alias("sum"))
+
+        return _let(_counted(state["counts"], leaving, -1), entered)
+
+    def step(state: Column, now: Column) -> Column:
+        high = ((now["i"] >= window) & (now["digits"] > 0) & (now["letters"] > 0)
+                & (F.round(F.log2(F.lit(window)) - now["sum"] / window, 9) >= least))
+        begin = (now["i"] - window).cast("long")
         apart = high & (state["begin"] >= 0) & (begin > state["end"])
         closed = F.array(F.struct(state["begin"].alias("start"), state["end"].alias("end")))
         return F.struct(
-            total.alias("sum"),
+            *(now[n].alias(n) for n in ("i", "counts", "digits", "letters", "sum")),
             F.when(high & ((state["begin"] < 0) | apart), begin).otherwise(state["begin"]).alias("begin"),
-            F.when(high, x["i"].cast("long")).otherwise(state["end"]).alias("end"),
+            F.when(high, now["i"].cast("long")).otherwise(state["end"]).alias("end"),
             F.when(apart, F.concat(state["spans"], closed)).otherwise(state["spans"]).alias("spans"))
 
-    positions = F.transform(F.sequence(F.lit(1), F.char_length(candidate)), moved)
-    return F.aggregate(positions, start, step, lambda state: F.when(
-        state["begin"] >= 0, F.concat(state["spans"], F.array(F.struct(
-            state["begin"].alias("start"), state["end"].alias("end"))))).otherwise(state["spans"]))
+    def slid(codes: Column) -> Column:
+        def next_one(state: Column, code: Column) -> Column:
+            leaving = F.coalesce(F.get(codes, state["i"] - window), F.lit(0))
+            return _let(moved(state, code, leaving), lambda now: step(state, now))
 
+        return F.aggregate(codes, start, next_one, lambda state: F.when(
+            state["begin"] >= 0, F.concat(state["spans"], F.array(F.struct(
+                state["begin"].alias("start"), state["end"].alias("end"))))).otherwise(state["spans"]))
 
-def _merged(spans: Column) -> Column:
-    """Sorted spans with overlapping and touching ones joined."""
-    start = F.struct(F.lit(-1).cast("long").alias("begin"), F.lit(-1).cast("long").alias("end"),
-                     F.array().cast(_NO_SPANS).alias("spans"))
+    codes = F.transform(F.sequence(F.lit(1), F.char_length(candidate)), lambda i: F.position(
+        F.substr(candidate, i, F.lit(1)), F.lit(_ALPHABET)))
+    return _let(codes, slid)
 
-    def step(state: Column, s: Column) -> Column:
-        apart = (state["begin"] < 0) | (s["start"] > state["end"])
-        closed = F.array(F.struct(state["begin"].alias("start"), state["end"].alias("end")))
-        return F.struct(
-            F.when(apart, s["start"]).otherwise(state["begin"]).alias("begin"),
-            F.greatest(state["end"], s["end"]).alias("end"),
-            F.when(apart & (state["begin"] >= 0), F.concat(state["spans"], closed))
-             .otherwise(state["spans"]).alias("spans"))
-
-    return F.aggregate(F.array_sort(spans), start, step, lambda state: F.when(
-        state["begin"] >= 0, F.concat(state["spans"], F.array(F.struct(
-            state["begin"].alias("start"), state["end"].alias("end"))))).otherwise(state["spans"]))
+
+def _merged(spans: Column) -> Column:
+    """Spans with overlapping and touching ones joined. A span that starts later also ends later, as
+    all are unions of windows of one length; so each is compared with its neighbours only."""
+    def joined(own: Column) -> Column:
+        first = F.filter(own, lambda s, n: (n == 0) | (s["start"] > F.get(own, n - 1)["end"]))
+        last = F.filter(own, lambda s, n: (n == F.size(own) - 1) | (F.get(own, n + 1)["start"] > s["end"]))
+        return F.arrays_zip(F.transform(first, lambda s: s["start"]).alias("start"),
+                            F.transform(last, lambda s: s["end"]).alias("end"))
+
+    return _let(F.array_sort(spans), joined)
 
 
 def _entropy(text: Column, pattern: str, window: int, least: float,
