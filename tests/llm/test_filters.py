@@ -108,7 +108,11 @@ def test_benchmark_matches(spark, nothing, block_bytes):
                     hits.add((i, k))
         want.append((d, sorted(hits)))
     assert got == sorted(want)
-    clean = decontamination.decontaminate(frame, bench)
+    clashing = frame.selectExpr("doc_id", "text", "doc_id AS row", "found AS digest", "1 AS _row")
+    found = decontamination.match_benchmark(clashing, bench, block_bytes=block_bytes)
+    assert found.columns == [*clashing.columns, "found"] and found.count() == len(docs)
+    assert found.where("row IS DISTINCT FROM doc_id OR digest <> 'x' OR _row <> 1").count() == 0
+    clean = decontamination.decontaminate(frame, bench, block_bytes=block_bytes)
     assert clean.columns == ["doc_id", "text", "found"]
     assert {r["found"] for r in clean.collect()} == {"x"}
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, h in want if not h)

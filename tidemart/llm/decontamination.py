@@ -12,8 +12,9 @@ error budget of ``ERRORS`` of its words: insertions, deletions and substitutions
   around the hit in one pass). Only passages within the budget count.
 
 The items are the stated query set: they are taken in blocks of bounded size, and each block is
-sent to all tasks and met with all texts whole. Any number of items works; the texts are read
-once per block.
+sent to all tasks and met with all texts whole. Any number of items works: the texts are read
+once per block, the driver and every worker hold one block at a time, and what a block found is
+written before the next one is sent.
 
 Defined cases: null and empty texts match nothing; items without words are ignored; items of few
 words have a budget of zero and must occur exactly; repeated rows are judged alike; texts and
@@ -24,15 +25,18 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from tidemart.llm.common import packed, slices, texts, unpacked, window_hashes, word_hashes
+from tidemart.session import new_folder
 
 #: Part of an item's words that may differ.
 ERRORS = 0.15
@@ -149,10 +153,8 @@ _FOUND = ArrayType(StructType().add("item_id", "long").add("distance", "integer"
                    .add("end_word", "integer"))
 
 
-def _matched(docs: DataFrame, items: list[tuple[int, bytes]], errors: float) -> DataFrame:
-    """``docs`` with the column ``found`` extended by the matches of one block."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    kept = [c for c in docs.columns if c != "found"]
+def _matched(docs: DataFrame, sent: Broadcast, errors: float) -> DataFrame:
+    """``docs`` and the column ``found``: the matches with the items of one block."""
     ready: list[Pieces] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,29 +163,50 @@ def _matched(docs: DataFrame, items: list[tuple[int, bytes]], errors: float) ->
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()),
                                    ("end_word", pa.int32())]))
         for batch in slices(batches, "text"):
-            before = batch.column("found").to_pylist()
-            found = [(old or []) + [
-                {"item_id": i, "distance": d, "end_word": e}
-                for i, d, e in ready[0].matches(word_hashes(words_of(text)))]
-                for old, text in zip(before, texts(batch), strict=True)]
+            found = [[{"item_id": i, "distance": d, "end_word": e}
+                      for i, d, e in ready[0].matches(word_hashes(words_of(text)))]
+                     for text in texts(batch)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(found, kind)], [*kept, "found"])
+                [*batch.columns, pa.array(found, kind)], [*batch.schema.names, "found"])
 
-    schema = docs.select(*kept).schema.add("found", _FOUND)
-    return docs.select(*kept, "found").mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("found", _FOUND)]))
 
 
-def match_benchmark(docs: DataFrame, items: DataFrame, errors: float = ERRORS,
-                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns of ``docs`` and ``found``: the items within their budget, each with its distance and
-    the end of the passage in words."""
-    out = docs.withColumn("found", F.lit(None).cast(_FOUND))
-    for block in _blocks(items, block_bytes):  # one pass over the texts for each
-        out = _matched(out, block, errors)
-    return out.withColumn("found", F.coalesce("found", F.array().cast(_FOUND)))
+def _written(docs: DataFrame, blocks: Iterable[list[tuple[int, bytes]]], errors: float) -> DataFrame:
+    """``digest`` of every text that holds a passage and ``found`` over all blocks. Each block is a
+    job of its own that adds what it finds to one table, and goes before the next one is sent."""
+    spark = docs.sparkSession
+    keyed = docs.where("text IS NOT NULL").select(F.md5("text").alias("digest"), "text")
+    folder = new_folder(spark, "benchmark-found")
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        hits = _matched(keyed, sent, errors).where(F.size("found") > 0).select("digest", "found")
+        hits.dropDuplicates(["digest"]).write.mode("append").parquet(folder)
+        sent.destroy()
+    schema = StructType().add("digest", "string").add("found", _FOUND)
+    return spark.read.schema(schema).parquet(folder).groupBy("digest").agg(
+        F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> DataFrame:
+def match_benchmark(docs: DataFrame, items: DataFrame, errors: float = ERRORS,
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Columns of ``docs`` and ``found``: the items within their budget in ascending order, each
+    with its distance and the end of the passage in words. Items of one block are met in one pass
+    over ``docs``; what several blocks find is written, and joined with ``docs`` by text."""
+    kept = docs.drop("found")
+    blocks = _blocks(items, block_bytes)
+    block, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        return _matched(kept, kept.sparkSession.sparkContext.broadcast(block), errors)
+    found = _written(kept, chain([block, more], blocks), errors)
+    rows = kept.select(F.struct(*kept.columns).alias("row"), F.md5("text").alias("digest"))
+    return rows.join(found, "digest", "left").select(
+        *(F.col("row")[c].alias(c) for c in kept.columns),
+        F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, errors: float = ERRORS,
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that hold no passage of an item."""
-    found = match_benchmark(packed(docs), items, errors)
+    found = match_benchmark(packed(docs), items, errors, block_bytes)
     return unpacked(found.where(F.size("found") == 0), docs.columns)
