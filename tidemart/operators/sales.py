@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tidemart.schemas import JOIN_BOUND_SECONDS, SALE_DETAIL
 
 _ORDER_SIDE = ["order_id", "order_status", "create_time", "user_id", "dt"]
 _DETAIL_SIDE = ["order_detail_id", "sku_id", "sku_price", "sku_name"]
+USER_VALUES = ("user_gender", "user_level", "_birthday")
 _USER_SIDE = ["user_gender", "user_age", "user_level", "age_known"]
 
 
@@ -61,17 +64,20 @@ def within(left: Column, right: Column, seconds: int = JOIN_BOUND_SECONDS) -> Co
 
 
 def interval_join(orders: DataFrame, details: DataFrame,
-                  seconds: int = JOIN_BOUND_SECONDS, salts: int = 1) -> DataFrame:
+                  seconds: int = JOIN_BOUND_SECONDS, salts: int = 1,
+                  extra: Sequence[str] = (), fresh: str | None = None) -> DataFrame:
     """Lines and orders of the same id received within ``seconds`` of each other.
 
     Both sides carry their receive time ``rt``; the bound is inclusive and
     every matching pair appears once. Works on batch and on watermarked
     streaming inputs. ``salts`` > 1 spreads the lines of one order over that
     many tasks and repeats each order as often: for streams, where no run-time
-    skew handling exists.
+    skew handling exists. ``extra`` columns of the orders are kept. With ``fresh``,
+    a flag that both sides carry, only pairs with a fresh row on either side count.
     """
-    heads = order_side(orders, F.col("rt").alias("order_rt"))
-    lines = detail_side(details, F.col("rt").alias("detail_rt"))
+    flag = [fresh] if fresh else []
+    heads = order_side(orders, F.col("rt").alias("order_rt"), *extra, *flag)
+    lines = detail_side(details, F.col("rt").alias("detail_rt"), *flag)
     keys = F.col("o.order_id") == F.col("d.order_id")
     if salts > 1:
         every = F.array(*[F.lit(i) for i in range(salts)])
@@ -79,11 +85,14 @@ def interval_join(orders: DataFrame, details: DataFrame,
         lines = lines.withColumn(
             "salt", F.pmod(F.xxhash64("order_detail_id"), F.lit(salts)).cast("int"))
         keys = keys & (F.col("o.salt") == F.col("d.salt"))
+    if fresh:
+        keys = keys & (F.col(f"o.{fresh}") | F.col(f"d.{fresh}"))
     pairs = heads.alias("o").join(
         lines.alias("d"),
         keys & within(F.col("o.order_rt"), F.col("d.detail_rt"), seconds))
     return pairs.select(*[F.col(f"o.{c}").alias(c) for c in _ORDER_SIDE],
                         *[F.col(f"d.{c}").alias(c) for c in _DETAIL_SIDE],
+                        *[F.col(f"o.{c}").alias(c) for c in extra],
                         F.greatest("o.order_rt", "d.detail_rt").alias("joined_rt"))
 
 
@@ -99,9 +108,17 @@ def add_user(rows: DataFrame, users: DataFrame, as_of: Column | str) -> DataFram
     An unknown user keeps the row: gender and level stay NULL and the age
     defaults to 0, with ``age_known`` false.
     """
+    return with_age(with_user(rows, users), as_of)
+
+
+def with_user(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """The columns :data:`USER_VALUES` of the user row, for :func:`with_age`."""
+    return rows.join(user_side(users), "user_id", "left")
+
+
+def with_age(rows: DataFrame, as_of: Column | str) -> DataFrame:
     age = age_in_years(F.col("_birthday"), as_of)
-    return (rows.join(user_side(users), "user_id", "left")
-            .withColumns({"age_known": age.isNotNull(), "user_age": F.coalesce(age, F.lit(0))})
+    return (rows.withColumns({"age_known": age.isNotNull(), "user_age": F.coalesce(age, F.lit(0))})
             .drop("_birthday"))
 
 
@@ -120,15 +137,14 @@ def enriched_sale_details(orders: DataFrame, details: DataFrame, users: DataFram
 def users_of(sales: DataFrame, users: DataFrame) -> DataFrame:
     """Only the user rows some sale refers to.
 
-    For a micro-batch against the whole dimension: the few ids of the batch
+    For the orders of a micro-batch against the whole dimension: the few ids of the batch
     cut the dimension down before anything of it is shuffled or ranked.
     """
     wanted = sales.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()).distinct()
     return users.join(wanted, "id", "left_semi")
 
 
-def enrich(sales: DataFrame, users: DataFrame, as_of: Column | str) -> DataFrame:
-    """User values for finished sale details, as needed after a streaming join."""
-    return add_user(sales, users, as_of).select(
-        *SALE_DETAIL.fieldNames(),
-        *[c for c in sales.columns if c not in SALE_DETAIL.fieldNames()])
+def enrich(sales: DataFrame, as_of: Column | str) -> DataFrame:
+    """Finished sale details of a streaming join whose orders had their :func:`with_user`."""
+    kept = [c for c in sales.columns if c not in SALE_DETAIL.fieldNames() and c not in USER_VALUES]
+    return with_age(sales, as_of).select(*SALE_DETAIL.fieldNames(), *kept)

@@ -26,8 +26,9 @@ SQL_DEFAULTS = {
     # join; Spark then shuffles partial results once more
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # fewer, larger scan tasks than the default of 128 MB
-    "spark.sql.files.maxPartitionBytes": "256m",
+    # feeds and columns unfold to a multiple of their files in a task that caches or sorts them
+    "spark.sql.files.maxPartitionBytes": "64m",
+    "spark.sql.parquet.compression.codec": "zstd",
 }
 
 STREAM_DEFAULTS = {
@@ -37,6 +38,10 @@ STREAM_DEFAULTS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+#: Shuffles begin with as many partitions at least, so that sorts fit into memory; AQE merges small ones.
+FIRST_PARTITIONS = 400
+_FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 _local_folder: dict[str, str] = {}
 
 
@@ -54,6 +59,7 @@ def build_session(app: str = "tidemart", master: str | None = None,
     settings = {**SQL_DEFAULTS, **STREAM_DEFAULTS,
                 # no Python call-site capture per column expression
                 "spark.python.sql.dataFrameDebugging.enabled": "false"}
+    settings[_FIRST] = str(max(FIRST_PARTITIONS, shuffle_partitions or 0))
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf)
@@ -66,6 +72,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else created."""
     for key, value in {**SQL_DEFAULTS, **STREAM_DEFAULTS}.items():
         spark.conf.set(key, value)
+    spark.conf.set(_FIRST, str(max(FIRST_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return spark
 
 

@@ -30,6 +30,8 @@ BATCH_COLUMNS = ["run", "batch"]
 ROW_HASH = "row_hash"
 #: Leading characters of yyyy-MM-dd; a bucket is a number of three digits in place of a day.
 PERIODS = {"day": 10, "month": 7, "bucket": 3}
+#: Rows a task writes at least, where rows are not shuffled for it.
+_FILE_ROWS = 100_000
 _BATCH_FIELDS = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
 
 
@@ -64,17 +66,21 @@ def _period(day: str, period: str):
 
 
 def write_days(rows: DataFrame, path: str, day: str, run: str, batch: int,
-               period: str = "day", *sort: str) -> None:
+               period: str = "day", *sort: str, n_rows: int | None = None) -> None:
     """Write and commit one micro-batch of a table that is partitioned by the ``day`` column.
 
     With ``period="month"`` a folder holds a month: for a table with few rows
     on each of very many days. The day stays a column either way; inside a
     month rows are sorted by it, so that row-group statistics still prune.
+    Rows are shuffled together by period, unless their number is told: then they are written where they
+    are, by as many tasks as they need. For rows of few periods.
     """
     spark, own = rows.sparkSession, f"{path}/run={run}/batch={int(batch)}"
     for name in _names(spark, own):  # an earlier attempt may have committed already
         _delete(spark, f"{path}/{_COMMITS}/{name}/{run}.{int(batch):012d}")
-    placed = rows.withColumn("period", _period(day, period)).hint("rebalance", "period")
+    placed = rows.withColumn("period", _period(day, period))
+    placed = placed.hint("rebalance", "period") if n_rows is None else placed.coalesce(
+        1 + n_rows // _FILE_ROWS)
     keys = [*([] if period == "day" else [day]), *sort]
     if keys:
         placed = placed.sortWithinPartitions("period", *keys)
@@ -212,7 +218,9 @@ def _rows_of(spark: SparkSession, path: str, schema: T.StructType, held: dict[st
     if folds:
         parts.append(spark.read.schema(layout).parquet(*folds))
     if not parts:
-        return spark.createDataFrame([], layout)
+        # rows that Spark knows to be none, so that joins with them are not run at all
+        return spark.range(1).where(F.lit(False)).select(
+            *(F.lit(None).cast(f.dataType).alias(f.name) for f in layout.fields))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

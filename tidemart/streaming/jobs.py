@@ -401,6 +401,14 @@ def _received(batch: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
 
 class _SalesJoin:
     """The join of fresh orders and lines with what was received around them."""
+def _with_earlier(rows: DataFrame, near: DataFrame | None) -> DataFrame:
+    """The rows of a batch and those of earlier ones that may be their partners' partners."""
+    fresh = rows.withColumn("fresh", F.lit(True))
+    if near is None:
+        return fresh
+    return fresh.unionByName(near.select(*rows.columns).withColumn("fresh", F.lit(False)))
+
+
 
     def __init__(self, users: str, table: str, as_of: Column | str | None, seconds: int, salts: int, period: str,
                  served: bool = False):
@@ -422,28 +430,30 @@ class _SalesJoin:
     def write(self, heads: DataFrame, lines: DataFrame, run: str, batch_id: int) -> None:
         """Keep the rows in the feed tables, and the pairs they complete in the sales table."""
         order_table, line_table = _feed_tables(self.table)
-        tables.write_days(heads, order_table, "rt_day", run, batch_id)
-        tables.write_days(lines, line_table, "rt_day", run, batch_id)
-        other = F.col("run") != run
-        near_lines = self.around(heads, line_table, SALE_LINES, other | (F.col("batch") <= batch_id))
-        near_heads = self.around(lines, order_table, SALE_ORDERS, other | (F.col("batch") < batch_id))
-        pairs = [sales.interval_join(h, d, self.seconds, self.salts)
-                 for h, d in ((heads, near_lines), (near_heads, lines)) if h is not None and d is not None]
-        if pairs:
-            self._keep(reduce(DataFrame.unionByName, pairs), run, batch_id)
+        n_heads, n_lines = heads.count(), lines.count()
+        tables.write_days(heads, order_table, "rt_day", run, batch_id, n_rows=n_heads)
+        tables.write_days(lines, line_table, "rt_day", run, batch_id, n_rows=n_lines)
+        if not n_heads and not n_lines:
+            return
+        before = (F.col("run") != run) | (F.col("batch") < batch_id)
+        near_heads = self.around(lines, order_table, SALE_ORDERS, before) if n_lines else None
+        near_lines = self.around(heads, line_table, SALE_LINES, before) if n_heads else None
+        # one join over the rows of the batch and those around them, so that none is shuffled twice
+        heads, lines = (_with_earlier(*sides) for sides in ((heads, near_heads), (lines, near_lines)))
+        versions = user_versions(heads.sparkSession, self.users)
+        heads = sales.with_user(heads, latest_versions(sales.users_of(heads, versions)))
+        self._keep(sales.interval_join(heads, lines, self.seconds, self.salts, sales.USER_VALUES, "fresh"),
+                   run, batch_id)
 
     def _keep(self, pairs: DataFrame, run: str, batch_id: int) -> None:
-        with _kept(pairs) as found:
-            if not found.count():  # also tells Spark how small the batch is
+        rows = sales.enrich(pairs, F.col("joined_rt") if self.as_of is None else self.as_of)
+        rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
+        with _kept(tables.versioned(rows, SALE_VERSIONS)) as versions:
+            if not versions.count():  # also tells Spark how small the batch is
                 return
-            versions = user_versions(found.sparkSession, self.users)
-            known = latest_versions(sales.users_of(found, versions))
-            rows = sales.enrich(found, known, F.col("joined_rt") if self.as_of is None else self.as_of)
-            rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
-            with _kept(tables.versioned(rows, SALE_VERSIONS), self.served) as versions:
-                if self.served:  # before the sales: a repeated batch finds none of its own
-                    self._serve(versions, run, batch_id)
-                tables.write_days(versions, self.table, "dt", run, batch_id, self.period)
+            if self.served:  # before the sales: a repeated batch finds none of its own
+                self._serve(versions, run, batch_id)
+            tables.write_days(versions, self.table, "dt", run, batch_id, self.period)
 
     def _serve(self, versions: DataFrame, run: str, batch_id: int) -> None:
         """Keyword index and facet cells, brought up to this batch."""
@@ -458,7 +468,7 @@ class _SalesJoin:
 
 def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str, table: str,
                        checkpoint: str, as_of: Column | str | None = None,
-                       seconds: int = JOIN_BOUND_SECONDS, salts: int = 8, period: str = "day",
+                       seconds: int = JOIN_BOUND_SECONDS, salts: int = 1, period: str = "day",
                        quarantine: str | None = None, trigger: dict | None = None,
                        served: bool = False) -> StreamingQuery:
     """Order lines joined with orders and users; :func:`current_sales` reads them.
@@ -471,7 +481,8 @@ def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str,
     every batch. Without ``as_of`` the age counts from the day the pair was complete, so a repeated
     batch gives the same row. Unreadable records of both feeds are set aside in ``quarantine``.
     With ``served``, from the first batch on, each batch also keeps the keyword index and the facet
-    cells of the table; replays must then say so too, and not run while a batch does.
+    cells of the table; replays must then say so too, and not run while a batch does. Hot orders are
+    split at run time by adaptive execution; ``salts`` spreads every order where that is switched off.
     """
     join = _SalesJoin(users, table, as_of, seconds, salts, period, served)
     if served:
@@ -488,7 +499,8 @@ def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str,
                 if closed:
                     behind = F.col("rt_day") <= closed
                     for rows, path in zip((heads, lines), _late_tables(table), strict=True):
-                        tables.write_days(rows.where(behind), path, "rt_day", run, batch_id)
+                        late = rows.where(behind)
+                        tables.write_days(late, path, "rt_day", run, batch_id, n_rows=late.count())
                     heads, lines = heads.where(~behind), lines.where(~behind)
                 join.write(heads, lines, run, batch_id)
             if quarantine:
@@ -529,7 +541,7 @@ def late_rows(spark: SparkSession, table: str) -> DataFrame:
 
 
 def replay_late(spark: SparkSession, table: str, users: str, as_of: Column | str | None = None,
-                seconds: int = JOIN_BOUND_SECONDS, salts: int = 8, period: str = "day",
+                seconds: int = JOIN_BOUND_SECONDS, salts: int = 1, period: str = "day",
                 served: bool = False) -> None:
     """Join the late rows with what was received around them, and with each other.
 
