@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemart.operators.keyed import last_per_key
+from tidemart.operators.keyed import last_per_key  # noqa: F401 (asked for by this name)
 from tidemart.operators.search import age_class, gender_class
 from tidemart.sinks import tables
 
@@ -24,21 +24,37 @@ _ORDER = ("joined_rt", "batch", tables.ROW_HASH)
 def changes(fresh: DataFrame, held: DataFrame, batch: int) -> DataFrame:
     """What ``fresh`` sale versions of one batch change about the cells of ``held`` versions.
 
-    The last version per key before and after the batch are told apart by one pass over the versions of
-    the keys that the batch holds; a sale whose cell stays the same changes nothing.
+    Every key of the batch counts one in the cell of its last version there. A key that was held before
+    counts twice then, so the earlier one of its two last versions is taken out. Both sides are
+    shuffled once, by key and as cells, not as rows; of a small batch only the keys travel.
     """
-    names = [*KEY, "user_level", "user_gender", "user_age", "age_known", "joined_rt", tables.ROW_HASH]
-    new = fresh.select(*names).withColumn("batch", F.lit(int(batch)).cast("bigint"))
-    touched = new.select(*(F.col(k).alias(f"new_{k}") for k in KEY)).distinct()
-    same = [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in KEY]
-    old = held.select(*names, "batch").join(touched, same[0] & same[1], "left_semi")
-    before = last_per_key(old, KEY, *_ORDER, total=True)
-    after = last_per_key(before.unionByName(new), KEY, *_ORDER, total=True)
-    signed = before.withColumn("n", F.lit(-1)).unionByName(after.withColumn("n", F.lit(1)))
-    return (signed.groupBy("dt", "user_level", gender_class().alias("gender"), age_class().alias("age"))
+    return changes_of(newest(fresh, batch), held)
+
+
+def newest(fresh: DataFrame, batch: int) -> DataFrame:
+    """(key, now): the last version per key of one batch; :func:`changes_of` reads it twice."""
+    return _versions(fresh.withColumn("batch", F.lit(int(batch)).cast("bigint"))).groupBy("key").agg(
+        F.max("version").alias("now"))
+
+
+def changes_of(new: DataFrame, held: DataFrame) -> DataFrame:
+    """:func:`changes` from the :func:`newest` versions."""
+    both = _versions(held).join(new, "key").groupBy("key").agg(
+        F.max("version").alias("was"), F.first("now").alias("now"))
+    signed = new.select("key", F.col("now").alias("version"), F.lit(1).alias("n")).unionByName(
+        both.select("key", F.least("was", "now").alias("version"), F.lit(-1).alias("n")))
+    return (signed.select("key.dt", "version.*", "n")
+            .groupBy("dt", "user_level", gender_class().alias("gender"), age_class().alias("age"))
             .agg(F.sum("n").cast("bigint").alias("n")).where("n <> 0"))
 
 
+def _versions(sales: DataFrame) -> DataFrame:
+    """(key, version): a version is its place in the order of versions, nulls first, with what its cell is
+    told by. As structs, so that NULL is a key like another."""
+    return sales.select(F.struct(*KEY).alias("key"), F.struct(
+        *_ORDER, "user_level", "user_gender", "user_age", "age_known").alias("version"))
+
+
 def total_of(cells: DataFrame, level: str | None = None) -> DataFrame:
     """The cells of a level, or of all, with what batches added and took out summed up."""
     if level:

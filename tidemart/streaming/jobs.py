@@ -462,8 +462,10 @@ def _with_earlier(rows: DataFrame, near: DataFrame | None) -> DataFrame:
         days = sorted(r[0] for r in versions.where("dt IS NOT NULL").select("dt").distinct().collect())
         held = tables.read_days(spark, self.table, SALE_VERSIONS, "dt", days, self.period)
         own = (F.col("run") == run) & (F.col("batch") >= batch_id)
-        tables.write_days(cells.changes(versions, held.where(~own), batch_id), cells_of(self.table), "dt",
-                          run, batch_id, self.period)
+        with _kept(cells.newest(versions, batch_id)) as new:
+            new.count()  # shuffled by now, so that the join can use its placing
+            tables.write_days(cells.changes_of(new, held.where(~own)), cells_of(self.table), "dt",
+                              run, batch_id, self.period)
 
 
 def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str, table: str,
