@@ -243,14 +243,15 @@ def fold_days(spark: SparkSession, path: str, schema: T.StructType, day: str, da
     log = {p: held for p, held in committed(spark, path, periods).items() if held.batches}
     if not log:
         return
-    rows = _rows_of(spark, path, schema, log)
-    if keys:
+    rows = _rows_of(spark, path, schema, log).withColumn("period", _period(day, period))
+    sort = ["period", day, *(k for k in keys if k != day)]
+    if keys:  # one shuffle and one sort serve the choice of versions and the files
         ties = [ROW_HASH] if ROW_HASH in rows.columns else []
-        rows = last_per_key(rows, keys, *order, "batch", *ties, total=bool(ties))
+        rows = last_per_key(rows.repartitionByRange(*sort), sort, *order, "batch", *ties, total=bool(ties))
+    else:
+        rows = rows.hint("rebalance", "period")
     number = 1 + max(-1 if held.fold is None else held.fold for held in log.values())
-    sort = [day, *(k for k in keys if k != day)]
-    (rows.withColumn("period", _period(day, period)).hint("rebalance", "period")
-     .sortWithinPartitions("period", *sort).write.mode("overwrite")
+    (rows.sortWithinPartitions(*sort).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(f"{path}_folded/fold={number:08d}"))
     for p, held in log.items():
         upto = dict(held.upto)
