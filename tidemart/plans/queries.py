@@ -539,11 +539,20 @@ def stream_sale_details(spark, sf):
             .select(*SALE_DETAIL.fieldNames(), "index_day"))
 
 
-def _latest_first(raw, folder):
-    """The records as a stream of files of six hours of receipt, the last first, one file a batch."""
-    for quarter in (3, 2, 1, 0):
-        raw.where(F.floor(F.hour("timestamp") / 6) == quarter).coalesce(1).write.mode("append").parquet(folder)
-    return feeds.read_feed_stream(raw.sparkSession, None, "parquet", folder, maxFilesPerTrigger="1")
+def _hours_as_stream(raw, folder, hours, part):
+    """The records received in one part of the day, of so many hours, as further files of a folder, and the
+    folder as a stream: a run of a job takes all that is new as one batch."""
+    rows = raw.where(F.floor(F.hour("timestamp") / hours) == part)
+    rows.write.mode("append").parquet(folder)
+    return feeds.read_feed_stream(raw.sparkSession, None, "parquet", folder)
+
+
+def _sale_feeds(spark, sf):
+    """Raw orders and order lines."""
+    heads = M.order_feed(table(spark, sf, "orders"))
+    lines = M.detail_feed(table(spark, sf, "lineitem"), table(spark, sf, "part"))
+    return [(name, M.raw(rows, *[c for c in rows.columns if c != "rt"], at=F.col("rt")))
+            for name, rows in (("orders", heads), ("lines", lines))]
 
 
 @query
@@ -551,13 +560,11 @@ def stream_sales_late(spark, sf):
     """Each quarter of both feeds comes after all that was received later; the sales are those of the whole."""
     folder = new_folder(spark, "sales-late")
     _run_users(spark, sf, folder)
-    heads = M.order_feed(table(spark, sf, "orders"))
-    lines = M.detail_feed(table(spark, sf, "lineitem"), table(spark, sf, "part"))
-    heads, lines = (_latest_first(
-        M.raw(rows, *[c for c in rows.columns if c != "rt"], at=F.col("rt")), f"{folder}/in-{name}")
-        for name, rows in (("orders", heads), ("lines", lines)))
-    _finish(spark, jobs.start_sale_details, heads, lines, f"{folder}/users", f"{folder}/table",
-            f"{folder}/progress", as_of=AS_OF, period="month")
+    raws = _sale_feeds(spark, sf)
+    for quarter in (3, 2, 1, 0):
+        streams = [_hours_as_stream(raw, f"{folder}/in-{name}", 6, quarter) for name, raw in raws]
+        _finish(spark, jobs.start_sale_details, *streams, f"{folder}/users", f"{folder}/table",
+                f"{folder}/progress", as_of=AS_OF, period="month")
     return (jobs.current_sales(spark, f"{folder}/table", period="month")
             .select(*SALE_DETAIL.fieldNames(), "index_day"))
 
@@ -568,19 +575,13 @@ def stream_sales_replayed(spark, sf):
     and joined by a replay. The sales are those of the whole, also from folded tables."""
     folder = new_folder(spark, "sales-replayed")
     _run_users(spark, sf, folder)
-    heads = M.order_feed(table(spark, sf, "orders"))
-    lines = M.detail_feed(table(spark, sf, "lineitem"), table(spark, sf, "part"))
-    raws = [M.raw(rows, *[c for c in rows.columns if c != "rt"], at=F.col("rt")) for rows in (heads, lines)]
+    raws = _sale_feeds(spark, sf)
     for half in (1, 0):
-        streams = []
-        for name, raw in zip(("orders", "lines"), raws, strict=True):
-            part = raw.where(F.floor(F.hour("timestamp") / 12) == half)
-            part.coalesce(1).write.mode("append").parquet(f"{folder}/in-{name}")
-            streams.append(feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in-{name}"))
+        streams = [_hours_as_stream(raw, f"{folder}/in-{name}", 12, half) for name, raw in raws]
         _finish(spark, jobs.start_sale_details, *streams, f"{folder}/users", f"{folder}/table",
                 f"{folder}/progress", as_of=AS_OF, period="month")
         if half:
-            day = raws[0].agg(F.max(F.date_format("timestamp", "yyyy-MM-dd"))).first()[0]
+            day = raws[0][1].agg(F.max(F.date_format("timestamp", "yyyy-MM-dd"))).first()[0]
             jobs.close_feeds(spark, f"{folder}/table", C.next_day(day))
     jobs.replay_late(spark, f"{folder}/table", f"{folder}/users", as_of=AS_OF, period="month")
     tables.fold_days(spark, f"{folder}/table", jobs.SALE_VERSIONS, "dt", None, ["order_detail_id", "dt"],
