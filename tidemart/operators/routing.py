@@ -45,6 +45,18 @@ def change_topic(table: Column, op: Column) -> Column:
             .when((table == "user_info") & op.isin("INSERT", "UPDATE"), F.lit(TOPIC_USER)))
 
 
+def route_or_set_aside(parsed: DataFrame) -> DataFrame:
+    """(topic, value, timestamp, error) of parsed change events: what :func:`route_changes` sends of the
+    good ones, and the unreadable ones as they came, without a topic. Narrow, as both are kept for a batch.
+    """
+    fine = F.col("error").isNull()
+    rows = parsed.where(~fine | (F.col("entry_type") == ROW_ENTRY)).select(
+        F.when(fine, change_topic(F.col("table"), F.col("op"))).alias("topic"),
+        F.when(fine, F.to_json("after")).otherwise(F.col("value")).alias("value"),
+        F.when(fine, F.col("ts")).otherwise(F.col("timestamp")).alias("timestamp"), "error")
+    return rows.where(F.col("topic").isNotNull() | F.col("error").isNotNull())
+
+
 def route_changes(changes: DataFrame) -> DataFrame:
     """(topic, value, timestamp) of the row changes some feed wants.
 

@@ -139,11 +139,13 @@ def start_change_router(changes: DataFrame, topics: str, checkpoint: str,
     raw = "value" in changes.columns
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        with _kept(parse_changes(batch) if raw else batch, raw) as parsed:
-            wanted = good(parsed) if raw else parsed
+        if not (raw and quarantine):
+            wanted = good(parse_changes(batch)) if raw else batch
             tables.write_topics(routing.route_changes(wanted), fmt, topics, run, batch_id, **options)
-            if raw:
-                _set_aside(parsed, quarantine, run, batch_id)
+            return
+        with _kept(routing.route_or_set_aside(parse_changes(batch))) as routed:
+            tables.write_topics(routed.where(F.col("error").isNull()), fmt, topics, run, batch_id, **options)
+            _set_aside(routed, quarantine, run, batch_id)
 
     return _start(changes, "change_router", checkpoint, trigger, CADENCE, write)
 
@@ -399,8 +401,6 @@ def _received(batch: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
     return parsed, rows.where(F.col("rt").isNotNull()).withColumn("rt_day", day_of(F.col("rt")))
 
 
-class _SalesJoin:
-    """The join of fresh orders and lines with what was received around them."""
 def _with_earlier(rows: DataFrame, near: DataFrame | None) -> DataFrame:
     """The rows of a batch and those of earlier ones that may be their partners' partners."""
     fresh = rows.withColumn("fresh", F.lit(True))
@@ -409,6 +409,8 @@ def _with_earlier(rows: DataFrame, near: DataFrame | None) -> DataFrame:
     return fresh.unionByName(near.select(*rows.columns).withColumn("fresh", F.lit(False)))
 
 
+class _SalesJoin:
+    """The join of fresh orders and lines with what was received around them."""
 
     def __init__(self, users: str, table: str, as_of: Column | str | None, seconds: int, salts: int, period: str,
                  served: bool = False):
