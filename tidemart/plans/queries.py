@@ -745,13 +745,14 @@ def stream_change_router(spark, sf):
 
 @query
 def stream_change_files(spark, sf):
-    """The same from raw change events in text files, a few files a batch."""
+    """The same from raw change events in text files, two thirds of the files in the first batch."""
     folder = new_folder(spark, "change-files")
     typed = M.change_feed(*[table(spark, sf, n) for n in ("orders", "lineitem", "part", "customer")])
     raw = M.raw(typed, "entry_type", "table", "op", "ts", "after", at=F.col("ts"))
-    raw.select("value").repartition(6).write.text(f"{folder}/in")
-    _finish(spark, jobs.start_change_router, feeds.read_changes_stream(spark, f"{folder}/in", max_files=4),
-            f"{folder}/topics", f"{folder}/progress")
+    raw.select("value").write.text(f"{folder}/in", compression="gzip")
+    n_files = len(spark.read.text(f"{folder}/in").inputFiles())
+    changes = feeds.read_changes_stream(spark, f"{folder}/in", max_files=max(1, n_files * 2 // 3))
+    _finish(spark, jobs.start_change_router, changes, f"{folder}/topics", f"{folder}/progress")
     return _routed_changes(spark, folder)
 
 
