@@ -331,9 +331,16 @@ def search_page_directory(spark, sf):
     return pages.read_page(spark, folder, 250, 20)
 
 
-def _keyword_index(spark, sf):
+def _named_sales(spark, sf):
+    """Day and product of all sales as a table: the sales are joined once for all batches and keywords."""
+    folder = new_folder(spark, "named")
+    _sales(spark, sf).select("dt", *keywords.NAME).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _keyword_index(spark, rows):
     """The index of all sales, grown by two batches that share names, then folded, then by a third."""
-    folder, rows = new_folder(spark, "names"), _sales(spark, sf)
+    folder = new_folder(spark, "names")
     year = F.substring("dt", 1, 4).cast("int")
     for batch, part in enumerate((year < 1994, (year >= 1994) & (year < 1997), year >= 1997)):
         keywords.index_names(rows.where(part), folder, "all", batch)
@@ -345,14 +352,16 @@ def _keyword_index(spark, sf):
 @query
 def search_page_indexed(spark, sf):
     """Page 2 of the hits of a keyword that is looked up in posting lists; the sales are read by name."""
-    hits = keywords.sales_with(_sales(spark, sf), _keyword_index(spark, sf), KEYWORD)
+    index = _keyword_index(spark, _named_sales(spark, sf))
+    hits = keywords.sales_with(_sales(spark, sf), index, KEYWORD)
     return search.search(hits, page=2, size=20).detail
 
 
 @query
 def search_totals_indexed(spark, sf):
     """Hits of keywords of one, two, three and more characters, across words and of none."""
-    folder, rows = _keyword_index(spark, sf), _sales(spark, sf)
+    rows = _named_sales(spark, sf)
+    folder = _keyword_index(spark, rows)
     return reduce(DataFrame.unionByName, (
         search.hit_total(keywords.sales_with(rows, folder, word)).select(
             F.lit(word).alias("keyword"), "total") for word in KEYWORDS))
