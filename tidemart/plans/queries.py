@@ -632,11 +632,13 @@ def stream_new_buyers(spark, sf):
 
 
 def _start_files(spark, sf, folder, days):
-    """Start logs of some days of the month as one more file of a folder, and the folder as a stream."""
+    """Start logs of some days of the month as further files of a folder, and the folder as a stream. A file
+    holds whole days, so that a day comes in one batch also where a job sees some of the files first."""
     logs = M.start_logs(table(spark, sf, "events"))
     raw = M.raw(logs, "mid", "uid", "type", "ts", at=event_time(F.col("ts")))
-    raw.where(F.dayofmonth("timestamp").between(*days)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in", maxFilesPerTrigger="1")
+    rows = raw.where(F.dayofmonth("timestamp").between(*days))
+    rows.repartitionByRange(F.to_date("timestamp")).write.mode("append").parquet(f"{folder}/in")
+    return feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in")
 
 
 def _dau_table(spark, folder):
