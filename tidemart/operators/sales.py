@@ -144,7 +144,12 @@ def users_of(sales: DataFrame, users: DataFrame) -> DataFrame:
     return users.join(wanted, "id", "left_semi")
 
 
-def enrich(sales: DataFrame, as_of: Column | str) -> DataFrame:
-    """Finished sale details of a streaming join whose orders had their :func:`with_user`."""
+def enrich(sales: DataFrame, users: DataFrame, as_of: Column | str) -> DataFrame:
+    """User values for finished sale details."""
+    return finished(with_user(sales, users), as_of)
+
+
+def finished(sales: DataFrame, as_of: Column | str) -> DataFrame:
+    """Sale details of a streaming join whose orders had their :func:`with_user`."""
     kept = [c for c in sales.columns if c not in SALE_DETAIL.fieldNames() and c not in USER_VALUES]
     return with_age(sales, as_of).select(*SALE_DETAIL.fieldNames(), *kept)

@@ -448,7 +448,7 @@ class _SalesJoin:
                    run, batch_id)
 
     def _keep(self, pairs: DataFrame, run: str, batch_id: int) -> None:
-        rows = sales.enrich(pairs, F.col("joined_rt") if self.as_of is None else self.as_of)
+        rows = sales.finished(pairs, F.col("joined_rt") if self.as_of is None else self.as_of)
         rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
         with _kept(tables.versioned(rows, SALE_VERSIONS)) as versions:
             if not versions.count():  # also tells Spark how small the batch is
