@@ -225,6 +225,38 @@ def test_near_copies_of_one_text_that_differ_among_themselves(spark):
     assert got == want and len(set(want.values())) < 60
 
 
+def test_few_comparisons_among_many_copies_that_differ(spark, monkeypatch):
+    """Copies with some independent edits each: near enough to share buckets, most too far to be linked."""
+    compared = []
+    similar = near_dups._similar
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(near_dups, "_similar", counted)
+    rnd = random.Random(10)
+    base = [f"w{rnd.randrange(300)}" for _ in range(120)]
+
+    def copies(n):
+        rows = []
+        for i in range(n):
+            copy = list(base)
+            for at in sorted(rnd.sample(range(120), rnd.randint(1, 5)), reverse=True):
+                copy[at:at + 1] = rnd.choice([[f"new{i}-{at}"], [], [base[at], f"more{i}-{at}"]])
+            rows.append((i, " ".join(copy)))
+        return rows
+
+    for n in (100, 200):
+        rows = copies(n)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: r["class_id"] for r in near_dups.near_classes(docs).collect()}
+        assert got == dict(zip(range(n), classes(rows), strict=True))
+        assert len(set(got.values())) > 0.3 * n
+        assert sum(compared) < 10 * n
+        compared.clear()
+
+
 def test_equal_darts_are_as_likely_as_the_weighted_similarity():
     import numpy as np
     rnd = np.random.default_rng(3)

@@ -15,10 +15,14 @@ relation.
 3. *Bands.* Texts with an equal band (``rows`` values) share a bucket. With 20 bands of 4, a pair
    at 0.8 meets with probability 1 - 3e-5.
 4. *Links.* In each bucket, the member that shares the most buckets overall is compared with all
-   others. Then a few members of the bucket's largest class, in each round others and more of them,
+   others. Texts that share a bucket and are still in different classes are near duplicates only if they share one of
+   their rarest shingles (:func:`_rare_members`, exact), so the buckets are dealt anew by these shingles: texts with
+   many independent edits meet in small groups or not at all, though their bucket is large. Then a few members of
+   a group's largest class, in each round others and more of them,
    are compared with the members outside it; what joins that class needs no further comparison.
-   At last each member still outside is compared with the members of other classes. So no two texts
-   of a bucket stay in different classes unless they were compared and differ, and no bucket is
+   Groups with few members or few outside, and at last all, have each member outside compared with the members of
+   other classes. So no two texts of a bucket stay in different classes unless they were compared or their rarest
+   shingles show that they differ, and no bucket is
    expanded into all its pairs. A comparison first looks at four bits of each of the 80 signature
    values: with fewer than ``least_equal`` equal (a pair at 0.8 has 65 on average, and fewer than 40
    with probability 1e-10, far below what the bands lose), the two differ. All others are compared on all their shingles.
@@ -41,7 +45,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemart.llm.common import (
@@ -232,15 +236,52 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _least_common(n: Column, m: Column, settings: Settings) -> Column:
+    """Shingles that texts of ``n`` and ``m`` shingles have in common if they are near duplicates."""
+    return F.ceil((n + m) * (settings.threshold / (1 + settings.threshold)) - 1e-6)
+
+
+def _rare_members(there: DataFrame, nodes: DataFrame, elements: DataFrame, settings: Settings) -> DataFrame:
+    """Members of the buckets that two classes (``now``) share, dealt anew by shingle: ``key`` is a shingle that ``node`` holds among its
+    rarest ones, ``at`` its place among them and ``n`` their number. Two near duplicates of n and m shingles
+    share c = :func:`_least_common` of them, so the first n - c + 1 of one and the first m - c + 1 of the
+    other, both from the rarest on, have one in common. Shingles of one text only take places, but no rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "elements", 1_000_000):
+            sets = [np.frombuffer(x, "<u4") for x in texts(batch, "elements")]
+            node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node), pa.array(np.concatenate(sets).astype(np.int64))], ["node", "key"])
+
+    sizes = elements.select("node", F.expr("length(elements) div 4").alias("n"))
+    sized = there.select("key", "node", "now").join(sizes, "node")
+    least = sized.groupBy("key").agg(F.min("n").alias("least"), F.min("now").alias("x"), F.max("now").alias("y")
+                                     ).where("x < y")
+    open_ = cut(sized.join(least, "key").groupBy("node").agg(
+        F.first("n").alias("n"), F.greatest(F.min("least"), F.first("n") * settings.threshold).alias("least")), "near-open")
+    held = cut(elements.join(open_, "node", "left_semi").mapInArrow(run, "node bigint, key bigint"), "near-shingles")
+    shared = held.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    mine = Window.partitionBy("node")
+    placed = (held.join(shared, "key").join(open_, "node")
+              .withColumn("at", F.col("n") - F.count("*").over(mine)
+                          + F.row_number().over(mine.orderBy("texts", "key"))))
+    first = placed.where(F.col("at") <= F.col("n") - _least_common(F.col("n"), F.col("least"), settings) + 1)
+    return cut(first.select("key", "node", "n", "at").join(nodes.select("node", "size", "sketch", "bands"), "node"),
+               "near-rare")
+
+
 def _candidates(there: DataFrame, centers: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b): every center with the bucket's members of other classes that it may resemble."""
-    here = centers.select(
-        "key", F.col("node").alias("center"), F.col("label").alias("its"), F.col("size").alias("its_size"),
-        F.col("sketch").alias("its_sketch"))
+    """(a, b): every center with the members of other classes beside it that it may resemble."""
+    here = centers.select("key", F.col("node").alias("center"), *(
+        F.col(c).alias(f"its_{c}") for c in there.columns if c not in ("key", "node")))
     fits = F.least("size", "its_size") >= settings.threshold * F.greatest("size", "its_size")
     close = _unequal("sketch", "its_sketch", -(-settings.coordinates // 16)) <= (
         settings.coordinates - settings.least_equal)
-    return (here.join(there, "key").where((F.col("its") != F.col("label")) & fits & close)
+    if "at" in there.columns:
+        common = _least_common(F.col("n"), F.col("its_n"), settings)
+        fits &= (F.col("at") <= F.col("n") - common + 1) & (F.col("its_at") <= F.col("its_n") - common + 1)
+        close &= F.arrays_overlap("bands", "its_bands")
+    return (here.join(there, "key").where((F.col("its_label") != F.col("label")) & fits & close)
             .select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))
             .distinct())
 
@@ -282,19 +323,26 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             best = there.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("best"))
             centers = there.join(best, "key").where("node = best.node")
         else:
-            counts = there.groupBy("key", "label").agg(F.count("*").alias("n"))
-            largest = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"))
+            counts = there.groupBy("key", "label").agg(F.count("*").alias("n_texts"))
+            largest = counts.groupBy("key").agg(F.max(F.struct("n_texts", "label")).alias("most"),
+                                                F.sum("n_texts").alias("total"))
             known = there.join(largest, "key")
-            if turn < turns - 1:
-                draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("most.n"))
-                centers = known.where((F.col("label") == F.col("most.label"))
-                                      & (draw < settings.speakers[turn - 1]))
-            else:
-                centers = known.where("label <> most.label")
-        new = cut(_similar(_candidates(there, centers, settings), elements, settings), "near-links")
+            few = settings.speakers[min(turn, turns - 2) - 1]
+            # as few outside, or as few in all, as would speak: at once, for no more pairs than that
+            whole = (F.lit(turn == turns - 1) | (F.col("total") - F.col("most.n_texts") <= few)
+                     | (F.col("total") <= settings.speakers[-1]))
+            draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("most.n_texts"))
+            centers = known.where(F.when(whole, F.col("label") != F.col("most.label")).otherwise(
+                (F.col("label") == F.col("most.label")) & (draw < few)))
+            members = known.where(~whole).select(members.columns)
+        new = cut(_similar(_candidates(there, centers.select(there.columns), settings), elements, settings),
+                  "near-links")
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = connected(inside, links)
+        if turn == 0:
+            members = _rare_members(there.join(labels.select("node", F.col("label").alias("now")), "node"),
+                                    nodes, elements, settings)
 
     class_of = (nodes.join(labels, "node", "left")
                 .select("digest", "first", F.coalesce("label", "node").alias("label")))
