@@ -125,3 +125,17 @@ def test_frames_stand_alone_and_are_checked(tmp_path):
     broken[int(reader._starts[1]) - 2] ^= 1
     with pytest.raises((ValueError, zstandard.ZstdError)):
         list(token_files.FrameReader(File(bytes(broken))).documents({0, 1}))
+
+
+def test_a_worker_keeps_the_tables_of_one_operator_at_a_time():
+    """Tables of operators that ran earlier in the worker would add up to hundreds of MB."""
+    import gc
+    import weakref
+
+    from tidemart.llm import common
+    table = bpe.pair_index_table(PATH)[0]
+    assert bpe.pair_index_table(PATH)[0] is table
+    table = weakref.ref(table)
+    common.word_hashes([b"word"])
+    gc.collect()
+    assert table() is None

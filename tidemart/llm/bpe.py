@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tidemart.llm.common import slices, texts
+from tidemart.llm.common import own_table, slices, texts
 
 #: A table forgets when it has so many pieces, or so many bytes of them.
 _PIECES_KEPT, _BYTES_KEPT, _USES_KEPT = 300_000, 32 << 20, 3
@@ -264,8 +264,12 @@ class PieceTable:
         return ids, np.diff(upto)
 
 
-@cache
 def pair_index_table(path: str) -> tuple[PieceTable, Vocabulary]:
+    """One for all tasks of a worker, until it serves another operator."""
+    return own_table(("pieces", path), lambda: _pair_index_table(path))
+
+
+def _pair_index_table(path: str) -> tuple[PieceTable, Vocabulary]:
     vocabulary = Vocabulary(path)
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -20,7 +21,10 @@ from tidemart.session import new_folder
 #: Words are runs of anything but these six characters; ``bytes.split()`` cuts at exactly them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_HASHES_KEPT, _LONGEST_KEPT = 300_000, 64
+_HASHES_KEPT, _LONGEST_KEPT = 100_000, 64
+
+#: What the operator at work keeps in this worker from task to task.
+_kept: dict[Hashable, object] = {}
 
 
 _shipped: set[str] = set()
@@ -54,6 +58,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def own_table[T](owner: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` gives, kept in this worker until another owner asks: workers serve one operator after
+    the other, and the tables of all of them would add up."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on without work while the JVM sorts and joins."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # no glibc
+        pass
+
+
 class _Hashes(dict):
     """Word to 64-bit hash; keeps short words only and forgets everything when full, so memory is
     bounded."""
@@ -67,11 +89,8 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(own_table("word hashes", _Hashes).__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,7 +130,7 @@ def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
            ) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most`` bytes at once; a longer
-    single text comes alone."""
+    single text comes alone. After the last one, freed memory goes back."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(
             zero_copy_only=False).astype(np.int64)
@@ -120,6 +139,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
         for a, b in zip(bounds, bounds[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.llm.common import packed, slices, texts, unpacked
+from tidemart.llm.common import own_table, packed, slices, texts, unpacked
 from tidemart.llm.decontamination import words_of
 
 #: The last category of the chain.
@@ -245,8 +245,9 @@ def score(docs: DataFrame, chain: Chain, settings: Settings = Settings()) -> Dat
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # some hundred numbers a category
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_of = FeatureRows(sent.value.features).rows
-        for batch in slices(batches, "text"):
+        features = sent.value.features
+        rows_of = own_table(("features", *features), lambda: FeatureRows(features)).rows
+        for batch in slices(batches, "text", 1_000_000):
             p = chain_probabilities(np.log1p(rows_of(texts(batch))), sent.value.models,
                                     sent.value.columns)
             yield pa.RecordBatch.from_arrays(
