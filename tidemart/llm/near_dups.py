@@ -236,6 +236,19 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: only classes that a new link joins are labelled anew."""
+    def of(end: str) -> DataFrame:
+        return labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+
+    between = cut(links.join(of("a"), "a").join(of("b"), "b").select(
+        F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b").distinct(), "near-links")
+    ends = between.select(F.col("a").alias("node")).union(between.select("b")).distinct()
+    moved = connected(ends, between).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return cut(labels.join(moved, "label", "left").select("node", F.coalesce("least", "label").alias("label")),
+               "near-labels")
+
+
 def _least_common(n: Column, m: Column, settings: Settings) -> Column:
     """Shingles that texts of ``n`` and ``m`` shingles have in common if they are near duplicates."""
     return F.ceil((n + m) * (settings.threshold / (1 + settings.threshold)) - 1e-6)
@@ -309,9 +322,7 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         keyed.join(inside.withColumnRenamed("digest", "of"), F.col("doc_id").eqNullSafe(F.col("first"))
                    & (F.col("digest") == F.col("of"))).select("node", "text").dropDuplicates(["node"]), settings), "near-elements")
 
-    inside = inside.select("node")
-    links = elements.sparkSession.createDataFrame([], "a bigint, b bigint")
-    labels = inside.select("node", F.col("node").alias("label"))
+    labels = cut(inside.select("node", F.col("node").alias("label")), "near-labels")
     turns = len(settings.speakers) + 2
     for turn in range(turns):
         there = members.join(labels, "node")
@@ -338,8 +349,7 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         new = cut(_similar(_candidates(there, centers.select(there.columns), settings), elements, settings),
                   "near-links")
         if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = connected(inside, links)
+            labels = _merged(labels, new)
         if turn == 0:
             members = _rare_members(there.join(labels.select("node", F.col("label").alias("now")), "node"),
                                     nodes, elements, settings)
