@@ -2,9 +2,11 @@ import hashlib
 import random
 import struct
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from tokenizers import Tokenizer
@@ -61,6 +63,48 @@ def test_merges_follow_rank_order_not_text_order():
     assert bpe.merge_words([], vocabulary) == []
 
 
+@pytest.mark.parametrize("table", [lambda: bpe._pair_index_table(PATH)[0],
+                                   lambda: token_files.library_table.__wrapped__(PATH)])
+def test_columns_encode_as_the_library_does(table):
+    """Marks and letters of many alphabets at each place of a piece; nulls, and a slice of a column."""
+    table = table()
+    texts = [None, "", " a ", "don' we'll' x's' a<|b a<| <|endoftext|>a <|endoftext|><|endoftext|>,"]
+    texts += [f"a{c}b {c}A Z{c} Z{c}.,' {c}{c} 1{c}\tÉ{c}" for c in map(chr, range(0x21, 0x600))]
+    column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    for _ in range(2):  # the second time all words are known
+        ids, sizes = table.encode_column(column)
+        ends = np.cumsum(sizes)
+        for text, begin, end in zip(texts, ends - sizes, ends, strict=True):
+            assert ids[begin:end].tolist() == ids_of(text), text
+
+
+def test_library_encodes_a_word_once_whatever_stands_around_it(monkeypatch):
+    given = []
+
+    class Counting(bpe.Vocabulary):
+        def __init__(self, path):
+            super().__init__(path)
+            tokenize = self.model.tokenize
+            self.model = SimpleNamespace(tokenize=lambda word: given.append(word) or tokenize(word))
+
+    monkeypatch.setattr(token_files, "Vocabulary", Counting)
+    table = token_files.library_table.__wrapped__(PATH)
+    for text in ("Harbour, harbour.", "HARBOUR harbour,", "harbour <|endoftext|>harbour"):
+        table.encode_column(pa.array([text]))
+    assert sorted(given) == [",", ".", "harbour"]
+
+
+def test_a_full_table_keeps_special_tokens_and_the_words_seen_most(monkeypatch):
+    monkeypatch.setattr(bpe, "_PIECES_KEPT", 6)
+    given, merge = [], bpe.merge_words
+    monkeypatch.setattr(bpe, "merge_words", lambda words, v: given.extend(words) or merge(words, v))
+    table = bpe._pair_index_table(PATH)[0]
+    for text in ("often often often a b c d e", "<|endoftext|> often a", "often"):
+        ids, _ = table.encode_column(pa.array([text]))
+        assert ids.tolist() == ids_of(text)
+    assert given.count(b"often") == 1
+
+
 def test_codec_round(spark, corpus, nothing):
     docs, rows = corpus
     encoded = bpe.encode_documents(docs, PATH)

@@ -1,15 +1,16 @@
 """Byte-pair encoding with a pair occurrence index, and decoding.
 
-Texts are cut at white space; a piece between spaces is encoded once per worker and then
-looked up. The words of all pieces that are new in a slice of a partition are laid out in one
+Texts are cut at white space and the pieces between spaces into words; a word is encoded once per
+worker and then looked up. The words that are new in a slice of a partition are laid out in one
 array of symbols. ``merge_words`` maps each mergeable pair to all its positions in that array,
 applies the ranks that occur in ascending order, and updates the lists of the pairs next to
 each merge. Only the vocabulary file is needed; it is not trained or copied.
 
 Normalizing and splitting follow the file's own description (NFC, white space, lower case, the
-split pattern). Pieces of Latin letters, digits and punctuation take a short path; all other
-pieces are normalized and split by the tokenizer library itself, so that its Unicode tables
-decide. Special tokens that occur in a text are single ids, as in the library.
+split pattern). Arrow cuts pieces of Latin letters with or without marks after them, a column at a
+time; other pieces of Latin letters, digits and punctuation take a short path; all the rest are
+normalized and split by the tokenizer library itself, so that its Unicode tables decide. Special
+tokens that occur in a text are single ids, as in the library.
 
 Defined cases: a null or empty text has no ids; a text without words likewise; repeated rows
 give repeated rows; a text is encoded whole, however long.
@@ -31,13 +32,16 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tidemart.llm.common import own_table, slices, texts
+from tidemart.llm.common import own_table, slices
 
-#: A table forgets when it has so many pieces, or so many bytes of them.
-_PIECES_KEPT, _BYTES_KEPT, _USES_KEPT = 300_000, 32 << 20, 3
+#: A table forgets when it has so many words, or so many bytes of them.
+_PIECES_KEPT, _BYTES_KEPT = 300_000, 32 << 20
 #: Printable ASCII and the letters of Latin-1 and Latin Extended-A: no combining marks, and one
 #: lower-case form each, so Python and the library agree on them (U+0130 lowers to two).
 _LATIN = regex.compile("[\x21-\x7e¡-¬®-įı-ž]+")
+#: Letters of :data:`_LATIN` and ASCII marks after them: one word each, as no word begins with a mark
+#: and ends with a letter unless a letter follows.
+_PLAIN = "^(?P<stem>[a-zA-ZÀ-ÖØ-öø-įı-ž]+)(?P<tail>[!-/:-@[-`{-~]*)$"
 
 
 @cache
@@ -100,6 +104,36 @@ class Vocabulary:
         return out
 
 
+    def cut(self, pieces: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The different words of pieces, the place in that list of each piece's words, one piece after
+        another, and how many each has. A special token comes as a space and its text."""
+        found = pc.extract_regex(pieces, _PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        found = found.drop_null()
+        tails = found.field("tail")
+        tailed = pc.not_equal(tails, "")
+        others = [[w if isinstance(w, bytes) else b" " + self.tokens[w] for w in self.parts(piece)]
+                  for piece in pieces.filter(pa.array(~plain)).to_pylist()]
+        counts = np.empty(len(pieces), np.int64)
+        counts[plain] = 1 + tailed.to_numpy(zero_copy_only=False)
+        counts[~plain] = np.fromiter(map(len, others), np.int64, len(others))
+        starts = np.cumsum(counts) - counts
+        stems = starts[plain]
+        words = pa.concat_arrays([
+            pc.utf8_lower(found.field("stem")).cast(pa.binary()), tails.filter(tailed).cast(pa.binary()),
+            pa.array([w for words in others for w in words], pa.binary())]).dictionary_encode()
+        codes = np.empty(len(words), np.int64)
+        codes[np.concatenate([stems, stems[counts[plain] == 2] + 1, stretches(starts[~plain], counts[~plain])])
+              ] = words.indices.to_numpy()
+        return words.dictionary.to_pylist(), codes, counts
+
+
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places from each start on, as many as its size, one stretch after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     """Ids of each word. All words share one symbol array, and one index of pairs."""
     symbols: list[int] = []
@@ -179,26 +213,27 @@ def side_by_side(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((x for each in ids for x in each), np.uint32, int(sizes.sum())), sizes
 
 
-class PieceTable:
-    """Ids of pieces between white space, each encoded once while the table has room."""
+class WordTable:
+    """Ids of words, each encoded once while the table has room."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
-        """``encode`` gives the ids of pieces one after another, and how many each has."""
-        self._encode = encode
+    def __init__(self, vocabulary: Vocabulary, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> None:
+        """``encode`` gives the ids of words one after another, and how many each has."""
+        self._vocabulary, self._encode = vocabulary, encode
         self._reset()
 
     def _reset(self) -> None:
-        self._numbers: dict[bytes, int] = {}
+        special = self._vocabulary.special
+        self._numbers = {b" " + text.encode(): n for n, text in enumerate(special)}
         self._bytes = 0
-        self._flat = np.empty(0, np.uint32)
-        self._sizes = np.empty(0, np.int64)
-        self._starts = np.empty(0, np.int64)
-        self._uses = np.empty(0, np.int64)
+        self._flat = np.array(list(special.values()), np.uint32)
+        self._sizes = np.ones(len(special), np.int64)
+        self._starts = np.arange(len(special))
+        self._uses = np.zeros(len(special), np.int64)
 
     def _add(self, new: list[bytes]) -> None:
         if not new:
             return
-        flat, sizes = self._encode([x.decode() for x in new])
+        flat, sizes = self._encode(new)
         n = len(self._numbers)
         self._numbers.update(zip(new, range(n, n + len(new)), strict=True))
         self._bytes += sum(map(len, new))
@@ -208,78 +243,56 @@ class PieceTable:
         self._uses = np.concatenate([self._uses, np.zeros(len(new), np.int64)])
 
     def _forget(self) -> None:
-        """Keep the pieces that were seen often."""
-        often = np.flatnonzero(self._uses >= _USES_KEPT)
+        """Keep the special tokens and the words that were seen most, half the room at most."""
+        n_special = len(self._vocabulary.special)
+        room = min(_PIECES_KEPT // 2, len(self._uses) - n_special)
+        most = n_special + np.argsort(self._uses[n_special:], kind="stable")[::-1][:room]
+        kept = np.concatenate([np.arange(n_special), np.sort(most)])
         names = list(self._numbers)
-        sizes = self._sizes[often]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        self._flat = self._flat[np.repeat(self._starts[often] - (ends - sizes), sizes)
-                                + np.arange(total)]
-        self._numbers = {names[i]: n for n, i in enumerate(often.tolist())}
-        self._sizes, self._starts, self._uses = sizes, ends - sizes, self._uses[often] // 2
+        sizes = self._sizes[kept]
+        self._flat = self._flat[stretches(self._starts[kept], sizes)]
+        self._numbers = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self._sizes, self._starts, self._uses = sizes, np.cumsum(sizes) - sizes, self._uses[kept] // 2
         self._bytes = sum(map(len, self._numbers))
-        if len(often) > _PIECES_KEPT // 2 or self._bytes > _BYTES_KEPT // 2:
+        if self._bytes > _BYTES_KEPT // 2:
             self._reset()
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As :meth:`encode`, for a string column: Arrow cuts it and numbers its different pieces, so
-        Python looks at each of those once a column, however often they occur."""
+        """All ids of the texts one after the other, and the number of each text. Arrow cuts the column,
+        numbers its different pieces and those their different words, so Python looks at each of those
+        once a column, however often they occur."""
         split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        codes = coded.indices.to_numpy()
+        words, word_codes, n_words = self._vocabulary.cut(coded.dictionary)
         if len(self._numbers) > _PIECES_KEPT or self._bytes > _BYTES_KEPT:
             self._forget()
-        self._add([x for x in distinct if x not in self._numbers])
-        number_of = np.fromiter(map(self._numbers.__getitem__, distinct), np.int64, len(distinct))
-        codes = coded.indices.to_numpy()
-        self._uses[number_of] += np.bincount(codes, minlength=len(distinct))
+        self._add([w for w in words if w not in self._numbers])
+        number_of = np.fromiter(map(self._numbers.__getitem__, words), np.int64, len(words))
+        uses = np.repeat(np.bincount(codes, minlength=len(n_words)), n_words)
+        self._uses[number_of] += np.bincount(word_codes, uses, len(words)).astype(np.int64)
         # ids of the column's own pieces side by side, then each piece's stretch of them
-        sizes = self._sizes[number_of]
-        own_starts = np.cumsum(sizes) - sizes
-        own = self._flat[np.repeat(self._starts[number_of] - own_starts, sizes) + np.arange(int(sizes.sum()))]
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = own[np.repeat(own_starts[codes] - (ends - each), each) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        numbers = number_of[word_codes]
+        own = self._flat[stretches(self._starts[numbers], self._sizes[numbers])]
+        ends = np.concatenate([[0], np.cumsum(self._sizes[numbers])])[np.concatenate([[0], np.cumsum(n_words)])]
+        each = np.diff(ends)[codes]
+        ids = own[stretches(ends[:-1][codes], each)]
+        upto = np.concatenate([[0], np.cumsum(each)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return ids, np.diff(upto)
 
     def encode(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after the other, and the number of each text."""
-        split = [text.split() for text in batch]
-        if len(self._numbers) > _PIECES_KEPT or self._bytes > _BYTES_KEPT:
-            self._forget()
-        numbers = self._numbers
-        self._add(list(set().union(*split).difference(numbers)) if split else [])
-        n_pieces = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter((i for words in split for i in map(numbers.__getitem__, words)),
-                            np.int64, int(n_pieces.sum()))
-        self._uses += np.bincount(which, minlength=len(numbers))
-        sizes = self._sizes[which]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self._flat[np.repeat(self._starts[which] - (ends - sizes), sizes) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_pieces)])]
-        return ids, np.diff(upto)
+        """As :meth:`encode_column`, for a list of texts."""
+        return self.encode_column(pa.array(batch, pa.binary()).cast(pa.string()))
 
 
-def pair_index_table(path: str) -> tuple[PieceTable, Vocabulary]:
+def pair_index_table(path: str) -> tuple[WordTable, Vocabulary]:
     """One for all tasks of a worker, until it serves another operator."""
     return own_table(("pieces", path), lambda: _pair_index_table(path))
 
 
-def _pair_index_table(path: str) -> tuple[PieceTable, Vocabulary]:
+def _pair_index_table(path: str) -> tuple[WordTable, Vocabulary]:
     vocabulary = Vocabulary(path)
-
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [vocabulary.parts(piece) for piece in pieces]
-        words = list({w for part in parts for w in part if isinstance(w, bytes)})
-        merged = dict(zip(words, merge_words(words, vocabulary), strict=True))
-        return side_by_side([[x for w in part for x in ((w,) if isinstance(w, int) else merged[w])]
-                             for part in parts])
-
-    return PieceTable(encode), vocabulary
+    return WordTable(vocabulary, lambda words: side_by_side(merge_words(words, vocabulary))), vocabulary
 
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
@@ -292,7 +305,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, _ = pair_index_table(path)
         for batch in slices(batches, "text"):
-            ids, sizes = table.encode(texts(batch))
+            ids, sizes = table.encode_column(batch.column("text"))
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, ids.astype(np.int32))],
@@ -308,7 +321,7 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, vocabulary = pair_index_table(path)
         for batch in slices(batches, "text", 2_000_000):
-            ids, sizes = table.encode(texts(batch))
+            ids, sizes = table.encode_column(batch.column("text"))
             ends = np.cumsum(sizes)
             each = [ids[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
             columns = [

@@ -15,8 +15,8 @@ names of their own and report them; only the names that Spark committed in the m
 so a lost or repeated task leaves at most a file that nobody reads.
 
 Ids take two bytes where the vocabulary allows it, else four. Encoding is by the model of the
-tokenizer library; since no token of its split pattern spans white space, each piece between
-spaces is encoded once per worker and then looked up.
+tokenizer library; since no token of its split pattern spans white space, texts are cut there and
+into words, and each word is encoded once per worker and then looked up.
 
 Defined cases: a null or empty text has only the end id; rows with equal ``doc_id`` stand next
 to each other, ordered by their ids; a null ``doc_id`` comes first; an empty table gives no
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from tidemart.llm.bpe import PieceTable, Vocabulary, byte_symbols
+from tidemart.llm.bpe import Vocabulary, WordTable, byte_symbols
 from tidemart.llm.common import cut, slices
 from tidemart.session import new_folder
 
@@ -56,36 +56,27 @@ _NO_ID = -(1 << 63)
 
 
 @cache
-def library_table(path: str) -> PieceTable:
-    """Pieces by the tokenizer library: its model encodes each distinct word of a slice once."""
+def library_table(path: str) -> WordTable:
+    """Words by the tokenizer library: its model encodes each new word of a slice once."""
     vocabulary = Vocabulary(path)
     symbols = str.maketrans(dict(enumerate(byte_symbols())))
-    tokenize, parts_of = vocabulary.model.tokenize, vocabulary.parts
+    tokenize = vocabulary.model.tokenize
 
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, sizes, known = array("I"), [], {}
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat, ends = array("I"), array("q")
         collecting = gc.isenabled()
         gc.disable()  # nothing here refers to itself, and the many small lists would be searched in vain
         try:
-            for piece in pieces:
-                before = len(flat)
-                for word in parts_of(piece):
-                    ids = known.get(word)
-                    if ids is None:
-                        if isinstance(word, int):
-                            ids = [word]
-                        else:
-                            text = word.decode("latin-1")
-                            ids = [t.id for t in tokenize(text if word.isascii() and word.isalpha() else text.translate(symbols))]
-                        known[word] = ids
-                    flat.extend(ids)
-                sizes.append(len(flat) - before)
+            for word in words:
+                text = word.decode("latin-1")
+                flat.extend([t.id for t in tokenize(text if word.isascii() and word.isalpha() else text.translate(symbols))])
+                ends.append(len(flat))
         finally:
             if collecting:
                 gc.enable()
-        return np.frombuffer(flat, np.uint32).copy(), np.array(sizes, np.int64)
+        return np.frombuffer(flat, np.uint32).copy(), np.diff(np.frombuffer(ends, np.int64), prepend=0)
 
-    return PieceTable(encode)
+    return WordTable(vocabulary, encode)
 
 
 class FrameWriter:
