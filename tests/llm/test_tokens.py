@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -78,6 +79,15 @@ def test_columns_encode_as_the_library_does(table):
             assert ids[begin:end].tolist() == ids_of(text), text
 
 
+def test_pair_index_encodes_a_word_once_whatever_stands_around_it(monkeypatch):
+    given, merge = [], bpe.merge_words
+    monkeypatch.setattr(bpe, "merge_words", lambda words, v: given.extend(words) or merge(words, v))
+    table = bpe._pair_index_table(PATH)[0]
+    for text in ("Harbour, harbour.", "HARBOUR harbour,", "harbour <|endoftext|>harbour"):
+        table.encode_column(pa.array([text]))
+    assert sorted(given) == [b",", b".", b"harbour"]
+
+
 def test_library_encodes_a_word_once_whatever_stands_around_it(monkeypatch):
     given = []
 
@@ -105,6 +115,21 @@ def test_a_full_table_keeps_special_tokens_and_the_words_seen_most(monkeypatch):
     assert given.count(b"often") == 1
 
 
+def test_merges_in_any_order_of_ranks(tmp_path):
+    """Where a merge makes a pair of lower rank, that one goes first."""
+    with open(PATH, encoding="utf-8") as file:
+        described = json.load(file)
+    rnd = random.Random(2)
+    described["model"]["merges"] = rnd.sample(described["model"]["merges"][:3000], 3000)
+    path = tmp_path / "shuffled.json"
+    path.write_text(json.dumps(described), encoding="utf-8")
+    vocabulary = bpe.Vocabulary(str(path))
+    words = sorted({"".join(rnd.choice(["th", "in", "e", "s", "an", "ti", "on", "a", "er"]) for _ in range(rnd.randint(1, 12)))
+                    for _ in range(3000)})
+    want = [[t.id for t in vocabulary.model.tokenize(w)] for w in words]
+    assert bpe.merge_words([w.encode() for w in words], vocabulary) == want
+
+
 def test_codec_round(spark, corpus, nothing):
     docs, rows = corpus
     encoded = bpe.encode_documents(docs, PATH)

@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -61,15 +60,25 @@ class Vocabulary:
             described = json.load(file)
         model = described["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
-        self.ranks = {}
-        for rank, (left, right) in enumerate(model["merges"]):
-            self.ranks.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
-        self.inner = [vocab[s] for s in byte_symbols()]
-        self.last = [vocab[s + end] for s in byte_symbols()]
+        #: Symbols of each rank, and what they become.
+        self.merges = [(vocab[left], vocab[right], vocab[left + right]) for left, right in model["merges"]]
+        #: Rank of a pair, by its left symbol and by its right one; of equal pairs the first counts.
+        self.rank_after: dict[int, dict[int, int]] = {}
+        self.rank_before: dict[int, dict[int, int]] = {}
+        for rank, (left, right, _) in enumerate(self.merges):
+            self.rank_after.setdefault(left, {}).setdefault(right, rank)
+            self.rank_before.setdefault(right, {}).setdefault(left, rank)
+        self.inner = np.array([vocab[s] for s in byte_symbols()], np.int64)
+        self.last = np.array([vocab[s + end] for s in byte_symbols()], np.int64)
+        #: Rank of two bytes side by side, the second within a word or at its end; -1: none.
+        self.inner_ranks, self.last_ranks = (
+            np.array([[self.rank_after.get(a, {}).get(b, -1) for b in seconds] for a in self.inner.tolist()], np.int32)
+            for seconds in (self.inner.tolist(), self.last.tolist()))
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.tokens = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, number in [*vocab.items(), *self.special.items()]:
             self.tokens[number] = token.encode()
+        self.token_texts = pa.array(self.tokens, pa.binary()).cast(pa.string())
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         split = described["pre_tokenizer"]["pretokenizers"][0]
         self._words = regex.compile(split["pattern"]["Regex"])
@@ -136,59 +145,63 @@ def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     """Ids of each word. All words share one symbol array, and one index of pairs."""
-    symbols: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    starts = []
-    inner, last, ranks = vocabulary.inner, vocabulary.last, vocabulary.ranks
-    for word in words:
-        at = len(symbols)
-        starts.append(at)
-        symbols.extend(map(inner.__getitem__, word))
-        symbols[-1] = last[word[-1]]
-        n = len(word)
-        before.append(-1)
-        before.extend(range(at, at + n - 1))
-        after.extend(range(at + 1, at + n))
-        after.append(-1)
-
-    positions: defaultdict[int, list[int]] = defaultdict(list)  # rank -> places of its pair
-    of_rank: dict[int, tuple[int, int, int]] = {}
-    for i, j in enumerate(after):
-        if j >= 0 and (found := ranks.get((symbols[i], symbols[j]))):
-            positions[found[0]].append(i)
-            of_rank[found[0]] = (symbols[i], symbols[j], found[1])
-    active = list(positions)
-    heapq.heapify(active)
+    if not words:
+        return []
+    # a place that is no symbol before, between and after the words: no pair has it
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    gaps = np.concatenate([[0], np.cumsum(sizes)])
+    raw = np.frombuffer(b" %b " % b" ".join(words), np.uint8)
+    first = vocabulary.inner[raw]
+    first[gaps[1:] - 1] = vocabulary.last[raw[gaps[1:] - 1]]
+    first[gaps] = -1
+    found = vocabulary.inner_ranks[raw[:-1], raw[1:]]
+    found[gaps[1:] - 2] = vocabulary.last_ranks[raw[gaps[1:] - 2], raw[gaps[1:] - 1]]
+    found[gaps[1:] - 1] = found[gaps[:-1]] = -1
+
+    places_found = np.flatnonzero(found >= 0)
+    found = found[places_found]
+    order = np.argsort(found, kind="stable")
+    found, places_found = found[order], places_found[order].tolist()
+    bounds = [*np.flatnonzero(np.diff(found, prepend=-1)).tolist(), len(found)]
+    active = found[bounds[:-1]].tolist()  # ascending, so a heap
+    positions = {rank: places_found[a:b]  # rank -> places of its pair
+                 for rank, a, b in zip(active, bounds, bounds[1:], strict=False)}
+
+    symbols = first.tolist()
+    after = list(range(1, len(symbols) + 1))
+    before = list(range(-1, len(symbols) - 1))
+    merges, rank_after, rank_before, none = vocabulary.merges, vocabulary.rank_after, vocabulary.rank_before, {}
     while active:
         rank = heapq.heappop(active)
         places = positions.pop(rank, None)
         if places is None:
             continue
-        left, right, merged = of_rank[rank]
+        left, right, merged = merges[rank]
+        follows, precedes = rank_after.get(merged, none).get, rank_before.get(merged, none).get
         places.sort()
         for done, i in enumerate(places):
             j = after[i]
-            if j < 0 or symbols[i] != left or symbols[j] != right:
+            if symbols[i] != left or symbols[j] != right:
                 continue  # a merge before took one of the two
-            k = after[j]
-            symbols[i], symbols[j], after[i] = merged, -1, k
+            k, h = after[j], before[i]
+            symbols[i], symbols[j], after[i], before[k] = merged, -1, k, i
             lower = False
-            if k >= 0:
-                before[k] = i
-                if found := ranks.get((merged, symbols[k])):
-                    if found[0] not in positions:
-                        heapq.heappush(active, found[0])
-                        of_rank[found[0]] = (merged, symbols[k], found[1])
-                    positions[found[0]].append(i)
-                    lower = found[0] < rank
-            h = before[i]
-            if h >= 0 and (found := ranks.get((symbols[h], merged))):
-                if found[0] not in positions:
-                    heapq.heappush(active, found[0])
-                    of_rank[found[0]] = (symbols[h], merged, found[1])
-                positions[found[0]].append(h)
-                lower |= found[0] < rank
+            new = follows(symbols[k])
+            if new is not None:
+                if new in positions:
+                    positions[new].append(i)
+                else:
+                    heapq.heappush(active, new)
+                    positions[new] = [i]
+                lower = new < rank
+            new = precedes(symbols[h])
+            if new is not None:
+                if new in positions:
+                    positions[new].append(h)
+                else:
+                    heapq.heappush(active, new)
+                    positions[new] = [h]
+                lower |= new < rank
             if lower and done + 1 < len(places):  # the new pair goes first, then the rest of this one
                 rest = places[done + 1:]
                 if rank in positions:
@@ -198,14 +211,11 @@ def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
                     heapq.heappush(active, rank)
                 break
 
-    out = []
-    for at in starts:
-        ids = []
-        while at >= 0:
-            ids.append(symbols[at])
-            at = after[at]
-        out.append(ids)
-    return out
+    merged_symbols = np.array(symbols)
+    left_over = merged_symbols >= 0
+    ends = np.cumsum(left_over)[gaps].tolist()
+    ids = merged_symbols[left_over].tolist()
+    return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def side_by_side(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -295,9 +305,11 @@ def _pair_index_table(path: str) -> tuple[WordTable, Vocabulary]:
     return WordTable(vocabulary, lambda words: side_by_side(merge_words(words, vocabulary))), vocabulary
 
 
-def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
-    """The tokens joined by a space: the file names no decoder."""
-    return b" ".join(map(vocabulary.tokens.__getitem__, ids.tolist()))
+def decode(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> pa.Array:
+    """The tokens of each text joined by a space: the file names no decoder."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    tokens = vocabulary.token_texts.take(pa.array(ids.astype(np.int32)))
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), " ")
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -322,14 +334,14 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
         table, vocabulary = pair_index_table(path)
         for batch in slices(batches, "text", 2_000_000):
             ids, sizes = table.encode_column(batch.column("text"))
-            ends = np.cumsum(sizes)
-            each = [ids[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
+            raw, ends = memoryview(ids.astype("<u4").tobytes()), 4 * np.cumsum(sizes)
             columns = [
                 batch.column("doc_id"), pa.array(sizes, pa.int64()),
-                pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string()),
-                pa.array([decode(x, vocabulary) for x in each], pa.binary()).cast(pa.string())]
+                pa.array([hashlib.sha256(raw[a:b]).hexdigest()
+                          for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)], pa.string()),
+                decode(ids, sizes, vocabulary)]
             if keep_ids:
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(offsets, ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -347,10 +359,10 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                texts_of = [decode(np.array(x or [], np.int64), vocabulary)
-                            for x in part.column("ids").to_pylist()]
+                ids = part.column("ids")
+                sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(texts_of, pa.binary()).cast(pa.string())],
+                    [part.column("doc_id"), decode(ids.flatten().to_numpy(zero_copy_only=False), sizes, vocabulary)],
                     ["doc_id", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
