@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tidemart.llm.common import own_table, slices
+from tidemart.llm.common import give_back, own_table, slices
 
 #: A table forgets when it has so many words, or so many bytes of them.
 _PIECES_KEPT, _BYTES_KEPT = 300_000, 32 << 20
@@ -60,28 +60,32 @@ class Vocabulary:
             described = json.load(file)
         model = described["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
-        #: Symbols of each rank, and what they become.
-        self.merges = [(vocab[left], vocab[right], vocab[left + right]) for left, right in model["merges"]]
-        #: Rank of a pair, by its left symbol and by its right one; of equal pairs the first counts.
-        self.rank_after: dict[int, dict[int, int]] = {}
-        self.rank_before: dict[int, dict[int, int]] = {}
-        for rank, (left, right, _) in enumerate(self.merges):
-            self.rank_after.setdefault(left, {}).setdefault(right, rank)
-            self.rank_before.setdefault(right, {}).setdefault(left, rank)
+        #: Left and right symbol of each rank, and what they become.
+        self.merges = np.array([(vocab[left], vocab[right], vocab[left + right]) for left, right in model["merges"]],
+                               np.uint32).reshape(-1, 3)
+        #: A symbol of no pair, and ranks by left symbol * ``base`` + right symbol; of equal pairs the first counts.
+        self.gap = max(vocab.values()) + 1
+        self.base = self.gap + 1
+        self.ranks: dict[int, int] = {}
+        for rank, pair in enumerate((self.merges[:, 0].astype(np.int64) * self.base + self.merges[:, 1]).tolist()):
+            self.ranks.setdefault(pair, rank)
         self.inner = np.array([vocab[s] for s in byte_symbols()], np.int64)
         self.last = np.array([vocab[s + end] for s in byte_symbols()], np.int64)
         #: Rank of two bytes side by side, the second within a word or at its end; -1: none.
         self.inner_ranks, self.last_ranks = (
-            np.array([[self.rank_after.get(a, {}).get(b, -1) for b in seconds] for a in self.inner.tolist()], np.int32)
+            np.array([[self.ranks.get(a * self.base + b, -1) for b in seconds] for a in self.inner.tolist()], np.int32)
             for seconds in (self.inner.tolist(), self.last.tolist()))
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
-        self.tokens = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        self._special_words = {number: b" " + text.encode() for text, number in self.special.items()}
+        tokens = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, number in [*vocab.items(), *self.special.items()]:
-            self.tokens[number] = token.encode()
-        self.token_texts = pa.array(self.tokens, pa.binary()).cast(pa.string())
+            tokens[number] = token.encode()
+        self.token_texts = pa.array(tokens, pa.binary()).cast(pa.string())
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         split = described["pre_tokenizer"]["pretokenizers"][0]
         self._words = regex.compile(split["pattern"]["Regex"])
+        del described, model, vocab, tokens, split  # the library reads the file by itself
+        give_back()
         library = Tokenizer.from_file(path)
         self.model = library.model
         self._normalize = library.normalizer.normalize_str
@@ -121,7 +125,7 @@ class Vocabulary:
         found = found.drop_null()
         tails = found.field("tail")
         tailed = pc.not_equal(tails, "")
-        others = [[w if isinstance(w, bytes) else b" " + self.tokens[w] for w in self.parts(piece)]
+        others = [[w if isinstance(w, bytes) else self._special_words[w] for w in self.parts(piece)]
                   for piece in pieces.filter(pa.array(~plain)).to_pylist()]
         counts = np.empty(len(pieces), np.int64)
         counts[plain] = 1 + tailed.to_numpy(zero_copy_only=False)
@@ -153,7 +157,7 @@ def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     raw = np.frombuffer(b" %b " % b" ".join(words), np.uint8)
     first = vocabulary.inner[raw]
     first[gaps[1:] - 1] = vocabulary.last[raw[gaps[1:] - 1]]
-    first[gaps] = -1
+    first[gaps] = vocabulary.gap
     found = vocabulary.inner_ranks[raw[:-1], raw[1:]]
     found[gaps[1:] - 2] = vocabulary.last_ranks[raw[gaps[1:] - 2], raw[gaps[1:] - 1]]
     found[gaps[1:] - 1] = found[gaps[:-1]] = -1
@@ -170,14 +174,14 @@ def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     symbols = first.tolist()
     after = list(range(1, len(symbols) + 1))
     before = list(range(-1, len(symbols) - 1))
-    merges, rank_after, rank_before, none = vocabulary.merges, vocabulary.rank_after, vocabulary.rank_before, {}
+    merges, rank_of, base = vocabulary.merges, vocabulary.ranks.get, vocabulary.base
     while active:
         rank = heapq.heappop(active)
         places = positions.pop(rank, None)
         if places is None:
             continue
-        left, right, merged = merges[rank]
-        follows, precedes = rank_after.get(merged, none).get, rank_before.get(merged, none).get
+        left, right, merged = merges[rank].tolist()
+        merged_first = merged * base
         places.sort()
         for done, i in enumerate(places):
             j = after[i]
@@ -186,7 +190,7 @@ def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
             k, h = after[j], before[i]
             symbols[i], symbols[j], after[i], before[k] = merged, -1, k, i
             lower = False
-            new = follows(symbols[k])
+            new = rank_of(merged_first + symbols[k])
             if new is not None:
                 if new in positions:
                     positions[new].append(i)
@@ -194,7 +198,7 @@ def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
                     heapq.heappush(active, new)
                     positions[new] = [i]
                 lower = new < rank
-            new = precedes(symbols[h])
+            new = rank_of(symbols[h] * base + merged)
             if new is not None:
                 if new in positions:
                     positions[new].append(h)
@@ -212,7 +216,7 @@ def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
                 break
 
     merged_symbols = np.array(symbols)
-    left_over = merged_symbols >= 0
+    left_over = (merged_symbols >= 0) & (merged_symbols != vocabulary.gap)
     ends = np.cumsum(left_over)[gaps].tolist()
     ids = merged_symbols[left_over].tolist()
     return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
@@ -302,6 +306,7 @@ def pair_index_table(path: str) -> tuple[WordTable, Vocabulary]:
 
 def _pair_index_table(path: str) -> tuple[WordTable, Vocabulary]:
     vocabulary = Vocabulary(path)
+    give_back()
     return WordTable(vocabulary, lambda words: side_by_side(merge_words(words, vocabulary))), vocabulary
 
 

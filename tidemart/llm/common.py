@@ -63,6 +63,7 @@ def own_table[T](owner: Hashable, make: Callable[[], T]) -> T:
     the other, and the tables of all of them would add up."""
     if owner not in _kept:
         _kept.clear()
+        give_back()
         _kept[owner] = make()
     return _kept[owner]
 
