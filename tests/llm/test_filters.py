@@ -1,6 +1,7 @@
 """Repetition rules, benchmark matches and the toxicity chain."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -176,6 +177,34 @@ def test_toxicity_fit_equals_a_plain_one():
     assert np.abs(p[:, 0] - own).max() < 1e-3 and np.abs(p[:, 1] - both).max() < 1e-3
 
 
+def test_toxicity_train_holds_little_in_the_driver(spark):
+    """The fit makes no copies of the sample's features: some 2,000 texts and 576 features are 9 MB as doubles."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(700)]
+    rows = [(i, " ".join(rng.choices(words[:600] if i % 2 else words[100:], k=40)), i % 3 % 2, i % 2) for i in range(2000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id long, quality int, toxic int")
+    tracemalloc.start()
+    chain = toxicity.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(chain.features) >= 512
+    assert peak < 25e6
+
+
+def test_toxicity_fit_by_places_in_values_and_in_blocks():
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.7, (2500, 6)).astype(np.uint32) * rng.choice([1, 70_000], (2500, 6)).astype(np.uint32)
+    rows = [(np.flatnonzero(c).astype(np.uint32).tobytes(), c[c > 0].tobytes()) for c in counts]
+    x, values = toxicity._places_in_values(rows, 6)
+    assert x.itemsize == 1 and (values[x] == counts).all()
+    y = (np.log1p(counts[:, 0]) + rng.normal(0, 2, 2500) > 1).astype(float)
+    folds, share = rng.integers(0, 4, 2500), rng.choice([1.0, 3.0], 2500)
+    got = toxicity.fit_chain(x, [y], folds, 0.5, share, [[0, 2, 5]], np.log1p(values))
+    want = slow_logistic(np.log1p(counts[:, [0, 2, 5]].astype(float)), y, 0.5, share)
+    assert np.abs(got[0] - want).max() < 1e-3
+
+
 def test_toxicity_of_a_sample_keeps_the_odds_of_the_labels(spark):
     """Both classes are cut to 250 labels; the clean ones are eight times as many."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
