@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemart.functions.parse import good, parse_changes, quarantined
 from tidemart.operators import cells, keywords, routing, sales, search
 from tidemart.plans import queries as Q
-from tidemart.session import FIRST_PARTITIONS, prepare
+from tidemart.session import FIRST_PARTITIONS, brief_shuffles, prepare
 from tidemart.sinks import tables
 from tidemart.streaming import jobs
 
@@ -147,3 +147,118 @@ def test_sales_are_joined_once_for_all_keywords(spark, monkeypatch):
     got = {r.keyword: r.total for r in Q.QUERIES["search_totals_indexed"](spark, "none").collect()}
     assert got["RING"] == 2 and len(got) == len(Q.KEYWORDS) and len(calls) == 1
     assert keywords.NAME == ("sku_id", "sku_name")
+
+
+def sale_feeds(spark, tmp_path):
+    """A sales join over new tables, with orders and lines of it."""
+    table, users = str(tmp_path / "sales"), str(tmp_path / "users")
+    for path in (users, *jobs._feed_tables(table), table):
+        tables.make_folder(spark, path)
+    spark.createDataFrame([], jobs.USER_VERSIONS).withColumns({
+        "run": F.lit("u"), "batch": F.lit(0)}).write.mode("append").partitionBy("run", "batch").parquet(users)
+    day = F.date_format("rt", "yyyy-MM-dd")
+    heads = times(spark, [(str(n), "O", "t", "u", f"2024-0{1 + n % 3}-01", n, True) for n in range(60)], HEADS, "rt")
+    lines = times(spark, [(str(n), f"l{n}", "s", "1.5", "x", n + 5, True) for n in range(60)], LINES, "rt")
+    return (jobs._SalesJoin(users, table, "2024-06-01", 100, 1, "month"), heads.withColumn("rt_day", day).select(
+        *jobs.SALE_ORDERS.fieldNames()), lines.withColumn("rt_day", day).select(*jobs.SALE_LINES.fieldNames()))
+
+
+def test_sales_are_written_where_they_are_joined_and_nothing_is_held(spark, tmp_path, monkeypatch):
+    plans, place = [], tables.place_days
+    monkeypatch.setattr(tables, "place_days", lambda rows, path, *a, **k: (
+        path.endswith("/sales") and plans.append(rows.withColumn("period", F.lit(1))), place(rows, path, *a, **k)))
+    join, heads, lines = sale_feeds(spark, tmp_path)
+    held = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    join.write(heads, lines, "a", 0)
+    assert jobs.current_sales(spark, join.table, period="month").count() == 60
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= held
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "Rebalance" not in plan
+    files = list((tmp_path / "sales").rglob("period=*/*.parquet"))
+    assert {f.parent.name for f in files} == {"period=2024-01", "period=2024-02", "period=2024-03"}
+
+
+def test_rows_around_a_batch_are_not_shuffled_to_find_them(spark, tmp_path, monkeypatch):
+    join, heads, lines = sale_feeds(spark, tmp_path)
+    join.write(heads.limit(0), lines, "a", 0)
+    plans, around = [], jobs._SalesJoin.around
+
+    def seen(self, *a):
+        near = around(self, *a)
+        if near is not None:
+            plans.append(near._jdf.queryExecution().executedPlan().toString())
+        return near
+
+    monkeypatch.setattr(jobs._SalesJoin, "around", seen)
+    join.write(heads, lines.limit(0), "a", 1)
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "hashpartitioning(stretch" not in plans[0].split(
+        "InMemoryTableScan")[0]
+    assert jobs.current_sales(spark, join.table, period="month").count() == 60
+
+
+def test_a_batch_is_read_only_once_it_is_committed(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), spark.range(30).select(
+        F.col("id"), F.concat(F.lit("2024-01-1"), F.col("id") % 3).alias("day"))
+    tables.make_folder(spark, path)
+    tables.place_days(rows, path, "day", "a", 0, as_made=True)
+    assert tables.read_batch(spark, path, rows.schema, "a", 0).count() == 30
+    assert tables.read_days(spark, path, rows.schema, "day").count() == 0
+    assert tables.read_batch(spark, path, rows.schema, "a", 1).count() == 0
+    tables.commit_days(spark, path, "a", 0)
+    assert tables.read_days(spark, path, rows.schema, "day").count() == 30
+
+
+def test_last_versions_are_not_chosen_again_after_a_fold(spark, tmp_path):
+    path, keys = str(tmp_path / "t"), ["k", "day"]
+    layout = spark.createDataFrame([], "k string, v bigint, day string, row_hash bigint").schema
+
+    def add(batch, rows):
+        made = spark.createDataFrame([(*r, hash(r)) for r in rows], layout)
+        tables.write_days(made, path, "day", "a", batch, "month")
+
+    def last(days=None, order=("v",)):
+        rows = tables.latest_days(spark, path, layout, "day", keys, list(order), days, "month")
+        every = tables.latest(tables.read_days(spark, path, layout, "day", days, "month"), keys, *order)
+        assert rows.columns == every.columns
+        assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, every.collect()))
+        return rows.count(), "Window" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+    add(0, [("a", 1, "2024-01-01"), ("a", 2, "2024-01-01"), (None, 1, "2024-02-01"), ("a", 1, "2024-02-01")])
+    add(1, [("a", 3, "2024-01-01"), ("b", 1, "2024-01-02"), (None, 5, "2024-02-01")])
+    assert last() == (4, True)
+    tables.fold_days(spark, path, layout, "day", None, keys, ["v"], "month")
+    assert last() == (4, False) and last(["2024-01-02"]) == (1, False)
+    assert last(order=()) == (4, True)  # another order than that of the fold
+    add(2, [("b", 7, "2024-01-02")])
+    assert last() == (4, True) and last(["2024-02-01"]) == (2, False)
+    tables.fold_days(spark, path, layout, "day", None, [], [], "month")
+    assert last(["2024-01-01", "2024-01-02"]) == (2, True)  # this fold chose nothing
+    tables.fold_days(spark, path, layout, "day", None, keys, ["v"], "month")
+    assert last(["2024-02-01"]) == (2, False)
+
+
+@pytest.mark.parametrize("n_days", [2, 12])
+def test_a_fold_of_few_periods_needs_no_shuffle(spark, tmp_path, monkeypatch, n_days):
+    together, fold = [], tables._fold_together
+    monkeypatch.setattr(tables, "_fold_together", lambda *a: (together.append(1), fold(*a)))
+    path, rows = str(tmp_path / "t"), spark.range(120).repartition(4).select(
+        F.col("id"), F.concat(F.lit("2024-01-"), 10 + F.col("id") % n_days).alias("day"))
+    for batch in (0, 1):
+        tables.write_days(rows, path, "day", "a", batch)
+    tables.fold_days(spark, path, rows.schema, "day")
+    read = tables.read_days(spark, path, rows.schema, "day")
+    assert read.count() == 240 and len(read.inputFiles()) == n_days
+    assert all("_folded/" in f for f in read.inputFiles()) and len(together) == (n_days > 8)
+
+
+def test_shuffle_files_of_streams_and_writes_are_brief(spark, drop_file, tmp_path):
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(key)
+    with brief_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
+    folder = drop_file("in", ['{"id":"1"}'])
+    raw = Q.feeds.read_feed_stream(spark, None, "text", folder)
+    jobs._start(raw, "brief", str(tmp_path / "progress"), jobs.ONCE, "1 second", lambda batch, run, n: seen.append(
+        batch.sparkSession.conf.get(key))).awaitTermination()
+    assert seen == ["true"] and spark.conf.get(key) == before

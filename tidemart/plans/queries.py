@@ -16,7 +16,7 @@ from tidemart.operators import (
 from tidemart.plans import mapping as M
 from tidemart.plans.mapping import AS_OF, table
 from tidemart.schemas import FEEDS, SALE_DETAIL
-from tidemart.session import new_folder, prepare, shuffle_partitions
+from tidemart.session import brief_shuffles, new_folder, prepare, shuffle_partitions
 from tidemart.sinks import tables
 from tidemart.sources import feeds
 from tidemart.streaming import jobs
@@ -552,7 +552,8 @@ def _hours_as_stream(raw, folder, hours, part):
     """The records received in one part of the day, of so many hours, as further files of a folder, and the
     folder as a stream: a run of a job takes all that is new as one batch."""
     rows = raw.where(F.floor(F.hour("timestamp") / hours) == part)
-    rows.write.mode("append").parquet(folder)
+    with brief_shuffles(raw.sparkSession):
+        rows.write.mode("append").parquet(folder)
     return feeds.read_feed_stream(raw.sparkSession, None, "parquet", folder)
 
 

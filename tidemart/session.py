@@ -42,6 +42,8 @@ STREAM_DEFAULTS = {
 FIRST_PARTITIONS = 400
 _FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
+_BRIEF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_folder: dict[str, str] = {}
 
 
@@ -93,6 +95,24 @@ def shuffle_partitions(spark: SparkSession, number: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is planned inside go when it has run, not when the driver happens to collect
+    its garbage. For writes, and for streams that are started inside: their sessions keep the setting.
+
+    Rows that are run a second time from the same DataFrame are shuffled a second time.
+    """
+    before = spark.conf.get(_BRIEF, None)
+    spark.conf.set(_BRIEF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BRIEF)
+        else:
+            spark.conf.set(_BRIEF, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, from ``spark.checkpoint.dir``."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(

@@ -16,6 +16,7 @@ batches of a day by one sorted snapshot, which the log then names instead.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemart.operators.keyed import last_per_key, row_hash
+from tidemart.session import brief_shuffles
 
 BATCH_COLUMNS = ["run", "batch"]
 ROW_HASH = "row_hash"
@@ -32,6 +34,8 @@ ROW_HASH = "row_hash"
 PERIODS = {"day": 10, "month": 7, "bucket": 3}
 #: Rows a task writes at least, where rows are not shuffled for it.
 _FILE_ROWS = 100_000
+#: So many periods at most are folded by a job each.
+_FEW_PERIODS = 8
 _BATCH_FIELDS = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
 
 
@@ -69,26 +73,63 @@ def write_days(rows: DataFrame, path: str, day: str, run: str, batch: int,
                period: str = "day", *sort: str, n_rows: int | None = None) -> None:
     """Write and commit one micro-batch of a table that is partitioned by the ``day`` column.
 
+    The two steps are :func:`place_days` and :func:`commit_days`.
+    """
+    place_days(rows, path, day, run, batch, period, *sort, n_rows=n_rows)
+    commit_days(rows.sparkSession, path, run, batch)
+
+
+def place_days(rows: DataFrame, path: str, day: str, run: str, batch: int, period: str = "day", *sort: str,
+               n_rows: int | None = None, as_made: bool = False) -> None:
+    """Write the files of one micro-batch; nobody but :func:`read_batch` reads them before their commit.
+
     With ``period="month"`` a folder holds a month: for a table with few rows
     on each of very many days. The day stays a column either way; inside a
     month rows are sorted by it, so that row-group statistics still prune.
     Rows are shuffled together by period, unless their number is told: then they are written where they
-    are, by as many tasks as they need. For rows of few periods.
+    are, by as many tasks as they need: for rows of few periods. ``as_made`` leaves them to the tasks that
+    make them, each of which writes a file a period: for wide rows right after a shuffle.
     """
-    spark, own = rows.sparkSession, f"{path}/run={run}/batch={int(batch)}"
+    spark, own = rows.sparkSession, _own(path, run, batch)
     for name in _names(spark, own):  # an earlier attempt may have committed already
         _delete(spark, f"{path}/{_COMMITS}/{name}/{run}.{int(batch):012d}")
     placed = rows.withColumn("period", _period(day, period))
-    placed = placed.hint("rebalance", "period") if n_rows is None else placed.coalesce(
-        1 + n_rows // _FILE_ROWS)
+    if n_rows is not None:
+        placed = placed.coalesce(1 + n_rows // _FILE_ROWS)
+    elif not as_made:
+        placed = placed.hint("rebalance", "period")
     keys = [*([] if period == "day" else [day]), *sort]
     if keys:
         placed = placed.sortWithinPartitions("period", *keys)
     (placed.write.mode("overwrite").option("partitionOverwriteMode", "static")
      .partitionBy("period").parquet(own))
-    for name in _names(spark, own):
-        if name.startswith("period="):
-            _touch(spark, f"{path}/{_COMMITS}/{name}/{run}.{int(batch):012d}")
+
+
+def commit_days(spark: SparkSession, path: str, run: str, batch: int) -> None:
+    """Let readers see what :func:`place_days` wrote."""
+    for name in _periods_of(spark, _own(path, run, batch)):
+        _touch(spark, f"{path}/{_COMMITS}/{name}/{run}.{int(batch):012d}")
+
+
+def read_batch(spark: SparkSession, path: str, schema: T.StructType, run: str, batch: int) -> DataFrame:
+    """The rows of one batch of a table by days, committed or not."""
+    own = _own(path, run, batch)
+    files = [f"{own}/{name}" for name in _periods_of(spark, own)]
+    return spark.read.schema(schema).parquet(*files) if files else _no_rows(spark, schema)
+
+
+def _own(path: str, run: str, batch: int) -> str:
+    return f"{path}/run={run}/batch={int(batch)}"
+
+
+def _periods_of(spark: SparkSession, own: str) -> list[str]:
+    return [name for name in _names(spark, own) if name.startswith("period=")]
+
+
+def _no_rows(spark: SparkSession, layout: T.StructType) -> DataFrame:
+    """Rows that Spark knows to be none, so that joins with them are not run at all."""
+    return spark.range(1).where(F.lit(False)).select(
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in layout.fields))
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -133,8 +174,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 @dataclass
 class Held:
     """What the log of one period names: its newest snapshot, up to which batch of each stream that
-    reaches, and the later batches."""
+    reaches, by which keys and order that holds last versions alone, and the later batches."""
     fold: int | None = None
+    chosen: str = ""
     upto: dict[str, int] = field(default_factory=dict)
     batches: list[tuple[str, int]] = field(default_factory=list)
 
@@ -146,16 +188,17 @@ def committed(spark: SparkSession, path: str, periods: Iterable[str] | None = No
         periods = [n.removeprefix("period=") for n in _names(spark, root)]
     out = {}
     for p in periods:
-        held, folds, batches = Held(), {}, []
+        held, folds, chosen, batches = Held(), {}, {}, []
         for name in _names(spark, f"{root}/period={p}"):
             kind, *rest = name.split(".")
             if kind != "fold":
                 batches.append((kind, int(rest[0])))
             elif rest[1] == "done":
                 held.fold = max(held.fold or 0, int(rest[0]))
+                chosen[int(rest[0])] = "".join(rest[2:])
             else:
                 folds.setdefault(int(rest[0]), {})[rest[1]] = int(rest[2])
-        held.upto = folds.get(held.fold, {})
+        held.upto, held.chosen = folds.get(held.fold, {}), chosen.get(held.fold, "")
         held.batches = [(r, b) for r, b in batches if b > held.upto.get(r, -1)]
         if held.batches or held.fold is not None:
             out[p] = held
@@ -218,9 +261,7 @@ def _rows_of(spark: SparkSession, path: str, schema: T.StructType, held: dict[st
     if folds:
         parts.append(spark.read.schema(layout).parquet(*folds))
     if not parts:
-        # rows that Spark knows to be none, so that joins with them are not run at all
-        return spark.range(1).where(F.lit(False)).select(
-            *(F.lit(None).cast(f.dataType).alias(f.name) for f in layout.fields))
+        return _no_rows(spark, layout)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -236,23 +277,26 @@ def fold_days(spark: SparkSession, path: str, schema: T.StructType, day: str, da
     Safe beside readers and a running stream: a snapshot counts once its last log entry is there,
     batches that are committed meanwhile are left for the next fold, and what a snapshot replaced is
     deleted by the fold after it, when no reader of the older log is at work any more. A batch that is
-    repeated after it was folded changes nothing: the log names the snapshot for it.
+    repeated after it was folded changes nothing: the log names the snapshot for it. Without ``keys``, a
+    few periods are folded one by one, without a shuffle; with them, the log tells by which, so that
+    :func:`latest_days` need not choose again.
     """
     _check_period(spark, path, period)
     periods = None if days is None else sorted({d[:PERIODS[period]] for d in days})
     log = {p: held for p, held in committed(spark, path, periods).items() if held.batches}
     if not log:
         return
-    rows = _rows_of(spark, path, schema, log).withColumn("period", _period(day, period))
-    sort = ["period", day, *(k for k in keys if k != day)]
-    if keys:  # one shuffle and one sort serve the choice of versions and the files
-        ties = [ROW_HASH] if ROW_HASH in rows.columns else []
-        rows = last_per_key(rows.repartitionByRange(*sort), sort, *order, "batch", *ties, total=bool(ties))
-    else:
-        rows = rows.hint("rebalance", "period")
     number = 1 + max(-1 if held.fold is None else held.fold for held in log.values())
-    (rows.sortWithinPartitions(*sort).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(f"{path}_folded/fold={number:08d}"))
+    with brief_shuffles(spark):
+        if keys or len(log) > _FEW_PERIODS:
+            _fold_together(_rows_of(spark, path, schema, log).withColumn("period", _period(day, period)), day, keys,
+                           order, f"{path}_folded/fold={number:08d}")
+        else:
+            for p, held in log.items():
+                rows = _rows_of(spark, path, schema, {p: held})
+                (rows.coalesce(1 + rows.count() // _FILE_ROWS).sortWithinPartitions(day)
+                 .write.mode("overwrite").parquet(_fold_path(path, p, number)))
+    chosen = _choice(keys, order) if day in keys and ROW_HASH in schema.fieldNames() else ""
     for p, held in log.items():
         upto = dict(held.upto)
         for run, batch in held.batches:
@@ -260,10 +304,26 @@ def fold_days(spark: SparkSession, path: str, schema: T.StructType, day: str, da
         entries = f"{path}/{_COMMITS}/period={p}/fold.{number:08d}"
         for run, batch in upto.items():
             _touch(spark, f"{entries}.{run}.{batch:012d}")
-        _touch(spark, f"{entries}.done")
+        _touch(spark, f"{entries}.done{chosen and '.'}{chosen}")
         _drop_folded(spark, path, p, held)
 
 
+def _fold_together(rows: DataFrame, day: str, keys: Sequence[str], order: Sequence[str], target: str) -> None:
+    sort = ["period", day, *(k for k in keys if k != day)]
+    if keys:  # one shuffle and one sort serve the choice of versions and the files
+        ties = [ROW_HASH] if ROW_HASH in rows.columns else []
+        rows = last_per_key(rows.repartitionByRange(*sort), sort, *order, "batch", *ties, total=bool(ties))
+    else:
+        rows = rows.hint("rebalance", "period")
+    (rows.sortWithinPartitions(*sort).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(target))
+
+
+def _choice(keys: Sequence[str], order: Sequence[str]) -> str:
+    """A name for the choice of the last version by these keys and this order."""
+    return hashlib.sha256(json.dumps([sorted(keys), list(order)]).encode()).hexdigest()[:32]
+
+
 def _drop_folded(spark: SparkSession, path: str, period: str, before: Held) -> None:
     """Delete what the snapshot ``before`` replaced."""
     if before.fold is None:
@@ -311,6 +371,25 @@ def latest(table: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
             .drop(*BATCH_COLUMNS, ROW_HASH))
 
 
+def latest_days(spark: SparkSession, path: str, schema: T.StructType, day: str, keys: Sequence[str],
+                order: Sequence[str], days: Sequence[str] | None = None, period: str = "day") -> DataFrame:
+    """The last version per key of a table of :func:`write_days`; ``keys`` include the day.
+
+    A period without batches since the fold that chose by just these keys and order is read as it is.
+    """
+    _check_period(spark, path, period)
+    periods = None if days is None else sorted({d[:PERIODS[period]] for d in days})
+    wanted = F.lit(True) if days is None else F.col(day).isin(list(days))
+    choice, done, rest = _choice(keys, order), {}, {}
+    for p, held in committed(spark, path, periods).items():
+        (done if held.chosen == choice and not held.batches else rest)[p] = held
+    rows = latest(_rows_of(spark, path, schema, rest).where(wanted), keys, *order)
+    if not done:
+        return rows
+    folded = _rows_of(spark, path, schema, done).where(wanted).drop(*BATCH_COLUMNS, ROW_HASH)
+    return rows.unionByName(folded) if rest else folded
+
+
 def versioned(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of ``schema`` in order, with the hash of the row at its end."""
     names = [n for n in schema.fieldNames() if n != ROW_HASH]

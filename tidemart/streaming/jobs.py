@@ -9,8 +9,8 @@ nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import ExitStack, contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +24,7 @@ from tidemart.operators import alerts, cells, devices, keywords, orders, routing
 from tidemart.schemas import (
     ALERT_MIN_USERS, ALERT_WINDOW, CADENCE, DAU_TABLE, JOIN_BOUND_SECONDS, ORDER_TABLE,
     SALE_DETAIL, USER, USER_CADENCE)
+from tidemart.session import brief_shuffles
 from tidemart.sinks import tables
 
 ONCE = {"availableNow": True}
@@ -80,9 +81,10 @@ def _start(stream: DataFrame, name: str, checkpoint: str, trigger: dict | None,
             owner.append(tables.run_id(batch.sparkSession, checkpoint))
         write(batch, owner[0], batch_id)
 
-    return (stream.writeStream.queryName(name).outputMode("append").foreachBatch(on_batch)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": cadence})).start())
+    with brief_shuffles(stream.sparkSession):
+        return (stream.writeStream.queryName(name).outputMode("append").foreachBatch(on_batch)
+                .option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"processingTime": cadence})).start())
 
 
 @contextmanager
@@ -273,8 +275,8 @@ def start_gmv(raw: DataFrame, table: str, checkpoint: str, quarantine: str | Non
 def current_orders(spark: SparkSession, table: str, days: list[str] | None = None,
                    period: str = "day") -> DataFrame:
     """Last version of each order of the given create dates."""
-    versions = tables.read_days(spark, table, ORDER_VERSIONS, "create_date", days, period)
-    return tables.latest(versions, ["id", "create_date"], "change_ts").drop("change_ts")
+    return tables.latest_days(spark, table, ORDER_VERSIONS, "create_date", ["id", "create_date"], ["change_ts"],
+                              days, period).drop("change_ts")
 
 
 def start_users(raw: DataFrame, table: str, checkpoint: str, quarantine: str | None = None,
@@ -417,7 +419,8 @@ class _SalesJoin:
         self.users, self.table, self.as_of = users, table, as_of
         self.seconds, self.salts, self.period, self.served = int(seconds), salts, period, served
 
-    def around(self, fresh: DataFrame, path: str, layout: T.StructType, seen: Column) -> DataFrame | None:
+    def around(self, fresh: DataFrame, path: str, layout: T.StructType, seen: Column,
+               held: ExitStack) -> DataFrame | None:
         """The rows of the other side within the bound of some fresh row's time, at least: of the days
         that the bound touches, the stretches of time next to a fresh row."""
         span = F.expr(f"INTERVAL {self.seconds} SECONDS")
@@ -425,37 +428,48 @@ class _SalesJoin:
         if not days:
             return None
         stretch = F.floor(F.unix_seconds("rt") / F.lit(max(self.seconds, 1)))
-        near = fresh.select(F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()
+        near = held.enter_context(_kept(
+            fresh.select(F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()))
+        near.count()  # tells Spark how few the stretches are, so that the rows around them are not shuffled for them
         rows = tables.read_days(fresh.sparkSession, path, layout, "rt_day", days).where(seen)
         return rows.withColumn("stretch", stretch).join(near, "stretch", "left_semi").drop("stretch")
 
-    def write(self, heads: DataFrame, lines: DataFrame, run: str, batch_id: int) -> None:
-        """Keep the rows in the feed tables, and the pairs they complete in the sales table."""
-        order_table, line_table = _feed_tables(self.table)
+    def write(self, heads: DataFrame, lines: DataFrame, run: str, batch_id: int,
+              sizes: Sequence[int] | None = None) -> None:
+        """Keep the rows in the feed tables, and the pairs they complete in the sales table.
+
+        The rows are made once, for the feed tables, and read back from there for the join. ``sizes`` are
+        their numbers, or a little more; without them the rows are counted.
+        """
+        spark, feeds = heads.sparkSession, _feed_tables(self.table)
+        for rows, path, n in zip((heads, lines), feeds, sizes or (heads.count(), lines.count()), strict=True):
+            tables.write_days(rows, path, "rt_day", run, batch_id, n_rows=n)
+        heads, lines = (tables.read_batch(spark, path, layout, run, batch_id)
+                        for path, layout in zip(feeds, (SALE_ORDERS, SALE_LINES), strict=True))
         n_heads, n_lines = heads.count(), lines.count()
-        tables.write_days(heads, order_table, "rt_day", run, batch_id, n_rows=n_heads)
-        tables.write_days(lines, line_table, "rt_day", run, batch_id, n_rows=n_lines)
         if not n_heads and not n_lines:
             return
         before = (F.col("run") != run) | (F.col("batch") < batch_id)
-        near_heads = self.around(lines, order_table, SALE_ORDERS, before) if n_lines else None
-        near_lines = self.around(heads, line_table, SALE_LINES, before) if n_heads else None
-        # one join over the rows of the batch and those around them, so that none is shuffled twice
-        heads, lines = (_with_earlier(*sides) for sides in ((heads, near_heads), (lines, near_lines)))
-        versions = user_versions(heads.sparkSession, self.users)
-        heads = sales.with_user(heads, latest_versions(sales.users_of(heads, versions)))
-        self._keep(sales.interval_join(heads, lines, self.seconds, self.salts, sales.USER_VALUES, "fresh"),
-                   run, batch_id)
+        with ExitStack() as held:
+            near_heads = self.around(lines, feeds[0], SALE_ORDERS, before, held) if n_lines else None
+            near_lines = self.around(heads, feeds[1], SALE_LINES, before, held) if n_heads else None
+            # one join over the rows of the batch and those around them, so that none is shuffled twice
+            heads, lines = (_with_earlier(*sides) for sides in ((heads, near_heads), (lines, near_lines)))
+            versions = user_versions(spark, self.users)
+            heads = sales.with_user(heads, latest_versions(sales.users_of(heads, versions)))
+            self._keep(sales.interval_join(heads, lines, self.seconds, self.salts, sales.USER_VALUES, "fresh"),
+                       run, batch_id)
 
     def _keep(self, pairs: DataFrame, run: str, batch_id: int) -> None:
+        """Write the pairs where they are joined; what is served of them is read back from these files
+        before they are committed, so that a repeated batch finds none of its own."""
         rows = sales.finished(pairs, F.col("joined_rt") if self.as_of is None else self.as_of)
         rows = rows.withColumn("index_day", day_of(F.col("joined_rt")))
-        with _kept(tables.versioned(rows, SALE_VERSIONS)) as versions:
-            if not versions.count():  # also tells Spark how small the batch is
-                return
-            if self.served:  # before the sales: a repeated batch finds none of its own
-                self._serve(versions, run, batch_id)
-            tables.write_days(versions, self.table, "dt", run, batch_id, self.period)
+        tables.place_days(tables.versioned(rows, SALE_VERSIONS), self.table, "dt", run, batch_id, self.period,
+                          as_made=True)
+        if self.served:
+            self._serve(tables.read_batch(rows.sparkSession, self.table, SALE_VERSIONS, run, batch_id), run, batch_id)
+        tables.commit_days(rows.sparkSession, self.table, run, batch_id)
 
     def _serve(self, versions: DataFrame, run: str, batch_id: int) -> None:
         """Keyword index and facet cells, brought up to this batch."""
@@ -464,10 +478,8 @@ class _SalesJoin:
         days = sorted(r[0] for r in versions.where("dt IS NOT NULL").select("dt").distinct().collect())
         held = tables.read_days(spark, self.table, SALE_VERSIONS, "dt", days, self.period)
         own = (F.col("run") == run) & (F.col("batch") >= batch_id)
-        with _kept(cells.newest(versions, batch_id)) as new:
-            new.count()  # shuffled by now, so that the join can use its placing
-            tables.write_days(cells.changes_of(new, held.where(~own)), cells_of(self.table), "dt",
-                              run, batch_id, self.period)
+        tables.write_days(cells.changes(versions, held.where(~own), batch_id), cells_of(self.table), "dt",
+                          run, batch_id, self.period)
 
 
 def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str, table: str,
@@ -499,14 +511,19 @@ def start_sale_details(order_raw: DataFrame, detail_raw: DataFrame, users: str,
             all_heads, heads = _received(batch, "order")
             all_lines, lines = _received(batch, "order_detail")
             heads = orders.clean_orders(heads, hour="colon").select(*SALE_ORDERS.fieldNames())
-            with _kept(heads) as heads, _kept(lines.select(*SALE_LINES.fieldNames())) as lines:
-                if closed:
-                    behind = F.col("rt_day") <= closed
-                    for rows, path in zip((heads, lines), _late_tables(table), strict=True):
-                        late = rows.where(behind)
-                        tables.write_days(late, path, "rt_day", run, batch_id, n_rows=late.count())
-                    heads, lines = heads.where(~behind), lines.where(~behind)
-                join.write(heads, lines, run, batch_id)
+            lines = lines.select(*SALE_LINES.fieldNames())
+            # records are counted, which needs no parse, to tell how many files their rows need
+            behind = F.coalesce(day_of(F.col("timestamp")) <= closed, F.lit(False))
+            counted = batch.groupBy("feed", behind.alias("behind")).agg(F.count("*").alias("n")).collect()
+            sizes = {(r["feed"], r["behind"]): r["n"] for r in counted}
+            fresh, late = ([sizes.get((feed, is_late), 0) for feed in ("order", "order_detail")]
+                           for is_late in (False, True))
+            if closed:
+                behind = F.col("rt_day") <= closed
+                for rows, path, n in zip((heads, lines), _late_tables(table), late, strict=True):
+                    tables.write_days(rows.where(behind), path, "rt_day", run, batch_id, n_rows=n)
+                heads, lines = heads.where(~behind), lines.where(~behind)
+            join.write(heads, lines, run, batch_id, fresh)
             if quarantine:
                 bad = [quarantined(p) for p in (all_heads, all_lines)]
                 tables.write_days(bad[0].unionByName(bad[1]).withColumn("day", day_of(F.col("timestamp"))),
@@ -555,15 +572,16 @@ def replay_late(spark: SparkSession, table: str, users: str, as_of: Column | str
     number = int(tables.last_mark(spark, f"{table}_feeds/replays") or -1) + 1
     heads, lines = (tables.read_days(spark, path, layout, "rt_day").select(*layout.fieldNames())
                     for path, layout in zip(_late_tables(table), (SALE_ORDERS, SALE_LINES), strict=True))
-    _SalesJoin(users, table, as_of, seconds, salts, period, served).write(heads, lines, "replay", number)
+    with brief_shuffles(spark):
+        _SalesJoin(users, table, as_of, seconds, salts, period, served).write(heads, lines, "replay", number)
     tables.set_mark(spark, f"{table}_feeds/replays", f"{number:08d}")
 
 
 def current_sales(spark: SparkSession, table: str, days: list[str] | None = None,
                   period: str = "day") -> DataFrame:
     """Latest document per order detail id."""
-    versions = tables.read_days(spark, table, SALE_VERSIONS, "dt", days, period)
-    return tables.latest(versions, ["order_detail_id", "dt"], "joined_rt").drop("joined_rt")
+    return tables.latest_days(spark, table, SALE_VERSIONS, "dt", ["order_detail_id", "dt"], ["joined_rt"],
+                              days, period).drop("joined_rt")
 
 
 def current_cells(spark: SparkSession, table: str, days: list[str] | None = None, level: str | None = None,
