@@ -262,3 +262,18 @@ def test_shuffle_files_of_streams_and_writes_are_brief(spark, drop_file, tmp_pat
     jobs._start(raw, "brief", str(tmp_path / "progress"), jobs.ONCE, "1 second", lambda batch, run, n: seen.append(
         batch.sparkSession.conf.get(key))).awaitTermination()
     assert seen == ["true"] and spark.conf.get(key) == before
+
+
+def test_cells_of_both_sides_are_shuffled_once_and_together(spark, tmp_path):
+    layout = ("order_detail_id string, dt string, user_gender string, user_age int, age_known boolean, user_level string, "
+              "joined_rt timestamp, row_hash bigint, batch bigint")
+    sides = []
+    for batch in (0, 1):
+        rows = [(f"l{n}", f"2024-01-{10 + n % 20}", "M", 25, True, "ab"[batch], None, n, batch) for n in range(90)]
+        spark.createDataFrame(rows, layout).write.parquet(str(tmp_path / f"{batch}"))
+        sides.append(spark.read.parquet(str(tmp_path / f"{batch}")))
+    got = cells.changes(sides[1].drop("batch"), sides[0], 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange ") == 2 and "Join" not in plan
+    assert sum(r.n for r in got.where("user_level = 'b'").collect()) == 90
+    assert sum(r.n for r in got.where("user_level = 'a'").collect()) == -90

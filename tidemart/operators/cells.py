@@ -19,40 +19,44 @@ CELL = ("dt", "user_level", "gender", "age")
 CELLS = T.StructType([*(T.StructField(n, T.StringType()) for n in CELL), T.StructField("n", T.LongType())])
 KEY = ("order_detail_id", "dt")
 _ORDER = ("joined_rt", "batch", tables.ROW_HASH)
+_CLASS = ("user_level", "gender", "age")
+_DEALT = ("dt", "order_detail_id")
 
 
 def changes(fresh: DataFrame, held: DataFrame, batch: int) -> DataFrame:
     """What ``fresh`` sale versions of one batch change about the cells of ``held`` versions.
 
     Every key of the batch counts one in the cell of its last version there. A key that was held before
-    counts twice then, so the earlier one of its two last versions is taken out. Both sides are
-    shuffled once, by key and as cells, not as rows; of a small batch only the keys travel.
+    counts twice then, so the earlier one of its two last versions is taken out. Both sides are shuffled
+    once and together, as cells, not as rows. They are dealt by ranges of day and key, so that a task has
+    few days and counts few cells, and that a single day is dealt to many tasks.
     """
     return changes_of(newest(fresh, batch), held)
 
 
 def newest(fresh: DataFrame, batch: int) -> DataFrame:
-    """(key, now): the last version per key of one batch; :func:`changes_of` reads it twice."""
-    return _versions(fresh.withColumn("batch", F.lit(int(batch)).cast("bigint"))).groupBy("key").agg(
-        F.max("version").alias("now"))
+    """The versions of one batch, for :func:`changes_of`, which takes the last one per key."""
+    return _versions(fresh.withColumn("batch", F.lit(int(batch)).cast("bigint")))
 
 
 def changes_of(new: DataFrame, held: DataFrame) -> DataFrame:
     """:func:`changes` from the :func:`newest` versions."""
-    both = _versions(held).join(new, "key").groupBy("key").agg(
-        F.max("version").alias("was"), F.first("now").alias("now"))
-    signed = new.select("key", F.col("now").alias("version"), F.lit(1).alias("n")).unionByName(
-        both.select("key", F.least("was", "now").alias("version"), F.lit(-1).alias("n")))
-    return (signed.select("key.dt", "version.*", "n")
-            .groupBy("dt", "user_level", gender_class().alias("gender"), age_class().alias("age"))
+    both = new.withColumn("fresh", F.lit(True)).unionByName(_versions(held).withColumn("fresh", F.lit(False)))
+    version = F.struct(*_ORDER, *_CLASS)
+    last = (both.repartitionByRange(*_DEALT).groupBy(*_DEALT)
+            .agg(F.max(F.when(F.col("fresh"), version)).alias("now"), F.max(F.when(~F.col("fresh"), version)).alias("was"))
+            .where(F.col("now").isNotNull()))
+    out = F.when(F.col("was").isNotNull(), F.least("was", "now"))
+    signed = last.select("dt", F.inline(F.array(F.struct(F.col("now").alias("version"), F.lit(1).alias("n")),
+                                                F.struct(out.alias("version"), F.lit(-1).alias("n")))))
+    cell = [F.col(f"version.{c}") for c in _CLASS]
+    return (signed.where(F.col("version").isNotNull()).groupBy("dt", *cell)
             .agg(F.sum("n").cast("bigint").alias("n")).where("n <> 0"))
 
 
 def _versions(sales: DataFrame) -> DataFrame:
-    """(key, version): a version is its place in the order of versions, nulls first, with what its cell is
-    told by. As structs, so that NULL is a key like another."""
-    return sales.select(F.struct(*KEY).alias("key"), F.struct(
-        *_ORDER, "user_level", "user_gender", "user_age", "age_known").alias("version"))
+    """The key of a version, its place in the order of versions, nulls first, and what its cell is told by."""
+    return sales.select(*KEY, *_ORDER, "user_level", gender_class().alias("gender"), age_class().alias("age"))
 
 
 def total_of(cells: DataFrame, level: str | None = None) -> DataFrame:

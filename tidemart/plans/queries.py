@@ -788,18 +788,16 @@ def stream_facet_cells(spark, sf):
     changes = M.user_changes(table(spark, sf, "customer"))
     feed = M.order_feed(table(spark, sf, "orders"))
     heads = M.raw(feed, *[c for c in feed.columns if c != "rt"], at=F.col("rt"))
-    feed = M.detail_feed(table(spark, sf, "lineitem"), table(spark, sf, "part"))
-    lines = M.raw(feed, *[c for c in feed.columns if c != "rt"], at=F.col("rt"))
+    feed = M.detail_feed(M.stream(spark, sf, "lineitem"), table(spark, sf, "part"))
+    lines_in = M.raw(feed, *[c for c in feed.columns if c != "rt"], at=F.col("rt"))
     first = F.col("change_ts") < F.lit("2024-02-01").cast("timestamp")
-    for known, names in ((first, ("orders", "lines")), (~first, ("orders",))):
+    for known in (first, ~first):
         rows = changes.where(known)
         M.raw(rows, *[c for c in rows.columns if c != "change_ts"], at=F.col("change_ts")).write.mode(
             "append").parquet(f"{folder}/in-users")
-        for name, raw in (("orders", heads), ("lines", lines)):
-            if name in names:
-                raw.write.mode("append").parquet(f"{folder}/in-{name}")
-        users, orders_in, lines_in = (feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in-{name}")
-                                      for name in ("users", "orders", "lines"))
+        heads.write.mode("append").parquet(f"{folder}/in-orders")
+        users, orders_in = (feeds.read_feed_stream(spark, None, "parquet", f"{folder}/in-{name}")
+                            for name in ("users", "orders"))
         _finish(spark, jobs.start_users, users, f"{folder}/users", f"{folder}/users-progress")
         _finish(spark, jobs.start_sale_details, orders_in, lines_in, f"{folder}/users", f"{folder}/table",
                 f"{folder}/progress", as_of=AS_OF, period="month", served=True)
